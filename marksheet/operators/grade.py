@@ -202,6 +202,30 @@ def _ladder(p: Column, g: Column, depth: int, cfg: GradeConfig) -> Column:
     )
 
 
+_LADDER_CACHE: dict = {}
+
+
+def _math_profile_named(name: str) -> Column:
+    from pyspark import SparkContext
+    key = ("norm", name, id(SparkContext._gateway))
+    if key not in _LADDER_CACHE:
+        _LADDER_CACHE[key] = math_profile(F.col(name))
+    return _LADDER_CACHE[key]
+
+
+def _ladder_on_norm_columns(cfg: GradeConfig) -> Column:
+    """The ladder over columns ``pred_norm``/``gold_norm``, built once per JVM and config.
+
+    Building the expression costs one JVM call per node; a Column is an unresolved expression
+    and can be reused by any number of DataFrames.
+    """
+    from pyspark import SparkContext
+    key = (cfg, id(SparkContext._gateway))
+    if key not in _LADDER_CACHE:
+        _LADDER_CACHE[key] = grade_expr(F.col("pred_norm"), F.col("gold_norm"), cfg)
+    return _LADDER_CACHE[key]
+
+
 def grade_expr(pred: Column, gold: Column, cfg: GradeConfig = GradeConfig()) -> Column:
     """Struct(ok, rung, undecided) for already-normalized prediction and gold columns."""
     return S.let2(pred, gold, lambda p, g: _ladder(p, g, 0, cfg))
@@ -219,16 +243,18 @@ def grade(
     Row-local: the plan is Scan -> Project (one codegen stage); no exchange is introduced.
     """
     ensure_analyzer_budget(df.sparkSession)
-    p = math_profile(F.col(pred_col)) if normalize else F.col(pred_col)
-    g = math_profile(F.col(gold_col)) if normalize else F.col(gold_col)
-    out = df.withColumn("pred_norm", p).withColumn("gold_norm", g)
-    out = out.withColumn("_grade", grade_expr(F.col("pred_norm"), F.col("gold_norm"), cfg))
-    return (
-        out.withColumn("is_correct", F.col("_grade.ok"))
-        .withColumn("rung", F.col("_grade.rung"))
-        .withColumn("undecided", F.col("_grade.undecided"))
-        .withColumn("both_empty", (F.col("pred_norm") == "") & (F.col("gold_norm") == ""))
-        .drop("_grade")
+    p = _math_profile_named(pred_col) if normalize else F.col(pred_col)
+    g = _math_profile_named(gold_col) if normalize else F.col(gold_col)
+    # Few, wide selects: each DataFrame step re-analyzes the plan, and the ladder is large.
+    base = [c for c in df.columns if c not in ("pred_norm", "gold_norm", "is_correct", "rung", "undecided", "both_empty")]
+    out = df.select(*base, p.alias("pred_norm"), g.alias("gold_norm"))
+    out = out.select(*base, "pred_norm", "gold_norm", _ladder_on_norm_columns(cfg).alias("_grade"))
+    return out.select(
+        *base, "pred_norm", "gold_norm",
+        F.col("_grade.ok").alias("is_correct"),
+        F.col("_grade.rung").alias("rung"),
+        F.col("_grade.undecided").alias("undecided"),
+        ((F.col("pred_norm") == "") & (F.col("gold_norm") == "")).alias("both_empty"),
     )
 
 

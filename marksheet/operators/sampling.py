@@ -27,25 +27,30 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.withColumn("_h", shuffle_key(key, seed)).orderBy("_h", key).drop("_h")
 
 
-def global_positions(df: DataFrame, order_cols: list, out_col: str = "pos", num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row in the total order ``order_cols`` (which must be unique).
-
-    Range partitioning + in-partition numbering + broadcast of per-partition offsets. The
-    range exchange has an explicit partition count, so adaptive execution does not re-split it
-    and both consumers of it (counts and numbering) see the same partitions.
-    """
+def _numbered(df: DataFrame, order_cols: list, num_partitions: int | None):
+    """Range-partition on the order, sort inside partitions, tag partition id and local index."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    return tagged.withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).drop("_mid")
+
+
+def global_positions(df: DataFrame, order_cols: list, out_col: str = "pos", num_partitions: int | None = None) -> DataFrame:
+    """0-based position of each row in the total order ``order_cols`` (which must be unique).
+
+    Range partitioning + in-partition numbering + broadcast of per-partition offsets (one row
+    per partition). The range exchange has an explicit partition count, so adaptive execution
+    does not re-split it and both consumers of it (counts and numbering) see the same partitions.
+    """
+    tagged = _numbered(df, order_cols, num_partitions)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (
         tagged.join(F.broadcast(offsets), "_pid")
-        .withColumn(out_col, (F.col("_off") + local).cast("long"))
-        .drop("_pid", "_mid", "_off")
+        .withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("long"))
+        .drop("_pid", "_loc", "_off")
     )
 
 
@@ -55,16 +60,24 @@ def with_position(df: DataFrame, key: str, seed: int = 42, out_col: str = "pos")
     return global_positions(h, ["_h", key], out_col).drop("_h")
 
 
-def group_positions(df: DataFrame, group: str, key: str, seed: int = 42, out_col: str = "rank") -> DataFrame:
-    """W2 without a single hot partition: position inside ``group`` after the seeded shuffle.
+def group_positions(df: DataFrame, group: str, key: str, seed: int = 42, out_col: str = "rank",
+                    num_partitions: int | None = None) -> DataFrame:
+    """W2 without a single hot partition: 0-based position inside ``group`` after the seeded shuffle.
 
-    Global positions over (group, hash, key) minus the group's first position (one row per
-    group; joined back by Spark's size-checked join selection).
+    Rows are range-partitioned on (group, hash, key), so a group holding a third of the table
+    spans many partitions and each group is a contiguous block inside a partition. A small
+    table of (partition, group) block sizes gives each block's start inside its group.
     """
     h = df.withColumn("_h", shuffle_key(key, seed))
-    pos = global_positions(h, [group, "_h", key], "_gpos")
-    first = pos.groupBy(group).agg(F.min("_gpos").alias("_first"))
-    return pos.join(first, group).withColumn(out_col, F.col("_gpos") - F.col("_first")).drop("_h", "_gpos", "_first")
+    tagged = _numbered(h, [group, "_h", key], num_partitions)
+    blocks = tagged.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first"))
+    w = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_pid", group, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return (
+        tagged.join(blocks, ["_pid", group])
+        .withColumn(out_col, (F.col("_before") + F.col("_loc") - F.col("_first")).cast("long"))
+        .drop("_h", "_pid", "_loc", "_first", "_before")
+    )
 
 
 def holdout_split(df: DataFrame, ratio: float, key: str, seed: int = 42) -> DataFrame:

@@ -94,7 +94,8 @@ SELECT dataset_name, count(*) AS total_samples, count_if(is_correct) AS correct_
        round(count_if(is_correct) / count(*), 6) AS test_accuracy
 FROM graded GROUP BY dataset_name""")
 def q_a1(spark, sf_dir):
-    m = A.score(graded_predictions(spark, sf_dir))
+    pr = ensure_parallelism(FX.predictions(spark, sf_dir))
+    m = A.score_answers(pr.withColumn("extracted_prediction", X.final_answer("decoded_prediction")))
     return m.select("dataset_name", "total_samples", "correct_samples", r6("test_accuracy").alias("test_accuracy"))
 
 
@@ -201,7 +202,7 @@ r AS (SELECT p.dataset_name, raw_id, cap,
       FROM p JOIN caps USING (dataset_name))
 SELECT dataset_name, raw_id FROM r WHERE rn <= cap OR dataset_name = 'N'""")
 def q_p4(spark, sf_dir):
-    pr = FX.predictions(spark, sf_dir).select("dataset_name", "raw_id")
+    pr = ensure_parallelism(FX.predictions(spark, sf_dir).select("dataset_name", "raw_id"))
     caps = spark.createDataFrame(CAPS, "dataset_name string, cap int")
     return P.cap_per_dataset(pr, caps, "raw_id", 42, exempt="N").select("dataset_name", "raw_id")
 
@@ -366,7 +367,7 @@ lab AS (SELECT doc_id, input_ids, prompt_len,
 
 
 def tokenized(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = ensure_parallelism(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     vocab = T.build_vocab(d, "text")
     tok = T.tokenize(d, "doc_id", "text", vocab, max_len=1024)
     prompt = F.array_join(F.slice(F.split("text", " ", -1), 1, 8), " ")
