@@ -20,6 +20,7 @@ from marksheet.operators import score as A
 from marksheet.operators import sequences as T
 from marksheet.operators import vectors as V
 from marksheet.plans import fixtures as FX
+from marksheet.plans import oracle_text as OT
 from marksheet.session import ensure_parallelism, read_table, scratch_path
 from marksheet.sources import io as SRC
 
@@ -755,7 +756,7 @@ def q_m1(spark, sf_dir):
 
 ANSWERS_SQL = r"""
 SELECT p_partkey,
-  CASE p_partkey % 10
+  CASE p_partkey % 12
     WHEN 0 THEN CAST(p_size AS VARCHAR) || ' cm'
     WHEN 1 THEN '\frac' || CAST(p_partkey % 9 + 1 AS VARCHAR) || CAST(p_size % 9 + 1 AS VARCHAR)
     WHEN 2 THEN CAST(p_size AS VARCHAR) || '/' || CAST(p_partkey % 7 + 1 AS VARCHAR)
@@ -765,14 +766,16 @@ SELECT p_partkey,
     WHEN 6 THEN '\left(' || CAST(p_size AS VARCHAR) || ',' || CAST(p_partkey % 7 AS VARCHAR) || '\right)'
     WHEN 7 THEN CAST(p_size AS VARCHAR) || '\%'
     WHEN 8 THEN '\sqrt' || CAST(p_size AS VARCHAR)
-    ELSE CAST(p_size AS VARCHAR) || '^\circ' END AS answer
+    WHEN 9 THEN CAST(p_size AS VARCHAR) || '^\circ'
+    WHEN 10 THEN CAST(p_size AS VARCHAR) || '\pi'
+    ELSE '{\pi} + ' || CAST(p_size AS VARCHAR) || ' $' END AS answer
 FROM part
 """
 
 
 def answers(spark, sf_dir):
     pt = read_table(spark, sf_dir, "part")
-    k = F.col("p_partkey") % 10
+    k = F.col("p_partkey") % 12
     s = F.col("p_size").cast("string")
     a = (F.when(k == 0, F.concat(s, F.lit(" cm")))
          .when(k == 1, F.concat(F.lit("\\frac"), (F.col("p_partkey") % 9 + 1).cast("string"), (F.col("p_size") % 9 + 1).cast("string")))
@@ -783,7 +786,9 @@ def answers(spark, sf_dir):
          .when(k == 6, F.concat(F.lit("\\left("), s, F.lit(","), (F.col("p_partkey") % 7).cast("string"), F.lit("\\right)")))
          .when(k == 7, F.concat(s, F.lit("\\%")))
          .when(k == 8, F.concat(F.lit("\\sqrt"), s))
-         .otherwise(F.concat(s, F.lit("^\\circ"))))
+         .when(k == 9, F.concat(s, F.lit("^\\circ")))
+         .when(k == 10, F.concat(s, F.lit("\\pi")))
+         .otherwise(F.concat(F.lit("{\\pi} + "), s, F.lit(" $"))))
     return pt.select("p_partkey", a.alias("answer"))
 
 
@@ -799,19 +804,19 @@ def q_n7(spark, sf_dir):
     return a.select("p_partkey", N.parse_number("answer").alias("number"))
 
 
-@register("n1_math_normalize")
+@register("n1_math_normalize", OT.math_profile_sql(ANSWERS_SQL))
 def q_n1(spark, sf_dir):
     a = answers(spark, sf_dir)
     return a.select("p_partkey", "answer", N.math_profile("answer").alias("normalized"))
 
 
-@register("n6_final_normalize")
+@register("n6_final_normalize", OT.final_profile_sql(ANSWERS_SQL))
 def q_n6(spark, sf_dir):
     a = answers(spark, sf_dir)
     return a.select("p_partkey", "answer", N.final_profile("answer").alias("normalized"))
 
 
-@register("x8_clean_units")
+@register("x8_clean_units", OT.clean_units_sql(ANSWERS_SQL))
 def q_x8(spark, sf_dir):
     a = answers(spark, sf_dir)
     return a.select("p_partkey", X.clean_units("answer").alias("cleaned"))
@@ -826,7 +831,16 @@ def q_gl(spark, sf_dir):
     return g.select("p_partkey", "pred_norm", "gold_norm", "is_correct", "rung", "undecided")
 
 
-@register("g13_grade_exact")
+G13_GOLD_SQL = f"""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN answer || ' ' WHEN 1 THEN '0' || answer ELSE answer || '1' END AS answer
+FROM ({ANSWERS_SQL})"""
+
+
+@register("g13_grade_exact", OT.grade_exact_sql(ANSWERS_SQL, G13_GOLD_SQL))
 def q_g13(spark, sf_dir):
     a = answers(spark, sf_dir)
-    return a.select("p_partkey", G.grade_exact(F.col("answer"), F.concat(F.col("answer"), F.lit(" "))).alias("exact_match"))
+    k = F.col("p_partkey") % 3
+    gold = (F.when(k == 0, F.concat(F.col("answer"), F.lit(" ")))
+            .when(k == 1, F.concat(F.lit("0"), F.col("answer")))
+            .otherwise(F.concat(F.col("answer"), F.lit("1"))))
+    return a.select("p_partkey", G.grade_exact(F.col("answer"), gold).alias("exact_match"))
