@@ -117,14 +117,27 @@ def cap_per_dataset(
     """P4 + J1: at most ``cap`` shuffled rows per dataset; the dataset named exactly ``exempt`` keeps all.
 
     Datasets absent from ``caps`` get no rows here (the scorer reports them as failed, D2).
-    The caps table has one row per dataset name and is broadcast.
+    The caps table has one row per dataset name and is broadcast. When the largest cap is
+    moderate, a per-dataset ``row_number <= max cap`` lets Catalyst insert a partial
+    ``WindowGroupLimit`` before the shuffle (each task sends at most max-cap rows per dataset,
+    so a hot dataset costs little); the exact per-dataset cap is applied after. Very large caps
+    use exact per-group positions over a range partitioning instead.
     """
-    ranked = group_positions(df, group, key, seed, "_rank")
-    j = ranked.join(F.broadcast(caps.select(group, "cap")), group, "inner")
-    keep = (F.col("_rank") < F.col("cap"))
-    if exempt is not None:
-        keep = keep | (F.col(group) == F.lit(exempt))
-    return j.where(keep).drop("_rank", "cap")
+    caps = caps.select(group, F.col("cap").cast("long").alias("cap"))
+    j = df.join(F.broadcast(caps), group, "inner")
+    keep_all = F.lit(False) if exempt is None else (F.col(group) == F.lit(exempt))
+    whole = j.where(keep_all).drop("cap")
+    rest = j.where(~keep_all)
+    max_cap = caps.where(~keep_all if exempt is not None else F.lit(True)).agg(F.max("cap")).collect()[0][0] or 0
+    if max_cap <= TAKE_ORDERED_MAX:
+        h = rest.withColumn("_h", shuffle_key(key, seed))
+        w = Window.partitionBy(group).orderBy("_h", key)
+        capped = (h.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(int(max_cap)))
+                  .where(F.col("_rn") <= F.col("cap")).drop("_rn", "_h", "cap"))
+    else:
+        ranked = group_positions(rest, group, key, seed, "_rank")
+        capped = ranked.where(F.col("_rank") < F.col("cap")).drop("_rank", "cap")
+    return capped.unionByName(whole)
 
 
 def cap_per_category(df: DataFrame, n: int = 100, key: str = "raw_id", seed: int = 42, category: str = "category") -> DataFrame:
