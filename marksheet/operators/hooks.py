@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -49,7 +50,7 @@ def embed_with(col: str | Column, make_embedder: Callable[[], Callable[[list[str
 def generate_with(df: DataFrame, make_generator: Callable[[], Callable[[list[str]], list[str]]], prompt_col: str = "prompt_text",
                   out_col: str = "decoded_prediction") -> DataFrame:
     """U4: records in, generated text out (``make_generator`` builds the model once per task)."""
-    schema = df.schema.add(out_col, "string")
+    schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType())])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gen = make_generator()
