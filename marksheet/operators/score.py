@@ -87,7 +87,9 @@ def score_with_failures(
         m = m.withColumn("row_error", F.lit(None).cast("string"))
     j = requested.select(by).distinct().join(m, by, "left")
     if source_errors is not None:
-        j = j.join(source_errors.select(by, F.col("error").alias("source_error")), by, "left")
+        errs = source_errors.groupBy(by).agg(
+            F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("source_error"))  # one row per dataset
+        j = j.join(errs, by, "left")
     else:
         j = j.withColumn("source_error", F.lit(None).cast("string"))
     err = F.coalesce(

@@ -844,3 +844,76 @@ def q_g13(spark, sf_dir):
             .when(k == 1, F.concat(F.lit("0"), F.col("answer")))
             .otherwise(F.concat(F.col("answer"), F.lit("1"))))
     return a.select("p_partkey", G.grade_exact(F.col("answer"), gold).alias("exact_match"))
+
+
+# ------------------------------------------------------------------ end-to-end flows (prepare, evaluate)
+
+_PROMPT_SQL = "'<|user|>' || chr(10) || instruction || chr(10) || coalesce(input, '') || '<|end|>' || chr(10)"
+
+
+@register("e1_prepare_training", f"""
+WITH i AS ({FX.INSTRUCTIONS_SQL}),
+o AS (SELECT *, row_number() OVER (ORDER BY {_H.format(k='raw_id')}, raw_id) - 1 AS pos, count(*) OVER () AS n FROM i),
+s AS (SELECT *, CASE WHEN pos < ceil(0.02 * n) THEN 'val' ELSE 'train' END AS split FROM o),
+c AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY pos) AS rn FROM s),
+k AS (SELECT * FROM c WHERE (split = 'train' AND rn <= 20000) OR (split = 'val' AND rn <= 1000)),
+t AS (SELECT raw_id, split,
+        least(len(regexp_extract_all({_PROMPT_SQL} || '<|assistant|>' || chr(10), {_TOK})), 1024) AS prompt_len,
+        least(len(regexp_extract_all({_PROMPT_SQL} || '<|assistant|>' || chr(10) || output || '<|end|>' || chr(10), {_TOK})), 1024) AS n_ids
+      FROM k)
+SELECT raw_id, split, n_ids, prompt_len, least(prompt_len, n_ids) AS n_masked FROM t""")
+def q_e1(spark, sf_dir):
+    from marksheet.plans.prepare import prepare_training
+    recs = ensure_parallelism(FX.instructions(spark, sf_dir).select("raw_id", "instruction", "input", "output"))
+    out = prepare_training(recs, T.template_frame(spark), key="raw_id", val_ratio=0.02, max_train=20000, max_val=1000)
+    parts = []
+    for name, df in out.items():
+        parts.append(df.select("raw_id", F.lit(name).alias("split"), F.size("input_ids").alias("n_ids"), "prompt_len",
+                               F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked")))
+    return P.concat_slices(*parts)
+
+
+EVAL_CAPS = [("A", 200), ("R", 300), ("N", 500)]
+
+
+@register("e2_evaluate_sets", GRADED_SQL + f"""
+, caps AS (SELECT * FROM (VALUES ('A', 200), ('R', 300), ('N', 500)) t(dataset_name, cap)),
+r AS (SELECT g.dataset_name, is_correct, cap,
+        row_number() OVER (PARTITION BY g.dataset_name ORDER BY {_H.format(k='raw_id')}, raw_id) AS rn
+      FROM graded g JOIN caps USING (dataset_name)),
+m AS (SELECT dataset_name, count(*) AS total_samples, count_if(is_correct) AS correct_samples FROM r
+      WHERE rn <= cap OR dataset_name = 'N' GROUP BY dataset_name)
+SELECT dataset_name, round(correct_samples / total_samples, 6) AS test_accuracy, total_samples, correct_samples, false AS failed FROM m
+UNION ALL SELECT 'missing_set', NULL, NULL, NULL, true""")
+def q_e2(spark, sf_dir):
+    from marksheet.plans.evaluate import evaluate_sets
+    path = scratch_path(spark, "evalsets")
+    recs = FX.predictions(spark, sf_dir).withColumnRenamed("reference_answer", "answer")
+    SRC.write_predictions(recs, path, fmt="json")
+    caps = spark.createDataFrame(EVAL_CAPS, "dataset_name string, cap int")
+    out = evaluate_sets(spark, path, ["A", "N", "R", "missing_set"], caps,
+                        schema="raw_id string, decoded_prediction string, answer string",
+                        template="{dir}/dataset_name={name}", array_file=False, exempt="N")
+    m = out["metrics"]
+    return m.select("dataset_name", r6("test_accuracy").alias("test_accuracy"), "total_samples", "correct_samples",
+                    F.col("error").isNotNull().alias("failed"))
+
+
+@register("e2_evaluation_summary", GRADED_SQL + f"""
+, caps AS (SELECT * FROM (VALUES ('A', 200), ('R', 300), ('N', 500)) t(dataset_name, cap)),
+r AS (SELECT g.dataset_name, is_correct, cap,
+        row_number() OVER (PARTITION BY g.dataset_name ORDER BY {_H.format(k='raw_id')}, raw_id) AS rn
+      FROM graded g JOIN caps USING (dataset_name)),
+k AS (SELECT * FROM r WHERE rn <= cap OR dataset_name = 'N')
+SELECT CAST(4 AS BIGINT) AS total_datasets, CAST(3 AS BIGINT) AS successful_datasets, CAST(1 AS BIGINT) AS failed_datasets,
+  count(*) AS total_samples, count_if(is_correct) AS total_correct, round(count_if(is_correct) / count(*), 6) AS overall_accuracy FROM k""")
+def q_e2s(spark, sf_dir):
+    from marksheet.plans.evaluate import evaluate_sets
+    path = scratch_path(spark, "evalsets")
+    recs = FX.predictions(spark, sf_dir).withColumnRenamed("reference_answer", "answer")
+    SRC.write_predictions(recs, path, fmt="json")
+    caps = spark.createDataFrame(EVAL_CAPS, "dataset_name string, cap int")
+    out = evaluate_sets(spark, path, ["A", "N", "R", "missing_set"], caps,
+                        schema="raw_id string, decoded_prediction string, answer string",
+                        template="{dir}/dataset_name={name}", array_file=False, exempt="N")
+    return out["summary"].withColumn("overall_accuracy", r6("overall_accuracy"))
