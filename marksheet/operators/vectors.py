@@ -218,3 +218,62 @@ def project(items: DataFrame, down: DataFrame, up: DataFrame, scale: float, key:
                     F.array_repeat(F.lit(0.0), dout),
                     lambda acc, z: F.zip_with(acc, z["v"], lambda s, v: s + z["c"] * v))
     return j.select(key, F.transform(y, lambda v: v * F.lit(scale)).alias("projected"))
+
+
+def rebalance_over_batches(items: DataFrame, bank: DataFrame, k: int, batch_size: int, key: str = "item_id",
+                           vec_col: str = "vec", seed: int = 42, gamma: float = 1e-4, tol: float = 0.05,
+                           max_abs: float | None = None, checkpoint_every: int = 8, max_bank: int = MAX_BANK) -> DataFrame:
+    """V8 as the router runs it: one bias update per batch, in batch order.
+
+    The scores do not depend on the bias, so they are computed once, grouped into one row per
+    batch (bounded by ``batch_size``) and checkpointed. Each step is a small job: the current
+    bias (one array row of bank size) meets the next batch, top-k uses logit + bias, the loads
+    give the next bias. The bias lineage grows by one step per batch, so it is checkpointed
+    (reliably, under ``spark.checkpoint.dir``) every ``checkpoint_every`` steps. Returns the
+    bias after every step: ``(step, bank_id, load, bias)``.
+    """
+    from marksheet.operators.sampling import assign_batches
+    from marksheet.session import checkpoint_root
+
+    spark = items.sparkSession
+    checkpoint_root(spark)
+    scored = bank_scores(items.select(key, vec_col), bank, vec_col, max_bank).select(
+        key, F.transform("scores", lambda s: F.struct(s["bank_id"].alias("bank_id"), s["logit"].alias("logit"))).alias("s"))
+    batched = assign_batches(scored, batch_size, key, seed)
+    per_batch = batched.groupBy("batch_id").agg(F.collect_list("s").alias("rows")).checkpoint(eager=True)
+    steps = per_batch.count()
+    b = bank_row(bank, max_bank).select(F.transform("bank", lambda e: F.struct(
+        e["bank_id"].alias("bank_id"), e["bias"].alias("bias"))).alias("state"))
+    history = []
+    for step in range(steps):
+        batch = per_batch.where(F.col("batch_id") == step).select("rows")
+        j = batch.withColumn("_k", F.lit(0)).join(F.broadcast(b.withColumn("_k", F.lit(0))), "_k")
+
+        def chosen_ids(row):
+            biased = F.transform(row, lambda s: F.struct(
+                s["bank_id"].alias("bank_id"), s["logit"].alias("logit"),
+                F.element_at(F.filter("state", lambda e: e["bank_id"] == s["bank_id"]), 1)["bias"].alias("bias")))
+            return F.transform(topk_per_row(biased, k), lambda c: c["bank_id"])
+
+        picks = F.flatten(F.transform("rows", chosen_ids))
+        total = F.size(picks).cast("double")
+        n_bank = F.size("state").cast("double")
+
+        def update(e):
+            load = F.size(F.filter(picks, lambda x: x == e["bank_id"]))
+            target = total / n_bank
+            nb = e["bias"] + F.when(load > target * (1 + tol), -gamma).when(load < target * (1 - tol), gamma).otherwise(0.0)
+            if max_abs is not None:
+                nb = F.least(F.greatest(nb, F.lit(-max_abs)), F.lit(max_abs))
+            return F.struct(e["bank_id"].alias("bank_id"), nb.alias("bias"), load.alias("load"))
+
+        nxt = j.select(F.transform("state", update).alias("_u"))
+        history.append(nxt.select(F.lit(step).alias("step"), F.inline("_u")))
+        b = nxt.select(F.transform("_u", lambda e: F.struct(e["bank_id"].alias("bank_id"), e["bias"].alias("bias"))).alias("state"))
+        if (step + 1) % checkpoint_every == 0:
+            b = b.checkpoint(eager=True)
+            history = [h.checkpoint(eager=True) for h in history[-checkpoint_every:]] + history[:-checkpoint_every]
+    out = history[0]
+    for h in history[1:]:
+        out = out.unionByName(h)
+    return out.select("step", "bank_id", F.col("load").cast("long").alias("load"), "bias")

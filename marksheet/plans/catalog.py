@@ -917,3 +917,10 @@ def q_e2s(spark, sf_dir):
                         schema="raw_id string, decoded_prediction string, answer string",
                         template="{dir}/dataset_name={name}", array_file=False, exempt="N")
     return out["summary"].withColumn("overall_accuracy", r6("overall_accuracy"))
+
+
+@register("v8_rebalance_over_batches")
+def q_v8b(spark, sf_dir):
+    """Sequential per-batch bias updates (rows-only check; brute-force test in the suite)."""
+    h = V.rebalance_over_batches(FX.vectors(spark, sf_dir), FX.bank(spark, sf_dir), k=4, batch_size=64, gamma=1e-4)
+    return h.select("step", "bank_id", "load", r6("bias").alias("bias"))

@@ -68,3 +68,25 @@ def test_kl_and_gram_against_numpy(spark):
     g = x.T @ x
     pen = V.orthogonality_penalty(vec, vec, beta=0.5).collect()[0]
     assert math.isclose(pen.frob_u, float(((g - np.eye(g.shape[0])) ** 2).sum()), rel_tol=1e-9)
+
+
+def test_rebalance_over_batches_matches_sequential_replay(spark):
+    import hashlib
+    items, bank = FX.vectors(spark, SF_SMALL), FX.bank(spark, SF_SMALL)
+    got = sorted((r.step, r.bank_id, r.load, round(r.bias, 9)) for r in
+                 V.rebalance_over_batches(items, bank, k=3, batch_size=32, gamma=0.01, checkpoint_every=2).collect())
+    it = sorted(((hashlib.md5(f"42:{r.item_id}".encode()).hexdigest(), r.item_id), np.array(r.vec)) for r in items.collect())
+    B = {r.bank_id: np.array(r.vec) for r in bank.collect()}
+    ids = sorted(B)
+    bias = {i: 0.0 for i in ids}
+    exp = []
+    for step in range((len(it) + 31) // 32):
+        picks = []
+        for _, x in it[step * 32:(step + 1) * 32]:
+            picks += [-s[1] for s in sorted(((float(x @ B[i]) + bias[i], -i) for i in ids), reverse=True)[:3]]
+        tgt = len(picks) / len(ids)
+        for i in ids:
+            n = picks.count(i)
+            bias[i] += -0.01 if n > tgt * 1.05 else (0.01 if n < tgt * 0.95 else 0.0)
+            exp.append((step, i, n, round(bias[i], 9)))
+    assert got == sorted(exp)
