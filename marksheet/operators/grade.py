@@ -147,14 +147,16 @@ def _kind_any(res: Column, kind: str) -> Column:
     return F.coalesce(F.exists(res, lambda r: (r["k"] == kind) & r["ok"]), F.lit(False))
 
 
-def _ladder(p: Column, g: Column, depth: int, cfg: GradeConfig) -> Column:
-    """Struct(ok, rung, undecided) for lambda-bound strings ``p`` (prediction) and ``g`` (gold).
+def _fixed_gold(ps: Column, gs0: Column) -> Column:
+    """Gold rewritten as pmatrix text when only the prediction is a matrix."""
+    return F.when(S.has(ps, "pmatrix") & ~S.has(gs0, "pmatrix"), str_to_pmatrix(gs0)).otherwise(gs0)
 
-    All recursive comparisons of this level are gathered into one array and graded by a single
-    copy of the next level's ladder, so the expression grows linearly with ``max_depth``.
-    """
 
-    def late_rungs(num, ps, gs, res):
+def _rungs(p: Column, g: Column, kids: Column, cfg: GradeConfig) -> Column:
+    """Struct(ok, rung, undecided) of one comparison, given its children's verdicts ``kids``
+    (array of (k, ok): the recursive comparisons of rungs G3, G4, G9, G10 and G11)."""
+
+    def late(num, ps, gs):
         bracket = (
             (F.startswith(ps, F.lit("[")) & F.endswith(ps, F.lit("]")) & ~F.startswith(gs, F.lit("(")))
             | (F.startswith(ps, F.lit("(")) & F.endswith(ps, F.lit(")")) & ~F.startswith(gs, F.lit("[")))
@@ -168,40 +170,84 @@ def _ladder(p: Column, g: Column, depth: int, cfg: GradeConfig) -> Column:
             F.when(num.isNotNull(), F.struct(num.alias("ok"), F.lit("numeric").alias("rung"), F.lit(False).alias("undecided")))
             .when(p == "", _result(False, "empty"))
             .when(F.lower(pb) == F.lower(gb), _result(True, "brackets"))
-            .when(_kind_all(res, "G9"), _result(True, "ordered_list"))
-            .when(_kind_all(res, "G10") | mat_empty, _result(True, "matrix"))
+            .when(_kind_all(kids, "G9"), _result(True, "ordered_list"))
+            .when(_kind_all(kids, "G10") | mat_empty, _result(True, "matrix"))
             .when((pc == 1) & (gc == 1), _result(False, "symbolic_equation", True))
-            .when(_kind_any(res, "EQ"), _result(True, "equation_side"))
+            .when(_kind_any(kids, "EQ"), _result(True, "equation_side"))
             .otherwise(_result(False, "symbolic", True))
         )
 
-    def mid_rungs(ps, gs, res):
+    def mid():
         num = S.let2(parse_number(p), parse_number(g), lambda pn, gn: _numeric(pn, gn, cfg))
+        sides = S.let2(S.strip(p), S.strip(g), lambda ps, gs0: S.let2(ps, _fixed_gold(ps, gs0), lambda ps, gs: S.let(
+            num, lambda num: late(num, ps, gs))))
         return (
-            F.when(_kind_any(res, "G3"), _result(True, "option_mark"))
-            .when(_kind_all(res, "G4"), _result(True, "comma_list"))
-            .otherwise(S.let(num, lambda num: late_rungs(num, ps, gs, res)))
+            F.when(_kind_any(kids, "G3"), _result(True, "option_mark"))
+            .when(_kind_all(kids, "G4"), _result(True, "comma_list"))
+            .otherwise(sides)
         )
 
-    def graded(subs):
-        if depth + 1 > cfg.max_depth:
-            return F.transform(subs, lambda x: F.struct(x["k"].alias("k"), F.lit(False).alias("ok")))
-        return F.transform(subs, lambda x: F.struct(
-            x["k"].alias("k"), _ladder(x["p"], x["g"], depth + 1, cfg)["ok"].alias("ok")))
-
-    def with_sides(ps, gs0):
-        gs_expr = F.when(S.has(ps, "pmatrix") & ~S.has(gs0, "pmatrix"), str_to_pmatrix(gs0)).otherwise(gs0)
-        return S.let(gs_expr, lambda gs: S.let(
-            graded(_sub_pairs(p, g, ps, gs)), lambda res: mid_rungs(ps, gs, res)))
-
     return (
         F.when(p.isNull() | g.isNull(), _result(False, "null"))
         .when(F.lower(S.strip(p)) == F.lower(S.strip(g)), _result(True, "exact"))
         .when(g.isin(*OPTION_LETTERS) & (last_option(p) == g), _result(True, "choice"))
-        .otherwise(S.let2(S.strip(p), S.strip(g), with_sides))
+        .otherwise(mid())
     )
 
 
+_NODE = "struct<id:int,parent:int,level:int,k:string,p:string,g:string>"
+_VERDICT = "struct<ok:boolean,rung:string,undecided:boolean>"
+
+
+def _children(x: Column, level: Column) -> Column:
+    """The recursive comparisons of node ``x`` as nodes of ``level`` (ids assigned later)."""
+    def make(ps, gs):
+        return F.transform(_sub_pairs(x["p"], x["g"], ps, gs), lambda c: F.struct(
+            F.lit(-1).alias("id"), x["id"].alias("parent"), level.alias("level"), c["k"].alias("k"), c["p"].alias("p"),
+            c["g"].alias("g")))
+    return S.let2(S.strip(x["p"]), S.strip(x["g"]), lambda ps, gs0: S.let2(ps, _fixed_gold(ps, gs0), make))
+
+
+def _ladder(p: Column, g: Column, cfg: GradeConfig) -> Column:
+    """Struct(ok, rung, undecided) for ``p`` (prediction) and ``g`` (gold).
+
+    1. Expand: all recursive comparisons, level by level up to ``max_depth``, as one array of
+       nodes (id, parent, level, kind, p, g) - one ``aggregate`` over the levels.
+    2. Evaluate bottom-up: one ``aggregate`` from the deepest level to the root; its body holds
+       the single copy of the rung logic, reading each node's children from the previous pass.
+    The expression size is independent of ``max_depth``.
+    """
+    root = F.array(F.struct(F.lit(0).alias("id"), F.lit(-1).alias("parent"), F.lit(0).alias("level"),
+                            F.lit("root").alias("k"), p.alias("p"), g.alias("g"))).cast(f"array<{_NODE}>")
+    depth = cfg.max_depth
+
+    def grow(acc, lvl):
+        kids = F.flatten(F.transform(F.filter(acc, lambda x: x["level"] == lvl - 1), lambda x: _children(x, lvl)))
+        n = F.size(acc)
+        numbered = F.transform(kids, lambda c, i: F.struct(
+            (n + i).alias("id"), c["parent"].alias("parent"), c["level"].alias("level"), c["k"].alias("k"),
+            c["p"].alias("p"), c["g"].alias("g")))
+        return F.concat(acc, numbered).cast(f"array<{_NODE}>")
+
+    nodes = root if depth < 1 else F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, grow)
+
+    def evaluate(nodes):
+        init = F.transform(nodes, lambda x: F.lit(None).cast(_VERDICT))
+
+        def level_pass(res, lvl):
+            def kids_of(x):
+                z = F.zip_with(nodes, res, lambda nd, r: F.struct(nd["parent"].alias("parent"), nd["k"].alias("k"),
+                                                                  r["ok"].alias("ok")))
+                return F.filter(z, lambda e: e["parent"] == x["id"])
+            return F.transform(nodes, lambda x, i: F.when(x["level"] == lvl, _rungs(x["p"], x["g"], kids_of(x), cfg))
+                               .otherwise(F.element_at(res, i + 1))).cast(f"array<{_VERDICT}>")
+
+        res = F.aggregate(F.sequence(F.lit(depth), F.lit(0), F.lit(-1)), init.cast(f"array<{_VERDICT}>"), level_pass)
+        return F.element_at(res, 1)
+
+    return S.let(nodes, evaluate)
+
+
 _LADDER_CACHE: dict = {}
 
 
@@ -228,7 +274,7 @@ def _ladder_on_norm_columns(cfg: GradeConfig) -> Column:
 
 def grade_expr(pred: Column, gold: Column, cfg: GradeConfig = GradeConfig()) -> Column:
     """Struct(ok, rung, undecided) for already-normalized prediction and gold columns."""
-    return S.let2(pred, gold, lambda p, g: _ladder(p, g, 0, cfg))
+    return S.let2(pred, gold, lambda p, g: _ladder(p, g, cfg))
 
 
 def grade(
