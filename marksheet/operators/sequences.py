@@ -98,6 +98,20 @@ def render_chat(conversations: DataFrame, template: DataFrame, open_turn: bool =
     return g.select(conv_col, body.alias(out_col), F.size("_t").alias("turns"))
 
 
+def render_messages(messages: str | Column, template_rows=DEFAULT_TEMPLATE, open_turn: bool = True,
+                    opener: str = DEFAULT_OPENER) -> Column:
+    """T2/T3 on a message-list column ``array<struct<role, content>>`` (row-local).
+
+    The template is a handful of (role, prefix, suffix) literals, inlined as two maps."""
+    pre = F.create_map(*[F.lit(x) for r in template_rows for x in (r[0], r[1])])
+    suf = F.create_map(*[F.lit(x) for r in template_rows for x in (r[0], r[2])])
+    pieces = F.transform(S.col_(messages), lambda m: F.concat(
+        F.coalesce(F.try_element_at(pre, m["role"]), F.lit("")), F.coalesce(m["content"], F.lit("")),
+        F.coalesce(F.try_element_at(suf, m["role"]), F.lit(""))))
+    body = F.array_join(pieces, "")
+    return F.concat(body, F.lit(opener)) if open_turn else body
+
+
 # ------------------------------------------------------------------ T4 word tokenizer
 
 def word_tokens(c) -> Column:
@@ -135,6 +149,19 @@ def token_length(c) -> Column:
     return F.size(word_tokens(c))
 
 
+def token_length_of(df: DataFrame, col: str, template_rows=DEFAULT_TEMPLATE) -> Column:
+    """T9 with the type check done at analysis time from the schema: a string column is
+    tokenized as is; a message list is rendered with the generation opener first; any other
+    type raises."""
+    from pyspark.sql.types import ArrayType, StringType, StructType
+    t = df.schema[col].dataType
+    if isinstance(t, StringType):
+        return token_length(F.col(col))
+    if isinstance(t, ArrayType) and isinstance(t.elementType, StructType) and {"role", "content"} <= set(t.elementType.names):
+        return token_length(render_messages(F.col(col), template_rows, open_turn=True))
+    raise TypeError(f"token_length needs a string or a message list, got {t.simpleString()}")
+
+
 # ------------------------------------------------------------------ T5-T8, W3
 
 def mask_prompt(ids: str | Column, prompt_len: str | Column, ignore_id: int = IGNORE_INDEX) -> Column:

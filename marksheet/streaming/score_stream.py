@@ -29,18 +29,6 @@ def running_scores(spark: SparkSession, src_dir: str, schema: str = PREDICTION_S
     ).withColumn("test_accuracy", F.col("correct_samples") / F.col("total_samples"))
 
 
-def running_scores_preaggregated(spark: SparkSession, src_dir: str, schema: str = PREDICTION_SCHEMA,
-                                 max_files: int = 16) -> DataFrame:
-    """State keyed by (dataset, answer, gold) counts; grade and roll up per micro-batch.
-
-    Use with ``foreachBatch`` when answers repeat heavily: the state holds one row per
-    distinct answer pair, and grading cost per batch is proportional to distinct pairs.
-    """
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(src_dir)
-    s = s.withColumn("extracted_prediction", final_answer("decoded_prediction"))
-    return s.groupBy("dataset_name", "extracted_prediction", "reference_answer").agg(F.count(F.lit(1)).alias("_n"))
-
-
 def stream_score(spark: SparkSession, src_dir: str, table: str = "running_scores", schema: str = PREDICTION_SCHEMA,
                  max_files: int = 16, checkpoint: str | None = None) -> DataFrame:
     """Run the stream over everything available now (``availableNow``), then return the table.

@@ -90,3 +90,16 @@ def test_rebalance_over_batches_matches_sequential_replay(spark):
             bias[i] += -0.01 if n > tgt * 1.05 else (0.01 if n < tgt * 0.95 else 0.0)
             exp.append((step, i, n, round(bias[i], 9)))
     assert got == sorted(exp)
+
+
+def test_render_messages_and_token_length_types(spark):
+    import pytest
+    df = spark.createDataFrame([([("user", "hi there")], "hi there", 3)],
+                               "msgs array<struct<role:string,content:string>>, t string, n int")
+    r = df.select(T.render_messages("msgs").alias("r"), T.token_length_of(df, "msgs").alias("a"),
+                  T.token_length_of(df, "t").alias("b")).collect()[0]
+    assert r.r == "<|user|>\nhi there<|end|>\n<|assistant|>\n"
+    assert r.b == 2 and r.a == len(["<", "|", "user", "|", ">", "hi", "there", "<", "|", "end", "|", ">",
+                                    "<", "|", "assistant", "|", ">"])
+    with pytest.raises(TypeError):
+        T.token_length_of(df, "n")
