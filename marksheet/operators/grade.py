@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from marksheet.functions import strings as S
 from marksheet.functions.extract import last_option
 from marksheet.functions.normalize import math_profile, parse_number
-from marksheet.session import ensure_analyzer_budget
+from marksheet.session import checked_broadcast, ensure_analyzer_budget
 
 # Option marks a prediction may start with ("(A)", "A.", "A)", "**A**", "A:" for A-E).
 OPTION_MARK_RE = r"^(?:\([A-E]\)|[A-E]\.|[A-E]\)|\*\*[A-E]\*\*|[A-E]:)"
@@ -316,9 +316,9 @@ def grade_exact(pred: Column, gold: Column, tol: float = 1e-5) -> Column:
 def attach_caps(df: DataFrame, caps: DataFrame, on: str = "dataset_name") -> DataFrame:
     """Dataset -> cap lookup; an unknown dataset gets a null cap (reported by the caller).
 
-    The caps table has one row per dataset name (a handful), so it is broadcast.
+    The caps table has one row per dataset name; it is broadcast after a size check.
     """
-    return df.join(F.broadcast(caps), on, "left")
+    return df.join(checked_broadcast(caps), on, "left")
 
 
 def pair_with_sources(pred: DataFrame, src: DataFrame, keys=("dataset_name", "raw_id")) -> DataFrame:

@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marksheet.session import checked_broadcast
+
 
 def shuffle_key(key: str | Column, seed: int = 42) -> Column:
     k = F.col(key) if isinstance(key, str) else key
@@ -124,7 +126,7 @@ def cap_per_dataset(
     use exact per-group positions over a range partitioning instead.
     """
     caps = caps.select(group, F.col("cap").cast("long").alias("cap"))
-    j = df.join(F.broadcast(caps), group, "inner")
+    j = df.join(checked_broadcast(caps), group, "inner")
     keep_all = F.lit(False) if exempt is None else (F.col(group) == F.lit(exempt))
     whole = j.where(keep_all).drop("cap")
     rest = j.where(~keep_all)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marksheet.functions import strings as S
 from marksheet.operators.sampling import global_positions
+from marksheet.session import checked_broadcast
 
 IGNORE_INDEX = -100
 TOKEN_RE = r"\w+|[^\w\s]"
@@ -23,6 +24,7 @@ DEFAULT_TEMPLATE = [
     ("assistant", "<|assistant|>\n", "<|end|>\n"),
 ]
 DEFAULT_OPENER = "<|assistant|>\n"
+TEMPLATE_MAX_ROLES = 64
 
 
 def template_frame(spark: SparkSession, rows=DEFAULT_TEMPLATE) -> DataFrame:
@@ -70,7 +72,10 @@ def render_prompt(df: DataFrame, template: DataFrame, prompt: Column, out_col: s
                   opener: str = DEFAULT_OPENER, response: Column | None = None) -> DataFrame:
     """T2/T3 for single-turn records: user turn (+ assistant turn when ``response`` is given,
     else the generation opener). The template has one row per role; it is broadcast."""
-    t = {r["role"]: (r["prefix"], r["suffix"]) for r in template.collect()}  # a handful of roles
+    rows = template.limit(TEMPLATE_MAX_ROLES + 1).collect()  # a handful of roles
+    if len(rows) > TEMPLATE_MAX_ROLES:
+        raise ValueError(f"a chat template has at most {TEMPLATE_MAX_ROLES} roles")
+    t = {r["role"]: (r["prefix"], r["suffix"]) for r in rows}
     up, us = t["user"]
     text = F.concat(F.lit(up), prompt, F.lit(us))
     if response is None:
@@ -81,6 +86,15 @@ def render_prompt(df: DataFrame, template: DataFrame, prompt: Column, out_col: s
     return df.withColumn(out_col, text)
 
 
+def render_turns(conversations: DataFrame, template: DataFrame) -> DataFrame:
+    """T2/T3 long form: each turn rendered on its own row (no grouping); concatenating the
+    pieces in ``turn`` order gives the dialogue. For conversations too long for one row."""
+    j = conversations.join(checked_broadcast(template, TEMPLATE_MAX_ROLES), "role", "left")
+    piece = F.concat(F.coalesce(F.col("prefix"), F.lit("")), F.coalesce(F.col("text"), F.lit("")),
+                     F.coalesce(F.col("suffix"), F.lit("")))
+    return j.select(*[c for c in conversations.columns], piece.alias("piece"))
+
+
 def render_chat(conversations: DataFrame, template: DataFrame, open_turn: bool = True,
                 opener: str = DEFAULT_OPENER, conv_col: str = "conv_id", out_col: str = "rendered") -> DataFrame:
     """T2/T3 on long-form turns (conv_id, turn, role, text): one rendered string per conversation.
@@ -88,10 +102,8 @@ def render_chat(conversations: DataFrame, template: DataFrame, open_turn: bool =
     Turn order comes from ``turn`` (sorted inside the group); unknown roles render with empty
     prefix/suffix. One group is one conversation, bounded by the dialogue length.
     """
-    j = conversations.join(F.broadcast(template), "role", "left")
-    piece = F.concat(F.coalesce(F.col("prefix"), F.lit("")), F.coalesce(F.col("text"), F.lit("")),
-                     F.coalesce(F.col("suffix"), F.lit("")))
-    g = j.groupBy(conv_col).agg(F.array_sort(F.collect_list(F.struct(F.col("turn"), piece.alias("piece")))).alias("_t"))
+    g = render_turns(conversations, template).groupBy(conv_col).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("turn"), F.col("piece")))).alias("_t"))
     body = F.array_join(F.transform(F.col("_t"), lambda x: x["piece"]), "")
     if open_turn:
         body = F.concat(body, F.lit(opener))

@@ -15,6 +15,7 @@ from marksheet.operators import hooks as H
 from marksheet.operators import sampling as P
 from marksheet.operators import score as A
 from marksheet.operators import sequences as T
+from marksheet.session import checked_broadcast
 from marksheet.sources import io as SRC
 
 
@@ -28,7 +29,7 @@ def evaluate_records(spark: SparkSession, records: DataFrame, names: list[str],
     """
     requested = A.requested_frame(spark, names)
     capped = P.cap_per_dataset(records, caps, key, seed, exempt=exempt)
-    no_cap = requested.join(F.broadcast(caps.select("dataset_name")), "dataset_name", "left_anti").select(
+    no_cap = requested.join(checked_broadcast(caps.select("dataset_name")), "dataset_name", "left_anti").select(
         "dataset_name", F.concat(F.lit("no cap configured for dataset "), F.col("dataset_name")).alias("error"))
     errors = no_cap if source_errors is None else source_errors.select("dataset_name", "error").unionByName(no_cap)
     if make_generator is not None:

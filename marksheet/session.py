@@ -77,3 +77,13 @@ def ensure_parallelism(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+BROADCAST_MAX_ROWS = 100_000
+
+
+def checked_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """``broadcast(df)`` only when ``df`` is proven small (a count, on tables meant to be tiny:
+    caps, templates); otherwise the plain DataFrame, so Spark plans a shuffle join instead."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.count() <= max_rows else df
