@@ -113,14 +113,13 @@ def rebalance(load: DataFrame, bias: DataFrame | None = None, gamma: float = 1e-
               max_abs: float | None = None) -> DataFrame:
     """V8: one bias update: over-used entries -gamma, under-used +gamma, optional clamp.
 
-    target = total selections / entries. The window spans the bank (a bounded table).
+    target = total selections / entries, from a one-row aggregate joined back by broadcast.
     """
     b = load if bias is None else load.join(bias.select("bank_id", "bias"), "bank_id", "left")
     if "bias" not in b.columns:
         b = b.withColumn("bias", F.lit(0.0))
-    w = Window.partitionBy()
-    target = F.sum("load").over(w) / F.count(F.lit(1)).over(w)
-    b = b.withColumn("target", target.cast("double"))
+    t = b.agg((F.sum("load") / F.count(F.lit(1))).cast("double").alias("target")).withColumn("_k", F.lit(0))
+    b = b.withColumn("_k", F.lit(0)).join(F.broadcast(t), "_k").drop("_k")
     step = (F.when(F.col("load") > F.col("target") * (1 + tol), -gamma)
             .when(F.col("load") < F.col("target") * (1 - tol), gamma).otherwise(0.0))
     nb = F.coalesce(F.col("bias"), F.lit(0.0)) + step
