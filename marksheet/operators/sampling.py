@@ -11,8 +11,6 @@ one row per partition, which is what gets broadcast).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +36,8 @@ def _numbered(df: DataFrame, order_cols: list, num_partitions: int | None):
     return tagged.withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).drop("_mid")
 
 
-def global_positions(df: DataFrame, order_cols: list, out_col: str = "pos", num_partitions: int | None = None) -> DataFrame:
+def global_positions(df: DataFrame, order_cols: list, out_col: str = "pos", num_partitions: int | None = None,
+                     total_col: str | None = None) -> DataFrame:
     """0-based position of each row in the total order ``order_cols`` (which must be unique).
 
     Range partitioning + in-partition numbering + broadcast of per-partition offsets (one row
@@ -48,7 +47,10 @@ def global_positions(df: DataFrame, order_cols: list, out_col: str = "pos", num_
     tagged = _numbered(df, order_cols, num_partitions)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    cols = ["_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off")]
+    if total_col:
+        cols.append(F.sum("_n").over(Window.partitionBy()).alias(total_col))  # all rows (one per partition)
+    offsets = counts.select(*cols)
     return (
         tagged.join(F.broadcast(offsets), "_pid")
         .withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("long"))
@@ -89,10 +91,10 @@ def holdout_split(df: DataFrame, ratio: float, key: str, seed: int = 42) -> Data
     """
     if abs(ratio) < 1e-5:
         return df.withColumn("split", F.lit("train"))
-    n = df.count()
-    cut = math.ceil(ratio * n)
-    pos = with_position(df, key, seed, "_pos")
-    return pos.withColumn("split", F.when(F.col("_pos") < cut, "val").otherwise("train")).drop("_pos")
+    h = df.withColumn("_h", shuffle_key(key, seed))
+    pos = global_positions(h, ["_h", key], "_pos", total_col="_total")
+    cut = F.ceil(F.lit(float(ratio)) * F.col("_total"))  # the row total comes from the per-partition counts
+    return pos.withColumn("split", F.when(F.col("_pos") < cut, "val").otherwise("train")).drop("_pos", "_h", "_total")
 
 
 TAKE_ORDERED_MAX = 100_000
