@@ -1,7 +1,8 @@
 """Sources and sinks (S1-S8): JSON arrays and JSON lines in, JSON/Parquet out.
 
 Schemas are declared, never inferred from data. Missing paths and malformed lines fail the
-job (FAILFAST), like the original reader.
+job (FAILFAST), like the original reader; the evaluation-set scanner instead turns them into
+error rows so one bad set fails alone.
 """
 
 from __future__ import annotations
@@ -32,6 +33,27 @@ def read_records(spark: SparkSession, path: str, schema: str = INSTRUCTION_SCHEM
     return r.json(path)
 
 
+def read_records_permissive(spark: SparkSession, path: str, schema: str = INSTRUCTION_SCHEMA,
+                            array_file: bool = True) -> DataFrame:
+    """Like ``read_records`` but a malformed record becomes a row flagged ``_bad`` instead of a
+    failed job. JSON lines are parsed line by line (blank lines skipped); a JSON array file is
+    parsed whole (one file is one task in any case) and yields one flagged row if malformed."""
+    from pyspark.sql.types import ArrayType, StringType, StructField, _parse_datatype_string
+
+    st = _parse_datatype_string(schema)
+    if array_file:
+        raw = spark.read.option("wholetext", True).text(path)
+        parsed = raw.select(F.from_json("value", ArrayType(st), {"mode": "PERMISSIVE"}).alias("_a"))
+        rows = parsed.select(F.explode_outer("_a").alias("_r"), F.col("_a").isNull().alias("_bad"))
+        return rows.select(*[F.col("_r")[f.name].alias(f.name) for f in st.fields], "_bad")
+    with_bad = st.add(StructField("_corrupt_record", StringType()))
+    raw = spark.read.text(path).where(F.trim("value") != "")
+    parsed = raw.select(F.from_json("value", with_bad, {"mode": "PERMISSIVE",
+                                                        "columnNameOfCorruptRecord": "_corrupt_record"}).alias("_r"))
+    return parsed.select(*[F.col("_r")[f.name].alias(f.name) for f in st.fields],
+                         F.col("_r._corrupt_record").isNotNull().alias("_bad"))
+
+
 def scan_instructions(spark: SparkSession, data_dir: str, train_name: str, val_name: str | None = None,
                       schema: str = INSTRUCTION_SCHEMA, array_file: bool = True, ext: str = ".json") -> dict[str, DataFrame]:
     """The train split and, when named, the val split."""
@@ -46,7 +68,8 @@ def scan_eval_sets(spark: SparkSession, data_dir: str, names: list[str], schema:
     """One file (or folder) per dataset name, tagged with ``dataset_name``.
 
     Returns (records, errors): an absent path becomes an error row instead of an exception,
-    so the other datasets go on (A3). The name list is a handful of literals.
+    and a malformed record becomes a row-level ``error`` (read permissively), so one bad
+    dataset fails alone and the others go on (A3). The name list is a handful of literals.
     """
     parts, errors = [], []
     for name in names:
@@ -54,13 +77,15 @@ def scan_eval_sets(spark: SparkSession, data_dir: str, names: list[str], schema:
         if not path_exists(spark, p):
             errors.append((name, f"path not found: {p}"))
             continue
-        parts.append(read_records(spark, p, schema, array_file).withColumn("dataset_name", F.lit(name)))
+        d = read_records_permissive(spark, p, schema, array_file)
+        err = F.when(F.col("_bad"), F.lit(f"malformed record in dataset {name}"))
+        parts.append(d.withColumn("error", err).drop("_bad").withColumn("dataset_name", F.lit(name)))
     if parts:
         records = parts[0]
         for d in parts[1:]:
             records = records.unionByName(d)
     else:
-        records = spark.createDataFrame([], schema + ", dataset_name string")
+        records = spark.createDataFrame([], schema + ", error string, dataset_name string")
     errs = spark.createDataFrame(errors, "dataset_name string, error string")
     return records, errs
 

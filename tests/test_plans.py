@@ -50,3 +50,17 @@ def test_unknown_cap_is_a_failed_set(spark):
     caps = spark.createDataFrame([("y", 3)], "dataset_name string, cap int")
     m = {r.dataset_name: r for r in evaluate_records(spark, recs, ["x"], caps)["metrics"].collect()}
     assert "no cap" in m["x"].error
+
+
+def test_malformed_eval_file_fails_only_its_dataset(spark):
+    d = tempfile.mkdtemp(prefix="ms-bad-")
+    with open(os.path.join(d, "good.json"), "w") as f:
+        f.write('{"raw_id": "1", "decoded_prediction": "\\\\boxed{3}", "answer": "3"}\n')
+    with open(os.path.join(d, "bad.json"), "w") as f:
+        f.write('{"raw_id": "1", "decoded_prediction": "\\\\boxed{3}", "answer": "3"}\n{broken\n')
+    caps = spark.createDataFrame([("good", 10), ("bad", 10)], "dataset_name string, cap int")
+    out = evaluate_sets(spark, d, ["good", "bad"], caps, schema="raw_id string, decoded_prediction string, answer string",
+                        array_file=False)
+    m = {r.dataset_name: r for r in out["metrics"].collect()}
+    assert m["good"].error is None and m["good"].correct_samples == 1
+    assert "malformed" in m["bad"].error and m["bad"].total_samples is None
