@@ -208,6 +208,20 @@ def attention_mask(ids: str | Column, pad_id: int = 0) -> Column:
     return F.transform(S.col_(ids), lambda x: x != F.lit(pad_id))
 
 
+def length_mask(ids: str | Column, length: str | Column, side: str = "right") -> Column:
+    """T8 (length form): true on the first/last ``length`` positions (real tokens), so a real
+    token equal to the pad id stays visible."""
+    ids, n = S.col_(ids), S.col_(length)
+    if side == "left":
+        return F.transform(ids, lambda x, i: i >= F.size(ids) - n)
+    return F.transform(ids, lambda x, i: i < n)
+
+
+def rejected_records(df: DataFrame, instruction: str = "instruction") -> DataFrame:
+    """Records whose prompt cannot be built (null instruction), reported instead of dropped silently."""
+    return df.where(F.col(instruction).isNull())
+
+
 def unpad(ids: str | Column, length: str | Column, side: str = "right") -> Column:
     """Inverse of padding given the original length (used by the property tests)."""
     ids, n = S.col_(ids), S.col_(length)

@@ -826,7 +826,13 @@ def q_x8(spark, sf_dir):
 def q_gl(spark, sf_dir):
     """The full ladder on varied answer shapes against a rewritten gold (rows-only check)."""
     a = answers(spark, sf_dir)
-    gold = F.when(F.col("p_partkey") % 2 == 0, F.col("answer")).otherwise(F.concat(F.lit(" "), F.col("answer"), F.lit(".")))
+    k = F.col("p_partkey") % 5
+    size = F.col("answer")  # varied gold shapes: same, bracketed, scaled number, equation side, option mark
+    gold = (F.when(k == 0, F.concat(F.lit(" "), F.col("answer"), F.lit(".")))
+            .when(k == 1, F.concat(F.lit("("), F.col("answer"), F.lit(")")))
+            .when(k == 2, (F.col("p_partkey") % 50 * 100).cast("string"))
+            .when(k == 3, F.concat(F.lit("y="), F.col("answer")))
+            .otherwise(F.concat(F.lit("A. "), size)))
     g = G.grade(ensure_parallelism(a.withColumn("gold", gold)), "answer", "gold")
     return g.select("p_partkey", "pred_norm", "gold_norm", "is_correct", "rung", "undecided")
 

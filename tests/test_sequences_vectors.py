@@ -103,3 +103,10 @@ def test_render_messages_and_token_length_types(spark):
                                     "<", "|", "assistant", "|", ">"])
     with pytest.raises(TypeError):
         T.token_length_of(df, "n")
+
+
+def test_length_mask_keeps_real_pad_ids(spark):
+    df = spark.createDataFrame([([0, 5, 0, 0], 2)], "ids array<int>, n int")
+    r = df.select(T.length_mask("ids", "n").alias("m"), T.length_mask("ids", "n", "left").alias("l"),
+                  T.attention_mask("ids", 0).alias("p")).collect()[0]
+    assert r.m == [True, True, False, False] and r.l == [False, False, True, True] and r.p == [False, True, False, False]
