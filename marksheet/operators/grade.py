@@ -245,7 +245,12 @@ def _ladder(p: Column, g: Column, cfg: GradeConfig) -> Column:
         res = F.aggregate(F.sequence(F.lit(depth), F.lit(0), F.lit(-1)), init.cast(f"array<{_VERDICT}>"), level_pass)
         return F.element_at(res, 1)
 
-    return S.let(nodes, evaluate)
+    # The first two rungs need no recursion: answer them before expanding anything.
+    return (
+        F.when(p.isNull() | g.isNull(), _result(False, "null"))
+        .when(F.lower(S.strip(p)) == F.lower(S.strip(g)), _result(True, "exact"))
+        .otherwise(S.let(nodes, evaluate))
+    )
 
 
 _LADDER_CACHE: dict = {}
