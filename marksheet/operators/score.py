@@ -177,15 +177,16 @@ def newest_steps(log: DataFrame, k: int = 3, run_col: str = "run") -> DataFrame:
 
 def share_report(
     params: DataFrame,
-    adapter_marker: str = "vaelora_",
-    bank_markers: tuple[str, ...] = ("vaelora_U", "vaelora_V"),
+    adapter_marker: str,
+    bank_markers: tuple[str, ...],
     name_col: str = "name",
     size_col: str = "numel",
 ) -> DataFrame:
     """Size sums by name class in one pass, and the class shares.
 
-    bank = names with a bank marker; adapter = names with the adapter marker; the rest of the
-    adapter parameters are the encoder part; total = all parameters.
+    bank = adapter names with a bank marker; adapter = names with the adapter marker; the rest
+    of the adapter parameters are the encoder part; total = all parameters. The markers are the
+    caller's naming scheme (e.g. an adapter prefix and the names of its two bank matrices).
     """
     name = F.col(name_col)
     size = F.col(size_col).cast("long")
