@@ -91,7 +91,7 @@ graded AS (
 
 
 @register("a1_score_by_dataset", GRADED_SQL + """
-SELECT dataset_name, count(*) AS total_samples, count_if(is_correct) AS correct_samples,
+SELECT dataset_name, count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS correct_samples,
        round(count_if(is_correct) / count(*), 6) AS test_accuracy
 FROM graded GROUP BY dataset_name""")
 def q_a1(spark, sf_dir):
@@ -129,7 +129,7 @@ LABELS_SQL = """
 lab AS (SELECT d.lang AS dataset_name, CAST(d.doc_id AS VARCHAR) AS raw_id, l.quality = 1 AS is_correct
         FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 req AS (SELECT DISTINCT lang AS dataset_name FROM documents UNION SELECT 'missing_set'),
-met AS (SELECT dataset_name, count(*) AS total_samples, count_if(is_correct) AS correct_samples FROM lab GROUP BY dataset_name),
+met AS (SELECT dataset_name, count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS correct_samples FROM lab GROUP BY dataset_name),
 res AS (SELECT r.dataset_name,
           CASE WHEN m.total_samples IS NULL THEN NULL ELSE round(m.correct_samples / m.total_samples, 6) END AS test_accuracy,
           m.total_samples, m.correct_samples,
@@ -155,7 +155,7 @@ def q_a3(spark, sf_dir):
 
 
 @register("a2_summary_with_failures", "WITH " + LABELS_SQL + """
-SELECT count(*) AS total_datasets, count_if(error IS NULL) AS successful_datasets, count_if(error IS NOT NULL) AS failed_datasets,
+SELECT count(*) AS total_datasets, CAST(count_if(error IS NULL) AS BIGINT) AS successful_datasets, CAST(count_if(error IS NOT NULL) AS BIGINT) AS failed_datasets,
   CAST(coalesce(sum(total_samples) FILTER (WHERE error IS NULL), 0) AS BIGINT) AS total_samples,
   CAST(coalesce(sum(correct_samples) FILTER (WHERE error IS NULL), 0) AS BIGINT) AS total_correct,
   round(coalesce(sum(correct_samples) FILTER (WHERE error IS NULL) / sum(total_samples) FILTER (WHERE error IS NULL), 0.0), 6) AS overall_accuracy
@@ -267,7 +267,7 @@ def q_a5(spark, sf_dir):
 
 @register("a6_newest_steps", f"""
 WITH h AS ({FX.LOG_SQL})
-SELECT run, step, rank FROM (SELECT run, step, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS rank FROM h) WHERE rank <= 3""")
+SELECT run, step, rank FROM (SELECT run, step, CAST(row_number() OVER (PARTITION BY run ORDER BY step DESC) AS INTEGER) AS rank FROM h) WHERE rank <= 3""")
 def q_a6(spark, sf_dir):
     return A.newest_steps(FX.log_history(spark, sf_dir), 3).select("run", "step", "rank")
 
@@ -293,7 +293,7 @@ def q_a7(spark, sf_dir):
 @register("a8_total_penalty", f"""
 WITH p AS ({FX.PENALTIES_SQL}),
 k AS (SELECT step, kind, avg(value) AS m FROM p GROUP BY step, kind)
-SELECT step, 0.0 AS base_loss, round(sum(m), 6) AS penalty, round(sum(m), 6) AS total_loss FROM k GROUP BY step""")
+SELECT step, CAST(0.0 AS DOUBLE) AS base_loss, round(sum(m), 6) AS penalty, round(sum(m), 6) AS total_loss FROM k GROUP BY step""")
 def q_a8(spark, sf_dir):
     t = A.total_penalty(FX.penalties(spark, sf_dir))
     return t.select("step", "base_loss", r6("penalty").alias("penalty"), r6("total_loss").alias("total_loss"))
@@ -314,7 +314,7 @@ def _chat_sql(open_turn: bool) -> str:
     opener = " || '<|assistant|>' || chr(10)" if open_turn else ""
     return f"""
 SELECT conv_id, string_agg(coalesce(prefix, '') || coalesce(text, '') || coalesce(suffix, ''), '' ORDER BY turn){opener} AS rendered,
-       count(*) AS turns
+       CAST(count(*) AS INTEGER) AS turns
 FROM conversations c LEFT JOIN {_TPL_SQL} t USING (role) GROUP BY conv_id"""
 
 
@@ -359,7 +359,7 @@ ex AS (SELECT doc_id, unnest(regexp_extract_all(text, {_TOK})) AS token,
               unnest(generate_series(0, len(regexp_extract_all(text, {_TOK})) - 1)) AS i FROM documents),
 ids AS (SELECT doc_id, list(coalesce(v.token_id, 0) ORDER BY i) AS input_ids FROM ex LEFT JOIN vocab v USING (token) WHERE i < 1024 GROUP BY doc_id),
 pr AS (SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS prompt FROM documents),
-pl AS (SELECT doc_id, least(len(regexp_extract_all(prompt, {_TOK})), 1024) AS prompt_len FROM pr),
+pl AS (SELECT doc_id, CAST(least(len(regexp_extract_all(prompt, {_TOK})), 1024) AS INTEGER) AS prompt_len FROM pr),
 tok AS (SELECT d.doc_id, coalesce(ids.input_ids, []::INTEGER[]) AS input_ids, pl.prompt_len
         FROM documents d LEFT JOIN ids USING (doc_id) JOIN pl USING (doc_id)),
 lab AS (SELECT doc_id, input_ids, prompt_len,
@@ -381,14 +381,14 @@ def q_t4(spark, sf_dir):
     return tokenized(spark, sf_dir).select("doc_id", "input_ids", "prompt_len", "labels")
 
 
-@register("t9_token_length", f"SELECT doc_id, len(regexp_extract_all(text, {_TOK})) AS n_tokens FROM documents")
+@register("t9_token_length", f"SELECT doc_id, CAST(len(regexp_extract_all(text, {_TOK})) AS INTEGER) AS n_tokens FROM documents")
 def q_t9(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     return d.select("doc_id", T.token_length("text").alias("n_tokens"))
 
 
 @register("a9_fully_masked_rows", TOKENS_SQL + """
-SELECT count(*) AS rows, count_if(list_bool_and(list_transform(labels, lambda x: x = -100)) OR len(labels) = 0) AS fully_masked_rows FROM lab""")
+SELECT count(*) AS rows, CAST(count_if(list_bool_and(list_transform(labels, lambda x: x = -100)) OR len(labels) = 0) AS BIGINT) AS fully_masked_rows FROM lab""")
 def q_a9(spark, sf_dir):
     return A.fully_masked_rows(tokenized(spark, sf_dir), "labels")
 
@@ -722,7 +722,7 @@ def q_s2(spark, sf_dir):
 
 
 @register("s6_s7_write_read_metrics", GRADED_SQL + """
-SELECT dataset_name, count(*) AS total_samples, count_if(is_correct) AS correct_samples FROM graded GROUP BY dataset_name""")
+SELECT dataset_name, count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS correct_samples FROM graded GROUP BY dataset_name""")
 def q_s7(spark, sf_dir):
     path = scratch_path(spark, "metrics")
     m = A.score(graded_predictions(spark, sf_dir)).select("dataset_name", "total_samples", "correct_samples")
@@ -742,7 +742,7 @@ def q_s8(spark, sf_dir):
 
 
 @register("m1_stream_score", GRADED_SQL + """
-SELECT dataset_name, count(*) AS total_samples, count_if(is_correct) AS correct_samples,
+SELECT dataset_name, count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS correct_samples,
        round(count_if(is_correct) / count(*), 6) AS test_accuracy FROM graded GROUP BY dataset_name""")
 def q_m1(spark, sf_dir):
     from marksheet.streaming.score_stream import stream_score
@@ -867,7 +867,7 @@ t AS (SELECT raw_id, split,
         least(len(regexp_extract_all({_PROMPT_SQL} || '<|assistant|>' || chr(10), {_TOK})), 1024) AS prompt_len,
         least(len(regexp_extract_all({_PROMPT_SQL} || '<|assistant|>' || chr(10) || output || '<|end|>' || chr(10), {_TOK})), 1024) AS n_ids
       FROM k)
-SELECT raw_id, split, n_ids, prompt_len, least(prompt_len, n_ids) AS n_masked FROM t""")
+SELECT raw_id, split, CAST(n_ids AS INTEGER) AS n_ids, CAST(prompt_len AS INTEGER) AS prompt_len, CAST(least(prompt_len, n_ids) AS INTEGER) AS n_masked FROM t""")
 def q_e1(spark, sf_dir):
     from marksheet.plans.prepare import prepare_training
     recs = ensure_parallelism(FX.instructions(spark, sf_dir).select("raw_id", "instruction", "input", "output"))
@@ -887,7 +887,7 @@ EVAL_CAPS = [("A", 200), ("R", 300), ("N", 500)]
 r AS (SELECT g.dataset_name, is_correct, cap,
         row_number() OVER (PARTITION BY g.dataset_name ORDER BY {_H.format(k='raw_id')}, raw_id) AS rn
       FROM graded g JOIN caps USING (dataset_name)),
-m AS (SELECT dataset_name, count(*) AS total_samples, count_if(is_correct) AS correct_samples FROM r
+m AS (SELECT dataset_name, count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS correct_samples FROM r
       WHERE rn <= cap OR dataset_name = 'N' GROUP BY dataset_name)
 SELECT dataset_name, round(correct_samples / total_samples, 6) AS test_accuracy, total_samples, correct_samples, false AS failed FROM m
 UNION ALL SELECT 'missing_set', NULL, NULL, NULL, true""")
@@ -912,7 +912,7 @@ r AS (SELECT g.dataset_name, is_correct, cap,
       FROM graded g JOIN caps USING (dataset_name)),
 k AS (SELECT * FROM r WHERE rn <= cap OR dataset_name = 'N')
 SELECT CAST(4 AS BIGINT) AS total_datasets, CAST(3 AS BIGINT) AS successful_datasets, CAST(1 AS BIGINT) AS failed_datasets,
-  count(*) AS total_samples, count_if(is_correct) AS total_correct, round(count_if(is_correct) / count(*), 6) AS overall_accuracy FROM k""")
+  count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS total_correct, round(count_if(is_correct) / count(*), 6) AS overall_accuracy FROM k""")
 def q_e2s(spark, sf_dir):
     from marksheet.plans.evaluate import evaluate_sets
     path = scratch_path(spark, "evalsets")
