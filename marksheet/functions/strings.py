@@ -79,14 +79,6 @@ def after_last(c, sep: str) -> Column:
     return F.substring_index(col_(c), sep, -1)
 
 
-def first_char(c) -> Column:
-    return F.substring(col_(c), 1, 1)
-
-
-def last_char(c) -> Column:
-    return F.substring(col_(c), -1, 1)
-
-
 def drop_first_char_if(c, ch: str) -> Column:
     return let(c, lambda c: F.when(F.startswith(c, F.lit(ch)), F.substring(c, 2, 2**31 - 1)).otherwise(c))
 
@@ -105,7 +97,3 @@ def _quote(sep: str) -> str:
     for ch in sep:
         out.append("\\" + ch if ch in r"\^$.|?*+()[]{}" else ch)
     return "".join(out)
-
-
-def quote_regex(s: str) -> str:
-    return _quote(s)
