@@ -140,12 +140,13 @@ def build_vocab(texts: DataFrame, text_col: str = "text", first_id: int = 1) ->
 
 
 def tokenize(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len: int | None = None,
-             out_col: str = "input_ids", unk_id: int = 0) -> DataFrame:
+             out_col: str = "input_ids", unk_id: int = 0, keep_text: bool = False) -> DataFrame:
     """T4: token ids of ``text_col`` via the vocabulary join, truncated to ``max_len``.
 
     Tokens past ``max_len`` are cut before the join (truncation is the operator's semantics);
     the join is sized at run time by adaptive execution (broadcast when the vocabulary is
-    small, skew-split shuffle join otherwise).
+    small, skew-split shuffle join otherwise). The source text is dropped before the ids are
+    joined back to the records (unless ``keep_text``), so whole texts are not shuffled again.
     """
     ex = df.select(key, F.posexplode(word_tokens(text_col)).alias("_i", "_tok"))
     if max_len is not None:
@@ -153,7 +154,8 @@ def tokenize(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len:
     j = ex.join(vocab.select(F.col("token").alias("_tok"), "token_id"), "_tok", "left")
     ids = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("token_id", F.lit(unk_id)).alias("id")))).alias("_s"))
     ids = ids.select(key, F.transform("_s", lambda x: x["id"]).alias(out_col))
-    return df.join(ids, key, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
+    base = df if keep_text else df.drop(text_col)
+    return base.join(ids, key, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
 
 
 def token_length(c) -> Column:

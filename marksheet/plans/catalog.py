@@ -370,9 +370,9 @@ lab AS (SELECT doc_id, input_ids, prompt_len,
 def tokenized(spark, sf_dir):
     d = ensure_parallelism(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     vocab = T.build_vocab(d, "text")
-    tok = T.tokenize(d, "doc_id", "text", vocab, max_len=1024)
     prompt = F.array_join(F.slice(F.split("text", " ", -1), 1, 8), " ")
-    tok = tok.withColumn("prompt_len", F.least(T.token_length(prompt), F.lit(1024)))
+    d = d.withColumn("prompt_len", F.least(T.token_length(prompt), F.lit(1024)))
+    tok = T.tokenize(d, "doc_id", "text", vocab, max_len=1024)
     return tok.withColumn("labels", T.mask_prompt("input_ids", "prompt_len"))
 
 
