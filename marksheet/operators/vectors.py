@@ -1,7 +1,8 @@
 """Vector-table operators: pooling, routing against a bank, load balance, penalties.
 
 The bank (the candidate vectors items are routed to) is a small parameter table: its entry
-count is checked against ``max_bank`` before it is broadcast as a single array row. Items
+count is checked against ``max_bank``, then it is collected into one array value by a scalar
+subquery (evaluated once, shipped to the tasks as a value: no join, no pairs). Items
 never leave their partition; scores, top-k, weights and the weighted combination are array
 expressions on each row. Aggregations over items (pooling, Gram matrices, load) use Spark's
 vector summarizer or hash aggregation with partial combine, so hot groups cost one partial row
@@ -23,21 +24,21 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def bank_row(bank: DataFrame, max_bank: int = MAX_BANK) -> DataFrame:
-    """The bank as one row ``(_bk, bank: array<struct<bank_id, vec, bias>>)`` sorted by id.
+    """The bank as one row ``(bank: array<struct<bank_id, vec, bias>>)`` sorted by id.
 
-    Raises when the bank has more than ``max_bank`` entries: only then is broadcasting it safe.
+    Raises when the bank has more than ``max_bank`` entries: only then is shipping it whole safe.
     """
     n = bank.count()
     if n > max_bank:
         raise ValueError(f"bank has {n} entries; at most {max_bank} can be broadcast")
     cols = [F.col("bank_id").cast("long").alias("bank_id"), F.col("vec").cast("array<double>").alias("vec")]
     cols.append((F.col("bias") if "bias" in bank.columns else F.lit(0.0)).cast("double").alias("bias"))
-    return bank.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("bank")).withColumn("_bk", F.lit(0))
+    return bank.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("bank"))
 
 
 def with_bank(items: DataFrame, bank: DataFrame, max_bank: int = MAX_BANK) -> DataFrame:
-    b = bank_row(bank, max_bank)
-    return items.withColumn("_bk", F.lit(0)).join(F.broadcast(b), "_bk").drop("_bk")
+    """Items plus the bank array as a scalar-subquery value (one evaluation for the whole job)."""
+    return items.withColumn("bank", bank_row(bank, max_bank).scalar())
 
 
 def bank_scores(items: DataFrame, bank: DataFrame, vec_col: str = "vec", max_bank: int = MAX_BANK) -> DataFrame:
@@ -118,8 +119,8 @@ def rebalance(load: DataFrame, bias: DataFrame | None = None, gamma: float = 1e-
     b = load if bias is None else load.join(bias.select("bank_id", "bias"), "bank_id", "left")
     if "bias" not in b.columns:
         b = b.withColumn("bias", F.lit(0.0))
-    t = b.agg((F.sum("load") / F.count(F.lit(1))).cast("double").alias("target")).withColumn("_k", F.lit(0))
-    b = b.withColumn("_k", F.lit(0)).join(F.broadcast(t), "_k").drop("_k")
+    t = b.agg((F.sum("load") / F.count(F.lit(1))).cast("double").alias("target"))
+    b = b.withColumn("target", t.scalar())
     step = (F.when(F.col("load") > F.col("target") * (1 + tol), -gamma)
             .when(F.col("load") < F.col("target") * (1 - tol), gamma).otherwise(0.0))
     nb = F.coalesce(F.col("bias"), F.lit(0.0)) + step
@@ -177,9 +178,10 @@ def orthogonality_penalty(u_rows: DataFrame, v_rows: DataFrame, beta: float = 1.
         g = gram(rows, vec_col)
         diff = F.col("value") - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
         return g.agg(F.sum(diff * diff).alias("f"))
-    fu = frob(u_rows).withColumnRenamed("f", "frob_u").withColumn("_k", F.lit(0))
-    fv = frob(v_rows).withColumnRenamed("f", "frob_v").withColumn("_k", F.lit(0))
-    return fu.join(fv, "_k").select("frob_u", "frob_v", ((F.col("frob_u") + F.col("frob_v")) * F.lit(beta)).alias("penalty"))
+    fu = frob(u_rows).withColumnRenamed("f", "frob_u")
+    fv = frob(v_rows).select(F.col("f").alias("frob_v"))
+    return fu.withColumn("frob_v", fv.scalar()).select(
+        "frob_u", "frob_v", ((F.col("frob_u") + F.col("frob_v")) * F.lit(beta)).alias("penalty"))
 
 
 # ------------------------------------------------------------------ sampling and projection
@@ -208,9 +210,9 @@ def project(items: DataFrame, down: DataFrame, up: DataFrame, scale: float, key:
             vec_col: str = "vec", max_bank: int = MAX_BANK) -> DataFrame:
     """``scale * A(Bx)``: ``down`` holds the rows of B (rank_id, vec over inputs), ``up`` the
     columns of A (rank_id, vec over outputs). Both are small factor tables, broadcast as arrays."""
-    d = bank_row(down.select(F.col("rank_id").alias("bank_id"), "vec"), max_bank).select("_bk", F.col("bank").alias("_down"))
-    u = bank_row(up.select(F.col("rank_id").alias("bank_id"), "vec"), max_bank).select("_bk", F.col("bank").alias("_up"))
-    j = items.select(key, vec_col).withColumn("_bk", F.lit(0)).join(F.broadcast(d), "_bk").join(F.broadcast(u), "_bk")
+    d = bank_row(down.select(F.col("rank_id").alias("bank_id"), "vec"), max_bank)
+    u = bank_row(up.select(F.col("rank_id").alias("bank_id"), "vec"), max_bank)
+    j = items.select(key, vec_col).withColumn("_down", d.scalar()).withColumn("_up", u.scalar())
     coef = F.transform("_down", lambda b: dot(F.col(vec_col), b["vec"]))
     dout = F.size(F.element_at("_up", 1)["vec"])
     y = F.aggregate(F.zip_with("_up", coef, lambda a, c: F.struct(a["vec"].alias("v"), c.alias("c"))),
@@ -242,11 +244,11 @@ def rebalance_over_batches(items: DataFrame, bank: DataFrame, k: int, batch_size
     per_batch = batched.groupBy("batch_id").agg(F.collect_list("s").alias("rows")).checkpoint(eager=True)
     steps = per_batch.count()
     b = bank_row(bank, max_bank).select(F.transform("bank", lambda e: F.struct(
-        e["bank_id"].alias("bank_id"), e["bias"].alias("bias"))).alias("state"))
+        e["bank_id"].alias("bank_id"), e["bias"].alias("bias"))).alias("state"))  # one row, one value
     history = []
     for step in range(steps):
         batch = per_batch.where(F.col("batch_id") == step).select("rows")
-        j = batch.withColumn("_k", F.lit(0)).join(F.broadcast(b.withColumn("_k", F.lit(0))), "_k")
+        j = batch.withColumn("state", b.scalar())
 
         def chosen_ids(row):
             biased = F.transform(row, lambda s: F.struct(

@@ -18,6 +18,7 @@ def test_registered_plans(spark):
             continue  # streaming and the sequential driver loop have no single plan
         plan = _plan(fn(spark, SF_SMALL))
         assert not any(n in plan for n in PYTHON_NODES), name
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
         lines = plan.split("\n")
         for i, line in enumerate(lines):
             if "Exchange SinglePartition" in line:
