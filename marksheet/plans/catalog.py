@@ -930,3 +930,54 @@ def q_v8b(spark, sf_dir):
     """Sequential per-batch bias updates (rows-only check; brute-force test in the suite)."""
     h = V.rebalance_over_batches(FX.vectors(spark, sf_dir), FX.bank(spark, sf_dir), k=4, batch_size=64, gamma=1e-4)
     return h.select("step", "bank_id", "load", r6("bias").alias("bias"))
+
+
+def _shapes_ladder_sql() -> str:
+    """The ladder in SQL for the shapes fixture: normalized sides, then the rungs in order, with
+    element comparisons (option-stripped answer, matrix cells, equation sides) by exact text,
+    number, or bracket-free text."""
+    pn = OT.math_profile_sql("SELECT p_partkey, pred AS answer FROM s")
+    gn = OT.math_profile_sql("SELECT p_partkey, gold AS answer FROM s")
+    opt = r"^(\([A-E]\)|[A-E]\.|[A-E]\)|\*\*[A-E]\*\*|[A-E]:)"
+    num = lambda x: OT.parse_number_sql(x)
+    close = lambda a, b: f"(abs(({a}) - ({b})) <= greatest(1e-9 * greatest(abs({a}), abs({b})), 1e-4))"
+    numeric_hit = (f"({close(num('p'), num('g') + ' / 100.0')} OR {close(num('p'), num('g'))} OR "
+                   f"{close(num('p'), num('g') + ' * 100.0')})")
+    ismat = lambda x: (f"((starts_with({x}, '\\begin{{pmatrix}}') OR starts_with({x}, '\\begin{{bmatrix}}')) AND "
+                       f"(ends_with({x}, '\\end{{pmatrix}}') OR ends_with({x}, '\\end{{bmatrix}}')))")
+    rows = lambda x: f"list_filter(list_transform(string_split(trim({x}, {WS})[16:-14], '\\\\'), lambda r: trim(r, {WS})), lambda r: r <> '')"
+    cells_ok = (f"len({rows('p')}) = len({rows('g')}) AND coalesce(list_bool_and(list_transform(list_zip({rows('p')}, {rows('g')}), "
+                f"lambda z: len(string_split(z[1], '&')) = len(string_split(z[2], '&')) AND "
+                f"list_bool_and(list_transform(list_zip(string_split(z[1], '&'), string_split(z[2], '&')), lambda c: {_elem_eq('c[1]', 'c[2]')})))), true)")
+    pc = "(length(p) - length(replace(p, '=', '')))"
+    gc = "(length(g) - length(replace(g, '=', '')))"
+    bracket = ("((starts_with(p, '[') AND ends_with(p, ']') AND NOT starts_with(g, '(')) OR "
+               "(starts_with(p, '(') AND ends_with(p, ')') AND NOT starts_with(g, '[')))")
+    pb = f"translate(CASE WHEN {bracket} THEN trim(p, '[]()') ELSE p END, '{{}}()', '')"
+    gb = f"translate(CASE WHEN {bracket} THEN trim(g, '[]()') ELSE g END, '{{}}()', '')"
+    rung = f"""CASE
+      WHEN p IS NULL OR g IS NULL THEN 'null'
+      WHEN lower(trim(p, {WS})) = lower(trim(g, {WS})) THEN 'exact'
+      WHEN g IN ('A', 'B', 'C', 'D', 'E') AND {_x5_sql('p')} = g THEN 'choice'
+      WHEN regexp_matches(p, '{opt}') AND {_elem_eq(f"trim(regexp_replace(p, '{opt}', ''), {WS})", 'g')} THEN 'option_mark'
+      WHEN {num('p')} IS NOT NULL AND {num('g')} IS NOT NULL THEN CASE WHEN {numeric_hit} THEN 'numeric_true' ELSE 'numeric_false' END
+      WHEN p = '' THEN 'empty'
+      WHEN lower({pb}) = lower({gb}) THEN 'brackets'
+      WHEN {ismat('p')} AND {ismat('g')} AND {cells_ok} THEN 'matrix'
+      WHEN {pc} = 1 AND {gc} = 1 THEN 'symbolic_equation'
+      WHEN {pc} = 1 AND length(trim(split_part(p, '=', 1), {WS})) <= 2 AND {gc} = 0 AND {_elem_eq("split_part(p, '=', 2)", 'g')} THEN 'equation_side'
+      ELSE 'symbolic' END"""
+    return f"""
+WITH s AS ({FX.SHAPES_SQL}),
+j AS (SELECT pn.p_partkey, pn.normalized AS p, gn.normalized AS g FROM ({pn}) pn JOIN ({gn}) gn USING (p_partkey)),
+r AS (SELECT p_partkey, {rung} AS r FROM j)
+SELECT p_partkey, CASE WHEN r LIKE 'numeric%' THEN 'numeric' ELSE r END AS rung,
+       r IN ('exact', 'choice', 'option_mark', 'numeric_true', 'brackets', 'matrix', 'equation_side') AS is_correct,
+       r IN ('symbolic', 'symbolic_equation') AS undecided
+FROM r"""
+
+
+@register("g_ladder_shapes", _shapes_ladder_sql())
+def q_g_shapes(spark, sf_dir):
+    g = G.grade(FX.shapes(spark, sf_dir), "pred", "gold")
+    return g.select("p_partkey", "rung", "is_correct", "undecided")

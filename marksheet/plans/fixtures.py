@@ -215,3 +215,51 @@ def latents(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
     v = F.col("embedding").cast("array<double>")
     return e.select(F.col("vec_id").alias("item_id"), F.slice(v, 1, 32).alias("mu"), F.slice(v, 33, 32).alias("logvar"))
+
+
+# ---------------------------------------------------------------- answer shapes for the ladder (part)
+
+SHAPES_SQL = r"""
+SELECT p_partkey,
+  CASE p_partkey % 6
+    WHEN 0 THEN 'A. ' || CAST(p_size AS VARCHAR)
+    WHEN 1 THEN '\begin{pmatrix}' || CAST(p_partkey % 7 AS VARCHAR) || '&' || CAST(p_size AS VARCHAR) || '.5\\' || CAST(p_size % 5 AS VARCHAR) || '&1\end{pmatrix}'
+    WHEN 2 THEN 'xy = ' || CAST(p_size AS VARCHAR)
+    WHEN 3 THEN 'xy = ' || CAST(p_size AS VARCHAR)
+    WHEN 4 THEN ''
+    ELSE '(' || CASE CAST(p_partkey % 5 AS INTEGER) WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' ELSE 'E' END || ')' END AS pred,
+  CASE p_partkey % 6
+    WHEN 0 THEN CAST(p_size + p_partkey % 2 AS VARCHAR)
+    WHEN 1 THEN '\begin{pmatrix}' || CAST(p_partkey % 7 AS VARCHAR) || '&' || CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 4 = 1 THEN '.50' ELSE '.25' END || '\\' || CAST(p_size % 5 AS VARCHAR) || '&1\end{pmatrix}'
+    WHEN 2 THEN CAST(p_size AS VARCHAR)
+    WHEN 3 THEN 'xy = ' || CAST(p_size + 1 AS VARCHAR)
+    WHEN 4 THEN CAST(p_size AS VARCHAR)
+    ELSE CASE CAST(p_partkey % 3 AS INTEGER) WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END END AS gold
+FROM part
+"""
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer shapes that reach the option-mark, matrix, equation, empty and choice rungs."""
+    pt = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 6
+    size = F.col("p_size").cast("string")
+    letter5 = F.element_at(F.array(*[F.lit(x) for x in "ABCDE"]), (F.col("p_partkey") % 5).cast("int") + 1)
+    letter3 = F.element_at(F.array(*[F.lit(x) for x in "ABC"]), (F.col("p_partkey") % 3).cast("int") + 1)
+
+    def mat(second):
+        return F.concat(F.lit("\\begin{pmatrix}"), (F.col("p_partkey") % 7).cast("string"), F.lit("&"), second,
+                        F.lit("\\\\"), (F.col("p_size") % 5).cast("string"), F.lit("&1\\end{pmatrix}"))
+
+    pred = (F.when(k == 0, F.concat(F.lit("A. "), size))
+            .when(k == 1, mat(F.concat(size, F.lit(".5"))))
+            .when(k.isin(2, 3), F.concat(F.lit("xy = "), size))
+            .when(k == 4, F.lit(""))
+            .otherwise(F.concat(F.lit("("), letter5, F.lit(")"))))
+    gold = (F.when(k == 0, (F.col("p_size") + F.col("p_partkey") % 2).cast("string"))
+            .when(k == 1, mat(F.concat(size, F.when(F.col("p_partkey") % 4 == 1, F.lit(".50")).otherwise(F.lit(".25")))))
+            .when(k == 2, size)
+            .when(k == 3, F.concat(F.lit("xy = "), (F.col("p_size") + 1).cast("string")))
+            .when(k == 4, size)
+            .otherwise(letter3))
+    return pt.select("p_partkey", pred.alias("pred"), gold.alias("gold"))
