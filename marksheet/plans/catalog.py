@@ -822,21 +822,6 @@ def q_x8(spark, sf_dir):
     return a.select("p_partkey", X.clean_units("answer").alias("cleaned"))
 
 
-@register("g_ladder_on_answers")
-def q_gl(spark, sf_dir):
-    """The full ladder on varied answer shapes against a rewritten gold (rows-only check)."""
-    a = answers(spark, sf_dir)
-    k = F.col("p_partkey") % 5
-    size = F.col("answer")  # varied gold shapes: same, bracketed, scaled number, equation side, option mark
-    gold = (F.when(k == 0, F.concat(F.lit(" "), F.col("answer"), F.lit(".")))
-            .when(k == 1, F.concat(F.lit("("), F.col("answer"), F.lit(")")))
-            .when(k == 2, (F.col("p_partkey") % 50 * 100).cast("string"))
-            .when(k == 3, F.concat(F.lit("y="), F.col("answer")))
-            .otherwise(F.concat(F.lit("A. "), size)))
-    g = G.grade(ensure_parallelism(a.withColumn("gold", gold)), "answer", "gold")
-    return g.select("p_partkey", "pred_norm", "gold_norm", "is_correct", "rung", "undecided")
-
-
 G13_GOLD_SQL = f"""
 SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN answer || ' ' WHEN 1 THEN '0' || answer ELSE answer || '1' END AS answer
 FROM ({ANSWERS_SQL})"""
@@ -932,10 +917,11 @@ def q_v8b(spark, sf_dir):
     return h.select("step", "bank_id", "load", r6("bias").alias("bias"))
 
 
-def _shapes_ladder_sql() -> str:
-    """The ladder in SQL for the shapes fixture: normalized sides, then the rungs in order, with
-    element comparisons (option-stripped answer, matrix cells, equation sides) by exact text,
-    number, or bracket-free text."""
+def _ladder_sql(source_sql: str) -> str:
+    """The ladder in SQL over a (p_partkey, pred, gold) source: normalized sides, then the rungs
+    in order, with element comparisons (option-stripped answer, list parts, matrix cells,
+    equation sides) by exact text, number, or bracket-free text (one level: the fixtures'
+    elements are plain)."""
     pn = OT.math_profile_sql("SELECT p_partkey, pred AS answer FROM s")
     gn = OT.math_profile_sql("SELECT p_partkey, gold AS answer FROM s")
     opt = r"^(\([A-E]\)|[A-E]\.|[A-E]\)|\*\*[A-E]\*\*|[A-E]:)"
@@ -953,6 +939,13 @@ def _shapes_ladder_sql() -> str:
     gc = "(length(g) - length(replace(g, '=', '')))"
     bracket = ("((starts_with(p, '[') AND ends_with(p, ']') AND NOT starts_with(g, '(')) OR "
                "(starts_with(p, '(') AND ends_with(p, ')') AND NOT starts_with(g, '[')))")
+    sp = lambda x: f"list_sort(list_transform(string_split({x}, ','), lambda t: trim(t, {WS})))"
+    comma_ok = (f"contains(p, ',') AND contains(g, ',') AND len({sp('p')}) = len({sp('g')}) AND "
+                f"list_bool_and(list_transform(list_zip({sp('p')}, {sp('g')}), lambda z: {_elem_eq('z[1]', 'z[2]')}))")
+    ps, gs = f"trim(p, {WS})", f"trim(g, {WS})"
+    il = lambda x: f"string_split({x}[2:-2], ',')"
+    list_ok = (f"regexp_matches({ps}, '^[(\\[].+[)\\]]') AND regexp_matches({gs}, '^[(\\[].+[)\\]]') AND "
+               f"len({il(ps)}) = len({il(gs)}) AND list_bool_and(list_transform(list_zip({il(ps)}, {il(gs)}), lambda z: {_elem_eq('z[1]', 'z[2]')}))")
     pb = f"translate(CASE WHEN {bracket} THEN trim(p, '[]()') ELSE p END, '{{}}()', '')"
     gb = f"translate(CASE WHEN {bracket} THEN trim(g, '[]()') ELSE g END, '{{}}()', '')"
     rung = f"""CASE
@@ -960,24 +953,49 @@ def _shapes_ladder_sql() -> str:
       WHEN lower(trim(p, {WS})) = lower(trim(g, {WS})) THEN 'exact'
       WHEN g IN ('A', 'B', 'C', 'D', 'E') AND {_x5_sql('p')} = g THEN 'choice'
       WHEN regexp_matches(p, '{opt}') AND {_elem_eq(f"trim(regexp_replace(p, '{opt}', ''), {WS})", 'g')} THEN 'option_mark'
+      WHEN {comma_ok} THEN 'comma_list'
       WHEN {num('p')} IS NOT NULL AND {num('g')} IS NOT NULL THEN CASE WHEN {numeric_hit} THEN 'numeric_true' ELSE 'numeric_false' END
       WHEN p = '' THEN 'empty'
       WHEN lower({pb}) = lower({gb}) THEN 'brackets'
+      WHEN {list_ok} THEN 'ordered_list'
       WHEN {ismat('p')} AND {ismat('g')} AND {cells_ok} THEN 'matrix'
       WHEN {pc} = 1 AND {gc} = 1 THEN 'symbolic_equation'
       WHEN {pc} = 1 AND length(trim(split_part(p, '=', 1), {WS})) <= 2 AND {gc} = 0 AND {_elem_eq("split_part(p, '=', 2)", 'g')} THEN 'equation_side'
       ELSE 'symbolic' END"""
     return f"""
-WITH s AS ({FX.SHAPES_SQL}),
+WITH s AS ({source_sql}),
 j AS (SELECT pn.p_partkey, pn.normalized AS p, gn.normalized AS g FROM ({pn}) pn JOIN ({gn}) gn USING (p_partkey)),
 r AS (SELECT p_partkey, {rung} AS r FROM j)
 SELECT p_partkey, CASE WHEN r LIKE 'numeric%' THEN 'numeric' ELSE r END AS rung,
-       r IN ('exact', 'choice', 'option_mark', 'numeric_true', 'brackets', 'matrix', 'equation_side') AS is_correct,
+       r IN ('exact', 'choice', 'option_mark', 'comma_list', 'numeric_true', 'brackets', 'ordered_list', 'matrix',
+             'equation_side') AS is_correct,
        r IN ('symbolic', 'symbolic_equation') AS undecided
 FROM r"""
 
 
-@register("g_ladder_shapes", _shapes_ladder_sql())
+@register("g_ladder_shapes", _ladder_sql(FX.SHAPES_SQL))
 def q_g_shapes(spark, sf_dir):
     g = G.grade(FX.shapes(spark, sf_dir), "pred", "gold")
     return g.select("p_partkey", "rung", "is_correct", "undecided")
+
+
+ANSWER_GOLD_SQL = f"""
+SELECT p_partkey, answer AS pred,
+  CASE p_partkey % 5 WHEN 0 THEN ' ' || answer || '.' WHEN 1 THEN '(' || answer || ')'
+       WHEN 2 THEN CAST((p_partkey % 50) * 100 AS VARCHAR) WHEN 3 THEN 'y=' || answer ELSE 'A. ' || answer END AS gold
+FROM ({ANSWERS_SQL})"""
+
+
+@register("g_ladder_on_answers", _ladder_sql(ANSWER_GOLD_SQL))
+def q_gl(spark, sf_dir):
+    """The full ladder on the normalizer's answer shapes against rewritten gold answers."""
+    a = answers(spark, sf_dir)
+    k = F.col("p_partkey") % 5
+    size = F.col("answer")  # varied gold shapes: same, bracketed, scaled number, equation side, option mark
+    gold = (F.when(k == 0, F.concat(F.lit(" "), F.col("answer"), F.lit(".")))
+            .when(k == 1, F.concat(F.lit("("), F.col("answer"), F.lit(")")))
+            .when(k == 2, (F.col("p_partkey") % 50 * 100).cast("string"))
+            .when(k == 3, F.concat(F.lit("y="), F.col("answer")))
+            .otherwise(F.concat(F.lit("A. "), size)))
+    g = G.grade(ensure_parallelism(a.withColumn("gold", gold)), "answer", "gold")
+    return g.select("p_partkey", "rung", "is_correct", "undecided")
