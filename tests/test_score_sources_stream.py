@@ -65,3 +65,24 @@ def test_stream_matches_batch(spark):
     batch = {r.dataset_name: r.correct_samples for r in QUERIES["a1_score_by_dataset"](spark, SF_SMALL).collect()}
     stream = {r.dataset_name: r.correct_samples for r in QUERIES["m1_stream_score"](spark, SF_SMALL).collect()}
     assert batch == stream
+
+
+def test_jsonl_dates_epoch_and_text(spark):
+    d = tempfile.mkdtemp(prefix="ms-dates-")
+    df = spark.createDataFrame([("a", "2024-01-02 03:04:05")], "k string, t string").select("k", F.to_timestamp("t").alias("ts"))
+    SRC.write_jsonl(df, os.path.join(d, "epoch"), date_format="epoch")
+    back = spark.read.json(os.path.join(d, "epoch")).collect()[0]
+    assert back.ts == 1704164645000
+    SRC.write_jsonl(df, os.path.join(d, "iso"))
+    as_ts = SRC.read_jsonl(spark, os.path.join(d, "iso"), "k string, ts timestamp").collect()[0]
+    as_text = SRC.read_jsonl(spark, os.path.join(d, "iso"), "k string, ts timestamp", convert_dates=False).collect()[0]
+    assert str(as_ts.ts) == "2024-01-02 03:04:05" and as_text.ts == "2024-01-02T03:04:05.000"
+
+
+def test_scan_instructions_with_val_file(spark):
+    d = tempfile.mkdtemp(prefix="ms-val-")
+    for name, n in (("tr", 3), ("va", 2)):
+        with open(os.path.join(d, f"{name}.json"), "w") as f:
+            f.write("[" + ",".join(f'{{"instruction": "i{i}", "output": "o"}}' for i in range(n)) + "]")
+    s = SRC.scan_instructions(spark, d, "tr", "va")
+    assert s["train"].count() == 3 and s["val"].count() == 2
