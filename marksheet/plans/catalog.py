@@ -117,9 +117,9 @@ SELECT count(*) AS total_datasets, count(*) AS successful_datasets, CAST(0 AS BI
        CAST(sum(t) AS BIGINT) AS total_samples, CAST(sum(c) AS BIGINT) AS total_correct,
        round(sum(c) / sum(t), 6) AS overall_accuracy FROM m""")
 def q_a2(spark, sf_dir):
-    g = graded_predictions(spark, sf_dir)
-    req = g.select("dataset_name").distinct()
-    s = A.summarize(A.score_with_failures(g, req))
+    # every observed dataset is requested here, so the metrics need no second pass for the names
+    m = A.score(graded_predictions(spark, sf_dir)).withColumn("error", F.lit(None).cast("string"))
+    s = A.summarize(m)
     return s.withColumn("overall_accuracy", r6("overall_accuracy"))
 
 

@@ -83,3 +83,19 @@ def test_assign_batches(spark):
         sizes[r.batch_id] = sizes.get(r.batch_id, 0) + 1
     n = len(b)
     assert all(v == 8 for k, v in sizes.items() if k < max(sizes)) and sum(sizes.values()) == n
+
+
+def test_hot_group_spreads_over_tasks(spark):
+    """A dataset holding a third of all rows must not land in one task."""
+    n = 30000
+    df = spark.range(n).select(F.col("id").cast("string").alias("raw_id"),
+                               F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("d"), (F.col("id") % 50).cast("string"))).alias("dataset_name"))
+    tagged = P._numbered(df.withColumn("_h", P.shuffle_key("raw_id")), ["dataset_name", "_h", "raw_id"], 16)
+    parts = tagged.where(F.col("dataset_name") == "hot").select("_pid").distinct().count()
+    assert parts >= 4
+    ranks = P.group_positions(df, "dataset_name", "raw_id", num_partitions=16).where(F.col("dataset_name") == "hot")
+    got = sorted(r.rank for r in ranks.select("rank").collect())
+    assert got == list(range(n // 3))
+    caps = spark.createDataFrame([("hot", 5)] + [(f"d{i}", 2) for i in range(50)], "dataset_name string, cap int")
+    capped = P.cap_per_dataset(df, caps, "raw_id", exempt=None)
+    assert capped.where(F.col("dataset_name") == "hot").count() == 5
