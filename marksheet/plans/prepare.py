@@ -34,15 +34,19 @@ def split_and_cap(train: DataFrame, val: DataFrame | None, key: str, seed: int =
 
 def token_rows(records: DataFrame, template: DataFrame, vocab: DataFrame, key: str = "raw_id",
                max_len: int = 1024) -> DataFrame:
-    """Render prompt-only and full texts, tokenize both (truncated to ``max_len``), mask the
-    prompt part of the labels; keep only the derived columns (P9)."""
+    """Render prompt-only and full texts, tokenize the full text (truncated to ``max_len``) and
+    mask the prompt part of the labels; keep only the derived columns (P9).
+
+    The prompt contributes only its token count (truncated like the ids), so it needs no
+    vocabulary lookup: one tokenization pass per record.
+    """
     prompt = T.build_prompt("instruction", "input")
     r = T.render_prompt(records, template, prompt, "_prompt_text")
     r = T.render_prompt(r, template, prompt, "_full_text", response=F.col("output"))
-    p = T.tokenize(r.select(key, "_prompt_text"), key, "_prompt_text", vocab, max_len, "_prompt_ids")
-    f = T.tokenize(r.select(key, "_full_text"), key, "_full_text", vocab, max_len, "input_ids")
-    j = f.join(p.select(key, F.size("_prompt_ids").alias("prompt_len")), key)
-    return j.select(key, "input_ids", T.mask_prompt("input_ids", "prompt_len").alias("labels"), "prompt_len")
+    extra = [c for c in records.columns if c not in (key, "instruction", "input", "output")]
+    r = r.select(key, *extra, "_full_text", F.least(T.token_length("_prompt_text"), F.lit(max_len)).alias("prompt_len"))
+    f = T.tokenize(r, key, "_full_text", vocab, max_len, "input_ids")
+    return f.select(key, *extra, "input_ids", T.mask_prompt("input_ids", "prompt_len").alias("labels"), "prompt_len")
 
 
 def prepare_training(train: DataFrame, template: DataFrame, val: DataFrame | None = None, key: str = "raw_id",
@@ -56,4 +60,9 @@ def prepare_training(train: DataFrame, template: DataFrame, val: DataFrame | Non
         rendered = T.render_prompt(train if val is None else train.unionByName(val), template, prompt, "_t",
                                    response=F.col("output"))
         vocab = T.build_vocab(rendered, "_t")
-    return {name: token_rows(df, template, vocab, key, max_len) for name, df in splits.items()}
+    tagged = None
+    for name, df in splits.items():  # one tokenization pass over all splits
+        part = df.select(key, "instruction", "input", "output", F.lit(name).alias("_split"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    rows = token_rows(tagged, template, vocab, key, max_len)
+    return {name: rows.where(F.col("_split") == name).drop("_split") for name in splits}
