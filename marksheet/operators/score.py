@@ -25,6 +25,8 @@ def score(df: DataFrame, by: str = "dataset_name", correct_col: str = "is_correc
         aggs.append(F.count_if(F.coalesce(F.col("undecided"), F.lit(False))).alias("undecided_samples"))
     if "both_empty" in df.columns:
         aggs.append(F.count_if(F.coalesce(F.col("both_empty"), F.lit(False))).alias("both_empty_samples"))
+    if "error" in df.columns:  # row-level errors ride along in the same aggregation
+        aggs.append(F.max("error").alias("row_error"))
     out = df.groupBy(by).agg(*aggs)
     return out.withColumn(
         "test_accuracy",
@@ -80,10 +82,7 @@ def score_with_failures(
     row-level ``error`` column in the predictions, or no rows at all for a requested name.
     """
     m = score(predictions, by=by, correct_col="is_correct")
-    if "error" in predictions.columns:
-        row_err = predictions.groupBy(by).agg(F.max("error").alias("row_error"))
-        m = m.join(row_err, by, "left")
-    else:
+    if "row_error" not in m.columns:
         m = m.withColumn("row_error", F.lit(None).cast("string"))
     j = requested.select(by).distinct().join(m, by, "left")
     if source_errors is not None:
