@@ -1025,3 +1025,42 @@ def q_gl(spark, sf_dir):
             .otherwise(F.concat(F.lit("A. "), size)))
     g = G.grade(ensure_parallelism(a.withColumn("gold", gold)), "answer", "gold")
     return g.select("p_partkey", "rung", "is_correct", "undecided")
+
+
+# ------------------------------------------------------------------ caller model hook (U4) end to end
+
+@register("u4_generate_grade_score", f"""
+WITH r AS (SELECT o_orderpriority AS dataset_name, CAST(o_orderkey AS VARCHAR) AS raw_id,
+                  CAST(o_custkey AS VARCHAR) AS custkey,
+                  CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey + 1 AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END AS answer
+           FROM orders),
+g AS (SELECT dataset_name, custkey = answer AS is_correct FROM r)
+SELECT dataset_name, count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS correct_samples,
+       round(count_if(is_correct) / count(*), 6) AS test_accuracy FROM g GROUP BY dataset_name""")
+def q_u4(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    recs = o.select(
+        F.col("o_orderpriority").alias("dataset_name"), F.col("o_orderkey").cast("string").alias("raw_id"),
+        F.lit("Which customer placed this order?").alias("instruction"), F.col("o_custkey").cast("string").alias("input"),
+        F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_custkey") + 1).cast("string"))
+        .otherwise(F.col("o_custkey").cast("string")).alias("answer"))
+    prompted = T.render_prompt(ensure_parallelism(recs), T.template_frame(spark), T.build_prompt("instruction", "input"), "prompt_text")
+    from marksheet.operators import hooks as H
+
+    def echo_model():
+        """Stand-in generator for the hook path: the last number of the prompt, boxed. Defined
+        here so it is shipped by value (workers need not import this package)."""
+        import re
+
+        def generate(prompts):
+            out = []
+            for p in prompts:
+                nums = re.findall(r"[0-9]+", p)
+                out.append("The answer is $\\boxed{" + (nums[-1] if nums else "") + "}$.")
+            return out
+        return generate
+
+    gen = H.generate_with(prompted, echo_model, "prompt_text", "decoded_prediction")
+    preds = gen.withColumn("extracted_prediction", X.final_answer("decoded_prediction"))
+    m = A.score_answers(preds, "extracted_prediction", "answer")
+    return m.select("dataset_name", "total_samples", "correct_samples", r6("test_accuracy").alias("test_accuracy"))

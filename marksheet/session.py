@@ -87,3 +87,17 @@ def checked_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS):
     caps, templates); otherwise the plain DataFrame, so Spark plans a shuffle join instead."""
     from pyspark.sql import functions as F
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Zip this package into the shared scratch folder and add it to the executors' Python path
+    (what ``--py-files`` does at submit time). Needed only when hook functions passed to
+    ``operators.hooks`` reference module-level code of this package."""
+    import shutil
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = scratch_path(spark, "pyfiles")
+    os.makedirs(target, exist_ok=True)
+    archive = shutil.make_archive(os.path.join(target, "marksheet"), "zip", os.path.dirname(pkg), "marksheet")
+    spark.sparkContext.addPyFile(archive)
+    return archive

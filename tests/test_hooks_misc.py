@@ -59,3 +59,16 @@ def test_generated_part_and_tokens(spark):
     df = spark.createDataFrame([([1, 2, 3, 4], 3), ([1], 3)], "ids array<int>, n int")
     assert [r.g for r in df.select(T.generated_part("ids", "n").alias("g")).collect()] == [[4], []]
     assert one_col(spark, ["Hello, world!", ""], T.token_length) == [4, 0]
+
+
+def test_ship_package_lets_workers_import_it(spark):
+    from marksheet.session import ship_package
+    ship_package(spark)
+
+    def run(it):
+        import marksheet  # resolvable on the workers only once the package is shipped
+        for pdf in it:
+            yield pdf.assign(v=marksheet.__version__)
+
+    got = spark.range(2).mapInPandas(run, "id long, v string").collect()
+    assert {r.v for r in got} == {"0.1.0"}

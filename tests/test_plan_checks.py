@@ -16,8 +16,9 @@ def test_registered_plans(spark):
     for name, fn in E.queries().items():
         if name.startswith(("m1_", "v8_rebalance_over")):
             continue  # streaming and the sequential driver loop have no single plan
+        hook_query = name.startswith("u4_")  # the caller-model hook is the one place Python runs
         plan = _plan(fn(spark, SF_SMALL))
-        assert not any(n in plan for n in PYTHON_NODES), name
+        assert hook_query or not any(n in plan for n in PYTHON_NODES), name
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
         lines = plan.split("\n")
         for i, line in enumerate(lines):
