@@ -25,7 +25,7 @@ from marksheet.session import checked_broadcast, ensure_analyzer_budget
 # Option marks a prediction may start with ("(A)", "A.", "A)", "**A**", "A:" for A-E).
 OPTION_MARK_RE = r"^(?:\([A-E]\)|[A-E]\.|[A-E]\)|\*\*[A-E]\*\*|[A-E]:)"
 OPTION_LETTERS = ("A", "B", "C", "D", "E")
-LIST_RE = r"^[(\[].+[)\]]"
+LIST_RE = r"(?d)^[(\[].+[)\]]"
 MAT_BEGIN = ("\\begin{pmatrix}", "\\begin{bmatrix}")
 MAT_END = ("\\end{pmatrix}", "\\end{bmatrix}")
 
@@ -52,7 +52,7 @@ def close(a: Column, b: Column, rel_tol: float = 1e-9, abs_tol: float = 1e-4) ->
 
 def str_to_pmatrix(g: Column) -> Column:
     """``{a,b}`` groups of a plain answer rewritten as pmatrix text, joined by ``", "``."""
-    groups = F.regexp_extract_all(S.strip(g), F.lit(r"\{.*,.*\}"), 0)
+    groups = F.regexp_extract_all(S.strip(g), F.lit(r"(?d)\{.*,.*\}"), 0)
     return F.array_join(
         F.transform(groups, lambda m: F.concat(
             F.lit("\\begin{pmatrix}"), F.replace(F.btrim(m, F.lit("{}")), F.lit(","), F.lit("\\")), F.lit("\\end{pmatrix}"))),
