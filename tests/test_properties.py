@@ -36,3 +36,21 @@ def test_rules_total_on_arbitrary_text(spark, texts, seed):
     pairs = spark.createDataFrame(list(zip(texts, other)), "t string, u string")
     rows = grade(pairs, "t", "u").collect()
     assert len(rows) == len(texts) and all(r.rung is not None for r in rows)
+
+
+def test_scores_and_caps_do_not_depend_on_partitioning(spark):
+    from marksheet.functions.extract import final_answer
+    from marksheet.operators import sampling as P
+    from marksheet.operators.score import score_answers
+    from marksheet.plans import fixtures as FX
+    from conftest import SF_SMALL
+
+    pr = FX.predictions(spark, SF_SMALL)
+    caps = spark.createDataFrame([("A", 7), ("N", 11), ("R", 5)], "dataset_name string, cap int")
+    results = []
+    for n in (1, 5):
+        p = pr.repartition(n).withColumn("extracted_prediction", final_answer("decoded_prediction"))
+        s = sorted(tuple(r) for r in score_answers(p).select("dataset_name", "total_samples", "correct_samples").collect())
+        c = sorted(r.raw_id for r in P.cap_per_dataset(pr.repartition(n), caps, "raw_id", exempt=None).collect())
+        results.append((s, c))
+    assert results[0] == results[1]
