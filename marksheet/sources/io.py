@@ -110,6 +110,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, encoding: str = "UTF
     return df
 
 
+def read_jsonl_stream(spark: SparkSession, path: str, schema: str, max_files: int = 16, encoding: str = "UTF-8") -> DataFrame:
+    """S4, incremental form: JSON-lines files as they arrive in ``path``, at most ``max_files``
+    per micro-batch (bounded chunks), with a declared schema."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .option("encoding", encoding).json(path))
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "w", date_format: str = "iso", force_ascii: bool = False) -> None:
     """JSON lines; mode ``w`` (overwrite) or ``a`` (append); dates ISO text or epoch millis.
 

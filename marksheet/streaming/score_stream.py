@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from marksheet.functions.extract import final_answer
 from marksheet.operators.grade import grade
 from marksheet.session import scratch_path
+from marksheet.sources.io import read_jsonl_stream
 
 PREDICTION_SCHEMA = "dataset_name string, raw_id string, decoded_prediction string, reference_answer string"
 
 
 def running_scores(spark: SparkSession, src_dir: str, schema: str = PREDICTION_SCHEMA, max_files: int = 16) -> DataFrame:
     """The streaming DataFrame of running metrics (not started)."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(src_dir)
+    s = read_jsonl_stream(spark, src_dir, schema, max_files)
     s = s.withColumn("extracted_prediction", final_answer("decoded_prediction"))
     g = grade(s)
     return g.groupBy("dataset_name").agg(

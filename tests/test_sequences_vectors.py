@@ -110,3 +110,10 @@ def test_length_mask_keeps_real_pad_ids(spark):
     r = df.select(T.length_mask("ids", "n").alias("m"), T.length_mask("ids", "n", "left").alias("l"),
                   T.attention_mask("ids", 0).alias("p")).collect()[0]
     assert r.m == [True, True, False, False] and r.l == [False, False, True, True] and r.p == [False, True, False, False]
+
+
+def test_topk_larger_than_bank_is_rejected(spark):
+    import pytest
+    items, bank = FX.vectors(spark, SF_SMALL).limit(3), FX.bank(spark, SF_SMALL)
+    with pytest.raises(Exception, match="topk cannot exceed bank size"):
+        V.route_topk(items, bank, k=17).collect()
