@@ -18,8 +18,22 @@ from marksheet.operators import sequences as T
 from marksheet.session import checked_broadcast
 from marksheet.sources import io as SRC
 
+# The per-set row caps and the default evaluation sets of the original setup.
+DEFAULT_CAPS = [
+    ("gpqa", 200),
+    ("mmlupro_chemistry", 200),
+    ("mmlupro_economics", 200),
+    ("math500_level3", 500),
+    ("mmlupro_math", 200),
+]
+DEFAULT_EVAL_SETS = ["gpqa", "mmlupro_chemistry", "math500_level3", "mmlupro_math", "mmlupro_economics"]
 
-def evaluate_records(spark: SparkSession, records: DataFrame, names: list[str], caps: DataFrame,
+
+def default_caps(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DEFAULT_CAPS, "dataset_name string, cap int")
+
+
+def evaluate_records(spark: SparkSession, records: DataFrame, names: list[str], caps: DataFrame | None = None,
                      source_errors: DataFrame | None = None, make_generator=None, template: DataFrame | None = None,
                      key: str = "raw_id", seed: int = 42, exempt: str | None = "math500",
                      gold_col: str = "answer") -> dict[str, DataFrame]:
@@ -28,6 +42,7 @@ def evaluate_records(spark: SparkSession, records: DataFrame, names: list[str],
     Without ``make_generator`` the records must already carry ``decoded_prediction``.
     """
     requested = A.requested_frame(spark, names)
+    caps = default_caps(spark) if caps is None else caps
     capped = P.cap_per_dataset(records, caps, key, seed, exempt=exempt)
     no_cap = requested.join(checked_broadcast(caps.select("dataset_name")), "dataset_name", "left_anti").select(
         "dataset_name", F.concat(F.lit("no cap configured for dataset "), F.col("dataset_name")).alias("error"))
@@ -43,9 +58,12 @@ def evaluate_records(spark: SparkSession, records: DataFrame, names: list[str],
     return {"predictions": graded, "metrics": metrics, "summary": A.summarize(metrics)}
 
 
-def evaluate_sets(spark: SparkSession, eval_dir: str, names: list[str], caps: DataFrame, make_generator=None,
+def evaluate_sets(spark: SparkSession, eval_dir: str, names: list[str] | None = None, caps: DataFrame | None = None,
+                  make_generator=None,
                   schema: str = SRC.INSTRUCTION_SCHEMA, template: str = "{dir}/{name}.json", array_file: bool = True,
                   **kw) -> dict[str, DataFrame]:
-    """One file per set name under ``eval_dir`` (missing files become error rows)."""
+    """One file per set name under ``eval_dir`` (missing files become error rows); by default the
+    original five sets with their caps."""
+    names = DEFAULT_EVAL_SETS if names is None else names
     records, errors = SRC.scan_eval_sets(spark, eval_dir, names, schema, template, array_file)
     return evaluate_records(spark, records, names, caps, errors, make_generator, **kw)

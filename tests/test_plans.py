@@ -64,3 +64,15 @@ def test_malformed_eval_file_fails_only_its_dataset(spark):
     m = {r.dataset_name: r for r in out["metrics"].collect()}
     assert m["good"].error is None and m["good"].correct_samples == 1
     assert "malformed" in m["bad"].error and m["bad"].total_samples is None
+
+
+def test_default_sets_and_caps(spark):
+    from marksheet.plans.evaluate import DEFAULT_EVAL_SETS, default_caps
+    d = tempfile.mkdtemp(prefix="ms-def-")
+    rows = [(str(i), "\\\\boxed{1}", "1") for i in range(600)]
+    df = spark.createDataFrame(rows, "raw_id string, decoded_prediction string, answer string")
+    df.write.json(os.path.join(d, "math500_level3.json"))
+    out = evaluate_sets(spark, d, schema="raw_id string, decoded_prediction string, answer string", array_file=False)
+    m = {r.dataset_name: r for r in out["metrics"].collect()}
+    assert set(m) == set(DEFAULT_EVAL_SETS) and default_caps(spark).count() == 5
+    assert m["math500_level3"].total_samples == 500 and m["gpqa"].error is not None
