@@ -27,10 +27,25 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.withColumn("_h", shuffle_key(key, seed)).orderBy("_h", key).drop("_h")
 
 
+RANGE_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def range_partitions(df: DataFrame) -> int:
+    """How many range partitions to sort ``df`` into: at least the configured shuffle
+    partitions, and one per ~256 MB of input by Catalyst's size estimate (an explicit count is
+    not re-split by adaptive execution, so it has to be right up front)."""
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # py4j may hand back an int
+    except Exception:  # noqa: BLE001 - statistics unavailable: fall back to the configured count
+        return base
+    return max(base, -(-est // RANGE_PARTITION_BYTES))
+
+
 def _numbered(df: DataFrame, order_cols: list, num_partitions: int | None):
     """Range-partition on the order, sort inside partitions, tag partition id and local index."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_partitions(df)
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     return tagged.withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).drop("_mid")
