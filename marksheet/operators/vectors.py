@@ -232,6 +232,10 @@ def rebalance_over_batches(items: DataFrame, bank: DataFrame, k: int, batch_size
     give the next bias. The bias lineage grows by one step per batch, so it is checkpointed
     (reliably, under ``spark.checkpoint.dir``) every ``checkpoint_every`` steps. Returns the
     bias after every step: ``(step, bank_id, load, bias)``.
+
+    The recurrence is sequential by definition (each batch sees the bias left by the previous
+    one), so there is one small job per batch: this replays training-scale step counts. For one
+    update over a whole table use ``rebalance`` on ``bank_load``.
     """
     from marksheet.operators.sampling import assign_batches
     from marksheet.session import checkpoint_root
