@@ -37,7 +37,8 @@ from marksheet.llm.scratch import written
 from marksheet.llm.textbatch import find_words, hash_words, inside, join_hash, mix, windows
 
 WINDOW = 35
-LEVELS = 5
+LEVELS = 4
+PIECE_WORDS = 150_000
 _RUN = np.uint64(0xA0761D6478BD642F)
 
 
@@ -51,35 +52,39 @@ class Symbols:
 
 def compress_runs(s: Symbols, first: np.ndarray) -> Symbols:
     n = len(s.name)
-    new_text = np.concatenate([[True], s.text[1:] != s.text[:-1]])
-    begin = np.flatnonzero(new_text | np.concatenate([[True], s.name[1:] != s.name[:-1]]))
-    end = np.concatenate([begin[1:], [n]])
-    length = (end - begin).astype(np.uint64)
-    head = s.name[begin]
-    name = np.where(length > 1, join_hash(head, mix(length * _RUN)), head)
-    text = s.text[begin]
-    low = np.where(new_text[begin], first[text] - 1, s.low[np.maximum(begin - 1, 0)])
-    last = np.concatenate([new_text[begin[1:]], [True]])
-    high = np.where(last, first[text + 1] + 1, s.high[np.minimum(end, n - 1)])
+    new_text = np.empty(n, bool)
+    new_text[0] = True
+    np.not_equal(s.text[1:], s.text[:-1], out=new_text[1:])
+    new_run = new_text.copy()
+    new_run[1:] |= s.name[1:] != s.name[:-1]
+    begin = np.flatnonzero(new_run)
+    end = np.append(begin[1:], n)
+    name, text = s.name[begin], s.text[begin]
+    long = np.flatnonzero(end - begin > 1)
+    name[long] = join_hash(name[long], mix((end - begin)[long].astype(np.uint64) * _RUN))
+    # a run's borders are known once its neighbours are
+    low = np.where(new_text[begin], first[text] - 1, s.low[begin - 1])
+    high = np.where(np.append(new_text[begin[1:]], True), first[text + 1] + 1, s.high[np.minimum(end, n - 1)])
     return Symbols(name, low, high, text)
 
 
 def compress_pairs(s: Symbols, first: np.ndarray, level: int) -> Symbols:
-    n = len(s.name)
-    right = (mix(s.name + np.uint64(level * int(_RUN) % 2**64)) & np.uint64(1)).astype(bool)
+    right = (s.name >> np.uint64(level) & np.uint64(1)).astype(bool)
     same = s.text[1:] == s.text[:-1]  # neighbours i, i + 1 in one text
-    merge = np.concatenate([~right[:-1] & right[1:] & same, [False]])
-    taken = np.concatenate([[False], merge[:-1]])
-    new_text = np.concatenate([[True], ~same])
-    last = np.concatenate([~same, [True]])
-    before = np.where(new_text, first[s.text] - 1, np.concatenate([[0], s.low[:-1]]))
-    after = np.where(last, first[s.text + 1] + 1, np.concatenate([s.high[1:], [0]]))
-    low = np.where(right, before, s.low)     # a right symbol looks back, a left one ahead
-    high = np.where(right, s.high, after)
+    merge = np.append(~right[:-1] & right[1:] & same, False)
+    # a right symbol looks back, a left one ahead
+    low, high = s.low.copy(), s.high.copy()
+    low[1:] = np.where(right[1:], np.where(same, s.low[:-1], first[s.text[1:]] - 1), low[1:])
+    if right[0]:
+        low[0] = first[s.text[0]] - 1
+    high[:-1] = np.where(right[:-1], high[:-1], np.where(same, s.high[1:], first[s.text[:-1] + 1] + 1))
+    if not right[-1]:
+        high[-1] = first[s.text[-1] + 1] + 1
     name = s.name.copy()
     at = np.flatnonzero(merge)
     name[at] = join_hash(s.name[at] + np.uint64(level), s.name[at + 1])
-    keep = ~taken
+    keep = np.ones(len(name), bool)
+    keep[at + 1] = False
     return Symbols(name[keep], low[keep], high[keep], s.text[keep])
 
 
@@ -92,18 +97,27 @@ def representatives(h: np.ndarray, first: np.ndarray, start: np.ndarray, width:
     s = Symbols(h, np.arange(len(h)), np.arange(1, len(h) + 1), text)
     for level in range(1, levels + 1):
         s = compress_pairs(compress_runs(s, first), first, level)
-        j = np.searchsorted(s.low, start)
-        ok = j < len(s.low)
-        ok[ok] = s.high[j[ok]] <= start[ok] + width
-        out[ok] = mix(s.name[j[ok]] ^ np.uint64(level))
+        j = np.cumsum(np.bincount(s.low + 1, minlength=len(h) + 1))[start]  # symbols whose stretch begins earlier
+        ok = np.flatnonzero(j < len(s.low))
+        ok = ok[s.high[j[ok]] <= start[ok] + width]
+        out[ok] = s.name[j[ok]] + np.uint64(level)
     return out
 
 
-def block_windows(block: Block, width: int):
-    """(word starts, word ends, first, word hashes, window positions) of a block."""
+def block_windows(block: Block, width: int, levels: int):
+    """(word starts, word ends, first, word hashes, window positions, representatives) of a block;
+    parsed in runs of whole texts that fit the processor's cache."""
     start, end, first = find_words(block.data, block.off)
     h = hash_words(block.data, start, end)
-    return start, end, first, h, np.flatnonzero(inside(first, width, len(h) - width + 1))
+    at, names, a = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while a < len(first) - 1:
+        b = max(a + 1, int(np.searchsorted(first, first[a] + PIECE_WORDS, "right")) - 1)
+        own, begins = h[first[a]: first[b]], first[a: b + 1] - first[a]
+        spots = np.flatnonzero(inside(begins, width, len(own) - width + 1))
+        names.append(representatives(own, begins, spots, width, levels))
+        at.append(spots + first[a])
+        a = b
+    return start, end, first, h, np.concatenate(at), np.concatenate(names)
 
 
 def without_repeats(docs: DataFrame, width: int = WINDOW, levels: int = LEVELS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,15 +129,13 @@ def without_repeats(docs: DataFrame, width: int = WINDOW, levels: int = LEVELS,
     def ask_symbols(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                _, _, first, h, at = block_windows(block_of(batch, i), width)
-                names, counts = np.unique(representatives(h, first, at, width, levels), return_counts=True)
+                names, counts = np.unique(block_windows(block_of(batch, i), width, levels)[-1], return_counts=True)
                 yield messages(1, batch.column(batch.schema.get_field_index("block"))[i].as_py(), names, counts, spans)
 
     shared = answers(table.mapInArrow(ask_symbols, MESSAGE_SCHEMA), shared_only=True)
 
     def candidates(block: Block, replies: pd.DataFrame):
-        start, end, first, h, at = block_windows(block, width)
-        name = representatives(h, first, at, width, levels)
+        start, end, first, h, at, name = block_windows(block, width, levels)
         known = np.unique(name)
         at = at[reply_array(replies, 1, bool)[np.searchsorted(known, name)]] if len(at) else at
         return start, end, first, windows(h, width)[at], at
