@@ -2,24 +2,25 @@
 
 1. Words (lower-cased, outer punctuation cut) are hashed into ``DIMS`` slots. Document
    frequencies are counted over all documents, one partial vector a task.
-2. A randomised SVD of TF-IDF passages gives a latent space of ``RANK`` dimensions: random start,
-   power rounds that sum A'(A q) over the tasks, an orthogonal basis between rounds. It is fitted
-   on all benchmark passages and at most ``FIT_DOCS`` documents (those of smallest id hash, a
-   documented sample); the matrices have DIMS x (RANK + 8) entries whatever the input.
-3. Every passage of every document (``WIDTH`` words, every ``STEP`` words) is placed in that
-   space; its cosine with every benchmark passage of a block of the stated query set is one
-   matrix product. Passages at ``MIN_COSINE`` or more are candidates.
+2. A distributed randomised SVD of the benchmark's TF-IDF passages gives a whitened latent space
+   of ``RANK`` dimensions: random start, power rounds that sum A'(A q) over the tasks, an
+   orthogonal basis between rounds. Matrices have at most DIMS x (RANK + EXTRA) entries.
+3. Every passage of every document (``WIDTH`` words, every ``STEP`` words) is folded in. One whose
+   TF-IDF mass on the benchmark's vocabulary is below ``MIN_MASS`` of its norm cannot come close
+   (its projection is no longer than that mass) and is passed over; the others are compared with
+   all benchmark passages of a block of the stated query set in one matrix product. Cosines of
+   ``MIN_COSINE`` or more are candidates.
 4. A candidate is verified against the whole item: longest common word subsequence (bit-parallel)
    between the item and the text around the passage, at least ``MIN_LCS`` of the item; and the
    answer check: the item's closing sentence must be there to ``MIN_ANSWER``.
 
 Scale: rows never meet; the benchmark is read in blocks of ``ITEM_BLOCK`` items, each a bounded
 broadcast (a larger benchmark means more blocks, not a larger one); driver matrices have a fixed
-size. Whole texts are searched, however long.
+bound. Whole texts are searched, however long; no shuffle but the sums of fixed-size partials.
 
 Defined results: null or empty text, and benchmark items without a word, match nothing. Short
-items (under WIDTH words) are one passage. Repeated rows give repeated results; ties do not
-arise (every pair over the thresholds is returned). Null ids are kept. Extra columns are ignored
+items (under WIDTH words) are one passage. Repeated rows give repeated results; every pair over
+the thresholds is returned, so ties play no part. Null ids are kept. Extra columns are ignored
 by the search and kept by ``without_leaks``. An empty benchmark or table matches nothing.
 """
 
@@ -34,11 +35,10 @@ from pyspark.sql import functions as F
 from marksheet.llm.scratch import written
 from marksheet.llm.textbatch import LOWER, find_words, hash_words, pieces
 
-DIMS = 1 << 14
-RANK, EXTRA, ROUNDS = 48, 8, 2
-FIT_DOCS = 1000
+DIMS = 1 << 16
+RANK, EXTRA, ROUNDS = 96, 8, 2
 WIDTH, STEP = 24, 8
-MIN_COSINE = 0.55
+MIN_MASS, MIN_COSINE = 0.55, 0.5
 MIN_LCS, MIN_ANSWER = 0.6, 0.5
 ITEM_BLOCK = 4096
 SEED = 7
@@ -70,105 +70,103 @@ def passages(first: np.ndarray, width: int = WIDTH, step: int = STEP):
     return row, begin, np.minimum(begin + width, first[row + 1])
 
 
-def latent(words: np.ndarray, begin: np.ndarray, end: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Unit latent vectors of passages; ``basis`` holds idf-weighted rows per slot."""
-    x = np.zeros((len(begin), basis.shape[1]), np.float32)
-    block = 1 << 16
-    for a in range(0, len(begin), block):
-        lo, hi = begin[a: a + block], end[a: a + block]
-        total = np.zeros((hi[-1] - lo[0] + 1, basis.shape[1]), np.float32)
-        np.cumsum(basis[words[lo[0]: hi[-1]]], axis=0, out=total[1:])
-        x[a: a + block] = total[hi - lo[0]] - total[lo - lo[0]]
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    return x / np.maximum(norm, 1e-9)[:, None]
+def entries(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word positions of all passages one after the other, where each passage starts in them)."""
+    size = end - begin
+    at = np.cumsum(size) - size
+    return np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(at, size), at
 
 
-def _sum_blocks(parts: DataFrame, dtype, width: int) -> np.ndarray:
-    """Adds packed partial matrices up, slot block by slot block, into one of fixed size."""
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, dtype) for x in frame["part"])
-        return pd.DataFrame({"at": [frame["at"].iloc[0]], "part": [np.asarray(total, dtype).tobytes()]})
-
-    rows = parts.groupBy("at").applyInPandas(run, "at int, part binary").collect()  # DIMS x width numbers in all
-    out = np.zeros((DIMS, width), dtype)
-    for r in rows:
-        out[r["at"] * 1024: (r["at"] + 1) * 1024] = np.frombuffer(r["part"], dtype).reshape(1024, width)
-    return out
+def latent(rows: np.ndarray, begin: np.ndarray, end: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Unit latent vectors of passages; ``rows`` has each word's row of ``basis`` (0: none)."""
+    out = [np.zeros((0, basis.shape[1]), np.float32)]
+    for a in range(0, len(begin), 2048):
+        word, at = entries(begin[a: a + 2048], end[a: a + 2048])
+        x = np.add.reduceat(basis[rows[word]], at, axis=0)
+        out.append(x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None])
+    return np.concatenate(out)
 
 
 def _parts(total: np.ndarray) -> pa.RecordBatch:
-    n = DIMS // 1024
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([total[k * 1024: (k + 1) * 1024].tobytes() for k in range(n)], pa.binary())], names=["at", "part"])
+    """A partial matrix in packed runs of 1024 rows."""
+    runs = [total[k: k + 1024].tobytes() for k in range(0, len(total), 1024)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(runs), dtype=np.int32)), pa.array(runs, pa.binary())], names=["at", "part"])
+
+
+def _added(parts: DataFrame, dtype) -> np.ndarray:
+    """The sum of partial matrices, flat: added up on the tasks, run by run; the result has a
+    fixed bound (DIMS rows)."""
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, dtype) for x in frame["part"])
+        return pd.DataFrame({"at": [frame["at"].iloc[0]], "part": [np.asarray(total, dtype).tobytes()]})
+
+    rows = parts.groupBy("at").applyInPandas(add, "at int, part binary").collect()
+    return np.concatenate([np.zeros(0, dtype)] + [np.frombuffer(r["part"], dtype) for r in sorted(rows, key=lambda r: r["at"])])
 
 
 def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Smoothed idf of each slot over all documents."""
     def run(batches):
-        total, n = np.zeros((DIMS, 1), np.int64), 0
+        total = np.zeros(DIMS + 1, np.int64)  # the last entry counts documents
         for _, data, off in pieces(batches, text, 1 << 20):
             h, first, _ = normal_words(data, off)
             own = np.unique(np.repeat(np.arange(len(off) - 1), np.diff(first)) * DIMS + slot(h))
-            total[:, 0] += np.bincount(own & (DIMS - 1), minlength=DIMS)
-            n += len(off) - 1
+            total[:DIMS] += np.bincount(own & (DIMS - 1), minlength=DIMS)
+            total[DIMS] += len(off) - 1
         yield _parts(total)
-        yield pa.RecordBatch.from_arrays([pa.array([DIMS // 1024], pa.int32()), pa.array([np.array([n] + [0] * 1023, np.int64).tobytes()], pa.binary())], names=["at", "part"])
 
-    parts = docs.select(text).mapInArrow(run, "at int, part binary")
+    df = _added(docs.select(text).mapInArrow(run, "at int, part binary"), np.int64)
+    return np.log((df[DIMS] + 1.0) / (df[:DIMS] + 1.0)).astype(np.float32) + np.float32(1e-3) if len(df) else np.ones(DIMS, np.float32)
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in frame["part"])
-        return pd.DataFrame({"at": [frame["at"].iloc[0]], "part": [total.tobytes()]})
 
-    rows = {r["at"]: np.frombuffer(r["part"], np.int64) for r in parts.groupBy("at").applyInPandas(add, "at int, part binary").collect()}
-    if not rows:
-        return np.zeros(DIMS, np.float32)
-    n = rows.pop(DIMS // 1024)[0]
-    df = np.concatenate([rows[k] for k in sorted(rows)])
-    return np.log((n + 1.0) / (df + 1.0)).astype(np.float32)
+def latent_basis(benchmark: DataFrame, idf: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each slot, whitened idf-weighted basis): randomised SVD of the benchmark's
+    passages. Row 0 stands for all slots that the benchmark does not use."""
+    table = benchmark.select(F.col(text).alias("text")).where("text is not null")
 
+    def used(batches):
+        total = np.zeros(DIMS, np.int64)
+        for _, data, off in pieces(batches, "text", 1 << 18):
+            total += np.bincount(slot(normal_words(data, off)[0]), minlength=DIMS)
+        yield _parts(total)
 
-def latent_basis(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray, key: str, text: str, item_text: str) -> np.ndarray:
-    """idf-weighted latent basis (DIMS x RANK) by randomised SVD of TF-IDF passages."""
-    sample = docs.select(F.col(text).alias("text"), F.xxhash64(key, F.xxhash64(text)).alias("h")).where("text is not null").orderBy("h").limit(FIT_DOCS).select("text")
-    fit = written(sample.unionByName(benchmark.select(F.col(item_text).alias("text"))).repartition(max(4, docs.sparkSession.sparkContext.defaultParallelism)), "svd-fit")
+    row_of = np.zeros(DIMS, np.int32)
+    slots = np.flatnonzero(_added(table.mapInArrow(used, "at int, part binary"), np.int64))
+    row_of[slots] = np.arange(1, len(slots) + 1)
+    height = len(slots) + 1
 
-    def rounds(q: np.ndarray, gram: bool):
+    def power(q: np.ndarray, gram: bool):
+        """A'(A q), or (A q)'(A q), summed over the passages of all tasks."""
         def run(batches):
-            total = np.zeros((q.shape[1], q.shape[1]) if gram else q.shape, np.float64)
-            for _, data, off in pieces(batches, "text", 1 << 18):
+            total = np.zeros((q.shape[1] if gram else height, q.shape[1]))
+            for _, data, off in pieces(batches, "text", 1 << 17):
                 h, first, _ = normal_words(data, off)
                 row, begin, end = passages(first)
                 if not len(row):
                     continue
-                size = end - begin
-                word = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                word, at = entries(begin, end)
                 s = slot(h)[word]
-                value = idf[s]
-                p = np.repeat(np.arange(len(row)), size)
-                value = value / np.sqrt(np.maximum(np.bincount(p, value * value, len(row)), 1e-9))[p]  # unit passages
-                y = np.add.reduceat(value[:, None] * q[s], np.cumsum(size) - size, axis=0)
+                p = np.repeat(np.arange(len(row)), end - begin)
+                value = idf[s] / np.sqrt(np.add.reduceat(idf[s] ** 2, at))[p]
+                y = np.add.reduceat(value[:, None] * q[row_of[s]], at, axis=0)
                 if gram:
                     total += y.T @ y
                 else:
-                    order = np.argsort(s, kind="stable")
-                    at = np.flatnonzero(np.concatenate([[True], s[order][1:] != s[order][:-1]]))
-                    total[s[order][at]] += np.add.reduceat((value[:, None] * y[p])[order], at, axis=0)
-            if gram:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["at", "part"])
-            else:
-                yield _parts(total)
-        return fit.mapInArrow(run, "at int, part binary")
-
-    q = np.random.default_rng(SEED).standard_normal((DIMS, RANK + EXTRA))
+                    np.add.at(total, row_of[s], value[:, None] * y[p])
+            yield _parts(total)
+        return _added(table.mapInArrow(run, "at int, part binary"), np.float64).reshape(-1, q.shape[1])
+
+    width = min(RANK + EXTRA, height)
+    q = np.random.default_rng(SEED).standard_normal((height, width))
     for _ in range(ROUNDS):
-        q, _ = np.linalg.qr(_sum_blocks(rounds(q, False), np.float64, RANK + EXTRA))
-    grams = rounds(q, True).collect()  # one small square matrix a task of the bounded sample
-    gram = sum(np.frombuffer(r["part"]).reshape(q.shape[1], -1) for r in grams)
-    value, vector = np.linalg.eigh(gram)
+        q, _ = np.linalg.qr(power(q, False))
+    value, vector = np.linalg.eigh(power(q, True))
     best = np.argsort(-value)[:RANK]
-    spread = np.sqrt(np.maximum(value[best], 1e-9))
-    basis = q @ vector[:, best] / np.sqrt(spread)  # damped: frequent directions do not drown the rest
-    return (idf[:, None] * basis).astype(np.float32)
+    best = best[value[best] > 1e-6 * value.max()]
+    basis = q @ (vector[:, best] / np.sqrt(value[best]))
+    weight = np.zeros(height)
+    weight[1:] = idf[slots]
+    return row_of, (weight[:, None] * basis).astype(np.float32)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -201,17 +199,24 @@ def item_blocks(benchmark: DataFrame, item: str, text: str, size: int = ITEM_BLO
         yield rows
 
 
-def _search(idf_basis: np.ndarray, items, key: str):
-    """Task function: (key, item_id, cosine, lcs_words, item_words, first_word) of verified pairs."""
+def _search(idf: np.ndarray, row_of: np.ndarray, basis: np.ndarray, items):
+    """Task function: verified pairs of LEAK_SCHEMA."""
     def run(batches):
         first = np.concatenate([[0], np.cumsum([len(h) for _, h, _ in items])])
         owner, begin, end = passages(first)
-        queries = latent(slot(np.concatenate([h for _, h, _ in items])), begin, end, idf_basis)
+        queries = latent(row_of[slot(np.concatenate([h for _, h, _ in items]))], begin, end, basis)
         for batch, data, off in pieces(batches, "_text", 1 << 20):
             h, starts, _ = normal_words(data, off)
             row, a, b = passages(starts)
+            s = slot(h)
+            rows = row_of[s]
+            mass = idf[s] ** 2
+            whole = np.concatenate([[0], np.cumsum(mass, dtype=np.float64)])
+            known = np.concatenate([[0], np.cumsum(np.where(rows > 0, mass, 0), dtype=np.float64)])
+            near = np.flatnonzero(known[b] - known[a] >= MIN_MASS ** 2 * (whole[b] - whole[a]))
+            row, a, b = row[near], a[near], b[near]
             found: dict = {}
-            x = latent(slot(h), a, b, idf_basis) if len(row) else np.zeros((0, idf_basis.shape[1]), np.float32)
+            x = latent(rows, a, b, basis)
             for lo in range(0, len(x), 4096):
                 cos = x[lo: lo + 4096] @ queries.T
                 p, q = np.nonzero(cos >= MIN_COSINE)
@@ -252,11 +257,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     if head is None:
         return docs.sparkSession.createDataFrame([], LEAK_SCHEMA)
     idf = inverse_frequencies(docs, text)
-    basis = latent_basis(docs, benchmark, idf, key, text, item_text)
+    row_of, basis = latent_basis(benchmark, idf, item_text)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).alias("_text"))
-    out = rows.mapInArrow(_search(basis, head, key), LEAK_SCHEMA)
+    out = rows.mapInArrow(_search(idf, row_of, basis, head), LEAK_SCHEMA)
     for block in blocks:
-        out = out.unionByName(rows.mapInArrow(_search(basis, block, key), LEAK_SCHEMA))
+        out = out.unionByName(rows.mapInArrow(_search(idf, row_of, basis, block), LEAK_SCHEMA))
     return out
 
 
