@@ -9,7 +9,7 @@
    TF-IDF mass on the benchmark's vocabulary is below ``MIN_MASS`` of its norm cannot come close
    (its projection is no longer than that mass) and is passed over; the others are compared with
    all benchmark passages of a block of the stated query set in one matrix product. Cosines of
-   ``MIN_COSINE`` or more are candidates.
+   ``MIN_COSINE`` or more, with the same bound on the mass shared with that item, are candidates.
 4. A candidate is verified against the whole item: longest common word subsequence (bit-parallel)
    between the item and the text around the passage, at least ``MIN_LCS`` of the item; and the
    answer check: the item's closing sentence must be there to ``MIN_ANSWER``.
@@ -38,9 +38,9 @@ from marksheet.llm.textbatch import LOWER, find_words, hash_words, pieces
 DIMS = 1 << 16
 RANK, EXTRA, ROUNDS = 96, 8, 2
 WIDTH, STEP = 24, 8
-MIN_MASS, MIN_COSINE = 0.55, 0.5
+MIN_MASS, MIN_COSINE = 0.65, 0.6
 MIN_LCS, MIN_ANSWER = 0.6, 0.5
-ITEM_BLOCK = 4096
+ITEM_BLOCK = 512
 SEED = 7
 MARKS = np.isin(np.arange(256), list(b".,;:!?\"'()[]"))
 
@@ -204,7 +204,10 @@ def _search(idf: np.ndarray, row_of: np.ndarray, basis: np.ndarray, items):
     def run(batches):
         first = np.concatenate([[0], np.cumsum([len(h) for _, h, _ in items])])
         owner, begin, end = passages(first)
-        queries = latent(row_of[slot(np.concatenate([h for _, h, _ in items]))], begin, end, basis)
+        item_rows = row_of[slot(np.concatenate([h for _, h, _ in items]))]
+        queries = latent(item_rows, begin, end, basis)
+        holds = np.zeros((len(items), len(basis)), bool)  # which items use a row
+        holds[np.repeat(np.arange(len(items)), np.diff(first)), item_rows] = True
         for batch, data, off in pieces(batches, "_text", 1 << 20):
             h, starts, _ = normal_words(data, off)
             row, a, b = passages(starts)
@@ -220,21 +223,27 @@ def _search(idf: np.ndarray, row_of: np.ndarray, basis: np.ndarray, items):
             for lo in range(0, len(x), 4096):
                 cos = x[lo: lo + 4096] @ queries.T
                 p, q = np.nonzero(cos >= MIN_COSINE)
+                if not len(p):
+                    continue
+                word, at = entries(a[p + lo], b[p + lo])
+                shared = np.where(holds[np.repeat(owner[q], (b - a)[p + lo]), rows[word]], mass[word], 0)
+                close = np.add.reduceat(shared, at) >= MIN_MASS ** 2 * (whole[b[p + lo]] - whole[a[p + lo]])
+                p, q = p[close], q[close]
                 for i, j, c in zip((p + lo).tolist(), q.tolist(), cos[p, q].tolist()):
                     pair = (int(row[i]), int(owner[j]))
-                    found.setdefault(pair, []).append((c, int(a[i]), int(begin[j] - first[owner[j]])))
+                    spot = int(a[i] - begin[j] + first[owner[j]])  # where the item would begin
+                    spots = found.setdefault(pair, {})
+                    spots[spot] = max(c, spots.get(spot, c))
             out = []
             for (d, k), spots in found.items():
                 name, words, answer = items[k]
                 best = None
-                for c, at, shift in sorted(spots, reverse=True):
-                    lo = max(int(starts[d]), at - shift - WIDTH)
-                    text = h[lo: min(int(starts[d + 1]), at - shift + len(words) + WIDTH)]
-                    if np.isin(words, text).mean() < MIN_LCS:  # cheap bound on the subsequence
-                        continue
+                for at, c in sorted(spots.items(), key=lambda x: -x[1]):
+                    lo = max(int(starts[d]), at - WIDTH)
+                    text = h[lo: min(int(starts[d + 1]), at + len(words) + WIDTH)]
                     n = common_subsequence(words, text)
                     if n >= MIN_LCS * len(words) and common_subsequence(answer, text) >= MIN_ANSWER * len(answer):
-                        best = max(best or (0,), (n, c, at - int(starts[d])))
+                        best = max(best or (0,), (n, c, max(0, at - int(starts[d]))))
                         if n == len(words):
                             break
                 if best:
