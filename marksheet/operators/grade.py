@@ -294,8 +294,9 @@ def grade(
     Row-local: the plan is Scan -> Project (one codegen stage); no exchange is introduced.
     """
     ensure_analyzer_budget(df.sparkSession)
-    p = _math_profile_named(pred_col) if normalize else F.col(pred_col)
-    g = _math_profile_named(gold_col) if normalize else F.col(gold_col)
+    # a missing side stays missing (the ladder's first rung), it is not normalized to text
+    p = F.when(F.col(pred_col).isNotNull(), _math_profile_named(pred_col)) if normalize else F.col(pred_col)
+    g = F.when(F.col(gold_col).isNotNull(), _math_profile_named(gold_col)) if normalize else F.col(gold_col)
     # Few, wide selects: each DataFrame step re-analyzes the plan, and the ladder is large.
     base = [c for c in df.columns if c not in ("pred_norm", "gold_norm", "is_correct", "rung", "undecided", "both_empty")]
     out = df.select(*base, p.alias("pred_norm"), g.alias("gold_norm"))
@@ -305,7 +306,7 @@ def grade(
         F.col("_grade.ok").alias("is_correct"),
         F.col("_grade.rung").alias("rung"),
         F.col("_grade.undecided").alias("undecided"),
-        ((F.col("pred_norm") == "") & (F.col("gold_norm") == "")).alias("both_empty"),
+        F.coalesce((F.col("pred_norm") == "") & (F.col("gold_norm") == ""), F.lit(False)).alias("both_empty"),
     )
 
 

@@ -3,10 +3,14 @@
 Randomness is an md5 of ``seed:key``, so every result is a function of the data and the seed
 only (not of partitioning or task order), and DuckDB's ``md5`` gives the same bytes.
 
-Global positions never pass through one partition: rows are range-partitioned on the sort key
-(the range bounds come from a sample, so a hot value range is split across tasks), numbered
-inside each partition, and offset by the row counts of the preceding partitions (a table with
-one row per partition, which is what gets broadcast).
+Positions use buckets that the data determine: the leading hex digits of the md5. Counts per
+bucket (map-side combined) give the position at which each bucket starts; inside a bucket rows
+are numbered. Both readers of the input see the same buckets whatever the plan prunes, replans or
+recomputes, and a bucket holds a 4096th of the rows, so no key is hot. Splits and caps need no
+numbering of all rows: the bucket in which the cut falls is numbered on its own (key columns
+only), and the (hash, key) found there is compared with every row in place.
+
+``key`` must be unique (inside its group, for the grouped forms).
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marksheet.session import checked_broadcast
+BUCKET_DIGITS = 3
 
 
 def shuffle_key(key: str | Column, seed: int = 42) -> Column:
@@ -27,76 +31,68 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.withColumn("_h", shuffle_key(key, seed)).orderBy("_h", key).drop("_h")
 
 
-RANGE_PARTITION_BYTES = 256 * 1024 * 1024
+def _bucketed(df: DataFrame, key: str, seed: int) -> DataFrame:
+    h = df.withColumn("_h", shuffle_key(key, seed))
+    return h.withColumn("_bucket", F.coalesce(F.substring("_h", 1, BUCKET_DIGITS), F.lit("")))  # null keys first
 
 
-def range_partitions(df: DataFrame) -> int:
-    """How many range partitions to sort ``df`` into: at least the configured shuffle
-    partitions, and one per ~256 MB of input by Catalyst's size estimate (an explicit count is
-    not re-split by adaptive execution, so it has to be right up front)."""
-    spark = df.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # py4j may hand back an int
-    except Exception:  # noqa: BLE001 - statistics unavailable: fall back to the configured count
-        return base
-    return max(base, -(-est // RANGE_PARTITION_BYTES))
+def _starts(df: DataFrame, group: list[str]) -> DataFrame:
+    """(group, _bucket, _n, _off, _total): rows of each bucket, rows before it, rows of the group.
+    At most 16 ** BUCKET_DIGITS + 1 rows a group."""
+    counts = df.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(*group, "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                         F.sum("_n").over(Window.partitionBy(*group)).alias("_total"))
 
 
-def _numbered(df: DataFrame, order_cols: list, num_partitions: int | None):
-    """Range-partition on the order, sort inside partitions, tag partition id and local index."""
-    n = num_partitions or range_partitions(df)
-    ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    return tagged.withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).drop("_mid")
+def _joined(df: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on null-safe equality; ``side`` has one row per value."""
+    renamed = side.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in side.columns])
+    cond = None
+    for c in on:
+        eq = F.col(c).eqNullSafe(F.col(f"__{c}"))
+        cond = eq if cond is None else cond & eq
+    return df.join(renamed, cond).drop(*[f"__{c}" for c in on])
 
 
-def global_positions(df: DataFrame, order_cols: list, out_col: str = "pos", num_partitions: int | None = None,
-                     total_col: str | None = None) -> DataFrame:
-    """0-based position of each row in the total order ``order_cols`` (which must be unique).
+def with_position(df: DataFrame, key: str, seed: int = 42, out_col: str = "pos") -> DataFrame:
+    """Global 0-based position after the seeded shuffle."""
+    b = _bucketed(df, key, seed)
+    starts = F.broadcast(_starts(b.select("_bucket"), []).select("_bucket", "_off"))  # bounded by the bucket count
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))
+    return _joined(b, starts, ["_bucket"]).withColumn(out_col, (F.col("_off") + inside - 1).cast("long")).drop("_h", "_bucket", "_off")
 
-    Range partitioning + in-partition numbering + broadcast of per-partition offsets (one row
-    per partition). The range exchange has an explicit partition count, so adaptive execution
-    does not re-split it and both consumers of it (counts and numbering) see the same partitions.
-    """
-    tagged = _numbered(df, order_cols, num_partitions)
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    cols = ["_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off")]
-    if total_col:
-        cols.append(F.sum("_n").over(Window.partitionBy()).alias(total_col))  # all rows (one per partition)
-    offsets = counts.select(*cols)
-    return (
-        tagged.join(F.broadcast(offsets), "_pid")
-        .withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("long"))
-        .drop("_pid", "_loc", "_off")
-    )
 
+def group_positions(df: DataFrame, group: str, key: str, seed: int = 42, out_col: str = "rank") -> DataFrame:
+    """W2 without a hot partition: 0-based position inside ``group`` after the seeded shuffle. A
+    group is numbered bucket by bucket, so one that holds a third of the table is many tasks."""
+    b = _bucketed(df, key, seed)
+    starts = _starts(b.select(group, "_bucket"), [group]).select(group, "_bucket", "_off")
+    inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_h", key))
+    return _joined(b, starts, [group, "_bucket"]).withColumn(out_col, (F.col("_off") + inside - 1).cast("long")).drop("_h", "_bucket", "_off")
 
-def with_position(df: DataFrame, key: str, seed: int = 42, out_col: str = "pos") -> DataFrame:
-    """Global 0-based position after the seeded shuffle."""
-    h = df.withColumn("_h", shuffle_key(key, seed))
-    return global_positions(h, ["_h", key], out_col).drop("_h")
 
+def ordered_positions(df: DataFrame, order_cols: list, bucket: Column, out_col: str = "pos") -> DataFrame:
+    """0-based position in the total order ``order_cols``. ``bucket`` must be monotone in that
+    order and spread the rows; it is computed from the row, so all readers agree on it."""
+    b = df.withColumn("_bucket", bucket)
+    starts = _starts(b.select("_bucket"), []).select("_bucket", "_off")
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_cols))
+    return _joined(b, starts, ["_bucket"]).withColumn(out_col, (F.col("_off") + inside - 1).cast("long")).drop("_bucket", "_off")
 
-def group_positions(df: DataFrame, group: str, key: str, seed: int = 42, out_col: str = "rank",
-                    num_partitions: int | None = None) -> DataFrame:
-    """W2 without a single hot partition: 0-based position inside ``group`` after the seeded shuffle.
 
-    Rows are range-partitioned on (group, hash, key), so a group holding a third of the table
-    spans many partitions and each group is a contiguous block inside a partition. A small
-    table of (partition, group) block sizes gives each block's start inside its group.
-    """
-    h = df.withColumn("_h", shuffle_key(key, seed))
-    tagged = _numbered(h, [group, "_h", key], num_partitions)
-    blocks = tagged.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first"))
-    w = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_pid", group, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    return (
-        tagged.join(blocks, ["_pid", group])
-        .withColumn(out_col, (F.col("_before") + F.col("_loc") - F.col("_first")).cast("long"))
-        .drop("_h", "_pid", "_loc", "_first", "_before")
-    )
+def _cut(b: DataFrame, key: str, first: Column) -> DataFrame:
+    """One row with the (hash, key) of the last of the ``first`` rows in shuffled order (``first``
+    may use _total), or no row if there is none. Only the bucket of the cut is numbered."""
+    starts = _starts(b.select("_bucket"), []).withColumn("_first", first.cast("long"))
+    at = starts.where((F.col("_off") < F.col("_first")) & (F.col("_first") <= F.col("_off") + F.col("_n")))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))
+    rows = _joined(b.select("_h", key, "_bucket"), F.broadcast(at.select("_bucket", "_off", "_first")), ["_bucket"])
+    return rows.withColumn("_rn", inside).where(F.col("_off") + F.col("_rn") == F.col("_first")).select(_spot(key).alias("_cut"))
+
+
+def _spot(key: str) -> Column:
+    return F.struct(F.col("_h").alias("h"), F.col(key).alias("k"))
 
 
 def holdout_split(df: DataFrame, ratio: float, key: str, seed: int = 42) -> DataFrame:
@@ -106,60 +102,52 @@ def holdout_split(df: DataFrame, ratio: float, key: str, seed: int = 42) -> Data
     """
     if abs(ratio) < 1e-5:
         return df.withColumn("split", F.lit("train"))
-    h = df.withColumn("_h", shuffle_key(key, seed))
-    pos = global_positions(h, ["_h", key], "_pos", total_col="_total")
-    cut = F.ceil(F.lit(float(ratio)) * F.col("_total"))  # the row total comes from the per-partition counts
-    return pos.withColumn("split", F.when(F.col("_pos") < cut, "val").otherwise("train")).drop("_pos", "_h", "_total")
-
-
-TAKE_ORDERED_MAX = 100_000
+    b = _bucketed(df, key, seed)
+    first = F.least(F.ceil(F.lit(float(ratio)) * F.col("_total")), F.col("_total"))
+    cut = _cut(b, key, first).agg(F.max("_cut").alias("_cut"))
+    held = b.withColumn("_cut", cut.scalar())
+    return held.withColumn("split", F.when(F.col("_cut").isNotNull() & (_spot(key) <= F.col("_cut")), "val").otherwise("train")).drop("_cut", "_h", "_bucket")
 
 
 def cap_rows(df: DataFrame, n: int | str | None, key: str, seed: int = 42) -> DataFrame:
     """The first ``n`` rows after the seeded shuffle (all rows when n is None or >= count).
-
-    Small ``n`` uses a top-n (``TakeOrderedAndProject``: per-task top-n, no full sort); large
-    ``n`` uses exact global positions.
-    """
+    One way for all sizes: the rows up to the cut, found without moving them."""
     if n is None:
         return df
     n = int(n)
-    h = df.withColumn("_h", shuffle_key(key, seed))
-    if n <= TAKE_ORDERED_MAX:
-        return h.orderBy("_h", key).limit(n).drop("_h")
-    return global_positions(h, ["_h", key], "_pos").where(F.col("_pos") < n).drop("_h", "_pos")
+    if n <= 0:
+        return df.limit(0)
+    b = _bucketed(df, key, seed)
+    cut = _cut(b, key, F.least(F.lit(n), F.col("_total"))).agg(F.max("_cut").alias("_cut"))
+    return b.withColumn("_cut", cut.scalar()).where(_spot(key) <= F.col("_cut")).drop("_cut", "_h", "_bucket")
 
 
 def cap_per_dataset(
     df: DataFrame, caps: DataFrame, key: str, seed: int = 42, group: str = "dataset_name", exempt: str | None = "math500"
 ) -> DataFrame:
-    """P4 + J1: at most ``cap`` shuffled rows per dataset; the dataset named exactly ``exempt`` keeps all.
-
-    Datasets absent from ``caps`` get no rows here (the scorer reports them as failed, D2).
-    The caps table has one row per dataset name and is broadcast. When the largest cap is
-    moderate, a per-dataset ``row_number <= max cap`` lets Catalyst insert a partial
-    ``WindowGroupLimit`` before the shuffle (each task sends at most max-cap rows per dataset,
-    so a hot dataset costs little); the exact per-dataset cap is applied after. Very large caps
-    use exact per-group positions over a range partitioning instead.
+    """P4 + J1: at most ``cap`` shuffled rows per dataset; the dataset named exactly ``exempt``,
+    and datasets without a cap (absent from ``caps``, or a null cap), keep all their rows.
+
+    One way for all cap sizes. Per dataset, the bucket in which its cap falls is numbered (keys
+    only) and gives the dataset's cut, one row; every row is then kept or dropped in place by
+    comparison with its dataset's cut.
     """
-    caps = caps.select(group, F.col("cap").cast("long").alias("cap"))
-    j = df.join(checked_broadcast(caps), group, "inner")
-    keep_all = F.lit(False) if exempt is None else (F.col(group) == F.lit(exempt))
-    whole = j.where(keep_all).drop("cap")
-    rest = j.where(~keep_all)
-    max_cap = caps.where(~keep_all if exempt is not None else F.lit(True)).agg(F.max("cap")).collect()[0][0] or 0
-    if max_cap <= TAKE_ORDERED_MAX:
-        h = rest.withColumn("_h", shuffle_key(key, seed))
-        w = Window.partitionBy(group).orderBy("_h", key)
-        capped = (h.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(int(max_cap)))
-                  .where(F.col("_rn") <= F.col("cap")).drop("_rn", "_h", "cap"))
-    else:
-        ranked = group_positions(rest, group, key, seed, "_rank")
-        capped = ranked.where(F.col("_rank") < F.col("cap")).drop("_rank", "cap")
-    return capped.unionByName(whole)
-
-
-def cap_per_category(df: DataFrame, n: int = 100, key: str = "raw_id", seed: int = 42, category: str = "category") -> DataFrame:
+    caps = caps.select(F.col(group).alias("_capped"), F.col("cap").cast("long").alias("_cap")).where(F.col("_cap").isNotNull())
+    if exempt is not None:
+        caps = caps.where(F.col("_capped") != F.lit(exempt))
+    b = _bucketed(df, key, seed)
+    starts = _starts(b.select(group, "_bucket"), [group]).join(caps, F.col(group) == F.col("_capped")).drop("_capped")
+    at = starts.where((F.col("_off") < F.col("_cap")) & (F.col("_cap") <= F.col("_off") + F.col("_n"))).select(group, "_bucket", "_off", "_cap")
+    inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_h", key))
+    rows = _joined(b.select(group, "_h", key, "_bucket"), at, [group, "_bucket"]).withColumn("_rn", inside)
+    cuts = rows.where(F.col("_off") + F.col("_rn") == F.col("_cap")).select(group, _spot(key).alias("_cut"))
+    # a cap of zero keeps nothing; a cap beyond the dataset's rows has no cut and keeps all
+    empty = caps.where("_cap <= 0").select(F.col("_capped").alias(group), F.lit(True).alias("_none"))
+    out = b.join(cuts, group, "left").join(empty, group, "left")
+    return out.where(F.col("_none").isNull() & (F.col("_cut").isNull() | (_spot(key) <= F.col("_cut")))).select(*df.columns)
+
+
+def cap_per_category(df: DataFrame, n: int, key: str = "raw_id", seed: int = 42, category: str = "category") -> DataFrame:
     """P5: all rows of small categories, ``n`` shuffled rows of large ones (row_number <= n).
 
     The literal limit lets Catalyst put a partial ``WindowGroupLimit`` before the shuffle, so

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marksheet.functions import strings as S
-from marksheet.operators.sampling import global_positions
+from marksheet.operators.sampling import ordered_positions
 from marksheet.session import checked_broadcast
 
 IGNORE_INDEX = -100
@@ -133,29 +133,38 @@ def word_tokens(c) -> Column:
 def build_vocab(texts: DataFrame, text_col: str = "text", first_id: int = 1) -> DataFrame:
     """Vocabulary over whole texts: distinct tokens ranked by count desc, then token; ids from
     ``first_id`` (0 stays free for padding). Token counts use partial aggregation; the ranking
-    uses range-partitioned global positions (no single-partition sort)."""
+    numbers tokens inside buckets of similar count (rare counts, which most tokens share, also by
+    first letters), so there is no single-partition sort."""
     counts = texts.select(F.explode(word_tokens(text_col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    ranked = global_positions(counts, [F.col("freq").desc(), F.col("token")], "_pos")
+    power = F.floor(F.log2("freq")).cast("int")
+    rare = power < 4
+    bucket = F.concat(F.lpad((F.lit(99) - power).cast("string"), 2, "0"), F.when(rare, F.lpad((F.lit(99) - F.col("freq")).cast("string"), 2, "0")).otherwise(""),
+                      F.when(rare, F.substring("token", 1, 2)).otherwise(""))
+    ranked = ordered_positions(counts, [F.col("freq").desc(), F.col("token")], bucket, "_pos")
     return ranked.select("token", "freq", (F.col("_pos") + first_id).cast("int").alias("token_id"))
 
 
 def tokenize(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len: int | None = None,
              out_col: str = "input_ids", unk_id: int = 0, keep_text: bool = False) -> DataFrame:
-    """T4: token ids of ``text_col`` via the vocabulary join, truncated to ``max_len``.
+    """T4: token ids of ``text_col`` via the vocabulary join; all tokens of whole texts.
 
-    Tokens past ``max_len`` are cut before the join (truncation is the operator's semantics);
-    the join is sized at run time by adaptive execution (broadcast when the vocabulary is
-    small, skew-split shuffle join otherwise). The source text is dropped before the ids are
-    joined back to the records (unless ``keep_text``), so whole texts are not shuffled again.
+    With ``max_len`` a longer text becomes consecutive records of at most ``max_len`` tokens,
+    numbered by ``chunk_no`` from 0, so no token is lost. The join is sized at run time by
+    adaptive execution (broadcast when the vocabulary is small, skew-split shuffle join
+    otherwise). The source text is dropped before the ids are joined back to the records (unless
+    ``keep_text``), so whole texts are not shuffled again.
     """
     ex = df.select(key, F.posexplode(word_tokens(text_col)).alias("_i", "_tok"))
+    group = [key]
     if max_len is not None:
-        ex = ex.where(F.col("_i") < max_len)
+        ex = ex.withColumn("chunk_no", F.floor(F.col("_i") / max_len).cast("int"))
+        group.append("chunk_no")
     j = ex.join(vocab.select(F.col("token").alias("_tok"), "token_id"), "_tok", "left")
-    ids = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("token_id", F.lit(unk_id)).alias("id")))).alias("_s"))
-    ids = ids.select(key, F.transform("_s", lambda x: x["id"]).alias(out_col))
+    ids = j.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("token_id", F.lit(unk_id)).alias("id")))).alias("_s"))
+    ids = ids.select(*group, F.transform("_s", lambda x: x["id"]).alias(out_col))
     base = df if keep_text else df.drop(text_col)
-    return base.join(ids, key, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
+    out = base.join(ids, key, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
+    return out.withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0))) if max_len is not None else out
 
 
 def token_length(c) -> Column:

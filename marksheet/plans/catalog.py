@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marksheet.functions import extract as X
@@ -172,9 +172,9 @@ _H = "md5('42:' || CAST({k} AS VARCHAR))"
 
 
 @register("w1_p1_shuffle_positions",
-          f"SELECT doc_id, row_number() OVER (ORDER BY {_H.format(k='doc_id')}, doc_id) - 1 AS pos FROM documents")
+          f"SELECT *, row_number() OVER (ORDER BY {_H.format(k='doc_id')}, doc_id) - 1 AS pos FROM documents")
 def q_w1(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id")
+    d = read_table(spark, sf_dir, "documents")
     return P.with_position(d, "doc_id", 42, "pos")
 
 
@@ -186,6 +186,17 @@ def q_p2(spark, sf_dir):
     return P.holdout_split(d, 0.02, "doc_id", 42).select("doc_id", "split")
 
 
+@register("p2_holdout_half_of_lineitem", f"""
+WITH l AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS line_id FROM lineitem)
+SELECT *, CASE WHEN row_number() OVER (ORDER BY {_H.format(k='line_id')}, line_id) - 1 < ceil(0.5 * count(*) OVER ())
+               THEN 'val' ELSE 'train' END AS split FROM l""")
+def q_p2_half(spark, sf_dir):
+    same = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    one = F.row_number().over(Window.partitionBy(*same).orderBy(*same))
+    d = read_table(spark, sf_dir, "lineitem").withColumn("line_id", F.concat_ws("-", *same, one))
+    return P.holdout_split(d, 0.5, "line_id", 42)
+
+
 @register("p3_cap_rows", f"SELECT doc_id FROM documents ORDER BY {_H.format(k='doc_id')}, doc_id LIMIT 200")
 def q_p3(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id")
@@ -357,9 +368,9 @@ def q_t4v(spark, sf_dir):
 TOKENS_SQL = "WITH " + VOCAB_SQL + f""",
 ex AS (SELECT doc_id, unnest(regexp_extract_all(text, {_TOK})) AS token,
               unnest(generate_series(0, len(regexp_extract_all(text, {_TOK})) - 1)) AS i FROM documents),
-ids AS (SELECT doc_id, list(coalesce(v.token_id, 0) ORDER BY i) AS input_ids FROM ex LEFT JOIN vocab v USING (token) WHERE i < 1024 GROUP BY doc_id),
-pr AS (SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS prompt FROM documents),
-pl AS (SELECT doc_id, CAST(least(len(regexp_extract_all(prompt, {_TOK})), 1024) AS INTEGER) AS prompt_len FROM pr),
+ids AS (SELECT doc_id, list(coalesce(v.token_id, 0) ORDER BY i) AS input_ids FROM ex LEFT JOIN vocab v USING (token) GROUP BY doc_id),
+pr AS (SELECT doc_id, 'Continue in ' || lang || ' from ' || source || ':' AS prompt FROM documents),
+pl AS (SELECT doc_id, CAST(len(regexp_extract_all(prompt, {_TOK})) AS INTEGER) AS prompt_len FROM pr),
 tok AS (SELECT d.doc_id, coalesce(ids.input_ids, []::INTEGER[]) AS input_ids, pl.prompt_len
         FROM documents d LEFT JOIN ids USING (doc_id) JOIN pl USING (doc_id)),
 lab AS (SELECT doc_id, input_ids, prompt_len,
@@ -368,11 +379,11 @@ lab AS (SELECT doc_id, input_ids, prompt_len,
 
 
 def tokenized(spark, sf_dir):
-    d = ensure_parallelism(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = ensure_parallelism(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     vocab = T.build_vocab(d, "text")
-    prompt = F.array_join(F.slice(F.split("text", " ", -1), 1, 8), " ")
-    d = d.withColumn("prompt_len", F.least(T.token_length(prompt), F.lit(1024)))
-    tok = T.tokenize(d, "doc_id", "text", vocab, max_len=1024)
+    prompt = F.concat(F.lit("Continue in "), F.col("lang"), F.lit(" from "), F.col("source"), F.lit(":"))
+    d = d.select("doc_id", "text", T.token_length(prompt).alias("prompt_len"))
+    tok = T.tokenize(d, "doc_id", "text", vocab)
     return tok.withColumn("labels", T.mask_prompt("input_ids", "prompt_len"))
 
 
@@ -679,11 +690,11 @@ WITH v AS ({FX.VECTORS_SQL}), b AS ({FX.BANK_SQL}),
 c AS (SELECT v.item_id, b.bank_id, list_dot_product(v.vec, b.vec) AS coef, b.vec AS bvec FROM v, b),
 e AS (SELECT item_id, coef, unnest(bvec) AS x, unnest(generate_series(1, len(bvec))) AS i FROM c),
 s AS (SELECT item_id, i, 2.0 * sum(coef * x) AS y FROM e GROUP BY item_id, i)
-SELECT item_id, list(round(y, 4) ORDER BY i) AS projected FROM s GROUP BY item_id""")
+SELECT item_id, CAST(i - 1 AS INTEGER) AS pos, round(y, 4) + 0.0 AS value FROM s""")
 def q_v13(spark, sf_dir):
     bank = FX.bank(spark, sf_dir).select(F.col("bank_id").alias("rank_id"), "vec")
     p = V.project(FX.vectors(spark, sf_dir), bank, bank, scale=2.0)
-    return p.select("item_id", F.transform("projected", lambda x: F.round(x, 4)).alias("projected"))
+    return p.select("item_id", F.posexplode("projected").alias("pos", "value")).withColumn("value", F.round("value", 4) + F.lit(0.0))
 
 
 # ------------------------------------------------------------------ sources and sinks (S1-S8) and streaming (M1)
@@ -743,13 +754,17 @@ def q_s8(spark, sf_dir):
 
 @register("m1_stream_score", GRADED_SQL + """
 SELECT dataset_name, count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS correct_samples,
-       round(count_if(is_correct) / count(*), 6) AS test_accuracy FROM graded GROUP BY dataset_name""")
+       round(count_if(is_correct) / count(*), 6) AS test_accuracy, CAST(0 AS BIGINT) AS malformed FROM graded GROUP BY dataset_name
+UNION ALL SELECT NULL, CAST(0 AS BIGINT), CAST(0 AS BIGINT), NULL, count(*) FROM nation""")
 def q_m1(spark, sf_dir):
+    """Predictions as they arrive, among them broken lines (one made from each nation)."""
     from marksheet.streaming.score_stream import stream_score
     src = scratch_path(spark, "stream-src")
     FX.predictions(spark, sf_dir).write.mode("overwrite").json(src)
-    t = stream_score(spark, src, table="running_scores_" + src.rsplit("-", 1)[-1])
-    return t.select("dataset_name", "total_samples", "correct_samples", r6("test_accuracy").alias("test_accuracy"))
+    broken = F.concat(F.lit('{"dataset_name": "A", "raw_id": "'), F.col("n_name"), F.lit('", "decoded_pre'))
+    read_table(spark, sf_dir, "nation").select(broken.alias("value")).write.mode("append").text(src)
+    t = stream_score(spark, src)
+    return t.select("dataset_name", "total_samples", "correct_samples", r6("test_accuracy").alias("test_accuracy"), "malformed")
 
 
 # ------------------------------------------------------------------ normalization on derived answers
@@ -846,17 +861,15 @@ _PROMPT_SQL = "'<|user|>' || chr(10) || instruction || chr(10) || coalesce(input
 WITH i AS ({FX.INSTRUCTIONS_SQL}),
 o AS (SELECT *, row_number() OVER (ORDER BY {_H.format(k='raw_id')}, raw_id) - 1 AS pos, count(*) OVER () AS n FROM i),
 s AS (SELECT *, CASE WHEN pos < ceil(0.02 * n) THEN 'val' ELSE 'train' END AS split FROM o),
-c AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY pos) AS rn FROM s),
-k AS (SELECT * FROM c WHERE (split = 'train' AND rn <= 20000) OR (split = 'val' AND rn <= 1000)),
 t AS (SELECT raw_id, split,
-        least(len(regexp_extract_all({_PROMPT_SQL} || '<|assistant|>' || chr(10), {_TOK})), 1024) AS prompt_len,
-        least(len(regexp_extract_all({_PROMPT_SQL} || '<|assistant|>' || chr(10) || output || '<|end|>' || chr(10), {_TOK})), 1024) AS n_ids
-      FROM k)
+        len(regexp_extract_all({_PROMPT_SQL} || '<|assistant|>' || chr(10), {_TOK})) AS prompt_len,
+        len(regexp_extract_all({_PROMPT_SQL} || '<|assistant|>' || chr(10) || output || '<|end|>' || chr(10), {_TOK})) AS n_ids
+      FROM s)
 SELECT raw_id, split, CAST(n_ids AS INTEGER) AS n_ids, CAST(prompt_len AS INTEGER) AS prompt_len, CAST(least(prompt_len, n_ids) AS INTEGER) AS n_masked FROM t""")
 def q_e1(spark, sf_dir):
     from marksheet.plans.prepare import prepare_training
     recs = ensure_parallelism(FX.instructions(spark, sf_dir).select("raw_id", "instruction", "input", "output"))
-    out = prepare_training(recs, T.template_frame(spark), key="raw_id", val_ratio=0.02, max_train=20000, max_val=1000)
+    out = prepare_training(recs, T.template_frame(spark), key="raw_id", val_ratio=0.02)
     parts = []
     for name, df in out.items():
         parts.append(df.select("raw_id", F.lit(name).alias("split"), F.size("input_ids").alias("n_ids"), "prompt_len",
@@ -864,16 +877,8 @@ def q_e1(spark, sf_dir):
     return P.concat_slices(*parts)
 
 
-EVAL_CAPS = [("A", 200), ("R", 300), ("N", 500)]
-
-
 @register("e2_evaluate_sets", GRADED_SQL + f"""
-, caps AS (SELECT * FROM (VALUES ('A', 200), ('R', 300), ('N', 500)) t(dataset_name, cap)),
-r AS (SELECT g.dataset_name, is_correct, cap,
-        row_number() OVER (PARTITION BY g.dataset_name ORDER BY {_H.format(k='raw_id')}, raw_id) AS rn
-      FROM graded g JOIN caps USING (dataset_name)),
-m AS (SELECT dataset_name, count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS correct_samples FROM r
-      WHERE rn <= cap OR dataset_name = 'N' GROUP BY dataset_name)
+, m AS (SELECT dataset_name, count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS correct_samples FROM graded GROUP BY dataset_name)
 SELECT dataset_name, round(correct_samples / total_samples, 6) AS test_accuracy, total_samples, correct_samples, false AS failed FROM m
 UNION ALL SELECT 'missing_set', NULL, NULL, NULL, true""")
 def q_e2(spark, sf_dir):
@@ -881,8 +886,7 @@ def q_e2(spark, sf_dir):
     path = scratch_path(spark, "evalsets")
     recs = FX.predictions(spark, sf_dir).withColumnRenamed("reference_answer", "answer")
     SRC.write_predictions(recs, path, fmt="json")
-    caps = spark.createDataFrame(EVAL_CAPS, "dataset_name string, cap int")
-    out = evaluate_sets(spark, path, ["A", "N", "R", "missing_set"], caps,
+    out = evaluate_sets(spark, path, ["A", "N", "R", "missing_set"],
                         schema="raw_id string, decoded_prediction string, answer string",
                         template="{dir}/dataset_name={name}", array_file=False, exempt="N")
     m = out["metrics"]
@@ -891,20 +895,14 @@ def q_e2(spark, sf_dir):
 
 
 @register("e2_evaluation_summary", GRADED_SQL + f"""
-, caps AS (SELECT * FROM (VALUES ('A', 200), ('R', 300), ('N', 500)) t(dataset_name, cap)),
-r AS (SELECT g.dataset_name, is_correct, cap,
-        row_number() OVER (PARTITION BY g.dataset_name ORDER BY {_H.format(k='raw_id')}, raw_id) AS rn
-      FROM graded g JOIN caps USING (dataset_name)),
-k AS (SELECT * FROM r WHERE rn <= cap OR dataset_name = 'N')
 SELECT CAST(4 AS BIGINT) AS total_datasets, CAST(3 AS BIGINT) AS successful_datasets, CAST(1 AS BIGINT) AS failed_datasets,
-  count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS total_correct, round(count_if(is_correct) / count(*), 6) AS overall_accuracy FROM k""")
+  count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS total_correct, round(count_if(is_correct) / count(*), 6) AS overall_accuracy FROM graded""")
 def q_e2s(spark, sf_dir):
     from marksheet.plans.evaluate import evaluate_sets
     path = scratch_path(spark, "evalsets")
     recs = FX.predictions(spark, sf_dir).withColumnRenamed("reference_answer", "answer")
     SRC.write_predictions(recs, path, fmt="json")
-    caps = spark.createDataFrame(EVAL_CAPS, "dataset_name string, cap int")
-    out = evaluate_sets(spark, path, ["A", "N", "R", "missing_set"], caps,
+    out = evaluate_sets(spark, path, ["A", "N", "R", "missing_set"],
                         schema="raw_id string, decoded_prediction string, answer string",
                         template="{dir}/dataset_name={name}", array_file=False, exempt="N")
     return out["summary"].withColumn("overall_accuracy", r6("overall_accuracy"))

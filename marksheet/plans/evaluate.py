@@ -39,14 +39,18 @@ def evaluate_records(spark: SparkSession, records: DataFrame, names: list[str],
                      gold_col: str = "answer") -> dict[str, DataFrame]:
     """Records tagged with ``dataset_name`` -> predictions, metrics (one row per requested name), summary.
 
-    Without ``make_generator`` the records must already carry ``decoded_prediction``.
+    Without ``make_generator`` the records must already carry ``decoded_prediction``. Every record
+    is scored unless ``caps`` are passed (``default_caps`` has the original ones); a requested set
+    that those leave out is then reported as an error, not scored.
     """
     requested = A.requested_frame(spark, names)
-    caps = default_caps(spark) if caps is None else caps
-    capped = P.cap_per_dataset(records, caps, key, seed, exempt=exempt)
-    no_cap = requested.join(checked_broadcast(caps.select("dataset_name")), "dataset_name", "left_anti").select(
-        "dataset_name", F.concat(F.lit("no cap configured for dataset "), F.col("dataset_name")).alias("error"))
-    errors = no_cap if source_errors is None else source_errors.select("dataset_name", "error").unionByName(no_cap)
+    capped, errors = records, None if source_errors is None else source_errors.select("dataset_name", "error")
+    if caps is not None:
+        no_cap = requested.join(checked_broadcast(caps.select("dataset_name")), "dataset_name", "left_anti").select(
+            "dataset_name", F.concat(F.lit("no cap configured for dataset "), F.col("dataset_name")).alias("error"))
+        known = checked_broadcast(caps.select("dataset_name").distinct())
+        capped = P.cap_per_dataset(records.join(known, "dataset_name", "left_semi"), caps, key, seed, exempt=exempt)
+        errors = no_cap if errors is None else errors.unionByName(no_cap)
     if make_generator is not None:
         tpl = template if template is not None else T.template_frame(spark)
         prompted = T.render_prompt(capped, tpl, T.build_prompt("instruction", "input"), "prompt_text")
@@ -63,7 +67,7 @@ def evaluate_sets(spark: SparkSession, eval_dir: str, names: list[str] | None =
                   schema: str = SRC.INSTRUCTION_SCHEMA, template: str = "{dir}/{name}.json", array_file: bool = True,
                   **kw) -> dict[str, DataFrame]:
     """One file per set name under ``eval_dir`` (missing files become error rows); by default the
-    original five sets with their caps."""
+    original five sets. No row is left out unless caps are passed."""
     names = DEFAULT_EVAL_SETS if names is None else names
     records, errors = SRC.scan_eval_sets(spark, eval_dir, names, schema, template, array_file)
     return evaluate_records(spark, records, names, caps, errors, make_generator, **kw)

@@ -33,27 +33,31 @@ def split_and_cap(train: DataFrame, val: DataFrame | None, key: str, seed: int =
 
 
 def token_rows(records: DataFrame, template: DataFrame, vocab: DataFrame, key: str = "raw_id",
-               max_len: int = 1024) -> DataFrame:
-    """Render prompt-only and full texts, tokenize the full text (truncated to ``max_len``) and
-    mask the prompt part of the labels; keep only the derived columns (P9).
+               max_len: int | None = None) -> DataFrame:
+    """Render prompt-only and full texts, tokenize the full text (whole; with ``max_len``
+    in consecutive records, see ``tokenize``) and mask the prompt part of the labels; keep only the derived columns (P9).
 
-    The prompt contributes only its token count (truncated like the ids), so it needs no
+    The prompt contributes only its token count, so it needs no
     vocabulary lookup: one tokenization pass per record.
     """
     prompt = T.build_prompt("instruction", "input")
     r = T.render_prompt(records, template, prompt, "_prompt_text")
     r = T.render_prompt(r, template, prompt, "_full_text", response=F.col("output"))
     extra = [c for c in records.columns if c not in (key, "instruction", "input", "output")]
-    r = r.select(key, *extra, "_full_text", F.least(T.token_length("_prompt_text"), F.lit(max_len)).alias("prompt_len"))
+    r = r.select(key, *extra, "_full_text", T.token_length("_prompt_text").alias("prompt_len"))
     f = T.tokenize(r, key, "_full_text", vocab, max_len, "input_ids")
-    return f.select(key, *extra, "input_ids", T.mask_prompt("input_ids", "prompt_len").alias("labels"), "prompt_len")
+    if max_len is None:
+        return f.select(key, *extra, "input_ids", T.mask_prompt("input_ids", "prompt_len").alias("labels"), "prompt_len")
+    left = F.col("prompt_len") - F.col("chunk_no") * max_len  # prompt tokens from this record on
+    return f.select(key, *extra, "chunk_no", "input_ids", T.mask_prompt("input_ids", left).alias("labels"), "prompt_len")
 
 
 def prepare_training(train: DataFrame, template: DataFrame, val: DataFrame | None = None, key: str = "raw_id",
-                     seed: int = 42, val_ratio: float = 0.02, max_train=None, max_val=None, max_len: int = 1024,
+                     seed: int = 42, val_ratio: float = 0.02, max_train=None, max_val=None, max_len: int | None = None,
                      vocab: DataFrame | None = None) -> dict[str, DataFrame]:
     """Token rows per split. The word vocabulary is built over the rendered full texts of all
-    records unless one is given (trained tokenizers plug in through ``hooks.tokenize_with``)."""
+    records unless one is given (trained tokenizers plug in through ``hooks.tokenize_with``).
+    No record is cut or dropped unless the caller passes a limit."""
     splits = split_and_cap(train, val, key, seed, val_ratio, max_train, max_val)
     if vocab is None:
         prompt = T.build_prompt("instruction", "input")

@@ -9,14 +9,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "marksheet") -> SparkSession:
-    """A session tuned for these jobs: AQE on (skew joins, partition coalescing), UTC, UI off."""
+def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "marksheet") -> SparkSession:
+    """A session tuned for these jobs: AQE on (skew joins, partition coalescing), UTC, UI off.
+    Partition count and driver memory are left to the cluster's configuration unless given;
+    a local master gets defaults that suit one machine."""
     b = SparkSession.builder.appName(app)
+    local = bool(master) and master.startswith("local") and not master.startswith("local-cluster")
     if master:
         b = b.master(master)
     b = (
-        b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
+        b.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -24,28 +26,35 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.analyzer.maxIterations", "1000")
-        .config("spark.driver.memory", os.environ.get("MARKSHEET_DRIVER_MEMORY", "16g"))
     )
+    if shuffle_partitions is not None or local:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
+    if local or "MARKSHEET_DRIVER_MEMORY" in os.environ:
+        b = b.config("spark.driver.memory", os.environ.get("MARKSHEET_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, or set on the context before.
 
-    On a cluster this is set by the operator and points at shared storage. Only when it is
-    unset (local tests) do we create one under the local temp dir and register it.
+    On a cluster it must be set and point at shared storage; only a local session (as in tests)
+    gets a folder of its own below the local temporary folder.
     """
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        jd = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = jd.get() if jd.isDefined() else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="marksheet-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        if not known.isDefined():
+            spark.sparkContext.setCheckpointDir(d)
+        return d
+    if known.isDefined():
+        return known.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marksheet-ckpt-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

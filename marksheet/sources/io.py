@@ -112,9 +112,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, encoding: str = "UTF
 
 def read_jsonl_stream(spark: SparkSession, path: str, schema: str, max_files: int = 16, encoding: str = "UTF-8") -> DataFrame:
     """S4, incremental form: JSON-lines files as they arrive in ``path``, at most ``max_files``
-    per micro-batch (bounded chunks), with a declared schema."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("encoding", encoding).json(path))
+    per micro-batch (bounded chunks), with a declared schema. A malformed line is a row of nulls
+    with the line in ``_corrupt_record`` (null otherwise), so that readers can set it apart."""
+    return (spark.readStream.schema(schema + ", _corrupt_record string").option("maxFilesPerTrigger", max_files)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+            .option("pathGlobFilter", "part-*").option("encoding", encoding).json(path))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "w", date_format: str = "iso", force_ascii: bool = False) -> None:

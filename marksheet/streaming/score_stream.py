@@ -23,27 +23,30 @@ def running_scores(spark: SparkSession, src_dir: str, schema: str = PREDICTION_S
     """The streaming DataFrame of running metrics (not started)."""
     s = read_jsonl_stream(spark, src_dir, schema, max_files)
     s = s.withColumn("extracted_prediction", final_answer("decoded_prediction"))
-    g = grade(s)
-    return g.groupBy("dataset_name").agg(
-        F.count(F.lit(1)).alias("total_samples"),
-        F.count_if("is_correct").alias("correct_samples"),
-    ).withColumn("test_accuracy", F.col("correct_samples") / F.col("total_samples"))
+    g = grade(s).withColumn("_bad", F.col("_corrupt_record").isNotNull())
+    return g.groupBy(F.when(~F.col("_bad"), F.col("dataset_name")).alias("dataset_name")).agg(
+        F.count_if(~F.col("_bad")).alias("total_samples"),
+        F.count_if(F.col("is_correct") & ~F.col("_bad")).alias("correct_samples"),
+        F.count_if("_bad").alias("malformed"),
+    ).withColumn("test_accuracy", F.when(F.col("total_samples") > 0, F.col("correct_samples") / F.col("total_samples")))
 
 
-def stream_score(spark: SparkSession, src_dir: str, table: str = "running_scores", schema: str = PREDICTION_SCHEMA,
+def stream_score(spark: SparkSession, src_dir: str, out: str | None = None, schema: str = PREDICTION_SCHEMA,
                  max_files: int = 16, checkpoint: str | None = None) -> DataFrame:
     """Run the stream over everything available now (``availableNow``), then return the table.
 
-    The sink is an in-memory table of one row per dataset (bounded by the dataset count).
+    Each micro-batch rewrites the complete metrics (one row per dataset, and one that counts
+    malformed lines) as a table in ``out``, by default a new folder below the shared one, so a
+    repeated batch gives the same table and nothing is held by the driver.
     """
+    out = out or scratch_path(spark, "running-scores")
     q = (
         running_scores(spark, src_dir, schema, max_files)
         .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(table)
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
         .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt"))
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    return spark.table(table)
+    return spark.read.parquet(out)
