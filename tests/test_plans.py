@@ -18,9 +18,15 @@ def test_prepare_training_splits_and_masks(spark):
     n = recs.count()
     out = prepare_training(recs, T.template_frame(spark), val_ratio=0.1, max_train=50, max_len=64)
     tr, va = out["train"].collect(), out["val"].collect()
-    assert len(va) == -(-n // 10) and len(tr) == min(50, n - len(va))
+    ids = lambda rows: {r.raw_id for r in rows}
+    assert len(ids(va)) == -(-n // 10) and len(ids(tr)) == min(50, n - len(ids(va)))
+    whole = {r.raw_id: r for df in prepare_training(recs, T.template_frame(spark), val_ratio=0.1).values() for r in df.collect()}
+    assert len(whole) == n  # nothing is capped or cut by default
+    for i in ids(tr):  # the records of a long text follow each other without a gap
+        parts = sorted((r for r in tr if r.raw_id == i), key=lambda r: r.chunk_no)
+        assert sum((p.input_ids for p in parts), []) == whole[i].input_ids and sum((p.labels for p in parts), []) == whole[i].labels
     assert not ({r.raw_id for r in tr} & {r.raw_id for r in va})
-    for r in tr[:20]:
+    for r in [r for r in tr if r.chunk_no == 0][:20]:
         assert len(r.input_ids) <= 64 and r.labels[: min(r.prompt_len, len(r.labels))] == [-100] * min(r.prompt_len, len(r.labels))
 
 
