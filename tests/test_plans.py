@@ -81,4 +81,6 @@ def test_default_sets_and_caps(spark):
     out = evaluate_sets(spark, d, schema="raw_id string, decoded_prediction string, answer string", array_file=False)
     m = {r.dataset_name: r for r in out["metrics"].collect()}
     assert set(m) == set(DEFAULT_EVAL_SETS) and default_caps(spark).count() == 5
-    assert m["math500_level3"].total_samples == 500 and m["gpqa"].error is not None
+    assert m["math500_level3"].total_samples == 600 and m["gpqa"].error is not None  # no cap unless asked for
+    out = evaluate_sets(spark, d, caps=default_caps(spark), schema="raw_id string, decoded_prediction string, answer string", array_file=False)
+    assert {r.dataset_name: r.total_samples for r in out["metrics"].collect()}["math500_level3"] == 500
