@@ -343,10 +343,12 @@ def pair_with_sources(pred: DataFrame, src: DataFrame, keys=("dataset_name", "ra
 
 
 def pair_elements(df: DataFrame, left: str, right: str, key_cols) -> DataFrame:
-    """Element-wise pairing of two equal-length lists: one row per (key, pos)."""
+    """Element-wise pairing of two lists: one row per (key, pos). ``length_match`` is false on
+    every row of lists of unequal length (the shorter one goes on with nulls) and of a missing
+    list (one row, null ``pos``)."""
     z = F.arrays_zip(F.col(left).alias("l"), F.col(right).alias("r"))
+    same = F.coalesce(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.size(left) == F.size(right)), F.lit(False))
     return (
-        df.where(F.size(left) == F.size(right))
-        .select(*key_cols, F.posexplode(z).alias("pos", "pair"))
-        .select(*key_cols, "pos", F.col("pair.l").alias(left + "_item"), F.col("pair.r").alias(right + "_item"))
+        df.select(*key_cols, same.alias("length_match"), F.posexplode_outer(z).alias("pos", "pair"))
+        .select(*key_cols, "pos", F.col("pair.l").alias(left + "_item"), F.col("pair.r").alias(right + "_item"), "length_match")
     )

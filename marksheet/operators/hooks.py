@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ def embed_with(col: str | Column, make_embedder: Callable[[], Callable[[list[str
             texts = s.fillna("").tolist()
             out: list = []
             for i in range(0, len(texts), batch_size):
-                out.extend([list(map(float, v)) for v in emb(texts[i:i + batch_size])])
+                out.extend(np.asarray(emb(texts[i:i + batch_size]), dtype="float64"))
             yield pd.Series(out)
     return _emb(F.col(col) if isinstance(col, str) else col)
 

@@ -144,27 +144,44 @@ def build_vocab(texts: DataFrame, text_col: str = "text", first_id: int = 1) ->
     return ranked.select("token", "freq", (F.col("_pos") + first_id).cast("int").alias("token_id"))
 
 
+# The part of a vocabulary that is broadcast: this many ids at most, tokens of this length at most.
+HEAD_TOKENS = 65_536
+HEAD_TOKEN_CHARS = 64
+
+
 def tokenize(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len: int | None = None,
              out_col: str = "input_ids", unk_id: int = 0, keep_text: bool = False) -> DataFrame:
-    """T4: token ids of ``text_col`` via the vocabulary join; all tokens of whole texts.
+    """T4: token ids of ``text_col`` via the vocabulary; all tokens of whole texts.
 
-    With ``max_len`` a longer text becomes consecutive records of at most ``max_len`` tokens,
-    numbered by ``chunk_no`` from 0, so no token is lost. The join is sized at run time by
-    adaptive execution (broadcast when the vocabulary is small, skew-split shuffle join
-    otherwise). The source text is dropped before the ids are joined back to the records (unless
-    ``keep_text``), so whole texts are not shuffled again.
+    Tokens with the lowest ids (the most frequent ones of ``build_vocab``) meet a broadcast that
+    distinct ids bound to ``HEAD_TOKENS`` rows; only the rare rest is shuffled by token. One
+    grouping by ``key`` (unique per record) then collects a record's ids beside its own columns,
+    so nothing is joined back. The text itself is not shuffled unless ``keep_text``. With
+    ``max_len`` see ``in_windows``.
     """
-    ex = df.select(key, F.posexplode(word_tokens(text_col)).alias("_i", "_tok"))
-    group = [key]
-    if max_len is not None:
-        ex = ex.withColumn("chunk_no", F.floor(F.col("_i") / max_len).cast("int"))
-        group.append("chunk_no")
-    j = ex.join(vocab.select(F.col("token").alias("_tok"), "token_id"), "_tok", "left")
-    ids = j.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("token_id", F.lit(unk_id)).alias("id")))).alias("_s"))
-    ids = ids.select(*group, F.transform("_s", lambda x: x["id"]).alias(out_col))
-    base = df if keep_text else df.drop(text_col)
-    out = base.join(ids, key, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
-    return out.withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0))) if max_len is not None else out
+    v = vocab.select(F.col("token").alias("_tok"), F.col("token_id").cast("int").alias("_id"))
+    frequent = (F.col("_id") >= 0) & (F.col("_id") < HEAD_TOKENS) & (F.length("_tok") <= HEAD_TOKEN_CHARS)
+    head = F.broadcast(v.where(frequent))
+    used = df.select(key, F.posexplode(word_tokens(text_col)).alias("_i", "_tok"))
+    rest = used.join(head.select("_tok"), "_tok", "left_anti").join(v.where(~frequent), "_tok", "left")
+    known = used.join(head, "_tok").select(key, "_i", "_id").unionByName(rest.select(key, "_i", F.coalesce("_id", F.lit(unk_id)).alias("_id")))
+    own = df if keep_text else df.drop(text_col)
+    own = own.select(F.col(key), F.struct(*own.columns).alias("_own"))
+    rows = own.unionByName(known.select(key, F.struct("_i", "_id").alias("_s")), allowMissingColumns=True)
+    out = rows.groupBy(key).agg(F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_list("_s")).alias("_s"))
+    out = out.select("_own.*", F.transform("_s", lambda x: x["_id"]).alias(out_col))
+    return in_windows(out, out_col, max_len)
+
+
+def in_windows(df: DataFrame, ids_col: str = "input_ids", max_len: int | None = None) -> DataFrame:
+    """Token rows of at most ``max_len`` ids: a longer one becomes consecutive records numbered by
+    ``chunk_no`` from 0, so no token is lost; an empty one stays one record. None: unchanged."""
+    if max_len is None:
+        return df
+    n = F.greatest(F.ceil(F.size(ids_col) / F.lit(max_len)).cast("int"), F.lit(1))
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(ids_col, i * max_len + 1, F.lit(max_len)))
+    others = [c for c in df.columns if c != ids_col]
+    return df.select(*others, F.posexplode(parts).alias("chunk_no", ids_col))
 
 
 def token_length(c) -> Column:

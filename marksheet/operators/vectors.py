@@ -88,6 +88,22 @@ def route_topk(items: DataFrame, bank: DataFrame, k: int, temperature: float = 1
     return s.select(key, vec_col, F.lit(slot).alias("slot"), routed.alias("chosen"))
 
 
+def route_given_logits(items: DataFrame, k: int, temperature: float = 1.0, key: str = "item_id", logits_col: str = "logits",
+                       bias: list[float] | None = None) -> DataFrame:
+    """V4 + V5 over given logits with several slots per item: ``logits_col`` holds one array of
+    bank logits per slot (bank ids are the positions); ``bias`` has one value per bank entry.
+    One row per (item, slot), ``chosen`` as in ``route_topk`` without the vectors."""
+    offsets = F.array(*[F.lit(float(b)) for b in bias]) if bias else None
+    rows = items.select(key, F.posexplode(logits_col).alias("slot", "_l"))
+    entries = F.transform("_l", lambda x, i: F.struct(
+        i.cast("long").alias("bank_id"), x.cast("double").alias("logit"), (F.get(offsets, i) if bias else F.lit(0.0)).alias("bias")))
+    best = F.when(F.size("_l") >= k, topk_per_row(entries, k)).otherwise(F.raise_error(F.lit("topk cannot exceed bank size")))
+    rows = rows.select(key, "slot", best.alias("_c"))
+    routed = F.zip_with("_c", softmax_weights(F.col("_c"), temperature), lambda c, w: F.struct(
+        c["bank_id"].alias("bank_id"), c["logit"].alias("logit"), w.alias("weight")))
+    return rows.select(key, "slot", routed.alias("chosen"))
+
+
 def routes(routed: DataFrame, key: str = "item_id") -> DataFrame:
     """V4/V5 long form: ``(item_id, slot, rank, bank_id, logit, weight)``."""
     return routed.select(key, "slot", F.posexplode(F.transform("chosen", lambda c: F.struct(

@@ -539,13 +539,14 @@ def q_g4(spark, sf_dir):
 
 @register("j4_pair_elements", f"""
 WITH t AS ({FX.TUPLES_SQL}),
-s AS (SELECT p_partkey, string_split(pred[2:-2], ',') AS pl, string_split(gold[2:-2], ',') AS gl FROM t WHERE gold LIKE '(%' OR gold LIKE '[%')
-SELECT p_partkey, CAST(i - 1 AS INTEGER) AS pos, pl[i] AS pl_item, gl[i] AS gl_item
-FROM s, range(1, len(pl) + 1) r(i) WHERE len(pl) = len(gl)""")
+s AS (SELECT p_partkey, string_split(regexp_replace(pred, '[()]|\\[|\\]', '', 'g'), ',') AS pl,
+        string_split(regexp_replace(gold, '[()]|\\[|\\]', '', 'g') || CASE WHEN p_partkey % 5 = 0 THEN ',9' ELSE '' END, ',') AS gl FROM t)
+SELECT p_partkey, CAST(i - 1 AS INTEGER) AS pos, pl[i] AS pl_item, gl[i] AS gl_item, len(pl) = len(gl) AS length_match
+FROM s, range(1, greatest(len(pl), len(gl)) + 1) r(i)""")
 def q_j4(spark, sf_dir):
-    t = FX.tuples(spark, sf_dir).where(F.col("gold").startswith("(") | F.col("gold").startswith("["))
-    lists = t.select("p_partkey", F.split(F.expr("substring(pred, 2, char_length(pred) - 2)"), ",").alias("pl"),
-                     F.split(F.expr("substring(gold, 2, char_length(gold) - 2)"), ",").alias("gl"))
+    bare = lambda c: F.regexp_replace(c, r"[()]|\[|\]", "")
+    longer = F.when(F.col("p_partkey") % 5 == 0, F.lit(",9")).otherwise(F.lit(""))
+    lists = FX.tuples(spark, sf_dir).select("p_partkey", F.split(bare("pred"), ",").alias("pl"), F.split(F.concat(bare("gold"), longer), ",").alias("gl"))
     return G.pair_elements(lists, "pl", "gl", ["p_partkey"]).withColumn("pos", F.col("pos").cast("int"))
 
 
@@ -613,6 +614,21 @@ def q_v4(spark, sf_dir):
     return r.select("item_id", "slot", F.col("rank").cast("int").alias("rank"), "bank_id", r6("logit").alias("logit"), r6("weight").alias("weight"))
 
 
+@register("v4_v5_route_given_logits", """
+WITH l AS (SELECT vec_id AS item_id, unnest(CAST(embedding AS DOUBLE[])) AS logit, unnest(generate_series(0, len(embedding) - 1)) AS i FROM embeddings),
+rk AS (SELECT item_id, CAST(floor(i / 16) AS INTEGER) AS slot, CAST(i % 16 AS BIGINT) AS bank_id, logit,
+         row_number() OVER (PARTITION BY item_id, floor(i / 16) ORDER BY logit + CASE WHEN i % 16 = 3 THEN 0.05 ELSE 0.0 END DESC, i) - 1 AS rank FROM l),
+ch AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY item_id, slot)) / 0.5) AS e FROM rk WHERE rank < 3)
+SELECT item_id, slot, CAST(rank AS INTEGER) AS rank, bank_id, round(logit, 6) AS logit,
+  round(e / sum(e) OVER (PARTITION BY item_id, slot), 6) AS weight FROM ch""")
+def q_v4_given(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    per_slot = F.transform(F.sequence(F.lit(0), (F.size("embedding") / 16).cast("int") - 1), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
+    items = e.select(F.col("vec_id").alias("item_id"), per_slot.alias("logits"))
+    r = V.routes(V.route_given_logits(items, k=3, temperature=0.5, bias=[0.05 if i == 3 else 0.0 for i in range(16)]))
+    return r.select("item_id", "slot", F.col("rank").cast("int").alias("rank"), "bank_id", r6("logit").alias("logit"), r6("weight").alias("weight"))
+
+
 @register("v6_combine", _W_SQL + """,
 ex AS (SELECT item_id, weight, unnest(bvec) AS x, unnest(generate_series(1, len(bvec))) AS i FROM w),
 s AS (SELECT item_id, i, sum(weight * x) AS y FROM ex GROUP BY item_id, i)
@@ -877,6 +893,43 @@ def q_e1(spark, sf_dir):
     return P.concat_slices(*parts)
 
 
+@register("e1_prepare_batches", f"""
+WITH i AS ({FX.INSTRUCTIONS_SQL}),
+t AS (SELECT raw_id,
+        len(regexp_extract_all({_PROMPT_SQL} || '<|assistant|>' || chr(10), {_TOK})) AS prompt_len,
+        len(regexp_extract_all({_PROMPT_SQL} || '<|assistant|>' || chr(10) || output || '<|end|>' || chr(10), {_TOK})) AS n_ids,
+        floor((row_number() OVER (ORDER BY {_H.format(k='raw_id')}, raw_id) - 1) / 16) AS batch_id
+      FROM i),
+w AS (SELECT *, ceil(max(n_ids) OVER (PARTITION BY batch_id) / 8.0) * 8 AS width FROM t)
+SELECT raw_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(width AS INTEGER) AS width, CAST(n_ids AS INTEGER) AS n_attended,
+  CAST(least(prompt_len, n_ids) + width - n_ids AS INTEGER) AS n_ignored FROM w""")
+def q_e1b(spark, sf_dir):
+    from marksheet.plans.prepare import prepare_training, training_batches
+    recs = ensure_parallelism(FX.instructions(spark, sf_dir).select("raw_id", "instruction", "input", "output"))
+    rows = prepare_training(recs, T.template_frame(spark), key="raw_id", val_ratio=0.0)["train"]
+    b = training_batches(rows, 16, "raw_id", multiple_of=8)
+    return b.select("raw_id", "batch_id", F.size("input_ids").alias("width"), F.size(F.filter("attention_mask", lambda x: x)).alias("n_attended"),
+                    F.size(F.filter("labels", lambda x: x == -100)).alias("n_ignored"))
+
+
+@register("u1_prepare_with_tokenizer", f"""
+WITH i AS ({FX.INSTRUCTIONS_SQL}),
+t AS (SELECT raw_id, string_split({_PROMPT_SQL} || '<|assistant|>' || chr(10), ' ') AS p,
+        string_split({_PROMPT_SQL} || '<|assistant|>' || chr(10) || output || '<|end|>' || chr(10), ' ') AS f FROM i),
+c AS (SELECT raw_id, p, f, unnest(range(0, CAST(ceil(len(f) / 512.0) AS BIGINT))) AS chunk_no FROM t)
+SELECT raw_id, CAST(chunk_no AS INTEGER) AS chunk_no, list_transform(f[chunk_no * 512 + 1 : chunk_no * 512 + 512], lambda x: CAST(length(x) AS INTEGER)) AS input_ids,
+  CAST(least(greatest(len(p) - chunk_no * 512, 0), len(f[chunk_no * 512 + 1 : chunk_no * 512 + 512])) AS INTEGER) AS n_masked FROM c""")
+def q_u1(spark, sf_dir):
+    from marksheet.plans.prepare import prepare_training
+
+    def make_tokenizer():
+        return lambda texts: [[len(w) for w in t.split(" ")] for t in texts]
+
+    recs = ensure_parallelism(FX.instructions(spark, sf_dir).select("raw_id", "instruction", "input", "output"))
+    rows = prepare_training(recs, T.template_frame(spark), key="raw_id", val_ratio=0.0, max_len=512, make_tokenizer=make_tokenizer)["train"]
+    return rows.select("raw_id", "chunk_no", "input_ids", F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"))
+
+
 @register("e2_evaluate_sets", GRADED_SQL + f"""
 , m AS (SELECT dataset_name, count(*) AS total_samples, CAST(count_if(is_correct) AS BIGINT) AS correct_samples FROM graded GROUP BY dataset_name)
 SELECT dataset_name, round(correct_samples / total_samples, 6) AS test_accuracy, total_samples, correct_samples, false AS failed FROM m
