@@ -74,7 +74,7 @@ def _numeric(pn: Column, gn: Column, cfg: GradeConfig) -> Column:
     if cfg.is_close:
         hit = F.exists(F.array(*cands), lambda x: close(pn, x, cfg.rel_tol, cfg.abs_tol))
     else:
-        hit = F.exists(F.array(*cands), lambda x: x == pn)
+        hit = F.exists(F.array(*cands), lambda x: (x == pn) & ~F.isnan(pn))  # NaN equals nothing
     return F.when(pn.isNotNull() & gn.isNotNull(), F.coalesce(hit, F.lit(False)))
 
 

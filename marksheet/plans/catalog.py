@@ -502,6 +502,30 @@ def q_x6(spark, sf_dir):
                     X.theorem_answer("theorem_text", answer_flag=False).alias("last_number"))
 
 
+# ------------------------------------------------------------------ every branch of the rules (X1-X5, X7, N2, G0, G5, G7) on part
+
+_RULE_FNS = {"boxed": X.final_answer, "phrase": X.phrase_choice, "option": X.option_choice, "last_option": X.last_option,
+             "theorem": X.theorem_answer, "number_words": N.number_words}
+
+
+@register("x_n_rule_branches", "SELECT p_partkey, " + ", ".join(
+    f"{FX.by_case_sql([want for _, want in cases])} AS {rule}" for rule, cases in FX.RULE_CASES.items()) + " FROM part")
+def q_rule_branches(spark, sf_dir):
+    pt = read_table(spark, sf_dir, "part")
+    texts = pt.select("p_partkey", *[FX.by_case([t for t, _ in cases]).alias(rule) for rule, cases in FX.RULE_CASES.items()])
+    return texts.select("p_partkey", *[fn(F.col(rule)).alias(rule) for rule, fn in _RULE_FNS.items()])
+
+
+@register("g0_g5_g7_strict_grades", f"""
+SELECT p_partkey, {FX.by_case_sql(["true" if c[2] else "false" for c in FX.STRICT_CASES])} = 'true' AS is_correct,
+  {FX.by_case_sql([c[3] for c in FX.STRICT_CASES])} AS rung FROM part""")
+def q_strict(spark, sf_dir):
+    pt = read_table(spark, sf_dir, "part")
+    t = pt.select("p_partkey", FX.by_case([c[0] for c in FX.STRICT_CASES]).alias("pred"), FX.by_case([c[1] for c in FX.STRICT_CASES]).alias("gold"))
+    strict = G.GradeConfig(include_percentage=False, is_close=False)
+    return G.grade(t, "pred", "gold", normalize=False, cfg=strict).select("p_partkey", "is_correct", "rung")
+
+
 # ------------------------------------------------------------------ lists and tuples (G4, G8, G9, J4) on part
 
 _ELEM_EQ = ("(lower(trim({a}, {ws})) = lower(trim({b}, {ws})) OR "
@@ -554,16 +578,17 @@ def q_j4(spark, sf_dir):
 WITH p AS ({FX.PREDICTIONS_SQL}),
 s AS (SELECT l_returnflag AS dataset_name,
         concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
-                  strftime(l_shipdate, '%Y%m%d%H%M%S')) AS raw_id FROM lineitem WHERE l_linestatus = 'O'),
+                  strftime(l_shipdate, '%Y%m%d%H%M%S')) || CASE WHEN l_linestatus = 'O' THEN '' ELSE '-old' END AS raw_id FROM lineitem),
 j AS (SELECT CASE WHEN p.raw_id IS NULL THEN 'source_only' WHEN s.raw_id IS NULL THEN 'prediction_only' ELSE 'matched' END AS match_status
       FROM p FULL JOIN s ON p.dataset_name = s.dataset_name AND p.raw_id = s.raw_id)
 SELECT match_status, count(*) AS n FROM j GROUP BY match_status""")
 def q_j2(spark, sf_dir):
     pr = FX.predictions(spark, sf_dir)
-    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "O")
-    src = FX.predictions(spark, sf_dir).join(
-        li.select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
-                              F.date_format("l_shipdate", "yyyyMMddHHmmss")).alias("raw_id")), "raw_id", "left_semi").select("dataset_name", "raw_id")
+    li = read_table(spark, sf_dir, "lineitem")
+    own = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                      F.date_format("l_shipdate", "yyyyMMddHHmmss"))
+    src = li.select(F.col("l_returnflag").alias("dataset_name"),
+                    F.concat(own, F.when(F.col("l_linestatus") == "O", F.lit("")).otherwise(F.lit("-old"))).alias("raw_id"))
     return G.pair_with_sources(pr, src).groupBy("match_status").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -7,9 +7,10 @@ double-to-string rendering differs between engines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marksheet.operators.vectors import mean_pool
 from marksheet.session import read_table
 
 # ---------------------------------------------------------------- predictions (lineitem)
@@ -191,7 +192,13 @@ def penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- vectors (embeddings)
 
 VECTORS_SQL = "SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings"
-BANK_SQL = "SELECT vec_id AS bank_id, CAST(embedding AS DOUBLE[]) AS vec, 0.0::DOUBLE AS bias FROM embeddings WHERE vec_id < 16"
+BANK_SQL = """
+SELECT CAST(label AS BIGINT) AS bank_id, list(m ORDER BY i) AS vec, 0.0::DOUBLE AS bias
+FROM (SELECT label, i, avg(x) AS m
+      FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)
+      GROUP BY label, i)
+GROUP BY label
+"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,11 +206,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
 
 
-def bank(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
-    """The routing bank: the embeddings with ``vec_id < size`` (16 entries), zero bias."""
-    e = read_table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") < size).select(
-        F.col("vec_id").alias("bank_id"), F.col("embedding").cast("array<double>").alias("vec"), F.lit(0.0).alias("bias"))
+def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routing bank: one entry per label, the mean of all its embeddings; zero bias."""
+    means = mean_pool(vectors(spark, sf_dir), "label")
+    return means.select(F.col("label").cast("long").alias("bank_id"), F.col("mean").alias("vec"), F.lit(0.0).alias("bias"))
 
 
 LATENTS_SQL = """
@@ -263,3 +269,38 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k == 4, size)
             .otherwise(letter3))
     return pt.select("p_partkey", pred.alias("pred"), gold.alias("gold"))
+
+
+# ---------------------------------------------------------------- one text per branch of each rule (part)
+
+# (text, expected answer) by rule; ``@`` stands for the row's size. The expectations are worked out
+# by hand from the rules, so they also serve as the SQL side.
+RULE_CASES = {
+    "boxed": [("so $\\boxed{@}$.", "@"), ("\\boxed{\\frac{@}{2}}", "\\frac{@}{2}"), ("\\boxed{a{b{c{d{@}}}}}", "a{b{c{d{@}}}}"),
+              ("boxed @ $ rest", "@"), ("no answer @", ""), ("unclosed \\boxed{@", "@"), ("@ boxed", ""),
+              ("\\boxed{:@.}", "@"), ("\\boxed{1} then \\boxed{@/}", "@"), ("\\boxed{@\n  0}", "@0")],
+    "phrase": [("The Answer Is (b) @", "B"), ("my choice is c, @", "C"), ("nothing here @", "placeholder"), ("answer is F @", "placeholder"),
+               ("answer is a Problem: answer is b", "A"), ("Problem: answer is d", "placeholder"), ("answer is d, answer is e", "D")],
+    "option": [("B or @ C", "C"), ("answer is B not C @", "B"), ("answer is A. answer is B\n\nanswer is D @", "B"), ("answer is @", "@"),
+               ("answer is ", ""), ("it is @.", "it is @"), ("choice is (e)/", "E")],
+    "last_option": [("A then D @", "D"), ("@.", "@"), (":x@/", "x@"), ("(c) @", "C"), ("", "")],
+    "theorem": [("Yes @", "True"), ("@ is false", "False"), ("(A) @", "(A) @"), ("so \\boxed{@}", "@"), ("x = @", "@"), ("@ cm", "@"),
+                ("@ m/s2", "@"), ("@%", "@/100"), ("@\\pi", "@*3.14"), ("$@", "@"), ("it measures @ cm", "it measures @ cm")],
+    "number_words": [("twenty-one", "21"), ("Ninety Nine", "99"), ("zero", "0"), ("thirteen", "13"), ("00@", "@"), ("@ sheep", "@ sheep")],
+}
+
+# (prediction, gold, correct in strict mode, rung); None: a missing side.
+STRICT_CASES = [(None, "@", False, "null"), ("@", None, False, "null"), ("@", "@", True, "exact"), ("@.000001", "@", False, "numeric"),
+                ("+@", "@", True, "numeric"), ("@00", "@", False, "numeric"), ("nan", "+nan", False, "numeric"),
+                ("\\begin{pmatrix}@\\7\\end{pmatrix}", "{@,7}", True, "brackets")]
+
+
+def by_case(values: list, key: str = "p_partkey") -> Column:
+    """The value of the row's case (key modulo the number of cases), with ``@`` filled in."""
+    pick = F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values)).cast("int") + 1)
+    return F.replace(pick, F.lit("@"), F.col("p_size").cast("string"))
+
+
+def by_case_sql(values: list, key: str = "p_partkey") -> str:
+    quoted = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
+    return f"replace([{quoted}][CAST({key} % {len(values)} AS BIGINT) + 1], '@', CAST(p_size AS VARCHAR))"
