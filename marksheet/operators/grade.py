@@ -342,6 +342,12 @@ def pair_with_sources(pred: DataFrame, src: DataFrame, keys=("dataset_name", "ra
     return j.withColumn("match_status", status).drop("_in_pred", "_in_src")
 
 
+def duplicate_ids(df: DataFrame, keys=("dataset_name", "raw_id")) -> DataFrame:
+    """J2 report: the keys that occur more than once, with their row counts. Pairing by key
+    multiplies such rows, so callers look here first."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+
+
 def pair_elements(df: DataFrame, left: str, right: str, key_cols) -> DataFrame:
     """Element-wise pairing of two lists: one row per (key, pos). ``length_match`` is false on
     every row of lists of unequal length (the shorter one goes on with nulls) and of a missing

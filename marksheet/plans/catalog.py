@@ -592,6 +592,13 @@ def q_j2(spark, sf_dir):
     return G.pair_with_sources(pr, src).groupBy("match_status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("j2_duplicate_ids", """
+SELECT l_returnflag AS dataset_name, CAST(l_orderkey AS VARCHAR) AS raw_id, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
+def q_j2_dup(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    return G.duplicate_ids(li.select(F.col("l_returnflag").alias("dataset_name"), F.col("l_orderkey").cast("string").alias("raw_id")))
+
+
 # ------------------------------------------------------------------ vectors
 
 @register("v1_mean_pool", f"""
@@ -986,6 +993,19 @@ def q_e2s(spark, sf_dir):
     return out["summary"].withColumn("overall_accuracy", r6("overall_accuracy"))
 
 
+@register("e2_evaluation_outputs", GRADED_SQL + """
+SELECT dataset_name, raw_id, 'solution ' || raw_id AS reference_solution, extracted_prediction, is_correct, t.total_samples
+FROM graded JOIN (SELECT dataset_name, count(*) AS total_samples FROM graded GROUP BY dataset_name) t USING (dataset_name)""")
+def q_e2o(spark, sf_dir):
+    from marksheet.plans.evaluate import evaluate_records
+    recs = FX.predictions(spark, sf_dir).withColumnRenamed("reference_answer", "answer").withColumn("output", F.concat(F.lit("solution "), F.col("raw_id")))
+    path = scratch_path(spark, "evaluation")
+    out = evaluate_records(spark, ensure_parallelism(recs), ["A", "N", "R"], output_dir=path, run_stamp="20260101_000000")
+    metrics = spark.read.schema("dataset_name string, total_samples long").json(f"{path}/metrics")
+    return out["predictions"].join(metrics, "dataset_name").select("dataset_name", "raw_id", "reference_solution", "extracted_prediction", "is_correct",
+                                                                   "total_samples")
+
+
 _REBALANCE_SQL = f"""
 WITH RECURSIVE
 v AS ({FX.VECTORS_SQL}), b AS ({FX.BANK_SQL}),

@@ -28,6 +28,10 @@ DEFAULT_CAPS = [
 ]
 DEFAULT_EVAL_SETS = ["gpqa", "mmlupro_chemistry", "math500_level3", "mmlupro_math", "mmlupro_economics"]
 
+# The columns of a written prediction, as far as the records have them.
+RECORD_COLUMNS = ["dataset_name", "instruction", "raw_id", "input", "reference_answer", "reference_solution", "decoded_prediction",
+                  "extracted_prediction", "is_correct", "rung", "undecided", "both_empty", "error"]
+
 
 def default_caps(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEFAULT_CAPS, "dataset_name string, cap int")
@@ -36,12 +40,14 @@ def default_caps(spark: SparkSession) -> DataFrame:
 def evaluate_records(spark: SparkSession, records: DataFrame, names: list[str], caps: DataFrame | None = None,
                      source_errors: DataFrame | None = None, make_generator=None, template: DataFrame | None = None,
                      key: str = "raw_id", seed: int = 42, exempt: str | None = "math500",
-                     gold_col: str = "answer") -> dict[str, DataFrame]:
+                     gold_col: str = "answer", output_dir: str | None = None, run_stamp: str | None = None) -> dict[str, DataFrame]:
     """Records tagged with ``dataset_name`` -> predictions, metrics (one row per requested name), summary.
 
     Without ``make_generator`` the records must already carry ``decoded_prediction``. Every record
     is scored unless ``caps`` are passed (``default_caps`` has the original ones); a requested set
-    that those leave out is then reported as an error, not scored.
+    that those leave out is then reported as an error, not scored. With ``output_dir`` the
+    predictions (one folder per set), metrics and summary are written below it (S6, S7), and the
+    scores are computed from the written predictions, so a model's answers are generated once.
     """
     requested = A.requested_frame(spark, names)
     capped, errors = records, None if source_errors is None else source_errors.select("dataset_name", "error")
@@ -57,9 +63,20 @@ def evaluate_records(spark: SparkSession, records: DataFrame, names: list[str],
         capped = H.generate_with(prompted, make_generator, "prompt_text", "decoded_prediction")
     preds = capped.withColumn("extracted_prediction", final_answer("decoded_prediction"))
     preds = preds.withColumn("reference_answer", F.coalesce(F.col(gold_col).cast("string"), F.lit("")))
+    if "output" in preds.columns:
+        preds = preds.withColumn("reference_solution", F.coalesce(F.col("output").cast("string"), F.lit("")))
     graded = G.grade(preds, "extracted_prediction", "reference_answer")
+    if output_dir is not None:
+        base = output_dir.rstrip("/")
+        record = graded.select(*[c for c in RECORD_COLUMNS if c in graded.columns])
+        SRC.write_predictions(record, f"{base}/predictions")
+        graded = spark.read.schema(record.schema).parquet(f"{base}/predictions")
     metrics = A.score_with_failures(graded, requested, errors)
-    return {"predictions": graded, "metrics": metrics, "summary": A.summarize(metrics)}
+    summary = A.summarize(metrics)
+    if output_dir is not None:
+        SRC.write_metrics(metrics, f"{base}/metrics", run_stamp)
+        SRC.write_summary(summary, f"{base}/summary", run_stamp)
+    return {"predictions": graded, "metrics": metrics, "summary": summary}
 
 
 def evaluate_sets(spark: SparkSession, eval_dir: str, names: list[str] | None = None, caps: DataFrame | None = None,
