@@ -78,13 +78,14 @@ def softmax_weights(chosen: Column, temperature: float = 1.0) -> Column:
 def route_topk(items: DataFrame, bank: DataFrame, k: int, temperature: float = 1.0, key: str = "item_id",
                vec_col: str = "vec", slot: int = 0, max_bank: int = MAX_BANK) -> DataFrame:
     """V4 + V5 (array form): ``chosen`` = top-k entries by logit + bias with softmax ``weight``."""
-    s = bank_scores(items.select(key, vec_col), bank, vec_col, max_bank)
-    n_bank = F.size("scores")
-    chosen = topk_per_row(F.col("scores"), k)
-    s = s.withColumn("_c", F.when(F.lit(k) <= n_bank, chosen).otherwise(F.raise_error(F.lit("topk cannot exceed bank size"))))
-    w = softmax_weights(F.col("_c"), temperature)
-    routed = F.zip_with("_c", w, lambda c, wt: F.struct(
-        c["bank_id"].alias("bank_id"), c["logit"].alias("logit"), wt.alias("weight"), c["vec"].alias("vec")))
+    j = with_bank(items.select(key, vec_col), bank, max_bank)
+    # the sort moves ids and scores only; the chosen entries' vectors are looked up afterwards
+    scores = F.transform("bank", lambda b, i: F.struct(
+        b["bank_id"].alias("bank_id"), dot(F.col(vec_col), b["vec"]).alias("logit"), b["bias"].alias("bias"), i.alias("place")))
+    best = F.when(F.size("bank") >= k, topk_per_row(scores, k)).otherwise(F.raise_error(F.lit("topk cannot exceed bank size")))
+    s = j.withColumn("_c", best)
+    routed = F.zip_with("_c", softmax_weights(F.col("_c"), temperature), lambda c, wt: F.struct(
+        c["bank_id"].alias("bank_id"), c["logit"].alias("logit"), wt.alias("weight"), F.get(F.col("bank"), c["place"])["vec"].alias("vec")))
     return s.select(key, vec_col, F.lit(slot).alias("slot"), routed.alias("chosen"))
 
 
