@@ -18,7 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HINT = "(?i)licen[sc]|copyright|permission|warrant|redistribut|public domain|spdx|rights reserved|free software"
+# Words of which every sentence rule below needs one; sentences without any are passed over.
+HINT = ("(?i)licen[sc]|copyright|permission|redistribut|spdx|public[^A-Za-z0-9]+domain|rights[^A-Za-z0-9]+reserved"
+        "|software[^A-Za-z0-9]+is[^A-Za-z0-9]+provided|used[^A-Za-z0-9]+to[^A-Za-z0-9]+endorse"
+        "|cc0|creative[^A-Za-z0-9]+commons|cc[^A-Za-z0-9]+by|attribution[^A-Za-z0-9]+(?:noncommercial|sharealike)")
 
 # (identifier, pattern on a normalised sentence); the first that matches names the sentence.
 SENTENCES = [

@@ -415,6 +415,28 @@ def test_licences(spark, edge):
     assert license_scan.recognise(edge).count() == len(EDGE)
 
 
+# One sentence, as it may be written, for each sentence rule.
+LICENCE_SENTENCES = {
+    "spdx": "SPDX-License-Identifier: x", "agpl3": "the GNU Affero General Public License", "lgpl": "GNU Lesser General Public License",
+    "gpl2": "GNU General Public License v2", "gpl3": "GNU General Public License, version 3", "gpl": "GNU General Public License",
+    "gpl_later": "either version 2 of the License, or (at your option) any later version", "apache2": "the Apache License",
+    "apache_use": "You may not use this file except in compliance with the License", "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "mit_notice": "The above copyright notice and this permission notice shall be included", "mit": "MIT licence",
+    "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose", "bsd_use": "Redistribution and use in source and binary forms",
+    "bsd_source": "Redistributions of source code must retain", "bsd_binary": "Redistributions in binary form must reproduce",
+    "bsd_endorse": "Neither the name of X nor Y may be used to endorse", "bsd": "BSD-License", "as_is": "THE SOFTWARE IS PROVIDED \"AS IS\"",
+    "mpl2": "Mozilla Public License", "epl": "Eclipse Public License", "cc0": "CC0 1.0", "cc_by_nc_nd": "CC-BY-NC-ND", "cc_by_nc_sa": "CC BY-NC-SA",
+    "cc_by_nc": "Attribution-NonCommercial", "cc_by_sa": "Attribution-ShareAlike", "cc_by_nd": "CC BY-ND 4.0", "cc_by": "Creative Commons Attribution",
+    "public_domain": "released into the public-domain", "reserved": "All Rights Reserved", "copyright": "Copyright X",
+}
+
+
+def test_every_licence_sentence_rule_is_reached(spark):
+    assert set(LICENCE_SENTENCES) == {identifier for identifier, _ in license_scan.SENTENCES}
+    rows = spark.createDataFrame(list(LICENCE_SENTENCES.items()), "want string, text string")
+    assert {r.want: r.sentence_ids for r in license_scan.recognise(rows).collect()} == {k: [k] for k in LICENCE_SENTENCES}
+
+
 # ---------------------------------------------------------------- 10 mixing
 
 
