@@ -646,7 +646,7 @@ def q_v4(spark, sf_dir):
     return r.select("item_id", "slot", F.col("rank").cast("int").alias("rank"), "bank_id", r6("logit").alias("logit"), r6("weight").alias("weight"))
 
 
-@register("v4_v5_route_given_logits", """
+@register("v5_given_logits_by_slot", """
 WITH l AS (SELECT vec_id AS item_id, unnest(CAST(embedding AS DOUBLE[])) AS logit, unnest(generate_series(0, len(embedding) - 1)) AS i FROM embeddings),
 rk AS (SELECT item_id, CAST(floor(i / 16) AS INTEGER) AS slot, CAST(i % 16 AS BIGINT) AS bank_id, logit,
          row_number() OVER (PARTITION BY item_id, floor(i / 16) ORDER BY logit + CASE WHEN i % 16 = 3 THEN 0.05 ELSE 0.0 END DESC, i) - 1 AS rank FROM l),
