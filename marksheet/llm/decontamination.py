@@ -5,11 +5,12 @@
 2. A distributed randomised SVD of the benchmark's TF-IDF passages gives a whitened latent space
    of ``RANK`` dimensions: random start, power rounds that sum A'(A q) over the tasks, an
    orthogonal basis between rounds. Matrices have at most DIMS x (RANK + EXTRA) entries.
-3. Every passage of every document (``WIDTH`` words, every ``STEP`` words) is folded in. One whose
-   TF-IDF mass on the benchmark's vocabulary is below ``MIN_MASS`` of its norm cannot come close
-   (its projection is no longer than that mass) and is passed over; the others are compared with
-   all benchmark passages of a block of the stated query set in one matrix product. Cosines of
-   ``MIN_COSINE`` or more, with the same bound on the mass shared with that item, are candidates.
+3. Every passage of every document (``WIDTH`` words, every ``STEP`` words; for short items also the
+   lengths and steps of ``SHORT``) is folded in and compared with the benchmark passages of its
+   length in a block of the stated query set in one matrix product. Passages without a word of
+   the benchmark have no latent vector and are passed over. Cosines of ``MIN_COSINE`` or more are
+   candidates, unless the text that would be verified has fewer words of the item than
+   ``MIN_LCS`` asks for: the longest common subsequence is no longer than their number.
 4. A candidate is verified against the whole item: longest common word subsequence (bit-parallel)
    between the item and the text around the passage, at least ``MIN_LCS`` of the item; and the
    answer check: the item's closing sentence must be there to ``MIN_ANSWER``.
@@ -19,7 +20,7 @@ broadcast (a larger benchmark means more blocks, not a larger one); driver matri
 bound. Whole texts are searched, however long; no shuffle but the sums of fixed-size partials.
 
 Defined results: null or empty text, and benchmark items without a word, match nothing. Short
-items (under WIDTH words) are one passage. Repeated rows give repeated results; every pair over
+items (under WIDTH words) are one passage, met by passages of the next length in ``SHORT``. Repeated rows give repeated results; every pair over
 the thresholds is returned, so ties play no part. Null ids are kept. Extra columns are ignored
 by the search and kept by ``without_leaks``. An empty benchmark or table matches nothing.
 """
@@ -38,7 +39,9 @@ from marksheet.llm.textbatch import LOWER, find_words, hash_words, pieces
 DIMS = 1 << 16
 RANK, EXTRA, ROUNDS = 96, 8, 2
 WIDTH, STEP = 24, 8
-MIN_MASS, MIN_COSINE = 0.65, 0.6
+PART = 4  # words; document passages are put together from the sums of such parts
+SHORT = {8: 4, 12: 4, 16: 4}  # passage length and step for items of at most so many words
+MIN_COSINE = 0.6
 MIN_LCS, MIN_ANSWER = 0.6, 0.5
 ITEM_BLOCK = 512
 SEED = 7
@@ -60,13 +63,14 @@ def slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - DIMS.bit_length() + 1)).astype(np.int64)
 
 
-def passages(first: np.ndarray, width: int = WIDTH, step: int = STEP):
-    """(row, begin, end) of each row's passages: every ``step`` words, the last one flush."""
+def passages(first: np.ndarray, width: int = WIDTH, step: int = STEP, flush: bool = True):
+    """(row, begin, end) of each row's passages: every ``step`` words, the last one flush (or cut
+    off at the end)."""
     n = np.diff(first)
     count = np.where(n > 0, np.maximum(np.ceil((n - width) / step), 0).astype(np.int64) + 1, 0)
     row = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    begin = first[row] + np.minimum(k * step, np.maximum(n[row] - width, 0))
+    begin = first[row] + (np.minimum(k * step, np.maximum(n[row] - width, 0)) if flush else k * step)
     return row, begin, np.minimum(begin + width, first[row + 1])
 
 
@@ -77,16 +81,19 @@ def entries(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(at, size), at
 
 
-def latent(rows: np.ndarray, begin: np.ndarray, end: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Unit latent vectors of passages; ``rows`` has each word's row of ``basis`` (0: none)."""
+def folded(rows: np.ndarray, begin: np.ndarray, end: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Latent vectors of passages; ``rows`` has each word's row of ``basis`` (0: none)."""
     out = [np.zeros((0, basis.shape[1]), np.float32)]
     for a in range(0, len(begin), 2048):
         word, at = entries(begin[a: a + 2048], end[a: a + 2048])
-        x = np.add.reduceat(basis[rows[word]], at, axis=0)
-        out.append(x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None])
+        out.append(np.add.reduceat(basis[rows[word]], at, axis=0))
     return np.concatenate(out)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+
+
 def _parts(total: np.ndarray) -> pa.RecordBatch:
     """A partial matrix in packed runs of 1024 rows."""
     runs = [total[k: k + 1024].tobytes() for k in range(0, len(total), 1024)]
@@ -205,35 +212,43 @@ def _search(idf: np.ndarray, row_of: np.ndarray, basis: np.ndarray, items):
         first = np.concatenate([[0], np.cumsum([len(h) for _, h, _ in items])])
         owner, begin, end = passages(first)
         item_rows = row_of[slot(np.concatenate([h for _, h, _ in items]))]
-        queries = latent(item_rows, begin, end, basis)
+        queries = unit(folded(item_rows, begin, end, basis))
+        size = np.diff(first)
+        limits = np.array(sorted(SHORT))
+        kind = np.searchsorted(limits, size[owner])  # which length of passage meets a query
         holds = np.zeros((len(items), len(basis)), bool)  # which items use a row
-        holds[np.repeat(np.arange(len(items)), np.diff(first)), item_rows] = True
+        holds[np.repeat(np.arange(len(items)), size), item_rows] = True
         for batch, data, off in pieces(batches, "_text", 1 << 20):
             h, starts, _ = normal_words(data, off)
-            row, a, b = passages(starts)
-            s = slot(h)
-            rows = row_of[s]
-            mass = idf[s] ** 2
-            whole = np.concatenate([[0], np.cumsum(mass, dtype=np.float64)])
-            known = np.concatenate([[0], np.cumsum(np.where(rows > 0, mass, 0), dtype=np.float64)])
-            near = np.flatnonzero(known[b] - known[a] >= MIN_MASS ** 2 * (whole[b] - whole[a]))
-            row, a, b = row[near], a[near], b[near]
+            rows = row_of[slot(h)]
+            part_row, part_a, part_b = passages(starts, PART, PART, flush=False)
+            part = folded(rows, part_a, part_b, basis)
+            part_first = np.searchsorted(part_row, np.arange(len(starts)))
+            known = np.concatenate([[0], np.cumsum(rows > 0)])
             found: dict = {}
-            x = latent(rows, a, b, basis)
-            for lo in range(0, len(x), 4096):
-                cos = x[lo: lo + 4096] @ queries.T
-                p, q = np.nonzero(cos >= MIN_COSINE)
-                if not len(p):
-                    continue
-                word, at = entries(a[p + lo], b[p + lo])
-                shared = np.where(holds[np.repeat(owner[q], (b - a)[p + lo]), rows[word]], mass[word], 0)
-                close = np.add.reduceat(shared, at) >= MIN_MASS ** 2 * (whole[b[p + lo]] - whole[a[p + lo]])
-                p, q = p[close], q[close]
-                for i, j, c in zip((p + lo).tolist(), q.tolist(), cos[p, q].tolist()):
-                    pair = (int(row[i]), int(owner[j]))
-                    spot = int(a[i] - begin[j] + first[owner[j]])  # where the item would begin
-                    spots = found.setdefault(pair, {})
-                    spots[spot] = max(c, spots.get(spot, c))
+            for c in np.unique(kind).tolist():
+                width, step = (int(limits[c]), SHORT[int(limits[c])]) if c < len(limits) else (WIDTH, STEP)
+                own = np.flatnonzero(kind == c)
+                row, a, b = passages(part_first, width // PART, step // PART)
+                some = np.flatnonzero(known[part_b[b - 1]] > known[part_a[a]])
+                row, a, b = row[some], a[some], b[some]
+                for lo in range(0, len(row), 4096):
+                    ends = slice(lo, lo + 4096)
+                    cos = unit(folded(np.arange(len(part)), a[ends], b[ends], part)) @ queries[own].T
+                    p, q = np.nonzero(cos >= MIN_COSINE)
+                    if not len(p):
+                        continue
+                    near, d, q = cos[p, q], row[p + lo], own[q]
+                    k = owner[q]
+                    spot = part_a[a[p + lo]] - begin[q] + first[k]  # where the item would begin
+                    left, right = np.maximum(starts[d], spot - WIDTH), np.minimum(starts[d + 1], spot + size[k] + WIDTH)
+                    for g in range(0, len(p), 65536):
+                        cut = slice(g, g + 65536)
+                        word, at = entries(left[cut], right[cut])
+                        shared = np.add.reduceat(holds[np.repeat(k[cut], (right - left)[cut]), rows[word]].astype(np.int32), at)
+                        for i in (np.flatnonzero(shared >= MIN_LCS * size[k[cut]]) + g).tolist():
+                            spots = found.setdefault((int(d[i]), int(k[i])), {})
+                            spots[int(spot[i])] = max(float(near[i]), spots.get(int(spot[i]), 0.0))
             out = []
             for (d, k), spots in found.items():
                 name, words, answer = items[k]

@@ -333,6 +333,28 @@ def test_decontamination_paraphrase(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == {(1, 7)}
 
 
+def test_decontamination_short_items_and_strong_paraphrases(spark):
+    """Verbatim items of 6 to 16 words inside longer text, and paraphrases at the LCS limit."""
+    rng = np.random.default_rng(11)
+    item = {k: [f"q{k}w{j}" for j in range(n)] for k, n in enumerate([6, 7, 8, 9, 10, 12, 13, 15, 16, 16, 20, 24, 30, 40])}
+    filler = lambda n: [str(x) for x in rng.choice([f"common{i}" for i in range(300)], n)]
+    rows, want = [], set()
+    for k, x in item.items():
+        for lead in (40, 41, 42, 43):
+            want.add((len(rows), k))
+            rows.append(filler(lead) + x + filler(60))
+        if len(x) >= 12:  # the words that are replaced are rare ones, seen nowhere else
+            gone = {j for j in range(len(x)) if j % 5 in (1, 3)}
+            while len(x) - len(gone) < 0.6 * len(x):
+                gone.remove(max(gone))
+            want.add((len(rows), k))
+            rows.append(filler(50) + [f"rare{k}x{j}" if j in gone else w for j, w in enumerate(x)] + filler(50))
+    rows += [filler(200) for _ in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in item.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == want
+
+
 # ---------------------------------------------------------------- 7 substring dedup
 
 
