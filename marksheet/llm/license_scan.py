@@ -1,12 +1,20 @@
 """Operator 9: licence scans by sentence rules.
 
-A text is cut into sentences (after ``.!?;`` and white space, and at line ends), each sentence is
-normalised (lower case, everything but a-z0-9 one space) and mapped to the identifier of the first
-sentence rule that knows it. The identifiers of a text, in order, are then matched against the
+A text is cut into sentences (after ``.!?;`` and white space, and at blank lines, in comments too),
+each sentence is normalised (lower case, everything but a-z0-9 one space) and mapped to the
+identifier of the first sentence rule that knows it. A sentence may be wrapped over lines: its
+lines are read in order, joined to those before since the last rule; a rule that holds only for
+the joined lines takes the place of what its lines said alone, a line that begins in lower case
+adds nothing to a higher rule, and other lines with a rule of their own (headings, lists,
+notices) are named by themselves. The identifiers of a text, in order, are then matched against the
 ordered licence rules: the leftmost match first, the earlier rule first where several start.
 
 Scale: every row for itself, built-in functions only, no shuffle. Texts without any hint word
-skip the sentence work.
+skip the sentence work. Lines are joined to at most ``JOINED`` characters before them, so a long
+text without sentence ends takes linear time.
+
+The DuckDB oracle cuts at line ends, has no ``MORE`` rules and gives a sentence one identifier (here a
+GNU licence with its later versions has two); elsewhere both agree.
 
 Defined results: null or empty text has no sentences (empty strings, zero). A repeated sentence
 is repeated in the identifiers. Repeated rows give repeated results. Null ids are kept. Extra
@@ -58,6 +66,12 @@ SENTENCES = [
     ("copyright", r"copyright"),
 ]
 
+# Rules after those above that the oracle does not have.
+MORE = [("public_domain", r"placed in the public domain")]
+JOINED = 4000
+GNU = ["agpl3", "lgpl", "gpl2", "gpl3", "gpl"]
+BREAK = r"\n[ \t\r]*(?:#+|\*+/?|/\*+|//+|;+|--)?[ \t\r]*\n"
+
 # (licence, pattern on the identifiers, each written as "identifier;"); earlier rules first.
 LICENCES = [
     ("MIT", r"mit_grant;(?:mit_notice;)?(?:as_is;)?|mit;(?:mit_grant;)?(?:mit_notice;)?(?:as_is;)?"),
@@ -89,17 +103,48 @@ LICENCES = [
 def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``sentence_ids`` (array of identifiers) and ``licences`` (array, in order)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(F.regexp_replace(t, r"([.!?;])[ \t\r\n]+", "$1\n"), "\n")
-
-    def name(sentence):
-        plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-        known = F.lit(None).cast("string")
-        for identifier, pattern in reversed(SENTENCES):
-            known = F.when(plain.rlike(pattern), F.lit(identifier)).otherwise(known)
-        return known
-
-    hinted = F.filter(lines, lambda x: x.rlike(HINT))
-    ids = F.filter(F.transform(hinted, name), lambda x: x.isNotNull())
+    sentences = F.split(F.regexp_replace(t, r"([.!?;])[ \t\r\n]+", "$1\n\n"), BREAK)
+    rules = [r for r in SENTENCES if r[0] != "copyright" and r[0] != "reserved"] + MORE + SENTENCES[-2:]
+    none = F.lit(None).cast("string")
+
+    def name(piece):
+        def rule(plain):
+            known = none
+            for identifier, pattern in reversed(rules):
+                known = F.when(plain.rlike(pattern), F.lit(identifier)).otherwise(known)
+            return known
+        return F.element_at(F.transform(F.array(F.trim(F.regexp_replace(F.lower(piece), "[^a-z0-9]+", " "))), rule), 1)
+
+    def state(ids, before, last):
+        return F.struct(ids.alias("ids"), before.alias("before"), last.alias("last"))
+
+    def read(acc, line):
+        joined = F.concat_ws(" ", F.substring(acc["before"], -JOINED, JOINED), line)
+        own = F.when(line.rlike(HINT), name(line))
+        seen = F.transform(F.array(F.struct(own.alias("own"), joined.alias("joined"))), lambda x: F.struct(
+            x["own"].alias("own"), x["joined"].alias("joined"), F.when(acc["before"] == "", x["own"]).otherwise(name(x["joined"])).alias("both")))
+
+        def decide(x):
+            own, both, last, ids = x["own"], x["both"], acc["last"], acc["ids"]
+            inner = line.rlike(r"^[^A-Za-z0-9]*[a-z]")
+            without = F.when(last.isNull(), ids).otherwise(F.slice(ids, F.lit(1), F.greatest(F.size(ids) - 1, F.lit(0))))
+            wrapped = both.isNotNull() & ~both.eqNullSafe(own) & ~both.eqNullSafe(last)
+            return F.when(wrapped, state(F.concat(without, F.array(both)), x["joined"], both)) \
+                .when(own.isNull() | (inner & both.eqNullSafe(last)), state(ids, x["joined"], last)) \
+                .when(inner & both.eqNullSafe(own), state(F.concat(without, F.array(own)), x["joined"], own)) \
+                .otherwise(state(F.concat(ids, F.array(own)), line, own))
+
+        return F.element_at(F.transform(seen, decide), 1)
+
+    def names(sentence):
+        start = state(F.array().cast("array<string>"), F.lit(""), none)
+        found = F.aggregate(F.split(sentence, "\n"), start, read, lambda acc: acc["ids"])
+        # one sentence may name a GNU licence and allow its later versions
+        later = F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ").rlike(dict(SENTENCES)["gpl_later"])
+        both = lambda ids: F.flatten(F.transform(ids, lambda x: F.when(x.isin(*GNU), F.array(x, F.lit("gpl_later"))).otherwise(F.array(x))))
+        return F.element_at(F.transform(F.array(found), lambda ids: F.when(later & ~F.array_contains(ids, "gpl_later"), both(ids)).otherwise(ids)), 1)
+
+    ids = F.flatten(F.transform(F.filter(sentences, lambda x: x.rlike(HINT)), names))
     out = docs.withColumn("sentence_ids", F.when(t.rlike(HINT), ids).otherwise(F.array().cast("array<string>")))
     trail = F.concat_ws("", F.transform("sentence_ids", lambda x: F.concat(x, F.lit(";"))))
     any_rule = r"(?<![a-z0-9_])(?:" + "|".join(f"(?:{p})" for _, p in LICENCES) + ")"

@@ -453,6 +453,50 @@ LICENCE_SENTENCES = {
 }
 
 
+BSD3 = """Copyright (c) 2020, A Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above
+   copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General
+ * Public License as published by
+ * the Free Software Foundation; either version 3 of the License, or
+ * (at your option) any later version.
+"""
+
+
+def test_licences_in_wrapped_texts(spark):
+    rows = [(1, BSD3), (2, ISC), (3, GPL), (7, GPL.replace("Foundation;", "Foundation,")), (4, "* MIT License\n* Apache License\n* BSD license\n"), (5, "This file is placed in the public domain."),
+            (6, "SPDX-License-Identifier: X\nCopyright 2020 A\nCopyright 2021 B")]
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in license_scan.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][0][-5:] == ["bsd_use", "bsd_source", "bsd_binary", "bsd_endorse", "as_is"] and got[1][1][-1] == "BSD-3-Clause"
+    assert got[2] == (["isc_grant", "as_is"], ["ISC"])
+    assert got[3] == got[7] == (["gpl", "gpl_later"], ["GPL-or-later"])
+    assert got[4] == (["mit", "apache2", "bsd"], ["MIT", "Apache-2.0", "BSD"])
+    assert got[5] == (["public_domain"], ["Public-Domain"])
+    assert got[6] == (["spdx", "copyright", "copyright"], [])
+
+
 def test_every_licence_sentence_rule_is_reached(spark):
     assert set(LICENCE_SENTENCES) == {identifier for identifier, _ in license_scan.SENTENCES}
     rows = spark.createDataFrame(list(LICENCE_SENTENCES.items()), "want string, text string")
