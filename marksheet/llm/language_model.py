@@ -7,8 +7,8 @@ word. Weights are Dirichlet-smoothed counts, so every state's probabilities sum
     seen arc       (c(hw) + MU * p(w | shorter h)) / (c(h) + MU)
     failure arc    MU / (c(h) + MU)
     base state     (c(w) + 1) / (N + V + 1), the unseen word included
-A walk reads a text once from left to right: it keeps the state of the longest seen history,
-takes the arc or falls back along failure arcs, and adds up log10 weights.
+No states or arcs are built: what a walk would add up is computed from count lookups, level by
+level (``walk``), as the history of a word is fixed by the words before it.
 
 Scale: counts of all n-grams of all training texts are gathered in hash ranges; a block of texts
 gets back the part of the automaton that its own n-grams can reach (``llm.blocks``), so the model
@@ -31,7 +31,7 @@ from marksheet.llm.blocks import MESSAGE_SCHEMA, Block, answers, block_of, block
 from marksheet.llm.scratch import written
 from marksheet.llm.textbatch import LOWER, find_words, hash_words, join_hash, row_sums
 
-ORDER = 2
+ORDER = 3
 MU = 10.0
 END = np.uint64(0xD1B54A32D192ED03)
 NGRAM_MASK = np.uint64(0xFFFFFFFFFFFF0000)

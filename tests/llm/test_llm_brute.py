@@ -133,6 +133,13 @@ def test_language_model(spark, edge, small, order):
         assert np.allclose([x[5:] for x in a], [x[5:] for x in b], atol=1e-3)
 
 
+def test_language_model_query_scores_trigrams(spark, small):
+    rows = pairs_of(small)
+    want = {x[0]: x[6] for x in lm_brute(rows, [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows], 3)}
+    got = {r.doc_id: r.score for r in catalog.QUERIES["op2_language_model"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-2 for i in want)
+
+
 def test_language_model_beats_its_base_on_held_out(spark):
     sums = catalog.QUERIES["op2_language_model"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert sums[1] > sums[0]
