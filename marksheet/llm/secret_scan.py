@@ -9,8 +9,7 @@ Entropy (``entropy_hex``, ``entropy_base64``): a candidate is a run of at least
 characters of the class. A fold over its characters keeps the counts of the last ``WINDOW`` ones:
 a step adds one character and removes one, and changes the entropy by the two terms they touch.
 The span reaches from the first to the last window at the class's limit. Candidates without a
-digit, or that an allow-list rule knows (identifiers, placeholders, words, paths, runs in
-alphabet order), or that overlap a fixed-pattern match, are suppressed.
+digit, or that an allow-list rule knows as a whole (identifiers, words, paths of words), or that overlap a fixed-pattern match, are suppressed. Of a candidate with a placeholder in it the parts beside the placeholders are judged.
 
 Scale: every row for itself, built-in functions only, no shuffle; whole texts.
 
@@ -30,11 +29,14 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CLASSES = {"entropy_hex": r"[0-9A-Fa-f]{20,}", "entropy_base64": r"[A-Za-z0-9+/_=-]{20,}"}
+PLACEHOLDER = r"(?i:example|sample|dummy|placeholder|changeme|your[_-]?(?:key|token)|xxxx|0000000000|1234567890|abcdefghij)"
+WORDS = r"(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*|[A-Z]+|[a-z])[0-9]{0,4}|[0-9]{1,4}"
+SEGMENT = rf"[_.-]*(?:{WORDS})(?:[_.-]+(?:{WORDS}))*[_.=-]*"
 ALLOWED = [
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(key|token)|xxxx|0000000000|1234567890|abcdefghij",
+    rf"^(?:(?!{PLACEHOLDER}).){{0,{WINDOW - 1}}}(?:{PLACEHOLDER}(?:(?!{PLACEHOLDER}).){{0,{WINDOW - 1}}})+$",  # no window beside placeholders
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # a plain identifier
     r"^[0-9]+$", r"^[A-Za-z]+$", r"^[A-Za-z_-]+[0-9]{0,4}$",                           # numbers and words
-    r"^/?([A-Za-z_.-]+[0-9]{0,2}/)+",                                                   # paths
+    rf"^/?(?:{SEGMENT}/)+(?:{SEGMENT})?$",                                               # paths, every segment of words
 ]
 KINDS = ["assign", "access", "hex", *CLASSES]
 SPAN = "array<struct<start:int,rank:int,end:int>>"
@@ -128,8 +130,14 @@ def entropy_spans(text: Column, kind: str, rank: int, base: Column) -> Column:
         hot = F.when(pure & ~allowed(run), hot_windows(run, LIMITS[kind]))
         return F.struct((span["start"] + hot["first"]).alias("start"), F.lit(rank).alias("rank"), (span["start"] + hot["last"] + WINDOW).alias("end"))
 
+    def beside(span: Column) -> Column:
+        run = F.substring(text, span["start"] + 1, span["end"] - span["start"])
+        parts = located(run, f"{PLACEHOLDER}|(?:(?!{PLACEHOLDER}).)+", rank, lambda hit: (F.length(hit) >= WINDOW) & ~hit.rlike(PLACEHOLDER))
+        moved = F.transform(parts, lambda s: F.struct((span["start"] + s["start"]).alias("start"), s["rank"].alias("rank"), (span["start"] + s["end"]).alias("end")))
+        return F.when(run.rlike(PLACEHOLDER), moved).otherwise(F.array(span))
+
     free = F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.filter(F.transform(free, judged), lambda s: s["start"].isNotNull())
+    return F.filter(F.transform(F.flatten(F.transform(free, beside)), judged), lambda s: s["start"].isNotNull())
 
 
 def _written(spans: Column) -> Column:

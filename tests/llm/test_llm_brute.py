@@ -249,6 +249,16 @@ def test_secrets(spark, edge, small):
             assert [tuple(s) for s in r.all_spans] == every, t[:200]
 
 
+def test_secrets_with_slashes_and_beside_placeholders(spark):
+    key, tail = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzT5a9KEYq", "Zk9vQ2xP7sLr1TbXw3YhN8dM5eJc0fUa"
+    rows = [(1, f"a {key} b"), (2, f"sample{tail} x"), (3, f"{tail}/xxxx/ab1"), (4, "usr/local/share/python3/dist-packages/readme12"), (5, "/home/userName/my_file2/Data01/"),
+            (6, "sample12345678901abcxxxx9Zk")]
+    got = {r.doc_id: [r.text[s.start:s.end] for s in r.all_spans] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got[1]) == 1 and len(got[1][0]) >= 30
+    assert len(got[2]) == 1 and got[2][0] in tail and len(got[3]) == 1 and got[3][0] in tail + "/"
+    assert got[4] == got[5] == got[6] == []
+
+
 # ---------------------------------------------------------------- 5 surrogates
 
 
