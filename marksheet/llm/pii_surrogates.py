@@ -10,8 +10,9 @@ a function of a secret key, the kind and the canonical form:
 - it is written in the format of the mention (separators, capitals, title).
 Collision checks: among all distinct entities of the corpus no two may share a surrogate, and none
 may equal an entity that occurs. Losers (all but the first by hash) draw again with the next
-attempt number until none is left, so distinct stays distinct. After ``MAX_DRAWS`` draws a loser
-gets a tag of its digest appended (a space that small has no free form left).
+attempt number until none is left, so distinct stays distinct. From the third draw names get a
+second part of as many keyed syllables as the draw number, so their space grows 64-fold a draw.
+Other kinds: after ``MAX_DRAWS`` draws a loser gets a tag of its digest appended (a space that small has no free form left).
 
 Scale: texts are scanned where they are; mentions are narrow rows; entities are aggregated before
 they are compared, so one entity in a third of all texts is one row. Per text, mentions are
@@ -54,6 +55,8 @@ FIRST = {"m": "Adam Boris Colin Daniel Emil Frank Georg Hugo Ivo Jonas Karl Leon
 LAST = {"lat": "Abel Brandt Corbin Decker Ebner Falk Gerber Hansen Ibsen Jansen Keller Lindner Marsh Norden Olsen Perrin".split(),
         "m_cyr": "Абрамов Белов Волков Громов Дроздов Ершов Жуков Зайцев".split(),
         "f_cyr": "Абрамова Белова Волкова Громова Дроздова Ершова Жукова Зайцева".split()}
+SYLLABLES = {"lat": [a + b for a in "b d f g k l m n p r s t v w z j".split() for b in "aeio"],
+             "cyr": [a + b for a in "б в г д ж з к л м н п р с т ф х".split() for b in "аеио"]}
 
 
 def kind_of(hit: Column) -> Column:
@@ -106,19 +109,25 @@ def surrogate(kind: Column, value: Column, draw: Column, key: str = KEY) -> Colu
     family = digest(F.lit(key), F.lit("family"), F.substring_index(value, " ", -1), draw.cast("string"))  # one family name, one surrogate
     pick = lambda names, place: F.element_at(F.array(*[F.lit(x) for x in names]), (_number(family if place else d, place) % len(names) + 1).cast("int"))
 
+    def coined(source: Column, cyr: Column) -> Column:
+        """A made-up name of ``draw`` syllables."""
+        syllables = F.when(cyr, F.array(*[F.lit(x) for x in SYLLABLES["cyr"]])).otherwise(F.array(*[F.lit(x) for x in SYLLABLES["lat"]]))
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(draw, F.lit(1))), lambda i: F.element_at(syllables, (_number(source, i + 2) % 64 + 1).cast("int"))), ""))
+
     def name(gender: str) -> Column:
         cyr = value.rlike(r"\p{IsCyrillic}")
         last = F.when(cyr, pick(LAST[f"{gender}_cyr"], 1)).otherwise(pick(LAST["lat"], 1))
-        second = F.when(cyr, pick(LAST[f"{gender}_cyr"], 2)).otherwise(pick(LAST["lat"], 2))
         first = F.when(cyr, pick(FIRST[f"{gender}_cyr"], 0)).otherwise(pick(FIRST[gender], 0))
-        last = F.when(draw > 1, F.concat_ws("-", last, second)).otherwise(last)  # more room after the first draws
+        # more room with every draw
+        last = F.when(draw > 1, F.concat_ws("-", last, coined(family, cyr))).otherwise(last)
+        first = F.when(draw > 1, F.concat_ws("-", first, coined(d, cyr))).otherwise(first)
         return F.when(value.contains(" "), F.concat_ws(" ", first, last)).otherwise(last)
 
     lead = F.length(value) - 10  # country digits of a phone number
     phone = F.concat(F.substring(value, F.lit(1), F.greatest(lead, F.lit(0))), reshape(F.substring(value, F.greatest(lead, F.lit(0)) + 1, F.length(value)), d))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name_m", name("m")).when(kind == "name_f", name("f")) \
         .when(kind == "iban", reshape(value, d, 2)).when(kind == "card", reshape(value, d, 1)).when(kind == "phone", phone).otherwise(reshape(value, d))
-    return F.when(draw >= MAX_DRAWS, F.concat(out, F.substring(d, 1, 16))).otherwise(out)
+    return F.when((draw >= MAX_DRAWS) & ~kind.startswith("name"), F.concat(out, F.substring(d, 1, 16))).otherwise(out)
 
 
 def in_format(kind: Column, hit: Column, form: Column) -> Column:

@@ -286,6 +286,17 @@ def test_surrogates_stay_distinct(spark):
     assert not {r.form for r in table} & {r.value for r in table}
 
 
+def test_surrogate_names_stay_names_in_a_large_corpus(spark):
+    tail = lambda k: "".join(chr(97 + k // 26 ** j % 26) for j in range(3))
+    cyr = lambda k: "".join(chr(0x430 + k // 26 ** j % 26) for j in range(3))
+    rows = [f"Mr Q{tail(k)}" for k in range(700)] + [f"Mr Q{tail(k)} Smith" for k in range(700)] + [f"Mrs Q{tail(k)} W{tail(k * 7)}" for k in range(6000)] + [f"г-н Ж{cyr(k)}" for k in range(200)]
+    found = pii_surrogates.mentions(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "doc_id", "text")
+    table = pii_surrogates.surrogate_table(found).collect()
+    assert len(table) == len(rows) == len({(r.kind, r.form) for r in table})
+    part = "[^\\W\\d_]+(-[^\\W\\d_]+)?"
+    assert all(re.fullmatch(f"{part} {part}" if " " in r.value else part, r.form) for r in table)
+
+
 # ---------------------------------------------------------------- 6 decontamination
 
 
