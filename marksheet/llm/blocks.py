@@ -119,7 +119,7 @@ def answers(msgs: DataFrame, shared_only: bool = False) -> DataFrame:
         at = [np.searchsorted(every, k) for k in keys]
         for i, c in zip(at, frame["counts"]):
             total[i] += unpack(c, np.uint32)
-        reply = total > 1 if shared_only else np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
+        reply = total > 1 if shared_only else total.astype(np.uint64)
         n = np.zeros(len(frame), np.int64)
         d = n.copy()
         n[0], d[0] = total.sum(), (total > 0).sum()

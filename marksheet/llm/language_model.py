@@ -12,8 +12,7 @@ level (``walk``), as the history of a word is fixed by the words before it.
 
 Scale: counts of all n-grams of all training texts are gathered in hash ranges; a block of texts
 gets back the part of the automaton that its own n-grams can reach (``llm.blocks``), so the model
-is never whole in one place and nothing is broadcast but N and V. Hashes have 64 bits for words
-and 48 for longer n-grams (a clash changes one weight of some 10^8).
+is never whole in one place and nothing is broadcast but N and V. Hashes and counts have 64 bits.
 
 Defined results: null or empty text is the end token alone. A null id is not held out. With no
 training text N = V = 0 and every token has probability one. Repeated rows count each time.
@@ -34,7 +33,6 @@ from marksheet.llm.textbatch import LOWER, find_words, hash_words, join_hash, ro
 ORDER = 3
 MU = 10.0
 END = np.uint64(0xD1B54A32D192ED03)
-NGRAM_MASK = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +53,7 @@ def grams(tok: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarr
     for n in range(2, order + 1):
         shorter = out[-1][0]
         before = np.concatenate([[END], shorter[:-1]]) if len(shorter) else shorter
-        out.append((join_hash(before, tok) & NGRAM_MASK, place >= n - 2))
+        out.append((join_hash(before, tok), place >= n - 2))
     return out
 
 
@@ -115,7 +113,7 @@ def score(docs: DataFrame, train, order: int = ORDER, mu: float = MU, key: str =
             tok, first = tokens(block)
             counts = []
             for n, (h, ok) in enumerate(grams(tok, first, order), start=1):
-                got = reply_array(right, n, np.uint32)
+                got = reply_array(right, n, np.uint64)
                 c = np.zeros(len(h))
                 c[ok] = got[np.searchsorted(np.unique(h[ok]), h[ok])]
                 counts.append(c)

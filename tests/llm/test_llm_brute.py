@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marksheet.llm import (catalog, decontamination, language_model, license_scan, mixing, near_duplicates, pii_surrogates,
+from marksheet.llm import (blocks, catalog, decontamination, language_model, license_scan, mixing, near_duplicates, pii_surrogates,
                            quality_rules, secret_scan, sharding, substring_dedup)
 
 SF = "/root/testdata/sf0.001"
@@ -133,6 +133,15 @@ def test_language_model(spark, edge, small, order):
         assert np.allclose([x[5:] for x in a], [x[5:] for x in b], atol=1e-3)
 
 
+def test_language_model_counts_and_hashes_have_64_bits(spark):
+    h, big = np.array([5, 7], np.uint64), np.array([3_000_000_000, 1])
+    parts = [r for b in (0, 1) for r in blocks.messages(1, b, h, big, 1).to_pylist()]
+    replies = blocks.answers(spark.createDataFrame([tuple(r.values()) for r in parts], blocks.MESSAGE_SCHEMA)).toPandas()
+    assert blocks.reply_array(replies[replies["block"] == 0], 1, np.uint64).tolist() == [6_000_000_000, 2]
+    tok = np.random.default_rng(2).integers(0, 2**64, 50, dtype=np.uint64)
+    assert all((g & np.uint64(0xFFFF)).any() for g, _ in language_model.grams(tok, np.array([0, 50]), 3))
+
+
 def test_language_model_query_scores_trigrams(spark, small):
     rows = pairs_of(small)
     want = {x[0]: x[6] for x in lm_brute(rows, [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows], 3)}
