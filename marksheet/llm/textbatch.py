@@ -64,12 +64,13 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = PI
             a = b
 
 
-def find_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and end of each word, and the index of each row's first word (rows + 1 long)."""
+def find_words(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and end of each word, and the index of each row's first word (rows + 1 long).
+    ``space`` marks the bytes that are no part of a word."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    gap = SPACE[data]
+    gap = space[data]
     edge = np.empty(n + 1, bool)
     edge[0] = edge[n] = True
     edge[1:n] = gap[:-1]
