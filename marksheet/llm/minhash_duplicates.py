@@ -8,18 +8,17 @@ sets are one class from the start. A class has ``MINIMA`` minima:
    place by chance once in 2^BITS, so from the share e of equal places the similarity is estimated
    as (e - 2^-BITS) / (1 - 2^-BITS): one XOR and a bit count per word. Pairs in a bucket whose
    estimate is ``MARGIN`` standard errors below the threshold, or whose sizes alone exclude it,
-   are passed over.
-3. *Full sets*: what is left is confirmed by the intersection of the whole sets.
-
-Links are asked for in rounds, so that a group of copies does not cost all its pairs: a member
-proposes its nearest ``1``, then ``4``, ``16``, ... neighbours in a bucket by estimate, leaving out those
-already in its component. Confirmed links join components. The rounds end when no bucket holds an
-unasked pair of different components, so components are those of all links.
-
-Scale: no pair is formed beyond the proposals. A bucket of more than ``BLOCK`` classes is cut into
-blocks; each two blocks are one bounded piece of work. Full sets are only made for classes with a
-proposal and are streamed past the set that asks. Components come from star rounds on written
-tables. Only counts reach the driver.
+   are passed over. A bucket yields a forest over the pairs that are left; its components over all
+   buckets are *clusters*, and every link lies inside one.
+3. *Full sets*: a cluster's classes bring their whole sets together. Pairs are confirmed by the
+   intersection of the sets, nearest by estimate first; pairs that confirmed links already join
+   need no check. All others that pass the estimate are checked, so no link is lost.
+
+Scale: no row is ever a candidate pair: buckets and clusters yield forests, at most one row a
+member. A bucket of more than ``BLOCK`` classes, or a cluster of more than ``CLUSTER_BLOCK``, is cut
+into blocks; each two blocks are one bounded piece of work. Full sets are only made for classes
+in a cluster. Components come from star rounds on written tables. Nothing reaches the driver but
+what tells that these are done.
 
 Shingles and sets are told apart by 64-bit hashes. Defined results: null or empty text, or text
 without a word: an empty set, linked with nothing (not even its like); such a row is its own
@@ -46,8 +45,7 @@ BANDS, ROWS = 32, 4
 MINIMA = 256
 BITS = 2
 MARGIN = 6.0
-BLOCK = 4096
-FIRST_ASKED, MORE = 1, 4
+BLOCK, CLUSTER_BLOCK = 4096, 512
 SEED = 12
 _TAIL = np.uint64(0x2545F4914F6CDD1D)
 
@@ -141,9 +139,17 @@ def text_signatures(docs: DataFrame, width: int, key: str, text: str) -> DataFra
     return rows.mapInArrow(run, "doc_id long, content long, n long, cls long, sig binary, bands binary")
 
 
+def paired_blocks(rows: DataFrame, group: str, sizes: DataFrame, block: int) -> DataFrame:
+    """Rows of groups of two or more, with (low, high, side): a group of more than ``block`` rows is cut
+    into blocks by ``cls``, and a row stands once for each two blocks that its own is one of."""
+    rows = rows.join(sizes, group).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("size", "blocks", "other")
+
+
 def bucket_members(classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(key, low, high, side, cls, n, sig): members of buckets of two classes or more. A bucket of
-    more than ``block`` is cut into blocks, and stands once for each two blocks (low, high)."""
+    """(key, low, high, side, cls, n, sig): members of buckets of two classes or more."""
     def run(batches):
         for batch in batches:
             bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
@@ -152,11 +158,8 @@ def bucket_members(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 
     filed = classes.select("cls", "bands").mapInArrow(run, "key long, cls long")
     sizes = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    rows = filed.join(sizes, "key").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "cls", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "cls")
-    return rows.join(classes.select("cls", "n", "sig"), "cls")
+    rows = paired_blocks(filed, "key", sizes, block).join(classes.select("cls", "n", "sig"), "cls")
+    return rows.select("key", "low", "high", "side", "cls", "n", "sig")
 
 
 def most_differences(percent: int = LEAST_PERCENT, margin: float = MARGIN, minima: int = MINIMA, bits: int = BITS) -> int:
@@ -178,139 +181,150 @@ def unequal_places(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray
     return out
 
 
-def _bucket_proposals(cls, n, comp, sig, side, cross: bool, asked: tuple[int, int], percent: int, most: int):
-    """(a, b, more): for each member, its neighbours at places [asked) of the bucket by estimate that
-    are in another component; whether any is left beyond. Places do not depend on components."""
-    first, behind = asked
-    order = np.argsort(cls, kind="stable")
-    cls, n, comp, sig, side = (x[order] for x in (cls, n, comp, sig, side))
-    a_out, b_out, more = [], [], False
-    step = max(1, 1_000_000 // len(cls))
-    for lo in range(0, len(cls), step):
-        hi = min(len(cls), lo + step)
-        far = unequal_places(sig[lo:hi], sig)
-        ok = (far <= most) & (100 * np.minimum(n[lo:hi, None], n) >= percent * np.maximum(n[lo:hi, None], n))
-        if cross:  # two different blocks: their own pairs are met elsewhere
-            ok &= side[lo:hi, None] != side
-        ok[np.arange(hi - lo), np.arange(lo, hi)] = False
-        new = ok & (comp[lo:hi, None] != comp)
-        rows = np.flatnonzero(new.any(axis=1))
-        if not len(rows):
+def _groups(batches, keys: int):
+    """Runs of rows with equal first ``keys`` columns, each as a list of columns (Arrow arrays); rows come sorted."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        cols = [batch.column(k).to_numpy() for k in range(keys)]
+        first = [held[0].column(k)[0].as_py() for k in range(keys)]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        if len(held) > 1 and any(c[0] != f for c, f in zip(cols, first)):
+            cut = np.concatenate([[0], cut])
+        if not len(cut):
             continue
-        far = np.where(ok[rows], far[rows], np.uint16(65535))
-        near = far.argmin(axis=1)[:, None] if behind == 1 else np.argsort(far, axis=1, kind="stable")[:, :behind]
-        picked = near[:, first:]
-        r, c = np.nonzero(np.take_along_axis(new[rows], picked, axis=1))
-        a_out.append(cls[lo + rows[r]])
-        b_out.append(cls[picked[r, c]])
-        done = np.take_along_axis(new[rows], near, axis=1).sum()
-        more = more or bool(new[rows].sum() > done)
-    return a_out, b_out, more
-
-
-def proposals(members: DataFrame, named: DataFrame | None, asked: tuple[int, int], percent: int = LEAST_PERCENT) -> DataFrame:
-    """(a, b) pairs with a < b; a row of nulls says that more neighbours are left."""
+        whole = pa.Table.from_batches(held).combine_chunks()
+        before = whole.num_rows - batch.num_rows
+        at = np.concatenate([[0], cut + before])
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in whole.slice(a, b - a).columns]
+        held = [batch.slice(int(cut[-1]))]
+    if held:
+        yield [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in pa.Table.from_batches(held).combine_chunks().columns]
+
+
+def _words(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(len(col), -1)
+
+
+def _forest(n, sig, side, cross: bool, percent: int, most: int):
+    """(i, j) pairs: a forest over the pairs that may be linked by estimate and size. With ``cross``
+    only pairs of different blocks count (those of one block are met elsewhere)."""
+    left = np.ones(len(n), bool)
+    for root in range(len(n)):
+        if not left[root]:
+            continue
+        left[root] = False
+        todo = [root]
+        while todo:
+            v = todo.pop()
+            rest = np.flatnonzero(left & (side != side[v])) if cross else np.flatnonzero(left)
+            rest = rest[100 * np.minimum(n[rest], n[v]) >= percent * np.maximum(n[rest], n[v])]
+            if len(rest):
+                near = rest[unequal_places(sig[v: v + 1], sig[rest])[0] <= most]
+                left[near] = False
+                yield v, near
+                todo.extend(near.tolist())
+
+
+def candidate_forest(members: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
+    """(a, b): pairs that may be linked; their components are those of all such pairs in a bucket."""
     most = most_differences(percent)
-    rows = members.withColumn("comp", F.col("cls"))
-    if named is not None:
-        rows = members.join(named, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls"))
-    rows = rows.select("key", "low", "high", "side", "cls", "n", "comp", "sig").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    rows = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches):
-        held: list = []
-
-        def flush(rows, last):
-            group = rows[:3]
-            cut = np.flatnonzero(np.any([g[1:] != g[:-1] for g in group], axis=0)) + 1
-            begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(group[0])]])
-            a, b, more = [], [], False
-            for x, y in zip(begin.tolist(), end.tolist() if last else end[:-1].tolist()):
-                _, low, high, side, cls, n, comp, sig = (c[x:y] for c in rows)
-                if y - x > 1 and (comp != comp[0]).any():
-                    own = _bucket_proposals(cls, n, comp, sig, side, bool(low[0] != high[0]), asked, percent, most)
-                    a += own[0]
-                    b += own[1]
-                    more = more or own[2]
-            a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
-            pair = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-            cols = [pa.array(np.append(pair[:, k], 0) if more else pair[:, k], mask=np.arange(len(pair) + more) == len(pair)) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays(cols, names=["a", "b"]), int(begin[-1])
-
-        for batch in batches:
-            if not batch.num_rows:
+        for _, low, high, side, cls, n, sig in _groups(batches, 3):
+            if len(cls) < 2:
                 continue
-            cols = [batch.column(k).to_numpy() for k in range(7)]
-            cols.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
-            held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
-            out, rest = flush(held, False)  # the last group may go on in the next batch
-            if rest:
-                yield out
-                held = [c[rest:] for c in held]
-        if held:
-            yield flush(held, True)[0]
+            cls, n, side = cls.to_numpy(), n.to_numpy(), side.to_numpy()
+            out = list(_forest(n, _words(sig), side, low[0].as_py() != high[0].as_py(), percent, most))
+            if out:
+                a, b = np.concatenate([np.full(len(near), cls[v]) for v, near in out]), np.concatenate([cls[near] for _, near in out])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def full_sets(docs: DataFrame, need: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """(cls, own): the whole set of each needed class, from the one row that stands for it."""
-    def run(batches):
-        for batch, data, off in pieces(batches, "_text", 1 << 20):
-            flat, at = shingle_sets(data, off, width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["cls", "own"])
+def intersection(a: np.ndarray, b: np.ndarray) -> int:
+    """Common entries of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
-    rows = docs.select(F.col(key).cast("long").alias("_k"), F.xxhash64(text).alias("_c"), F.col(text).alias("_text"))
-    rows = rows.join(need, F.col("_k").eqNullSafe(F.col("rep.k")) & (F.col("_c") == F.col("rep.c"))).select("cls", "_text")
-    return rows.mapInArrow(run, "cls long, own binary").dropDuplicates(["cls"])
+
+def _links(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, cross: bool, percent: int, most: int):
+    """(i, j) pairs: a forest over the links. Of each member the nearest unasked neighbours in other
+    components are checked on the full sets, in rounds of twice as many, until none is left."""
+    n = np.array([len(x) for x in sets])
+    far = unequal_places(sig, sig)
+    open_ = (far <= most) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
+    open_ &= (side[:, None] != side) if cross else ~np.eye(len(n), dtype=bool)
+    label, count = np.arange(len(n)), 1
+    while True:
+        open_ &= label[:, None] != label  # joined pairs need no check
+        rows = np.flatnonzero(open_.any(axis=1))
+        if not len(rows):
+            return
+        near = np.where(open_[rows], far[rows], np.uint16(65535))
+        near = near.argmin(axis=1)[:, None] if count == 1 else np.argpartition(near, min(count, len(n)) - 1, axis=1)[:, :count]
+        i, j = np.repeat(rows, near.shape[1]), near.ravel()
+        ok = open_[i, j]
+        pairs = np.unique(np.column_stack([np.minimum(i, j), np.maximum(i, j)])[ok], axis=0)
+        for i, j in pairs[np.argsort(far[pairs[:, 0], pairs[:, 1]], kind="stable")].tolist():
+            open_[i, j] = open_[j, i] = False
+            if label[i] == label[j]:
+                continue
+            both = intersection(sets[i], sets[j])
+            if 100 * both >= percent * (n[i] + n[j] - both):
+                label[label == label[j]] = label[i]
+                yield i, j
+        count = min(2 * count, len(n))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
-    """The pairs whose whole sets reach the threshold. The sets asked about are streamed past the
-    set that asks, so a class in many pairs needs no more memory."""
-    other = pairs.join(sets.select(F.col("cls").alias("b"), "own"), "b").select("a", "b", "own")
-    asks = pairs.select("a").distinct().join(sets.select(F.col("cls").alias("a"), "own"), "a").select("a", F.lit(None).cast("long").alias("b"), "own")
-    rows = asks.unionByName(other).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+def confirmed_links(units: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
+    """(a, b): links on full sets whose components are those of all links in a cluster."""
+    most = most_differences(percent)
+    rows = units.select("root", "low", "high", "side", "cls", "sig", "own").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
 
     def run(batches):
-        name, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b = [], []
-            for x, y, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                it = np.frombuffer(raw, np.uint64)
-                if y is None:
-                    name, own = x, it
-                    continue
-                assert x == name
-                at = np.minimum(np.searchsorted(own, it), len(own) - 1)
-                both = int((own[at] == it).sum())
-                if 100 * both >= percent * (len(own) + len(it) - both):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for _, low, high, side, cls, sig, own in _groups(batches, 3):
+            sets, cls = [np.frombuffer(x.as_py(), np.uint64) for x in own], cls.to_numpy()
+            out = np.array(list(_links(sets, _words(sig), side.to_numpy(), low[0].as_py() != high[0].as_py(), percent, most)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[out[:, 0]]), pa.array(cls[out[:, 1]])], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, width: int = SHINGLE_WORDS, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def full_sets(docs: DataFrame, need: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """(cls, root, sig, own): signature and whole set of each needed class, from the one row that
+    stands for it."""
+    def run(batches):
+        for batch, data, off in pieces(batches, "_text", 1 << 20):
+            flat, at = shingle_sets(data, off, width)
+            sig = signatures_of(minima_of(flat, at))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
+                names=["cls", "root", "sig", "own"])
+
+    rows = docs.select(F.col(key).cast("long").alias("_k"), F.xxhash64(text).alias("_c"), F.col(text).alias("_text"))
+    rows = rows.join(need, F.col("_k").eqNullSafe(F.col("rep.k")) & (F.col("_c") == F.col("rep.c"))).dropDuplicates(["cls"]).select("cls", "root", "_text")
+    return rows.mapInArrow(run, "cls long, root long, sig binary, own binary")
+
+
+def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, width: int = SHINGLE_WORDS, key: str = "doc_id", text: str = "text",
+                    block: int = BLOCK, cluster_block: int = CLUSTER_BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     sigs = written(text_signatures(docs, width, key, text), "minhash-signatures")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("k"), F.col("content").alias("c"))).alias("rep")
     classes = written(sigs.where("n > 0").groupBy("cls").agg(rep, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
-    members = written(bucket_members(classes, block), "bucket-members")
-    links, named, sets, asked = None, None, None, (0, FIRST_ASKED)
-    while True:
-        pairs = written(proposals(members, named, asked, percent), "proposals")
-        more = pairs.where("a is null").limit(1).count() > 0
-        pairs = pairs.where("a is not null")
-        if sets is None:  # every class with a neighbour asks in the first round
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-            sets = written(full_sets(docs, classes.select("cls", "rep").join(ends, "cls"), width, key, text), "full-sets")
-        new = confirmed(pairs, sets, percent)
-        links = written(new if links is None else links.unionByName(new), "links")
-        named = components(links, "minhash-components")
-        if not more:
-            break
-        asked = (asked[1], max(asked[1] + MORE, asked[1] * MORE))
+    clusters = components(candidate_forest(bucket_members(classes, block), percent), "minhash-clusters")
+    inside = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
+    need = classes.select("cls", "rep").join(inside, F.col("cls") == F.col("node")).select("cls", "rep", "root")
+    sizes = inside.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    units = paired_blocks(written(full_sets(docs, need, width, key, text), "full-sets"), "root", sizes, cluster_block)
+    named = components(confirmed_links(units, percent), "minhash-components")
     by_class = classes.select("cls", F.col("rep.k").alias("low")).join(named, F.col("cls") == F.col("node"), "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     lows = by_class.groupBy("root").agg(F.min("low").alias("component_id"))
     found = by_class.join(lows, "root").select(F.col("cls").alias("_cls"), "component_id")
