@@ -3,12 +3,13 @@
 Randomness is an md5 of ``seed:key``, so every result is a function of the data and the seed
 only (not of partitioning or task order), and DuckDB's ``md5`` gives the same bytes.
 
-Positions use buckets that the data determine: the leading hex digits of the md5. Counts per
-bucket (map-side combined) give the position at which each bucket starts; inside a bucket rows
-are numbered. Both readers of the input see the same buckets whatever the plan prunes, replans or
-recomputes, and a bucket holds a 4096th of the rows, so no key is hot. Splits and caps need no
-numbering of all rows: the bucket in which the cut falls is numbered on its own (key columns
-only), and the (hash, key) found there is compared with every row in place.
+Positions use buckets that the data determine: leading hex digits of the md5, as many as the counts
+ask for (a radix tree). Counts per top node and per bucket (map-side combined) give the position at
+which each bucket starts; inside a bucket keys are numbered. Both readers of the input see the same
+buckets whatever the plan prunes, replans or recomputes, and no key is hot. Only keys are sorted;
+wide rows then meet their positions. Splits and caps need no numbering of all rows: the bucket in
+which the cut falls is numbered on its own (key columns only), and the (hash, key) found there is
+compared with every row in place.
 
 ``key`` must be unique (inside its group, for the grouped forms).
 """
@@ -18,7 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marksheet.session import checked_broadcast, materialized
+
 BUCKET_DIGITS = 3
+BUCKET_ROWS = 1 << 20
 
 
 def shuffle_key(key: str | Column, seed: int = 42) -> Column:
@@ -55,30 +59,75 @@ def _joined(df: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
     return df.join(renamed, cond).drop(*[f"__{c}" for c in on])
 
 
-def with_position(df: DataFrame, key: str, seed: int = 42, out_col: str = "pos") -> DataFrame:
-    """Global 0-based position after the seeded shuffle."""
-    b = _bucketed(df, key, seed)
-    starts = F.broadcast(_starts(b.select("_bucket"), []).select("_bucket", "_off"))  # bounded by the bucket count
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))
-    return _joined(b, starts, ["_bucket"]).withColumn(out_col, (F.col("_off") + inside - 1).cast("long")).drop("_h", "_bucket", "_off")
+def _leaves(keys: DataFrame, group: list[str], bound: int) -> DataFrame:
+    """``keys`` (with ``_h``) plus ``_top``, ``_bucket`` and ``_before``: a radix tree over the hash.
+    A top node is the first BUCKET_DIGITS digits; where its count asks for it, its rows go on to
+    longer prefixes, so that a bucket holds about a quarter of ``bound`` rows. ``_before`` counts the
+    group's rows in the top nodes before."""
+    k = keys.withColumn("_top", F.coalesce(F.substring("_h", 1, BUCKET_DIGITS), F.lit("")))
+    tops = k.groupBy(*group, "_top").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)
+    more = F.greatest(F.ceil(F.log(F.col("_n") * 4.0 / bound) / F.log(F.lit(16.0))), F.lit(0)).cast("int")
+    tops = tops.select(*group, "_top", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), (more + BUCKET_DIGITS).alias("_digits"))
+    b = _joined(k, tops if group else F.broadcast(tops), [*group, "_top"])  # without groups: a row a top node
+    return b.withColumn("_bucket", F.coalesce(F.expr("substring(_h, 1, _digits)"), F.lit(""))).drop("_digits")
 
 
-def group_positions(df: DataFrame, group: str, key: str, seed: int = 42, out_col: str = "rank") -> DataFrame:
-    """W2 without a hot partition: 0-based position inside ``group`` after the seeded shuffle. A
-    group is numbered bucket by bucket, so one that holds a third of the table is many tasks."""
-    b = _bucketed(df, key, seed)
-    starts = _starts(b.select(group, "_bucket"), [group]).select(group, "_bucket", "_off")
-    inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_h", key))
-    return _joined(b, starts, [group, "_bucket"]).withColumn(out_col, (F.col("_off") + inside - 1).cast("long")).drop("_h", "_bucket", "_off")
+def _numbered(keys: DataFrame, group: list[str], key: str, bound: int) -> DataFrame:
+    """(group, key, _pos): positions in shuffled order, from two levels of prefix sums (top nodes,
+    buckets inside a top node) and a numbering inside each bucket."""
+    b = _leaves(keys, group, bound)
+    counts = b.groupBy(*group, "_top", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    inner = Window.partitionBy(*group, "_top").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*group, "_top", "_bucket", F.coalesce(F.sum("_n").over(inner), F.lit(0)).alias("_off"))
+    rows = _joined(b, starts, [*group, "_top", "_bucket"])
+    inside = F.row_number().over(Window.partitionBy(*group, "_top", "_bucket").orderBy("_h", key))
+    return rows.select(*group, key, (F.col("_before") + F.col("_off") + inside - 1).cast("long").alias("_pos"))
 
 
-def ordered_positions(df: DataFrame, order_cols: list, bucket: Column, out_col: str = "pos") -> DataFrame:
-    """0-based position in the total order ``order_cols``. ``bucket`` must be monotone in that
-    order and spread the rows; it is computed from the row, so all readers agree on it."""
-    b = df.withColumn("_bucket", bucket)
-    starts = _starts(b.select("_bucket"), []).select("_bucket", "_off")
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_cols))
-    return _joined(b, starts, ["_bucket"]).withColumn(out_col, (F.col("_off") + inside - 1).cast("long")).drop("_bucket", "_off")
+def _placed(df: DataFrame, group: list[str], key: str, seed: int, out_col: str, bound: int) -> DataFrame:
+    keys = df.select(*group, key).withColumn("_h", shuffle_key(key, seed))
+    pos = _numbered(keys, group, key, bound)
+    if set(df.columns) == {*group, key}:
+        return pos.withColumnRenamed("_pos", out_col)
+    return _joined(df, pos.hint("shuffle_hash"), [*group, key]).withColumnRenamed("_pos", out_col)
+
+
+def with_position(df: DataFrame, key: str, seed: int = 42, out_col: str = "pos", bound: int = BUCKET_ROWS) -> DataFrame:
+    """Global 0-based position after the seeded shuffle. Only keys are sorted and numbered, in
+    buckets of at most about ``bound`` rows; the wide rows then meet their positions, unsorted."""
+    return _placed(df, [], key, seed, out_col, bound)
+
+
+def group_positions(df: DataFrame, group: str, key: str, seed: int = 42, out_col: str = "rank", bound: int = BUCKET_ROWS) -> DataFrame:
+    """W2 without a hot partition: 0-based position inside ``group`` after the seeded shuffle. A
+    group is numbered bucket by bucket, so one that holds a third of the table is many tasks."""
+    return _placed(df, [group], key, seed, out_col, bound)
+
+
+def ordered_positions(df: DataFrame, order_cols: list, top: Column, rank: Column, text: str, out_col: str = "pos", bound: int = BUCKET_ROWS) -> DataFrame:
+    """0-based position in the total order ``order_cols``, which is that of the strings ``rank`` (of
+    one length), then of the distinct strings ``text``. ``top`` is a coarse form of ``rank`` with few values. Buckets are the ranks; where one holds more than ``bound``
+    rows, they grow by two characters of ``text`` at a time until none does (one job a level; the
+    overfull buckets are a written table of at most a row for ``bound`` rows)."""
+    b = df.withColumn("_top", top).withColumn("_rank", rank).withColumn("_bucket", F.col("_rank"))
+    length = 0
+    while True:
+        wide = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound).select(F.col("_bucket").alias("_wide"))
+        wide = materialized(wide, "overfull")
+        if wide.isEmpty():
+            break
+        length += 2
+        grown = F.concat("_rank", F.substring(text, 1, length))
+        b = b.join(wide, F.col("_bucket") == F.col("_wide"), "left").withColumn("_bucket", F.when(F.col("_wide").isNotNull(), grown).otherwise(F.col("_bucket"))).drop("_wide")
+    counts = b.groupBy("_top", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)
+    tops = counts.groupBy("_top").agg(F.sum("_n").alias("_m")).select("_top", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy("_top").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_top", "_bucket", F.coalesce(F.sum("_n").over(inner), F.lit(0)).alias("_off"))
+    rows = _joined(_joined(b, starts, ["_top", "_bucket"]), F.broadcast(tops), ["_top"])  # few top values
+    inside = F.row_number().over(Window.partitionBy("_top", "_bucket").orderBy(*order_cols))
+    return rows.withColumn(out_col, (F.col("_before") + F.col("_off") + inside - 1).cast("long")).select(*df.columns, out_col)
 
 
 def _cut(b: DataFrame, key: str, first: Column) -> DataFrame:
@@ -126,25 +175,29 @@ def cap_per_dataset(
     df: DataFrame, caps: DataFrame, key: str, seed: int = 42, group: str = "dataset_name", exempt: str | None = "math500"
 ) -> DataFrame:
     """P4 + J1: at most ``cap`` shuffled rows per dataset; the dataset named exactly ``exempt``,
-    and datasets without a cap (absent from ``caps``, or a null cap), keep all their rows.
+    and datasets without a cap (absent from ``caps``, or a null cap), keep all their rows. Of several
+    caps for one dataset the smallest holds.
 
-    One way for all cap sizes. Per dataset, the bucket in which its cap falls is numbered (keys
-    only) and gives the dataset's cut, one row; every row is then kept or dropped in place by
-    comparison with its dataset's cut.
+    One way for all cap sizes. The keys and hashes are written once (one pass over the input). Per
+    dataset, the bucket in which its cap falls is numbered (keys only) and gives the dataset's cut,
+    one row; every row is then kept or dropped in place by comparison with its dataset's cut.
     """
-    caps = caps.select(F.col(group).alias("_capped"), F.col("cap").cast("long").alias("_cap")).where(F.col("_cap").isNotNull())
+    caps = caps.groupBy(F.col(group).alias("_capped")).agg(F.min(F.col("cap").cast("long")).alias("_cap")).where(F.col("_cap").isNotNull())
     if exempt is not None:
         caps = caps.where(F.col("_capped") != F.lit(exempt))
-    b = _bucketed(df, key, seed)
+    caps = checked_broadcast(caps)
+    b = _bucketed(materialized(df.select(group, key), "cap-keys"), key, seed)
     starts = _starts(b.select(group, "_bucket"), [group]).join(caps, F.col(group) == F.col("_capped")).drop("_capped")
     at = starts.where((F.col("_off") < F.col("_cap")) & (F.col("_cap") <= F.col("_off") + F.col("_n"))).select(group, "_bucket", "_off", "_cap")
     inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_h", key))
-    rows = _joined(b.select(group, "_h", key, "_bucket"), at, [group, "_bucket"]).withColumn("_rn", inside)
-    cuts = rows.where(F.col("_off") + F.col("_rn") == F.col("_cap")).select(group, _spot(key).alias("_cut"))
+    rows = _joined(b.select(group, "_h", key, "_bucket"), checked_broadcast(materialized(at, "cap-buckets")), [group, "_bucket"]).withColumn("_rn", inside)
+    cuts = rows.where(F.col("_off") + F.col("_rn") == F.col("_cap")).select(F.col(group).alias("_g"), _spot(key).alias("_cut"), F.lit(False).alias("_none"))
     # a cap of zero keeps nothing; a cap beyond the dataset's rows has no cut and keeps all
-    empty = caps.where("_cap <= 0").select(F.col("_capped").alias(group), F.lit(True).alias("_none"))
-    out = b.join(cuts, group, "left").join(empty, group, "left")
-    return out.where(F.col("_none").isNull() & (F.col("_cut").isNull() | (_spot(key) <= F.col("_cut")))).select(*df.columns)
+    empty = caps.where("_cap <= 0").select(F.col("_capped").alias("_g"), F.lit(None).alias("_cut"), F.lit(True).alias("_none"))
+    cuts = checked_broadcast(materialized(cuts.unionByName(empty), "cuts"))  # one row for a capped dataset
+    rows = b.select(*df.columns, "_h") if set(df.columns) == {group, key} else df.withColumn("_h", shuffle_key(key, seed))
+    out = rows.join(cuts, F.col(group) == F.col("_g"), "left")
+    return out.where(F.col("_g").isNull() | ~F.col("_none") & (_spot(key) <= F.col("_cut"))).select(*df.columns)
 
 
 def cap_per_category(df: DataFrame, n: int, key: str = "raw_id", seed: int = 42, category: str = "category") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marksheet.functions import strings as S
 from marksheet.operators.sampling import ordered_positions
-from marksheet.session import checked_broadcast
+from marksheet.session import checked_broadcast, materialized
 
 IGNORE_INDEX = -100
 TOKEN_RE = r"\w+|[^\w\s]"
@@ -132,16 +132,15 @@ def word_tokens(c) -> Column:
 
 def build_vocab(texts: DataFrame, text_col: str = "text", first_id: int = 1) -> DataFrame:
     """Vocabulary over whole texts: distinct tokens ranked by count desc, then token; ids from
-    ``first_id`` (0 stays free for padding). Token counts use partial aggregation; the ranking
-    numbers tokens inside buckets of similar count (rare counts, which most tokens share, also by
-    first letters), so there is no single-partition sort."""
+    ``first_id`` (0 stays free for padding). Token counts use partial aggregation and are written
+    once (the texts are split once); the ranking numbers tokens inside buckets of similar count,
+    which grow by a prefix of the token where many share a count (see ``ordered_positions``)."""
     counts = texts.select(F.explode(word_tokens(text_col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    power = F.floor(F.log2("freq")).cast("int")
-    rare = power < 4
-    bucket = F.concat(F.lpad((F.lit(99) - power).cast("string"), 2, "0"), F.when(rare, F.lpad((F.lit(99) - F.col("freq")).cast("string"), 2, "0")).otherwise(""),
-                      F.when(rare, F.substring("token", 1, 2)).otherwise(""))
-    ranked = ordered_positions(counts, [F.col("freq").desc(), F.col("token")], bucket, "_pos")
-    return ranked.select("token", "freq", (F.col("_pos") + first_id).cast("int").alias("token_id"))
+    counts = materialized(counts, "token-counts")
+    rank = F.lpad((F.lit(2**62) - F.col("freq")).cast("string"), 19, "0")  # ascending with falling counts
+    top = F.lpad((F.lit(62) - F.floor(F.log2("freq"))).cast("string"), 2, "0")
+    ranked = ordered_positions(counts, [F.col("freq").desc(), F.col("token")], top, rank, "token", "_pos")
+    return materialized(ranked.select("token", "freq", (F.col("_pos") + first_id).cast("int").alias("token_id")), "vocabulary")
 
 
 # The part of a vocabulary that is broadcast: this many ids at most, tokens of this length at most.
@@ -149,28 +148,57 @@ HEAD_TOKENS = 65_536
 HEAD_TOKEN_CHARS = 64
 
 
+def _dictionary_rows(df: DataFrame, key: str, text_col: str, keep_text: bool) -> DataFrame:
+    """Each record as its dictionary: rows (key, no, tok) for its distinct tokens in token order,
+    ``no`` from 1, and one row ``no`` = 0 whose ``own`` holds the record's columns, the ``places`` of
+    all its tokens in dictionary order and how often each entry occurs (``counts``). One pass; the
+    text is split once."""
+    own = df.columns if keep_text else [c for c in df.columns if c != text_col]
+    tokens = F.coalesce(word_tokens(text_col), F.array().cast("array<string>"))
+    located = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    s = df.select(F.col(key), F.struct(*own).alias("_rec"), located.alias("_s"))
+    first = F.filter(F.transform("_s", lambda x, i: F.when((i == 0) | (x["t"] != F.get("_s", i - 1)["t"]), i)), lambda i: i.isNotNull())
+    s = s.select(key, "_rec", "_s", first.alias("_b"))
+    after = F.concat(F.slice("_b", 2, F.greatest(F.size("_b"), F.lit(1))), F.array(F.size("_s")))
+    counts = F.zip_with(F.slice(after, 1, F.size("_b")), "_b", lambda e, b: e - b)
+    record = F.struct(F.col("_rec").alias("rec"), F.transform("_s", lambda x: x["i"]).alias("places"), counts.alias("counts"))
+    nothing = F.when(F.lit(False), record)
+    head = F.array(F.struct(F.lit(0).alias("no"), F.lit(None).cast("string").alias("tok"), record.alias("own")))
+    entries = F.transform("_b", lambda b, j: F.struct((j + 1).alias("no"), F.get("_s", b)["t"].alias("tok"), nothing.alias("own")))
+    return s.select(key, F.inline(F.concat(head, entries)))
+
+
 def tokenize(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len: int | None = None,
              out_col: str = "input_ids", unk_id: int = 0, keep_text: bool = False) -> DataFrame:
     """T4: token ids of ``text_col`` via the vocabulary; all tokens of whole texts.
 
-    Tokens with the lowest ids (the most frequent ones of ``build_vocab``) meet a broadcast that
-    distinct ids bound to ``HEAD_TOKENS`` rows; only the rare rest is shuffled by token. One
-    grouping by ``key`` (unique per record) then collects a record's ids beside its own columns,
-    so nothing is joined back. The text itself is not shuffled unless ``keep_text``. With
-    ``max_len`` see ``in_windows``.
+    A record becomes a dictionary of its distinct tokens and an array of their places, so a token
+    that a text repeats is one row, and no row exists per token. Entries with the lowest ids
+    (the most frequent ones of ``build_vocab``) meet a broadcast that distinct ids bound to
+    ``HEAD_TOKENS`` rows. One exchange by ``key`` (unique per record) brings a record's entries
+    together; only entries outside the head are shuffled by token, where a hot one is split by
+    Spark's skew join. The ids are then laid out at the places. The text itself is not shuffled
+    unless ``keep_text``. With ``max_len`` see ``in_windows``.
     """
     v = vocab.select(F.col("token").alias("_tok"), F.col("token_id").cast("int").alias("_id"))
     frequent = (F.col("_id") >= 0) & (F.col("_id") < HEAD_TOKENS) & (F.length("_tok") <= HEAD_TOKEN_CHARS)
-    head = F.broadcast(v.where(frequent))
-    used = df.select(key, F.posexplode(word_tokens(text_col)).alias("_i", "_tok"))
-    rest = used.join(head.select("_tok"), "_tok", "left_anti").join(v.where(~frequent), "_tok", "left")
-    known = used.join(head, "_tok").select(key, "_i", "_id").unionByName(rest.select(key, "_i", F.coalesce("_id", F.lit(unk_id)).alias("_id")))
-    own = df if keep_text else df.drop(text_col)
-    own = own.select(F.col(key), F.struct(*own.columns).alias("_own"))
-    rows = own.unionByName(known.select(key, F.struct("_i", "_id").alias("_s")), allowMissingColumns=True)
-    out = rows.groupBy(key).agg(F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_list("_s")).alias("_s"))
-    out = out.select("_own.*", F.transform("_s", lambda x: x["_id"]).alias(out_col))
-    return in_windows(out, out_col, max_len)
+    rows = _dictionary_rows(df, key, text_col, keep_text).join(F.broadcast(v.where(frequent)), F.col("tok") == F.col("_tok"), "left")
+    open_tok = F.when(F.col("_id").isNull(), F.col("tok"))
+    # one list, so that both readers below share one exchange
+    docs = rows.groupBy(key).agg(F.collect_list(F.struct("no", F.col("_id").alias("id"), open_tok.alias("tok"), "own")).alias("_l"))
+    rare = docs.select(key, F.inline(F.transform(F.filter("_l", lambda x: x["tok"].isNotNull()), lambda x: F.struct(x["no"].alias("no"), x["tok"].alias("tok")))))
+    rare = rare.join(v.where(~frequent), F.col("tok") == F.col("_tok"), "left")
+    rare = rare.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("no", F.coalesce("_id", F.lit(unk_id)).alias("id"))).alias("_r"))
+    out = docs.join(rare, F.col(key).eqNullSafe(F.col("_key")), "left")
+    known = F.transform(F.filter("_l", lambda x: x["id"].isNotNull()), lambda x: F.struct(x["no"].alias("no"), x["id"].alias("id")))
+    none = F.array().cast("array<struct<no:int,id:int>>")
+    own = F.element_at(F.filter("_l", lambda x: x["no"] == 0), 1)["own"]
+    out = out.select(own.alias("_own"), F.sort_array(F.concat(known, F.coalesce("_r", none))).alias("_e"))
+    spread = F.flatten(F.zip_with("_e", F.col("_own")["counts"], lambda e, n: F.array_repeat(e["id"], n)))
+    # (place, id) as one long, sorted by place
+    placed = F.sort_array(F.zip_with(F.col("_own")["places"], spread, lambda p, i: F.shiftleft(p.cast("long"), 32) + i.cast("long") + F.lit(2**31)))
+    ids = F.transform(placed, lambda x: (x.bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int"))
+    return in_windows(out.select("_own.rec.*", ids.alias(out_col)), out_col, max_len)
 
 
 def in_windows(df: DataFrame, ids_col: str = "input_ids", max_len: int | None = None) -> DataFrame:

@@ -1,62 +1,92 @@
 """Vector-table operators: pooling, routing against a bank, load balance, penalties.
 
-The bank (the candidate vectors items are routed to) is a small parameter table: its entry
-count is checked against ``max_bank``, then it is collected into one array value by a scalar
-subquery (evaluated once, shipped to the tasks as a value: no join, no pairs). Items
-never leave their partition; scores, top-k, weights and the weighted combination are array
-expressions on each row. Aggregations over items (pooling, Gram matrices, load) use Spark's
-vector summarizer or hash aggregation with partial combine, so hot groups cost one partial row
-per task.
+A bank (the candidate vectors items are routed to) reaches the rows as values of scalar subqueries
+(evaluated once, shipped to the tasks: no join, no pairs), in parts of at most ``PART_BYTES``.
+Items keep a buffer of their k best entries; a bank of several parts is one pass over the items
+each, so its size has no limit. Inside a part, entries form tiles in order of falling norm; a tile
+whose largest norm cannot lift any entry above an item's k-th best is passed over (Cauchy-Schwarz).
+Items never leave their partition. Aggregations over items (pooling, Gram matrices, load) use
+Spark's vector summarizer or hash aggregation with partial combine, so hot groups cost one partial
+row per task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BANK = 65536
+from marksheet.session import materialized, scratch_path
+
+PART_BYTES = 32 << 20
+TILE = 256
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def bank_row(bank: DataFrame, max_bank: int = MAX_BANK) -> DataFrame:
-    """The bank as one row ``(bank: array<struct<bank_id, vec, bias>>)`` sorted by id.
+def squared(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v)
+
+
+def bank_entries(bank: DataFrame) -> DataFrame:
+    """(bank_id, vec, bias), typed."""
+    bias = F.coalesce(F.col("bias").cast("double"), F.lit(0.0)) if "bias" in bank.columns else F.lit(0.0)
+    return bank.select(F.col("bank_id").cast("long").alias("bank_id"), F.col("vec").cast("array<double>").alias("vec"), bias.alias("bias"))
 
-    Raises when the bank has more than ``max_bank`` entries: only then is shipping it whole safe.
-    """
-    n = bank.count()
-    if n > max_bank:
-        raise ValueError(f"bank has {n} entries; at most {max_bank} can be broadcast")
-    cols = [F.col("bank_id").cast("long").alias("bank_id"), F.col("vec").cast("array<double>").alias("vec")]
-    cols.append((F.col("bias") if "bias" in bank.columns else F.lit(0.0)).cast("double").alias("bias"))
-    return bank.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("bank"))
 
+def in_parts(entries: DataFrame, vectors: list[str], fields: list, part_bytes: int = PART_BYTES, form=lambda entries: entries) -> list[Column]:
+    """The entries as scalar values (arrays of ``fields``, sorted by them and put into ``form``), each
+    of about ``part_bytes`` at most. The parts are a written table; a part is one row of it."""
+    width = reduce(lambda x, y: x + y, [F.coalesce(F.max(F.size(c)), F.lit(0)) for c in vectors])
+    n, d = entries.agg(F.count(F.lit(1)), width).first()
+    parts = max(1, -(-n * max(1, d) * 8 // part_bytes))
+    part = F.pmod(F.xxhash64("bank_id"), F.lit(parts)).alias("part")
+    rows = entries.select(part, F.struct(*fields).alias("e")).groupBy("part").agg(F.sort_array(F.collect_list("e")).alias("entries"))
+    rows = rows.select("part", form(F.col("entries")).alias("entries"))
+    table = materialized(rows, "bank") if parts > 1 else rows
+    return [table.where(F.col("part") == p).select("entries").scalar() for p in range(parts)]
 
-def with_bank(items: DataFrame, bank: DataFrame, max_bank: int = MAX_BANK) -> DataFrame:
-    """Items plus the bank array as a scalar-subquery value (one evaluation for the whole job)."""
-    return items.withColumn("bank", bank_row(bank, max_bank).scalar())
 
+def in_tiles(entries: Column, tile: int) -> Column:
+    """A part (sorted by falling norm) cut into tiles with their largest norm and largest bias."""
+    def cut(t):
+        own = F.slice(entries, t * tile + 1, F.lit(tile))
+        return F.struct((-own[0]["fall"]).alias("norm"), F.array_max(F.transform(own, lambda e: e["bias"])).alias("bias"), own.alias("entries"))
+    count = F.ceil(F.size(entries) / F.lit(tile)).cast("int")
+    return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda t: t < count), cut)
 
-def bank_scores(items: DataFrame, bank: DataFrame, vec_col: str = "vec", max_bank: int = MAX_BANK) -> DataFrame:
-    """V3 (array form): ``scores`` = per bank entry (bank_id, logit = x . v, bias, vec)."""
-    j = with_bank(items, bank, max_bank)
-    scores = F.transform("bank", lambda b: F.struct(
-        b["bank_id"].alias("bank_id"), dot(F.col(vec_col), b["vec"]).alias("logit"), b["bias"].alias("bias"), b["vec"].alias("vec")))
-    return j.withColumn("scores", scores).drop("bank")
 
+def bank_scores(items: DataFrame, bank: DataFrame, vec_col: str = "vec", part_bytes: int = PART_BYTES) -> DataFrame:
+    """V3 (array form): ``scores`` = (bank_id, logit = x . v, bias) of every entry, by id."""
+    parts = in_parts(bank_entries(bank), ["vec"], ["bank_id", "vec", "bias"], part_bytes)
+    out = items.withColumn("scores", F.array().cast("array<struct<bank_id:bigint,logit:double,bias:double>>"))
+    for k, part in enumerate(parts):
+        scored = F.transform("_part", lambda b: F.struct(b["bank_id"].alias("bank_id"), dot(F.col(vec_col), b["vec"]).alias("logit"), b["bias"].alias("bias")))
+        empty = F.array().cast("array<struct<bank_id:bigint,vec:array<double>,bias:double>>")
+        out = out.withColumn("_part", F.coalesce(part, empty)).withColumn("scores", F.concat("scores", scored)).drop("_part")
+        if k + 1 < len(parts):
+            out = materialized(out, "scored")
+    return out.withColumn("scores", F.sort_array("scores")) if len(parts) > 1 else out
 
-def score_against_bank(items: DataFrame, bank: DataFrame, key: str = "item_id", vec_col: str = "vec",
-                       slot: int = 0, max_bank: int = MAX_BANK) -> DataFrame:
+
+def score_against_bank(items: DataFrame, bank: DataFrame, key: str = "item_id", vec_col: str = "vec", slot: int = 0, part_bytes: int = PART_BYTES) -> DataFrame:
     """V3 (long form): rows ``(item_id, slot, bank_id, logit)``."""
-    s = bank_scores(items.select(key, vec_col), bank, vec_col, max_bank)
+    s = bank_scores(items.select(key, vec_col), bank, vec_col, part_bytes)
     return s.select(key, F.lit(slot).alias("slot"), F.inline(F.transform("scores", lambda x: F.struct(
         x["bank_id"].alias("bank_id"), x["logit"].alias("logit")))))
 
 
+def logits_per_item(items: DataFrame, bank: DataFrame, key: str = "item_id", vec_col: str = "vec", slot: int = 0, part_bytes: int = PART_BYTES) -> DataFrame:
+    """V3, one row per item and slot: ``(item_id, slot, logits)`` in order of the bank's ids."""
+    s = bank_scores(items.select(key, vec_col), bank, vec_col, part_bytes)
+    return s.select(key, F.lit(slot).alias("slot"), F.transform("scores", lambda x: x["logit"]).alias("logits"))
+
+
 def topk_per_row(arr: Column, k: int, score=lambda x: x["logit"] + x["bias"], ident=lambda x: x["bank_id"]) -> Column:
     """K2: the ``k`` best elements by score desc, ties by lowest id."""
     def cmp(a, b):
@@ -75,17 +105,45 @@ def softmax_weights(chosen: Column, temperature: float = 1.0) -> Column:
     return F.transform(e, lambda v: v / s)
 
 
+_BUFFER = "array<struct<bank_id:bigint,logit:double,bias:double,tile:int,place:int>>"
+_CHOSEN = "array<struct<bank_id:bigint,logit:double,bias:double,vec:array<double>>>"
+
+
+def _best_of(vec: Column, norm: Column, tiles: Column, buffer: Column, k: int) -> Column:
+    """The k best of ``buffer`` and the entries of all tiles; ties to the lowest id."""
+    def meet(acc, tile, t):
+        new = F.transform(tile["entries"], lambda b, i: F.struct(
+            b["bank_id"].alias("bank_id"), dot(vec, b["vec"]).alias("logit"), b["bias"].alias("bias"), t.alias("tile"), i.alias("place")))
+        last = F.element_at(acc, k)
+        # strictly below: an entry that ties with the last one may have a lower id
+        out_of_reach = (F.size(acc) >= k) & (norm * tile["norm"] * (1 + 1e-9) + tile["bias"] < last["logit"] + last["bias"])
+        return F.when(out_of_reach, acc).otherwise(topk_per_row(F.concat(acc, new), k).cast(_BUFFER))
+    numbered = F.transform(tiles, lambda x, t: F.struct(x.alias("x"), t.alias("t")))
+    return F.aggregate(numbered, buffer.cast(_BUFFER), lambda acc, n: meet(acc, n["x"], n["t"]))
+
+
 def route_topk(items: DataFrame, bank: DataFrame, k: int, temperature: float = 1.0, key: str = "item_id",
-               vec_col: str = "vec", slot: int = 0, max_bank: int = MAX_BANK) -> DataFrame:
-    """V4 + V5 (array form): ``chosen`` = top-k entries by logit + bias with softmax ``weight``."""
-    j = with_bank(items.select(key, vec_col), bank, max_bank)
-    # the sort moves ids and scores only; the chosen entries' vectors are looked up afterwards
-    scores = F.transform("bank", lambda b, i: F.struct(
-        b["bank_id"].alias("bank_id"), dot(F.col(vec_col), b["vec"]).alias("logit"), b["bias"].alias("bias"), i.alias("place")))
-    best = F.when(F.size("bank") >= k, topk_per_row(scores, k)).otherwise(F.raise_error(F.lit("topk cannot exceed bank size")))
-    s = j.withColumn("_c", best)
+               vec_col: str = "vec", slot: int = 0, part_bytes: int = PART_BYTES, tile: int = TILE) -> DataFrame:
+    """V4 + V5 (array form): ``chosen`` = top-k entries by logit + bias with softmax ``weight``. Banks
+    of any size: each part of the bank is one pass that carries the items' k best entries."""
+    fall = (-F.sqrt(squared(F.col("vec")))).alias("fall")
+    parts = in_parts(bank_entries(bank), ["vec"], [fall, "bank_id", "vec", "bias"], part_bytes, lambda e: in_tiles(e, tile))
+    out = items.select(key, vec_col, F.array().cast(_CHOSEN).alias("_best"))
+    for p, part in enumerate(parts):
+        none = F.array().cast("array<struct<norm:double,bias:double,entries:array<struct<fall:double,bank_id:bigint,vec:array<double>,bias:double>>>>")
+        tiled = out.withColumn("_tiles", F.coalesce(part, none)).withColumn("_norm", F.sqrt(squared(F.col(vec_col))))
+        held = F.transform("_best", lambda c, i: F.struct(c["bank_id"].alias("bank_id"), c["logit"].alias("logit"), c["bias"].alias("bias"), F.lit(-1).alias("tile"), i.alias("place")))
+        s = tiled.withColumn("_c", _best_of(F.col(vec_col), F.col("_norm"), F.col("_tiles"), held, k))
+        # the sort moves ids and scores only; the chosen entries' vectors are looked up afterwards
+        found = F.transform("_c", lambda c: F.struct(c["bank_id"].alias("bank_id"), c["logit"].alias("logit"), c["bias"].alias("bias"), F.when(
+            c["tile"] < 0, F.get("_best", c["place"])["vec"]).otherwise(F.get(F.get("_tiles", c["tile"])["entries"], c["place"])["vec"]).alias("vec")))
+        out = s.select(key, vec_col, found.alias("_best"))
+        if p + 1 < len(parts):
+            out = materialized(out, "best-so-far")
+    full = F.when(F.size("_best") >= k, F.col("_best")).otherwise(F.raise_error(F.lit("topk cannot exceed bank size")))
+    s = out.withColumn("_c", full)
     routed = F.zip_with("_c", softmax_weights(F.col("_c"), temperature), lambda c, wt: F.struct(
-        c["bank_id"].alias("bank_id"), c["logit"].alias("logit"), wt.alias("weight"), F.get(F.col("bank"), c["place"])["vec"].alias("vec")))
+        c["bank_id"].alias("bank_id"), c["logit"].alias("logit"), wt.alias("weight"), c["vec"].alias("vec")))
     return s.select(key, vec_col, F.lit(slot).alias("slot"), routed.alias("chosen"))
 
 
@@ -180,21 +238,47 @@ def vector_mse(df: DataFrame, a_col: str, b_col: str, beta: float = 1.0) -> Data
     return df.agg((F.try_divide(F.sum(sq), F.sum(F.size(a_col)).cast("double")) * F.lit(beta)).alias("mse"))
 
 
-def gram(rows: DataFrame, vec_col: str = "vec") -> DataFrame:
-    """Gram matrix sum over rows of outer(x, x), as ``(i, j, value)``; one vector sum per task."""
-    v = F.col(vec_col).cast("array<double>")
-    outer = F.flatten(F.transform(v, lambda a: F.transform(v, lambda b: a * b)))
-    total = rows.agg(vector_to_array(Summarizer.sum(array_to_vector(outer))).alias("g"), F.max(F.size(v)).alias("d"))
-    return total.select(F.posexplode("g").alias("cell", "value"), "d").select(
-        (F.col("cell") / F.col("d")).cast("int").alias("i"), (F.col("cell") % F.col("d")).cast("int").alias("j"), "value")
+GRAM_TILE = 64
+GRAM_SIDE = 15  # tiles a side at most: 120 in the upper half
+
+
+def gram_tiles(rows: DataFrame, vec_col: str = "vec", tile: int = GRAM_TILE) -> DataFrame:
+    """Upper half of the Gram matrix (sum over rows of outer(x, x)) in tiles: (bi, bj, side, d, part),
+    ``part`` the tile's values row by row. A row yields one tile product at a time, never a whole
+    outer product; a task keeps one partial sum per tile."""
+    v = rows.select(F.col(vec_col).cast("array<double>").alias("v"))
+    side = F.greatest(F.lit(tile), F.ceil(F.size("v") / GRAM_SIDE).cast("int"))
+    v = v.withColumn("side", side).withColumn("n", F.ceil(F.size("v") / F.col("side")).cast("int")).where("n > 0")
+    v = v.select("v", "side", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bi"))
+    v = v.select("v", "side", "bi", F.explode(F.sequence("bi", F.col("n") - 1)).alias("bj"))
+    own = F.slice("v", F.col("bi") * F.col("side") + 1, F.col("side"))
+    other = F.slice("v", F.col("bj") * F.col("side") + 1, F.col("side"))
+    v = v.select("bi", "bj", "side", F.size("v").alias("d"), own.alias("own"), other.alias("other"))
+    product = F.flatten(F.transform("own", lambda a: F.transform("other", lambda b: a * b)))
+    return v.groupBy("bi", "bj").agg(F.max("side").alias("side"), F.max("d").alias("d"), vector_to_array(Summarizer.sum(array_to_vector(product))).alias("part"))
+
 
+def _tile_cells(tiles: DataFrame) -> DataFrame:
+    width = F.least(F.col("side"), F.col("d") - F.col("bj") * F.col("side"))
+    cells = tiles.select("bi", "bj", "side", width.alias("w"), F.posexplode("part").alias("cell", "value"))
+    i, j = F.col("bi") * F.col("side") + F.floor(F.col("cell") / F.col("w")), F.col("bj") * F.col("side") + F.col("cell") % F.col("w")
+    return cells.select("bi", "bj", i.cast("int").alias("i"), j.cast("int").alias("j"), "value")
 
-def orthogonality_penalty(u_rows: DataFrame, v_rows: DataFrame, beta: float = 1.0, vec_col: str = "vec") -> DataFrame:
+
+def gram(rows: DataFrame, vec_col: str = "vec", tile: int = GRAM_TILE) -> DataFrame:
+    """Gram matrix as ``(i, j, value)``: the tiles of the upper half, and those below the diagonal
+    mirrored."""
+    cells = _tile_cells(gram_tiles(rows, vec_col, tile))
+    below = F.when(F.col("bi") < F.col("bj"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j")))
+    return cells.select(F.explode(below).alias("p"), "value").select("p.i", "p.j", "value")
+
+
+def orthogonality_penalty(u_rows: DataFrame, v_rows: DataFrame, beta: float = 1.0, vec_col: str = "vec", tile: int = GRAM_TILE) -> DataFrame:
     """Beta * (||G_U - I||_F^2 + ||G_V - I||_F^2), G = sum over rows of outer products."""
     def frob(rows):
-        g = gram(rows, vec_col)
+        g = _tile_cells(gram_tiles(rows, vec_col, tile))
         diff = F.col("value") - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
-        return g.agg(F.sum(diff * diff).alias("f"))
+        return g.agg(F.sum(diff * diff * F.when(F.col("bi") < F.col("bj"), 2.0).otherwise(1.0)).alias("f"))  # both halves
     fu = frob(u_rows).withColumnRenamed("f", "frob_u")
     fv = frob(v_rows).select(F.col("f").alias("frob_v"))
     return fu.withColumn("frob_v", fv.scalar()).select(
@@ -224,78 +308,103 @@ def gaussian_sample(latents: DataFrame, seed: int = 42, key: str = "item_id", ou
 
 
 def project(items: DataFrame, down: DataFrame, up: DataFrame, scale: float, key: str = "item_id",
-            vec_col: str = "vec", max_bank: int = MAX_BANK) -> DataFrame:
+            vec_col: str = "vec", part_bytes: int = PART_BYTES) -> DataFrame:
     """``scale * A(Bx)``: ``down`` holds the rows of B (rank_id, vec over inputs), ``up`` the
-    columns of A (rank_id, vec over outputs). Both are small factor tables, broadcast as arrays."""
-    d = bank_row(down.select(F.col("rank_id").alias("bank_id"), "vec"), max_bank)
-    u = bank_row(up.select(F.col("rank_id").alias("bank_id"), "vec"), max_bank)
-    j = items.select(key, vec_col).withColumn("_down", d.scalar()).withColumn("_up", u.scalar())
-    coef = F.transform("_down", lambda b: dot(F.col(vec_col), b["vec"]))
-    dout = F.size(F.element_at("_up", 1)["vec"])
-    y = F.aggregate(F.zip_with("_up", coef, lambda a, c: F.struct(a["vec"].alias("v"), c.alias("c"))),
-                    F.array_repeat(F.lit(0.0), dout),
-                    lambda acc, z: F.zip_with(acc, z["v"], lambda s, v: s + z["c"] * v))
-    return j.select(key, F.transform(y, lambda v: v * F.lit(scale)).alias("projected"))
+    columns of A (rank_id, vec over outputs). Factors of any size: each part of them is one pass
+    that adds to the items' sums."""
+    factors = down.select(F.col("rank_id").cast("long").alias("bank_id"), F.col("vec").cast("array<double>").alias("b")).join(
+        up.select(F.col("rank_id").cast("long").alias("bank_id"), F.col("vec").cast("array<double>").alias("a")), "bank_id")
+    parts = in_parts(factors, ["a", "b"], ["bank_id", "b", "a"], part_bytes)
+    out = items.select(key, vec_col, F.array().cast("array<double>").alias("_y"))
+    for p, part in enumerate(parts):
+        none = F.array().cast("array<struct<bank_id:bigint,b:array<double>,a:array<double>>>")
+        out = out.withColumn("_part", F.coalesce(part, none))
+        terms = F.transform("_part", lambda f: F.struct(f["a"].alias("v"), dot(F.col(vec_col), f["b"]).alias("c")))
+        start = F.when(F.size("_y") > 0, F.col("_y")).otherwise(F.array_repeat(F.lit(0.0), F.coalesce(F.size(F.get("_part", F.lit(0))["a"]), F.lit(0))))
+        y = F.aggregate(terms, start, lambda acc, z: F.zip_with(acc, z["v"], lambda s, v: s + z["c"] * v))
+        out = out.select(key, vec_col, y.alias("_y"))
+        if p + 1 < len(parts):
+            out = materialized(out, "projected")
+    return out.select(key, F.transform("_y", lambda v: v * F.lit(scale)).alias("projected"))
+
+
+SPECULATE = 64
 
 
 def rebalance_over_batches(items: DataFrame, bank: DataFrame, k: int, batch_size: int, key: str = "item_id",
                            vec_col: str = "vec", seed: int = 42, gamma: float = 1e-4, tol: float = 0.05,
-                           max_abs: float | None = None, checkpoint_every: int = 8, max_bank: int = MAX_BANK) -> DataFrame:
-    """V8 as the router runs it: one bias update per batch, in batch order.
-
-    The scores do not depend on the bias, so they are computed once, grouped into one row per
-    batch (bounded by ``batch_size``) and checkpointed. Each step is a small job: the current
-    bias (one array row of bank size) meets the next batch, top-k uses logit + bias, the loads
-    give the next bias. The bias lineage grows by one step per batch, so it is checkpointed
-    (reliably, under ``spark.checkpoint.dir``) every ``checkpoint_every`` steps. Returns the
-    bias after every step: ``(step, bank_id, load, bias)``.
-
-    The recurrence is sequential by definition (each batch sees the bias left by the previous
-    one), so there is one small job per batch: this replays training-scale step counts. For one
-    update over a whole table use ``rebalance`` on ``bank_load``.
+                           max_abs: float | None = None, part_bytes: int = PART_BYTES, speculate: int = SPECULATE) -> DataFrame:
+    """V8 as the router runs it: one bias update per batch, in batch order: ``(step, bank_id, load,
+    bias)``, the bias after each step.
+
+    The recurrence is sequential, but a batch's loads rarely depend on the last small steps of the
+    bias. So ``speculate`` batches are routed at once under a supposed course of the bias (at first:
+    unchanged). Their loads give the course that would follow; the batches are routed again
+    under it, until a round's loads equal those that its course came from. Up to the first batch
+    that differs (and with it) the loads are those of the sequential run, and are committed. When the
+    bias settles this takes two rounds for all batches of a block; at worst one round a batch.
+
+    Scores do not depend on the bias: they are computed once, one row per batch (bounded by
+    ``batch_size`` and the bank). The course of an entry's bias is a fold over its own loads, as a
+    batch's target is known from its size. Only the number of the first differing batch reaches the
+    driver.
     """
     from marksheet.operators.sampling import assign_batches
-    from marksheet.session import checkpoint_root
 
     spark = items.sparkSession
-    checkpoint_root(spark)
-    scored = bank_scores(items.select(key, vec_col), bank, vec_col, max_bank).select(
+    scored = bank_scores(items.select(key, vec_col), bank, vec_col, part_bytes).select(
         key, F.transform("scores", lambda s: F.struct(s["bank_id"].alias("bank_id"), s["logit"].alias("logit"))).alias("s"))
-    batched = assign_batches(scored, batch_size, key, seed)
-    per_batch = batched.groupBy("batch_id").agg(F.collect_list("s").alias("rows")).checkpoint(eager=True)
+    batched = assign_batches(materialized(scored, "scores"), batch_size, key, seed)
+    per_batch = materialized(batched.groupBy("batch_id").agg(F.collect_list("s").alias("rows")), "batches")
     steps = per_batch.count()
-    b = bank_row(bank, max_bank).select(F.transform("bank", lambda e: F.struct(
-        e["bank_id"].alias("bank_id"), e["bias"].alias("bias"))).alias("state"))  # one row, one value
-    history = []
-    for step in range(steps):
-        batch = per_batch.where(F.col("batch_id") == step).select("rows")
-        j = batch.withColumn("state", b.scalar())
-
-        def chosen_ids(row):
-            biased = F.transform(row, lambda s: F.struct(
-                s["bank_id"].alias("bank_id"), s["logit"].alias("logit"),
-                F.element_at(F.filter("state", lambda e: e["bank_id"] == s["bank_id"]), 1)["bias"].alias("bias")))
+    start = materialized(bank_entries(bank).select("bank_id", "bias"), "bias")
+    path = scratch_path(spark, "bias-history")
+    schema = "step int, bank_id long, load long, bias double"
+    spark.createDataFrame([], schema).write.parquet(path)
+    at = 0
+
+    def entries(df):  # array of (bank_id, bias) by id
+        return F.sort_array(F.collect_list(F.struct("bank_id", "bias")))
+
+    def loads(batches):
+        """(batch_id, target, bank_id, load) of batches that carry their ``state``."""
+        def chosen_ids(row):  # rows and state hold the same ids in the same order
+            biased = F.zip_with(row, "state", lambda s, e: F.struct(s["bank_id"].alias("bank_id"), s["logit"].alias("logit"), e["bias"].alias("bias")))
             return F.transform(topk_per_row(biased, k), lambda c: c["bank_id"])
-
-        picks = F.flatten(F.transform("rows", chosen_ids))
-        total = F.size(picks).cast("double")
-        n_bank = F.size("state").cast("double")
-
-        def update(e):
-            load = F.size(F.filter(picks, lambda x: x == e["bank_id"]))
-            target = total / n_bank
-            nb = e["bias"] + F.when(load > target * (1 + tol), -gamma).when(load < target * (1 - tol), gamma).otherwise(0.0)
-            if max_abs is not None:
-                nb = F.least(F.greatest(nb, F.lit(-max_abs)), F.lit(max_abs))
-            return F.struct(e["bank_id"].alias("bank_id"), nb.alias("bias"), load.alias("load"))
-
-        nxt = j.select(F.transform("state", update).alias("_u"))
-        history.append(nxt.select(F.lit(step).alias("step"), F.inline("_u")))
-        b = nxt.select(F.transform("_u", lambda e: F.struct(e["bank_id"].alias("bank_id"), e["bias"].alias("bias"))).alias("state"))
-        if (step + 1) % checkpoint_every == 0:
-            b = b.checkpoint(eager=True)
-            history = [h.checkpoint(eager=True) for h in history[-checkpoint_every:]] + history[:-checkpoint_every]
-    out = history[0]
-    for h in history[1:]:
-        out = out.unionByName(h)
-    return out.select("step", "bank_id", F.col("load").cast("long").alias("load"), "bias")
+        picked = batches.select("batch_id", "state", F.flatten(F.transform("rows", chosen_ids)).alias("_p"))
+        every = picked.select("batch_id", F.size("_p").alias("n"), F.size("state").alias("m"), F.explode(F.concat("_p", F.transform("state", lambda e: e["bank_id"]))).alias("bank_id"))
+        return every.groupBy("batch_id", "n", "m", "bank_id").agg((F.count(F.lit(1)) - 1).alias("load")).select(
+            "batch_id", (F.col("n").cast("double") / F.col("m")).alias("target"), "bank_id", "load")
+
+    def course(found, start):
+        """(batch_id, bank_id, load, bias): the bias after each batch, entry by entry."""
+        def step(bias, x):
+            nb = bias + F.when(x["load"] > x["target"] * (1 + tol), -gamma).when(x["load"] < x["target"] * (1 - tol), gamma).otherwise(0.0)
+            return nb if max_abs is None else F.least(F.greatest(nb, F.lit(-max_abs)), F.lit(max_abs))
+        own = found.groupBy("bank_id").agg(F.sort_array(F.collect_list(F.struct("batch_id", "load", "target"))).alias("x")).join(start, "bank_id")
+        start_row = F.struct(F.lit(None).cast("long").alias("batch_id"), F.lit(None).cast("long").alias("load"), F.col("bias").alias("bias"))
+        folded = F.aggregate("x", F.array(start_row), lambda acc, x: F.concat(acc, F.array(F.struct(
+            x["batch_id"].alias("batch_id"), x["load"].alias("load"), step(F.element_at(acc, -1)["bias"], x).alias("bias")))))
+        return own.select("bank_id", F.inline(folded)).where("batch_id is not null")
+
+    while at < steps:
+        end = min(steps, at + speculate)
+        block = per_batch.where((F.col("batch_id") >= at) & (F.col("batch_id") < end))
+        found = materialized(loads(block.withColumn("state", start.agg(entries(start)).scalar())), "loads")
+        while True:
+            bias = materialized(course(found, start), "course")
+            before = bias.select((F.col("batch_id") + 1).alias("batch_id"), "bank_id", "bias").unionByName(start.withColumn("batch_id", F.lit(at).cast("long")))
+            states = before.groupBy("batch_id").agg(entries(before).alias("state"))
+            again = materialized(loads(block.join(states, "batch_id")), "loads") if end - at > 1 else found
+            differs = again.join(found.select("batch_id", "bank_id", F.col("load").alias("was")), ["batch_id", "bank_id"]).where("load <> was")
+            first = differs.agg(F.min("batch_id")).first()[0] if end - at > 1 else None
+            last = end if first is None else first + 1
+            if first is None or last - at >= (end - at + 1) // 2:  # enough to commit; else the course is mended first
+                break
+            found = again
+        bias = bias if first is None else materialized(course(again.where(F.col("batch_id") < last), start), "course")
+        done = bias.where(F.col("batch_id") < last).select(F.col("batch_id").cast("int").alias("step"), "bank_id", F.col("load").cast("long").alias("load"), "bias")
+        done.write.mode("append").parquet(path)
+        start = materialized(bias.where(F.col("batch_id") == last - 1).select("bank_id", "bias"), "bias")
+        at = last
+    return spark.read.schema(schema).parquet(path)

@@ -625,10 +625,10 @@ sc AS (SELECT v.item_id, b.bank_id, list_dot_product(v.vec, b.vec) AS logit, b.b
 """
 
 
-@register("v3_score_against_bank", "WITH " + _SCORES_SQL + "SELECT item_id, 0 AS slot, bank_id, round(logit, 6) AS logit FROM sc")
+@register("v3_score_against_bank", "WITH " + _SCORES_SQL + "SELECT item_id, 0 AS slot, list(round(logit, 6) ORDER BY bank_id) AS logits FROM sc GROUP BY item_id")
 def q_v3(spark, sf_dir):
-    s = V.score_against_bank(FX.vectors(spark, sf_dir), FX.bank(spark, sf_dir))
-    return s.select("item_id", "slot", "bank_id", r6("logit").alias("logit"))
+    s = V.logits_per_item(FX.vectors(spark, sf_dir), FX.bank(spark, sf_dir))
+    return s.select("item_id", "slot", F.transform("logits", lambda x: F.round(x, 6)).alias("logits"))
 
 
 _W_SQL = "WITH " + _SCORES_SQL + """,
@@ -757,6 +757,28 @@ def q_s3(spark, sf_dir):
     return SRC.read_jsonl(spark, path, PRED_SCHEMA)
 
 
+@register("s1_s2_array_files", "SELECT source, doc_id, text, false AS bad FROM documents UNION ALL SELECT DISTINCT source, NULL, NULL, true FROM documents")
+def q_s1_arrays(spark, sf_dir):
+    """JSON array files (one a source, each with one malformed record), read by a parallel scan."""
+    path = scratch_path(spark, "arrays")
+    d = read_table(spark, sf_dir, "documents")
+    records = F.array_join(F.collect_list(F.to_json(F.struct("doc_id", "text"))), ", ")
+    files = d.groupBy("source").agg(F.concat(F.lit('[ {"doc_id": 1 2},\n'), records, F.lit("]")).alias("value"))
+    files.write.partitionBy("source").text(path)
+    names = [r["source"] for r in d.select("source").distinct().collect()]  # dataset names: a handful of folders
+    records, _ = SRC.scan_eval_sets(spark, path, sorted(names), "doc_id long, text string", "{dir}/source={name}", array_file=True)
+    return records.select(F.col("dataset_name").alias("source"), "doc_id", "text", F.col("error").isNotNull().alias("bad"))
+
+
+@register("s5_ascii_roundtrip", "SELECT doc_id, text, source, true AS ascii_only FROM documents")
+def q_s5_ascii(spark, sf_dir):
+    path = scratch_path(spark, "ascii")
+    SRC.write_jsonl(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path, mode="w", force_ascii=True)
+    lines = spark.read.text(path)
+    r = lines.select(F.from_json("value", "doc_id long, text string, source string").alias("r"), F.col("value").rlike(r"^[\x00-\x7F]*$").alias("ascii_only"))
+    return r.select("r.*", "ascii_only")
+
+
 @register("s1_scan_instructions", f"SELECT instruction, input, output, answer, raw_id, category FROM ({FX.INSTRUCTIONS_SQL})")
 def q_s1(spark, sf_dir):
     path = scratch_path(spark, "instructions")
@@ -815,6 +837,26 @@ def q_m1(spark, sf_dir):
     return t.select("dataset_name", "total_samples", "correct_samples", r6("test_accuracy").alias("test_accuracy"), "malformed")
 
 
+@register("m1_keyed_resent", f"""
+WITH p AS (SELECT source AS dataset_name, doc_id % 3 = 0 OR doc_id % 5 = 0 AS ok FROM documents)
+SELECT dataset_name, count(*) AS total_samples, CAST(count_if(ok) AS BIGINT) AS correct_samples, round(count_if(ok) / count(*), 6) AS test_accuracy, CAST(0 AS BIGINT) AS malformed
+FROM p GROUP BY dataset_name""")
+def q_m1_keyed(spark, sf_dir):
+    """Predictions that arrive in files, all of which are sent twice; a fifth is corrected later."""
+    from marksheet.streaming.score_stream import stream_score_keyed
+    src = scratch_path(spark, "keyed-src")
+    d = read_table(spark, sf_dir, "documents")
+    text = lambda right: F.concat(F.lit("so \\boxed{"), (F.col("n_chars") + F.when(right, 0).otherwise(1)).cast("string"), F.lit("}"))
+    first = d.select(F.col("source").alias("dataset_name"), F.col("doc_id").cast("string").alias("raw_id"), text(F.col("doc_id") % 3 == 0).alias("decoded_prediction"),
+                     F.col("n_chars").cast("string").alias("reference_answer"), F.lit("2024-01-01T00:00:00").alias("sent_at"))
+    fixed = first.withColumn("doc_id", F.col("raw_id").cast("long")).where("doc_id % 5 = 0").drop("doc_id").withColumn(
+        "decoded_prediction", F.concat(F.lit("so \\boxed{"), F.col("reference_answer"), F.lit("}"))).withColumn("sent_at", F.lit("2024-01-02T00:00:00"))
+    for part in (first.repartition(3), fixed, first.repartition(2)):
+        part.write.mode("append").json(src)
+    t = stream_score_keyed(spark, src, schema="dataset_name string, raw_id string, decoded_prediction string, reference_answer string, sent_at string", max_files=2, sent_col="sent_at")
+    return t.select("dataset_name", "total_samples", "correct_samples", r6("test_accuracy").alias("test_accuracy"), "malformed")
+
+
 # ------------------------------------------------------------------ normalization on derived answers
 
 ANSWERS_SQL = r"""

@@ -286,7 +286,9 @@ RULE_CASES = {
     "last_option": [("A then D @", "D"), ("@.", "@"), (":x@/", "x@"), ("(c) @", "C"), ("", "")],
     "theorem": [("Yes @", "True"), ("@ is false", "False"), ("(A) @", "(A) @"), ("so \\boxed{@}", "@"), ("x = @", "@"), ("@ cm", "@"),
                 ("@ m/s2", "@"), ("@%", "@/100"), ("@\\pi", "@*3.14"), ("$@", "@"), ("it measures @ cm", "it measures @ cm")],
-    "number_words": [("twenty-one", "21"), ("Ninety Nine", "99"), ("zero", "0"), ("thirteen", "13"), ("00@", "@"), ("@ sheep", "@ sheep")],
+    "number_words": [("twenty-one", "21"), ("Ninety Nine", "99"), ("zero", "0"), ("thirteen", "13"), ("00@", "@"), ("@ sheep", "@ sheep"),
+                     ("one hundred and five", "105"), ("two million three thousand and one", "2003001"), ("three point one four", "3.14"), ("point five", "0.5"),
+                     ("it takes twelve days or so", "12"), ("two thousand three thousand", "two thousand three thousand"), ("hundred", "100"), ("someone", "someone")],
 }
 
 # (prediction, gold, correct in strict mode, rung); None: a missing side.

@@ -63,6 +63,14 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def materialized(df, tag: str):
+    """``df`` as a Parquet table below the shared checkpoint root: computed once, whatever reads it
+    and whichever executors are lost afterwards."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -7,10 +7,14 @@ error rows so one bad set fails alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
+from marksheet.session import materialized
+
 INSTRUCTION_SCHEMA = "instruction string, input string, output string, answer string, raw_id string, category string"
 
 
@@ -22,36 +26,96 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def read_records(spark: SparkSession, path: str, schema: str = INSTRUCTION_SCHEMA, array_file: bool = True) -> DataFrame:
-    """One JSON array file (``array_file``) or a folder/file of JSON lines, with a declared schema.
+_STRING = r'"[^"]*("|$)'  # of a text without escapes; a string that is left open goes on to the end
+
+
+def array_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, record, text, rest): the records of JSON array files as texts, found by a parallel scan;
+    ``rest`` marks what follows a file's last record and is not empty.
+
+    A file is read in pieces that end at ``}``, where alone a record can end, by as many tasks as
+    its size asks for. A piece's effect on the scan is a sum: it adds its number of quotes (an odd
+    number so far: the piece begins inside a string) and, once that is known, the change of nesting
+    outside strings. Both are prefix sums in two levels: over a block's pieces, and over the blocks
+    of a file (one row a block). A piece that ends outside strings at the array's own level ends a
+    record. Records are put together from their pieces by number."""
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("no"), "value")
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # without escapes
+    pieces = pieces.withColumn("bare", bare).withColumn("quotes", F.length("bare") - F.length(F.translate("bare", '"', "")))
+    pieces = materialized(pieces, "json-pieces")
+    own = ["file", "block"]
+    inner = Window.partitionBy(*own).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(df, col, out):
+        """``col`` summed over the file's pieces before each: inside the block, and over the blocks before."""
+        blocks = df.groupBy(*own).agg(F.sum(col).alias("_s")).select(*own, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_b"))
+        inside = df.withColumn("_i", F.coalesce(F.sum(col).over(inner), F.lit(0)))
+        return inside.join(blocks, own).withColumn(out, F.col("_i") + F.col("_b")).drop("_i", "_b")
+
+    # a file's last piece has a closing brace only if the pieces and their braces make up all its bytes;
+    # the first tells whether the records stand in an array
+    ends = pieces.groupBy("file").agg(F.max(F.struct("block", "no")).alias("last"), F.min_by("value", F.struct("block", "no")).alias("head"),
+                                      (F.sum(F.octet_length("value") + 1) <= F.max("bytes")).alias("full"))
+    ends = ends.select("file", "last", "full", F.when(F.col("head").rlike(r"^\s*\["), 1).otherwise(0).alias("base"))
+    p = before(pieces, "quotes", "quoted").join(ends, "file").withColumn("closes", F.col("full") | (F.struct("block", "no") != F.col("last")))
+    open_ = F.col("quoted") % 2 == 1
+    outside = F.regexp_replace(F.when(open_, F.concat(F.lit('"'), F.col("bare"))).otherwise(F.col("bare")), _STRING, "")
+    p = p.withColumn("outside", outside).withColumn("ended", (F.col("quoted") + F.col("quotes")) % 2 == 0)
+    size = lambda chars: F.length("outside") - F.length(F.translate("outside", chars, ""))
+    p = p.withColumn("nest", size("{[") - size("]") - (F.col("closes") & F.col("ended")).cast("int"))
+    p = before(p.drop("bare", "outside"), "nest", "depth")
+    done = F.col("closes") & F.col("ended") & (F.col("depth") + F.col("nest") == F.col("base"))
+    p = before(p.withColumn("done", done.cast("int")), "done", "record")
+    text = F.concat("value", F.when(F.col("closes"), F.lit("}")).otherwise(F.lit("")))
+    whole = p.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "no", text.alias("t")))).alias("x"), F.max("done").alias("complete"))
+    joined = F.array_join(F.transform("x", lambda x: x["t"]), "")
+    whole = whole.select("file", "record", F.regexp_replace(joined, r"^[\s,]*\[?[\s,]*", "").alias("text"), (F.col("complete") == 0).alias("rest"))
+    return whole.where(~F.col("rest") | ~F.col("text").rlike(r"^[\s\]]*$"))
+
+
+def _parsed(df: DataFrame, schema: str, bad: Column, keep: tuple = ()) -> DataFrame:
+    """The fields of ``schema`` from the JSON in ``text``, and ``_bad``."""
+    from pyspark.sql.types import StringType, StructField, _parse_datatype_string
+    st = _parse_datatype_string(schema)
+    names = [f.name for f in st.fields]
+    with_bad = st.add(StructField("_corrupt_record", StringType()))
+    rows = df.select(*keep, bad.alias("_cut"), F.from_json("text", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("_r"))
+    return rows.select(*keep, *[F.col("_r")[n].alias(n) for n in names], (F.col("_cut") | F.col("_r._corrupt_record").isNotNull()).alias("_bad"))
+
+
+_SCHEME = r"^(\w+):/+"  # file:/x and file:///x are one place
 
-    A single array file is not splittable; convert it once to Parquet for repeated use.
-    """
-    r = spark.read.schema(schema).option("mode", "FAILFAST")
-    if array_file:
-        r = r.option("multiLine", True)
-    return r.json(path)
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with scheme and host, as ``_metadata.file_path`` has it but for the slashes after the scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub(_SCHEME, r"\1:/", fs.makeQualified(p).toUri().toString())
+
+
+def read_records(spark: SparkSession, path: str, schema: str = INSTRUCTION_SCHEMA, array_file: bool = True) -> DataFrame:
+    """JSON array files (``array_file``, see ``array_records``) or a folder/file of JSON lines, with a
+    declared schema; a malformed record fails the job."""
+    if not array_file:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    rows = read_records_permissive(spark, path, schema)
+    names = [c for c in rows.columns if c != "_bad"]
+    fail = F.raise_error(F.lit(f"malformed record in {path}"))
+    checked = [F.when(F.col("_bad"), fail.cast(rows.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in names]
+    return rows.where(~F.col("_bad") | fail.cast("boolean")).select(*checked)
 
 
 def read_records_permissive(spark: SparkSession, path: str, schema: str = INSTRUCTION_SCHEMA,
                             array_file: bool = True) -> DataFrame:
     """Like ``read_records`` but a malformed record becomes a row flagged ``_bad`` instead of a
-    failed job. JSON lines are parsed line by line (blank lines skipped); a JSON array file is
-    parsed whole (one file is one task in any case) and yields one flagged row if malformed."""
-    from pyspark.sql.types import ArrayType, StringType, StructField, _parse_datatype_string
-
-    st = _parse_datatype_string(schema)
+    failed job; the records around it are kept. JSON lines are parsed line by line (blank lines
+    skipped)."""
     if array_file:
-        raw = spark.read.option("wholetext", True).text(path)
-        parsed = raw.select(F.from_json("value", ArrayType(st), {"mode": "PERMISSIVE"}).alias("_a"))
-        rows = parsed.select(F.explode_outer("_a").alias("_r"), F.col("_a").isNull().alias("_bad"))
-        return rows.select(*[F.col("_r")[f.name].alias(f.name) for f in st.fields], "_bad")
-    with_bad = st.add(StructField("_corrupt_record", StringType()))
-    raw = spark.read.text(path).where(F.trim("value") != "")
-    parsed = raw.select(F.from_json("value", with_bad, {"mode": "PERMISSIVE",
-                                                        "columnNameOfCorruptRecord": "_corrupt_record"}).alias("_r"))
-    return parsed.select(*[F.col("_r")[f.name].alias(f.name) for f in st.fields],
-                         F.col("_r._corrupt_record").isNotNull().alias("_bad"))
+        rows = array_records(spark, path)
+        return _parsed(rows, schema, F.col("rest"))
+    return _parsed(spark.read.text(path).where(F.trim("value") != "").withColumnRenamed("value", "text"), schema, F.lit(False))
 
 
 def scan_instructions(spark: SparkSession, data_dir: str, train_name: str, val_name: str | None = None,
@@ -71,21 +135,29 @@ def scan_eval_sets(spark: SparkSession, data_dir: str, names: list[str], schema:
     and a malformed record becomes a row-level ``error`` (read permissively), so one bad
     dataset fails alone and the others go on (A3). The name list is a handful of literals.
     """
-    parts, errors = [], []
+    found, errors = [], []
     for name in names:
         p = template.format(dir=data_dir.rstrip("/"), name=name)
-        if not path_exists(spark, p):
+        if path_exists(spark, p):
+            found.append((name, p))
+        else:
             errors.append((name, f"path not found: {p}"))
-            continue
-        d = read_records_permissive(spark, p, schema, array_file)
-        err = F.when(F.col("_bad"), F.lit(f"malformed record in dataset {name}"))
-        parts.append(d.withColumn("error", err).drop("_bad").withColumn("dataset_name", F.lit(name)))
-    if parts:
-        records = parts[0]
-        for d in parts[1:]:
-            records = records.unionByName(d)
-    else:
+    if not found:
         records = spark.createDataFrame([], schema + ", error string, dataset_name string")
+    else:
+        if array_file:  # one scan of all files; a file's name says which dataset it is
+            rows = array_records(spark, [p for _, p in found])
+            place = [(name, qualified(spark, p)) for name, p in found]
+            at = F.regexp_replace("file", _SCHEME, "$1:/")
+            own = F.coalesce(*[F.when((at == p) | at.startswith(p + "/"), F.lit(name)) for name, p in place])
+            records = _parsed(rows.withColumn("_name", own), schema, F.col("rest"), ("_name",))
+        else:
+            records = None
+            for name, p in found:
+                d = read_records_permissive(spark, p, schema, False).withColumn("_name", F.lit(name))
+                records = d if records is None else records.unionByName(d)
+        err = F.when(F.col("_bad"), F.concat(F.lit("malformed record in dataset "), F.col("_name")))
+        records = records.withColumn("error", err).withColumn("dataset_name", F.col("_name")).drop("_bad", "_name")
     errs = spark.createDataFrame(errors, "dataset_name string, error string")
     return records, errs
 
@@ -119,23 +191,34 @@ def read_jsonl_stream(spark: SparkSession, path: str, schema: str, max_files: in
             .option("pathGlobFilter", "part-*").option("encoding", encoding).json(path))
 
 
+def ascii_json(line: Column) -> Column:
+    """JSON text with every non-ASCII run as ``\\uXXXX`` escapes of its UTF-16 units."""
+    runs = F.regexp_extract_all(line, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]+"), 0)
+    escaped = lambda r: F.regexp_replace(F.lower(F.hex(F.encode(r, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^[\x00-\x7F]"), r).otherwise(escaped(r))), "")
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "w", date_format: str = "iso", force_ascii: bool = False) -> None:
     """JSON lines; mode ``w`` (overwrite) or ``a`` (append); dates ISO text or epoch millis.
 
-    Non-ASCII text is written as is (the original default); escaping it is not offered.
+    Non-ASCII text is written as is (the original default), or with ``force_ascii`` as ``\\uXXXX``
+    escapes (code points beyond 16 bits as surrogate pairs).
     """
     if mode not in ("w", "a"):
         raise ValueError("mode must be 'w' (overwrite) or 'a' (append)")
     if date_format not in ("iso", "epoch"):
         raise ValueError("date_format must be 'iso' or 'epoch'")
-    if force_ascii:
-        raise ValueError("force_ascii=True is not supported; text is written as UTF-8")
     out = df
     if date_format == "epoch":
         for f in df.schema.fields:
             if isinstance(f.dataType, TimestampType):
                 out = out.withColumn(f.name, F.unix_millis(F.col(f.name)))
-    out.write.mode("overwrite" if mode == "w" else "append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS").json(path)
+    save, stamp = "overwrite" if mode == "w" else "append", "yyyy-MM-dd'T'HH:mm:ss.SSS"
+    if force_ascii:
+        line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in out.columns]), {"timestampFormat": stamp})
+        out.select(ascii_json(line).alias("value")).write.mode(save).text(path)
+        return
+    out.write.mode(save).option("timestampFormat", stamp).json(path)
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -1,6 +1,7 @@
 """Caller hooks (U1, U2, U4), Unicode word classes, projection and pairing checks."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marksheet.functions import normalize as N
@@ -39,13 +40,55 @@ def test_projection_matches_numpy(spark):
         assert np.allclose(got[r.item_id], y, rtol=1e-9, atol=1e-9)
 
 
-def test_bank_size_is_checked(spark):
-    items = FX.vectors(spark, SF_SMALL)
-    try:
-        V.route_topk(items, FX.bank(spark, SF_SMALL), k=2, max_bank=4)
-        raise AssertionError("expected the bank size check to fail")
-    except ValueError:
-        pass
+def test_banks_of_any_size(spark):
+    """Many parts and tiles of 4 entries route, score and project as one part does; ties go to the
+    lowest id, with biases too."""
+    items = FX.vectors(spark, SF_SMALL).limit(60)
+    rng = np.random.default_rng(2)
+    d = len(items.first().vec)
+    bank = [(k, [float(x) for x in np.round(rng.standard_normal(d) * (1 + k % 5), 1)], float(k % 3) / 10) for k in range(50)]
+    bank += [(k + 100, v, b) for k, v, b in bank[:20]]  # equal entries under higher ids
+    bank = spark.createDataFrame(bank, "bank_id long, vec array<double>, bias double")
+    rows = {(r.bank_id): (np.array(r.vec), r.bias) for r in bank.collect()}
+    for part, tile in ((1 << 25, 256), (1 << 25, 4), (20 * d * 8, 4)):
+        got = V.route_topk(items, bank, k=6, part_bytes=part, tile=tile).collect()
+        assert len(got) == 60
+        for r in got:
+            best = sorted(((-(float(np.dot(np.array(r.vec), v)) + b), i) for i, (v, b) in rows.items()), key=lambda x: (round(x[0], 9), x[1]))[:6]
+            assert [c.bank_id for c in r.chosen] == [i for _, i in best]
+            assert all(np.allclose(c.vec, rows[c.bank_id][0]) for c in r.chosen) and abs(sum(c.weight for c in r.chosen) - 1) < 1e-9
+    one, many = (V.logits_per_item(items, bank, part_bytes=p).collect() for p in (1 << 25, 9 * d * 8))
+    assert sorted((r.item_id, tuple(r.logits)) for r in one) == sorted((r.item_id, tuple(r.logits)) for r in many)
+    f = bank.select(F.col("bank_id").alias("rank_id"), "vec")
+    a, b = ({r.item_id: r.projected for r in V.project(items, f, f, 2.0, part_bytes=p).collect()} for p in (1 << 25, 15 * d * 8))
+    assert all(np.allclose(a[i], b[i], rtol=1e-9, atol=1e-9) for i in a) and len(a) == len(b) == 60
+    with pytest.raises(Exception, match="topk cannot exceed"):
+        V.route_topk(items, bank, k=71, part_bytes=20 * d * 8).collect()
+
+
+def test_gram_of_wide_vectors_in_tiles(spark):
+    rng = np.random.default_rng(4)
+    for d, tile in ((2048, 64), (70, 8), (5, 64)):
+        x = np.round(rng.standard_normal((6, d)), 2)
+        df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "item_id long, vec array<double>")
+        tiles = V.gram_tiles(df, "vec", tile).collect()
+        assert max(len(t.part) for t in tiles) <= max(tile, -(-d // 15)) ** 2 and all(t.bi <= t.bj for t in tiles)
+        want = x.T @ x
+        if d < 100:
+            got = np.zeros((d, d))
+            for r in V.gram(df, "vec", tile).collect():
+                got[r.i, r.j] += r.value
+            assert np.allclose(got, want)
+        frob = float(((want - np.eye(d)) ** 2).sum())
+        p = V.orthogonality_penalty(df, df, 0.5, tile=tile).first()
+        assert np.isclose(p.frob_u, frob) and np.isclose(p.penalty, frob)
+
+
+def test_rebalance_blocks_agree_with_single_steps(spark):
+    items, bank = FX.vectors(spark, SF_SMALL), FX.bank(spark, SF_SMALL)
+    for gamma in (1e-4, 0.3):  # the second changes the choice of almost every batch
+        runs = [sorted((r.step, r.bank_id, r.load, round(r.bias, 9)) for r in V.rebalance_over_batches(items, bank, 4, 8, gamma=gamma, max_abs=0.5, speculate=w).collect()) for w in (1, 5, 64)]
+        assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 0
 
 
 def test_pair_with_sources_flags_unmatched(spark):
