@@ -5,19 +5,19 @@
 2. A distributed randomised SVD of the benchmark's TF-IDF passages gives a whitened latent space
    of ``RANK`` dimensions: random start, power rounds that sum A'(A q) over the tasks, an
    orthogonal basis between rounds. Matrices have at most DIMS x (RANK + EXTRA) entries.
-3. Every passage of every document (``WIDTH`` words, every ``STEP`` words; for short items also the
-   lengths and steps of ``SHORT``) is folded in and compared with the benchmark passages of its
-   length in a block of the stated query set in one matrix product. Passages without a word of
-   the benchmark have no latent vector and are passed over. Cosines of ``MIN_COSINE`` or more are
-   candidates, unless the text that would be verified has fewer words of the item than
-   ``MIN_LCS`` asks for: the longest common subsequence is no longer than their number.
+3. An item can only be verified at a place that holds enough of its rare words (an exact bound of the
+   common subsequence, see ``Items``). An inverted list from words to items finds these places. The
+   passages there (``WIDTH`` words, every ``STEP`` words; for short items the lengths and steps of
+   ``SHORT``) are folded in and compared with the item's passages. Cosines of ``MIN_COSINE`` or more
+   are candidates. Passages elsewhere are passed over: no pair that step 4 would accept is lost.
 4. A candidate is verified against the whole item: longest common word subsequence (bit-parallel)
    between the item and the text around the passage, at least ``MIN_LCS`` of the item; and the
    answer check: the item's closing sentence must be there to ``MIN_ANSWER``.
 
-Scale: rows never meet; the benchmark is read in blocks of ``ITEM_BLOCK`` items, each a bounded
-broadcast (a larger benchmark means more blocks, not a larger one); driver matrices have a fixed
-bound. Whole texts are searched, however long; no shuffle but the sums of fixed-size partials.
+Scale: rows never meet. The benchmark's texts are folded in on the tasks; the query set is read in
+blocks of at most ``ITEM_BLOCK`` items (word hashes), one at a time, each a bounded closure and one
+pass over the documents. Driver matrices have a fixed bound. Whole texts are searched, however
+long; no shuffle but the sums of fixed-size partials.
 
 Defined results: null or empty text, and benchmark items without a word, match nothing. Short
 items (under WIDTH words) are one passage, met by passages of the next length in ``SHORT``. Repeated rows give repeated results; every pair over
@@ -43,7 +43,7 @@ PART = 4  # words; document passages are put together from the sums of such part
 SHORT = {8: 4, 12: 4, 16: 4}  # passage length and step for items of at most so many words
 MIN_COSINE = 0.6
 MIN_LCS, MIN_ANSWER = 0.6, 0.5
-ITEM_BLOCK = 512
+ITEM_BLOCK = 4096
 SEED = 7
 MARKS = np.isin(np.arange(256), list(b".,;:!?\"'()[]"))
 
@@ -189,80 +189,132 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str, size: int = ITEM_BLOCK):
-    """The stated query set in blocks of at most ``size`` items: (ids, word hashes, closing words)."""
-    rows = []
-    for r in benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
-        raw = r.t.encode()
-        h, _, stop = normal_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        if not len(h):
-            continue
-        ends = np.flatnonzero(stop[:-1])
-        rows.append((r.i, h, h[ends[-1] + 1:] if len(ends) else h))
-        if len(rows) == size:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
-
-
-def _search(idf: np.ndarray, row_of: np.ndarray, basis: np.ndarray, items):
-    """Task function: verified pairs of LEAK_SCHEMA."""
+def item_words(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(block, item_id, words, answer): each item's word hashes, folded in on the tasks, and the
+    place of the first word of its closing sentence; blocks of at most ITEM_BLOCK items."""
     def run(batches):
-        first = np.concatenate([[0], np.cumsum([len(h) for _, h, _ in items])])
+        for batch, data, off in pieces(batches, "_text", 1 << 18):
+            h, first, stop = normal_words(data, off)
+            own, answer = [], []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                ends = np.flatnonzero(stop[a: max(a, b - 1)])
+                own.append(h[a:b].tobytes())
+                answer.append(int(ends[-1]) + 1 if len(ends) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(answer, pa.int64())], names=["item_id", "words", "answer"])
+
+    rows = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("_text")).where("_text is not null")
+    table = written(rows.mapInArrow(run, "item_id long, words binary, answer long").where(F.length("words") > 0), "items")
+    return written(table.withColumn("block", F.floor(F.monotonically_increasing_id() / ITEM_BLOCK)), "item-blocks")
+
+
+class Items:
+    """A block of the query set: words, latent passages, and an inverted list of rare words.
+
+    A text that shares a subsequence of ``need`` words with an item holds, of any ``j`` words of the
+    item, at least ``need - (size - j)``. Each item lists the slots of its ``j`` rarest words; a
+    text must hold ``hits`` of them."""
+
+    def __init__(self, rows, idf: np.ndarray, row_of: np.ndarray, basis: np.ndarray):
+        self.ids = [r["item_id"] for r in rows]
+        self.words = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        self.answers = [w[r["answer"]:] for w, r in zip(self.words, rows)]
+        self.size = np.array([len(w) for w in self.words])
+        first = np.concatenate([[0], np.cumsum(self.size)])
+        every = slot(np.concatenate(self.words))
         owner, begin, end = passages(first)
-        item_rows = row_of[slot(np.concatenate([h for _, h, _ in items]))]
-        queries = unit(folded(item_rows, begin, end, basis))
-        size = np.diff(first)
+        self.queries = unit(folded(row_of[every], begin, end, basis))
+        self.offset = begin - first[owner]  # of a passage in its item
+        self.q_first = np.searchsorted(owner, np.arange(len(rows) + 1))
         limits = np.array(sorted(SHORT))
-        kind = np.searchsorted(limits, size[owner])  # which length of passage meets a query
-        holds = np.zeros((len(items), len(basis)), bool)  # which items use a row
-        holds[np.repeat(np.arange(len(items)), size), item_rows] = True
+        self.kind = np.searchsorted(limits, self.size)  # which length of passage meets the item
+        self.shapes = [(int(n), SHORT[int(n)]) for n in limits] + [(WIDTH, STEP)]
+        need = np.ceil(MIN_LCS * self.size).astype(np.int64)
+        listed = self.size - need + (need + 3) // 4
+        self.hits = need - (self.size - listed)
+        own = [every[a:b] for a, b in zip(first[:-1], first[1:])]
+        slots = [np.unique(x[np.argsort(-idf[x], kind="stable")[:j]]) for x, j in zip(own, listed)]
+        owners = np.repeat(np.arange(len(rows)), [len(x) for x in slots])
+        slots = np.concatenate(slots)
+        order = np.argsort(slots, kind="stable")
+        self.listed, self.starts = owners[order], np.searchsorted(slots[order], np.arange(DIMS + 1))
+
+    def runs(self, s: np.ndarray, row: np.ndarray):
+        """(item, first hit, last hit): runs of ``hits`` neighbouring listed words of an item that
+        one verification of it can cover; by item, then position. ``s``: slots of the words."""
+        count = self.starts[s + 1] - self.starts[s]
+        at = np.flatnonzero(count)
+        count = count[at]
+        pos = np.repeat(at, count)
+        place = np.arange(len(pos)) - np.repeat(np.cumsum(count) - count, count)
+        k = self.listed[np.repeat(self.starts[s[at]], count) + place]
+        order = np.argsort(k, kind="stable")
+        k, pos = k[order], pos[order]
+        last = np.arange(len(k)) + self.hits[k] - 1
+        i = np.flatnonzero(last < len(k))
+        j = last[i]
+        i = i[(k[j] == k[i]) & (row[pos[j]] == row[pos[i]]) & (pos[j] - pos[i] < self.size[k[i]] + 2 * WIDTH)]
+        return k[i], pos[i], pos[last[i]]
+
+    def candidates(self, k: np.ndarray, a: np.ndarray, b: np.ndarray, row: np.ndarray, begin: np.ndarray, p_first: np.ndarray):
+        """(passage, query) pairs, each once: the passages (starting at ``begin``; those of a text from
+        ``p_first``) whose verification against the query's item would cover one of the runs."""
+        count = self.q_first[k + 1] - self.q_first[k]
+        run = np.repeat(np.arange(len(k)), count)
+        nth = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        order = np.lexsort((run, nth, row[a[run]], k[run]))  # runs of one (item, text, query) side by side
+        run, nth = run[order], nth[order]
+        q, item, text = self.q_first[k[run]] + nth, k[run], row[a[run]]
+        low = np.searchsorted(begin, b[run] - self.size[item] - WIDTH + self.offset[q] + 1)
+        high = np.searchsorted(begin, a[run] + self.offset[q] + WIDTH, "right")
+        low, high = np.maximum(low, p_first[text]), np.minimum(high, p_first[text + 1])
+        same = np.flatnonzero((q[1:] == q[:-1]) & (text[1:] == text[:-1])) + 1
+        low[same] = np.maximum(low[same], high[same - 1])  # what the run before has covered
+        count = np.maximum(high - low, 0)
+        p = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        return p, np.repeat(q, count), np.repeat(item, count)
+
+
+def _search(idf: np.ndarray, row_of: np.ndarray, basis: np.ndarray, rows):
+    """Task function: verified pairs of LEAK_SCHEMA."""
+    def run(batches):
+        items = Items(rows, idf, row_of, basis)
         for batch, data, off in pieces(batches, "_text", 1 << 20):
             h, starts, _ = normal_words(data, off)
-            rows = row_of[slot(h)]
+            s = slot(h)
+            text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            k, a, b = items.runs(s, text)
             part_row, part_a, part_b = passages(starts, PART, PART, flush=False)
-            part = folded(rows, part_a, part_b, basis)
             part_first = np.searchsorted(part_row, np.arange(len(starts)))
-            known = np.concatenate([[0], np.cumsum(rows > 0)])
             found: dict = {}
-            for c in np.unique(kind).tolist():
-                width, step = (int(limits[c]), SHORT[int(limits[c])]) if c < len(limits) else (WIDTH, STEP)
-                own = np.flatnonzero(kind == c)
-                row, a, b = passages(part_first, width // PART, step // PART)
-                some = np.flatnonzero(known[part_b[b - 1]] > known[part_a[a]])
-                row, a, b = row[some], a[some], b[some]
-                for lo in range(0, len(row), 4096):
-                    ends = slice(lo, lo + 4096)
-                    cos = unit(folded(np.arange(len(part)), a[ends], b[ends], part)) @ queries[own].T
-                    p, q = np.nonzero(cos >= MIN_COSINE)
-                    if not len(p):
-                        continue
-                    near, d, q = cos[p, q], row[p + lo], own[q]
-                    k = owner[q]
-                    spot = part_a[a[p + lo]] - begin[q] + first[k]  # where the item would begin
-                    left, right = np.maximum(starts[d], spot - WIDTH), np.minimum(starts[d + 1], spot + size[k] + WIDTH)
-                    for g in range(0, len(p), 65536):
-                        cut = slice(g, g + 65536)
-                        word, at = entries(left[cut], right[cut])
-                        shared = np.add.reduceat(holds[np.repeat(k[cut], (right - left)[cut]), rows[word]].astype(np.int32), at)
-                        for i in (np.flatnonzero(shared >= MIN_LCS * size[k[cut]]) + g).tolist():
-                            spots = found.setdefault((int(d[i]), int(k[i])), {})
-                            spots[int(spot[i])] = max(float(near[i]), spots.get(int(spot[i]), 0.0))
+            for c in np.unique(items.kind[k]).tolist():
+                width, step = items.shapes[c]
+                row, x, y = passages(part_first, width // PART, step // PART)
+                begin, end = part_a[x], part_b[y - 1]
+                own = np.flatnonzero(items.kind[k] == c)
+                p, q, item = items.candidates(k[own], a[own], b[own], text, begin, np.searchsorted(row, np.arange(len(starts))))
+                for g in range(0, len(p), 65536):
+                    cut = slice(g, g + 65536)
+                    used, place = np.unique(p[cut], return_inverse=True)
+                    latent = unit(folded(row_of[s], begin[used], end[used], basis))
+                    cos = np.einsum("ij,ij->i", latent[place], items.queries[q[cut]])
+                    for i in (np.flatnonzero(cos >= MIN_COSINE)).tolist():
+                        spot = int(begin[p[g + i]] - items.offset[q[g + i]])  # where the item would begin
+                        spots = found.setdefault((int(row[p[g + i]]), int(item[g + i])), {})
+                        spots[spot] = max(float(cos[i]), spots.get(spot, 0.0))
             out = []
             for (d, k), spots in found.items():
-                name, words, answer = items[k]
+                words, answer = items.words[k], items.answers[k]
                 best = None
                 for at, c in sorted(spots.items(), key=lambda x: -x[1]):
                     lo = max(int(starts[d]), at - WIDTH)
-                    text = h[lo: min(int(starts[d + 1]), at + len(words) + WIDTH)]
-                    n = common_subsequence(words, text)
-                    if n >= MIN_LCS * len(words) and common_subsequence(answer, text) >= MIN_ANSWER * len(answer):
+                    near = h[lo: min(int(starts[d + 1]), at + len(words) + WIDTH)]
+                    n = common_subsequence(words, near)
+                    if n >= MIN_LCS * len(words) and common_subsequence(answer, near) >= MIN_ANSWER * len(answer):
                         best = max(best or (0,), (n, c, max(0, at - int(starts[d]))))
                         if n == len(words):
                             break
                 if best:
-                    out.append((d, name, float(best[1]), best[0], len(words), best[2]))
+                    out.append((d, items.ids[k], float(best[1]), best[0], len(words), best[2]))
             cols = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k).take(pa.array(cols[0], pa.int64())) for k in (0, 1)]
@@ -275,17 +327,19 @@ LEAK_SCHEMA = "doc_id long, content long, item_id long, cosine double, lcs_words
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per (document row, benchmark item found in it)."""
-    blocks = item_blocks(benchmark, item, item_text)
-    head = next(blocks, None)
-    if head is None:
-        return docs.sparkSession.createDataFrame([], LEAK_SCHEMA)
+    """One row per (document row, benchmark item found in it). The items are the stated query set:
+    one bounded block at a time meets all documents, and its pairs are written before the next."""
+    items = item_words(benchmark, item, item_text)
+    numbers = [r["block"] for r in items.select("block").distinct().orderBy("block").collect()]  # one for ITEM_BLOCK items
+    out = docs.sparkSession.createDataFrame([], LEAK_SCHEMA)
+    if not numbers:
+        return out
     idf = inverse_frequencies(docs, text)
     row_of, basis = latent_basis(benchmark, idf, item_text)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).alias("_text"))
-    out = rows.mapInArrow(_search(idf, row_of, basis, head), LEAK_SCHEMA)
-    for block in blocks:
-        out = out.unionByName(rows.mapInArrow(_search(idf, row_of, basis, block), LEAK_SCHEMA))
+    for number in numbers:
+        block = items.where(F.col("block") == number).select("item_id", "words", "answer").collect()
+        out = out.unionByName(written(rows.mapInArrow(_search(idf, row_of, basis, block), LEAK_SCHEMA), "leaks"))
     return out
 
 

@@ -392,6 +392,43 @@ def test_decontamination_short_items_and_strong_paraphrases(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == want
 
 
+def test_decontamination_finds_every_text_that_passes_the_checks(spark):
+    """Items with words replaced by words of other items, at three rates: all that pass the common
+    subsequence and the answer check are found, by whatever block of the query set."""
+    rng = np.random.default_rng(21)
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    items = {r.item_id: r.text.split() for r in bench.collect()}
+    every = [w for x in items.values() for w in x]
+    rows, want = [], set()
+    for rate in (0.1, 0.25, 0.4):
+        for k, x in items.items():
+            text = [every[int(rng.integers(len(every)))] if rng.random() < rate else w for w in x]
+            a, b = norm(" ".join(x)), norm(" ".join(text))
+            ends = [j for j, w in enumerate(x[:-1]) if w[-1] in ".!?"]
+            answer = a[ends[-1] + 1:] if ends else a
+            if lcs(a, b) >= 0.6 * len(a) and lcs(answer, b) >= 0.5 * len(answer):
+                want.add((len(rows), k))
+            lead = [f"lead{j}" for j in rng.integers(0, 500, 60)]
+            rows.append((len(rows), " ".join(lead + text + lead[::-1])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+    assert want and want <= got
+
+
+def test_decontamination_many_items_in_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    vocab = [f"v{k}" for k in range(3000)]
+    items = {k: [vocab[int(j)] for j in rng.integers(0, 3000, int(rng.integers(20, 40)))] for k in range(2000)}
+    docs = spark.createDataFrame([(k, " ".join(vocab[int(j)] for j in rng.integers(0, 3000, 150)) + " " + " ".join(items[k * 7])) for k in range(200)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string").coalesce(1)
+    passes = []
+    search = decontamination._search
+    monkeypatch.setattr(decontamination, "_search", lambda *a: passes.append(len(a[-1])) or search(*a))
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == {(k, k * 7) for k in range(200)} and passes == [2000]
+    monkeypatch.setattr(decontamination, "ITEM_BLOCK", 900)  # more blocks, the same pairs
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == {(k, k * 7) for k in range(200)} and passes[1:] == [900, 900, 200]
+
+
 # ---------------------------------------------------------------- 7 substring dedup
 
 
