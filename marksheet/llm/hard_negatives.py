@@ -40,7 +40,7 @@ LARGEST = float(1 << 25)
 POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90
 BLOCK_ROWS = 8192
-ANCHOR_BLOCK = 128
+ANCHOR_BLOCK = 256
 FIRST_DEPTH = 64
 NO_ID = np.iinfo(np.int64).max
 SMALLEST, GREATEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -218,14 +218,15 @@ def mine(vectors: DataFrame, anchors: DataFrame, positives: int = POSITIVES, neg
     the table of ``integer_rows``, ``anchors`` some of its rows."""
     n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     width, n_blocks = max(1, width), max(1, -(-n // BLOCK_ROWS))
-    spread = min(n_blocks, max(shuffle_width(vectors), 4 * vectors.sparkSession.sparkContext.defaultParallelism))
-    blocks = written(packed(vectors.repartition(n_blocks), BLOCK_ROWS), "vector-blocks").repartition(spread)
+    lanes = min(n_blocks, max(shuffle_width(vectors), 4 * vectors.sparkSession.sparkContext.defaultParallelism))
+    blocks = written(packed(vectors.repartition(n_blocks), BLOCK_ROWS).withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(lanes))), "vector-blocks")
     parts = max(1, -(-anchors.count() // ANCHOR_BLOCK))
 
     def units(queries: DataFrame, extra: list[str] | None = None) -> DataFrame:
-        """Every row block beside every block of the stated query set."""
+        """Every row block beside every block of the stated query set, which goes to each lane once."""
         rows = written(packed(queries.repartition(parts), ANCHOR_BLOCK, extra), "anchor-blocks")
-        return blocks.join(rows.select([F.col(c).alias(f"a_{c}") for c in rows.columns]))
+        names = [F.col(c).alias(f"a_{c}") for c in rows.columns]
+        return blocks.join(rows.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), *names), "lane")
 
     found = _search(units(anchors), width, positives, True)
     best = written(_merged(found, ["anchor_no"], positives).select("anchor_no", "rank", "no", F.coalesce("key", F.lit(int(NO_ID))).alias("key"), "score"), "positives")
