@@ -4,7 +4,8 @@ Operators that need a corpus-wide count for every n-gram or window of a text wou
 row per token. Here a task packs its documents into blocks of about ``BLOCK_BYTES`` text. A block
 asks about its *distinct* hashes only, once each, as sorted and compressed arrays: one message
 row per (block, hash range). The range's task adds the counts up and answers in the same order;
-blocks and answers then meet again. Distinct hashes spread evenly over ranges, so a frequent
+blocks and answers then meet again. The number of ranges follows from the size of the table, so a
+range's task is bounded by ``RANGE_BYTES`` of packed questions. Distinct hashes spread evenly over ranges, so a frequent
 word costs one entry a block, whatever its share of the corpus.
 """
 
@@ -17,10 +18,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marksheet.llm.scratch import shuffle_width, written
+from marksheet.llm.scratch import written
 from marksheet.llm.textbatch import text_buffer
 
 BLOCK_BYTES = 8 << 20
+RANGE_BYTES = 8 << 20
 BLOCK_SCHEMA = "ids binary, has_id binary, flags binary, offsets binary, texts binary"
 
 
@@ -134,5 +136,7 @@ def reply_array(frame: pd.DataFrame, kind: int, dtype) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype)] + [unpack(x, dtype) for x in own["reply"]])
 
 
-def spans_of(docs: DataFrame) -> int:
-    return max(1, shuffle_width(docs))
+def spans_of(table: DataFrame) -> int:
+    """How many hash ranges the questions of a block table go to: about RANGE_BYTES asked in each,
+    however large the table (a block asks for about three times its compressed text)."""
+    return max(1, -(-3 * (table.agg(F.sum(F.length("texts"))).first()[0] or 0) // RANGE_BYTES))

@@ -12,10 +12,10 @@ from marksheet.llm.pii_surrogates import op5_pii_surrogates
 from marksheet.llm.quality_rules import op8_quality_rules
 from marksheet.llm.secret_scan import op4_secret_scan
 from marksheet.llm.sharding import op1_sharding
-from marksheet.llm.substring_dedup import op7_substring_dedup
+from marksheet.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_model, op3_near_duplicates, op4_secret_scan, op5_pii_surrogates, op6_decontamination,
                                    op7_substring_dedup, op8_quality_rules, op9_license_scan, op10_mixing, op11_lexical_search,
                                    op12_minhash_duplicates, op13_hard_negatives)}
-ORACLE = {"op9_license_scan": OP9_SQL, "op11_lexical_search": OP11_SQL,
+ORACLE = {"op7_substring_dedup": OP7_SQL, "op9_license_scan": OP9_SQL, "op11_lexical_search": OP11_SQL,
           "op12_minhash_duplicates": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -89,8 +89,8 @@ def grams_inside(first: np.ndarray, n_tokens: int, n: int) -> np.ndarray:
 def score(docs: DataFrame, train, order: int = ORDER, mu: float = MU, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row;
     ``train`` is a boolean column that says which rows the model learns from."""
-    spans = spans_of(docs)
     table = block_table(docs, key, text, flag=train)
+    spans = spans_of(table)
 
     def ask(batches):
         for batch in batches:
