@@ -120,7 +120,8 @@ def allowed(run: Column) -> Column:
 
 
 def entropy_spans(text: Column, kind: str, rank: int, base: Column) -> Column:
-    """Spans of one character class, without allowed ones and those that meet a base span."""
+    """Spans of one character class, without allowed ones; of a run that meets base spans the parts
+    outside them are judged."""
     pattern = CLASSES[kind]
     runs = located(text, pattern, rank)
 
@@ -136,8 +137,20 @@ def entropy_spans(text: Column, kind: str, rank: int, base: Column) -> Column:
         moved = F.transform(parts, lambda s: F.struct((span["start"] + s["start"]).alias("start"), s["rank"].alias("rank"), (span["start"] + s["end"]).alias("end")))
         return F.when(run.rlike(PLACEHOLDER), moved).otherwise(F.array(span))
 
-    free = F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.filter(F.transform(F.flatten(F.transform(free, beside)), judged), lambda s: s["start"].isNotNull())
+    def free(span: Column) -> Column:
+        """The parts of a run outside base spans that hold a window."""
+        def part(start: Column, end: Column) -> Column:
+            return F.when(end - start >= WINDOW, F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))).otherwise(F.array().cast(SPAN))
+
+        def cut(acc: Column, b: Column) -> Column:
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["parts"], part(acc["at"], F.least(b["start"], span["end"]))).alias("parts"))
+
+        met = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+        start = F.struct(span["start"].alias("at"), F.array().cast(SPAN).alias("parts"))
+        return F.when(F.size(met) == 0, F.array(span)).otherwise(F.aggregate(met, start, cut, lambda acc: F.concat(acc["parts"], part(acc["at"], span["end"]))))
+
+    parts = F.flatten(F.transform(F.flatten(F.transform(runs, free)), beside))
+    return F.filter(F.transform(parts, judged), lambda s: s["start"].isNotNull())
 
 
 def _written(spans: Column) -> Column:
