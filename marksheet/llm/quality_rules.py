@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marksheet.llm.scratch import written
@@ -76,25 +76,34 @@ def slots(data: np.ndarray, off: np.ndarray, h: np.ndarray, first: np.ndarray):
         ok = inside(first, n, len(w))
         part = (mix(w[ok]) & mask).astype(np.int32) + (n - 1) * DIMS
         out.append((part, np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - n + 1, 0))])))
-    b = data.astype(np.uint32)
+    b = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)  # characters, not bytes
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
     for k, n in enumerate((3, 4), start=2):
         if len(b) >= n:
             x = b[: len(b) - n + 1] * np.uint32(1)
             for j in range(1, n):
                 x = x * np.uint32(0x01000193) + b[j: len(b) - n + 1 + j]
             x *= np.uint32(0x9E3779B1)
-            ok = inside(off, n, len(x))
+            ok = inside(begins, n, len(x))
             part = (x[ok] >> np.uint32(32 - DIMS.bit_length() + 1)).astype(np.int32) + k * DIMS
         else:
             part = np.zeros(0, np.int32)
-        out.append((part, np.concatenate([[0], np.cumsum(np.maximum(np.diff(off) - n + 1, 0))])))
+        out.append((part, np.concatenate([[0], np.cumsum(np.maximum(np.diff(begins) - n + 1, 0))])))
     return out
 
 
+def short_pieces(batches):
+    """Runs of at most 512 rows: a row's features take 8 * FAMILIES * DIMS bytes, however short it is."""
+    for batch, data, off in pieces(batches, "text", 1 << 20):
+        for a in range(0, batch.num_rows, 512):
+            cut = off[a: a + 513]
+            yield batch.slice(a, 512), data[cut[0]: cut[-1]], cut - cut[0]
+
+
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, y, fold, x array) of labelled documents."""
     def run(batches):
-        for batch, data, off in pieces(batches, "text", 1 << 20):
+        for batch, data, off in short_pieces(batches):
             start, end, first = find_words(data, off)
             n = len(off) - 1
             x = np.zeros((n, FAMILIES * DIMS), np.float32)
@@ -114,6 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, key: str =
     y = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_id")).agg(F.max(F.col(label).cast("double")).alias("y"))
     picked = F.broadcast(y.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows))  # at most fit_rows rows
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).join(picked, "_id")
+    # an id that several rows share gives one of them: at most fit_rows rows
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))).where("_nth = 1").drop("_nth")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col("_id")), F.lit(5)).cast("int"))
     table = written(features(rows), "quality-features").select("y", "fold", array_to_vector("x").alias("x"))
     classes = {(r.fold, r.y) for r in table.select((F.col("fold") == 0).alias("fold"), "y").distinct().collect()}
