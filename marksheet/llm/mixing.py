@@ -27,10 +27,13 @@ and kept by ``mixed_rows``. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from marksheet.llm.scratch import written
+from marksheet.llm.scratch import each_copy, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -141,22 +144,36 @@ def _by_size(a: Column, b: Column) -> Column:
 def copies_each(mixed: DataFrame) -> DataFrame:
     """One row per input row: ``copies`` of each, the unit's copies spread evenly."""
     total = F.col("whole") + F.col("extra")
-    each = mixed.withColumn("k", F.explode(F.expr("sequence(0L, n - 1)")))
+    each = each_copy(mixed, "n", "k")
     return each.withColumn("copies", F.floor(((F.col("k") + 1) * total) / F.col("n")) - F.floor((F.col("k") * total) / F.col("n")))
 
 
 def mixed_rows(docs: DataFrame, seed: int = 42, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: the rows of ``docs``, all columns, each as often as it was drawn."""
-    drawn = mix(docs, seed, key, text, source).select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("crc").alias("_crc"),
+    """The mix itself: the rows of ``docs``, all columns, each as often as it was drawn. Rows of equal
+    key, source and text share their copies evenly, whatever their other columns hold."""
+    drawn = mix(docs, seed, key, text, source).select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("crc").alias("_crc"), F.col("size").alias("_size"),
                                                      F.col("n").alias("_n"), (F.col("whole") + F.col("extra")).alias("_total")).where("_total > 0")
-    crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    single = drawn.where("_n = 1").drop("_n")
-    rows = docs.withColumn("_c", crc)
-    same = F.col(key).cast("long").eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_c") == F.col("_crc"))
-    once = rows.join(single, same).withColumn("_k", F.explode(F.expr("sequence(1L, _total)")))
-    # repeated rows: one of them stands for all and takes all copies
-    many = rows.join(drawn.where("_n > 1").drop("_n"), same).dropDuplicates([key, source, "_c"]).withColumn("_k", F.explode(F.expr("sequence(1L, _total)")))
-    return once.unionByName(many).select(*docs.columns)
+    drawn = written(drawn, "drawn")
+    unit = ["_id", "_source", "_crc", "_size"]
+    rows = docs.withColumn("_c", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))).withColumn("_s", word_count(text))
+    same = F.col(key).cast("long").eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_c") == F.col("_crc")) & (F.col("_s") == F.col("_size"))
+    once = rows.join(drawn.where("_n = 1"), same).select(*docs.columns, F.col("_total").alias("_copies"))
+    # a unit of several rows: its copies are spread evenly over the rows, equal rows being one with a count.
+    # Rows stand in the order of a hash of all their columns, numbered in buckets of it.
+    whole = F.xxhash64(*[F.to_json(c) if isinstance(docs.schema[c].dataType, MapType) else F.col(c) for c in docs.columns])
+    many = rows.join(drawn.where("_n > 1"), same).withColumn("_row", whole)
+    kinds = written(many.groupBy(*unit, "_n", "_total", "_row").agg(F.count(F.lit(1)).alias("_m")).withColumn("_bucket", F.pmod("_row", F.lit(4096))), "row-kinds")
+    before = Window.partitionBy(*unit).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*unit, "_bucket").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kinds.groupBy(*unit, "_bucket").agg(F.sum("_m").alias("_k")).select(*unit, "_bucket", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"))
+    starts = starts.select(*[F.col(c).alias(f"s{c}") for c in [*unit, "_bucket"]], "_start")
+    placed = kinds.withColumn("_in", F.coalesce(F.sum("_m").over(inside), F.lit(0))).join(
+        starts, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"s{c}")) for c in [*unit, "_bucket"]]))
+    copies = F.expr("((_start + _in + _m) * _total) div _n") - F.expr("((_start + _in) * _total) div _n")
+    placed = placed.select(*[F.col(c).alias(f"k{c}") for c in [*unit, "_row"]], copies.alias("_copies")).where("_copies > 0")
+    one = many.select(*docs.columns, *unit, "_row").dropDuplicates([*unit, "_row"])
+    more = one.join(placed, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"k{c}")) for c in [*unit, "_row"]])).select(*docs.columns, "_copies")
+    return each_copy(once.unionByName(more), "_copies", "_k").select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marksheet.llm.scratch import checkpointed, shuffle_width
+from marksheet.llm.scratch import checkpointed, each_copy, shuffle_width
 
 SHARDS = 8
 
@@ -47,11 +47,17 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text:
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     run = placed.withColumn("_b", F.coalesce(F.sum(F.col("_size") * F.col("_n")).over(inside), F.lit(0))) \
         .withColumn("_r", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    single = run.join(F.broadcast(offsets), "_part").withColumn("_copy", F.explode(F.expr("sequence(0L, _n - 1)")))
-    prefix = F.col("_bytes0") + F.col("_b") + F.col("_copy") * F.col("_size")
-    rows = single.select("_key", "_crc", "_size", (F.col("_rows0") + F.col("_r") + F.col("_copy")).alias("_row"),
-                         F.floor(prefix.cast("decimal(38,0)") * shards / F.col("_all")).cast("int").alias("shard"))
-    first = rows.groupBy("shard").agg(F.min("_row").alias("_first"))  # one row a shard
+    run = run.join(F.broadcast(offsets), "_part").withColumn("_b", F.col("_bytes0") + F.col("_b")).withColumn("_r", F.col("_rows0") + F.col("_r"))
+    big = lambda c: c.cast("decimal(38,0)")
+    place = lambda copy: F.floor(big(F.col("_b") + copy * F.col("_size")) * shards / F.col("_all")).cast("int")
+    # the first row of each shard, from the runs of equal rows: a run's first copy in a shard follows from sizes
+    spans = run.select("_b", "_r", "_size", "_n", "_all", F.explode(F.sequence(place(F.lit(0)), place(F.col("_n") - 1))).alias("shard"))
+    gap = big(F.col("shard").cast("long")) * F.col("_all") - big(F.col("_b")) * shards
+    copy = F.greatest(F.ceil(gap / (big(F.col("_size")) * shards)).cast("long"), F.lit(0).cast("long"))
+    spans = spans.withColumn("_copy", copy).where((F.col("_copy") < F.col("_n")) & (place(F.col("_copy")) == F.col("shard")))
+    first = spans.groupBy("shard").agg(F.min(F.col("_r") + F.col("_copy")).alias("_first"))  # one row a shard
+    rows = each_copy(run.select("_key", "_crc", "_size", "_n", "_b", "_r", "_all"), "_n", "_copy").select(
+        "_key", "_crc", "_size", (F.col("_r") + F.col("_copy")).alias("_row"), place(F.col("_copy")).alias("shard"))
     return rows.join(F.broadcast(first), "shard").select(
         F.col("_key").alias(key), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", (F.col("_row") - F.col("_first")).alias("slot"))
 
