@@ -268,6 +268,17 @@ def test_secrets_with_slashes_and_beside_placeholders(spark):
     assert got[4] == got[5] == got[6] == []
 
 
+def test_secrets_beside_base_spans(spark):
+    """A secret that touches a base span is judged on its own."""
+    secret, sha = "wJalrXUtnFEMIxK7MDENGxbPxRfiCYzzT5a9KEYq", "3f786850e387550fdab836ed7e6dc881de23001b"
+    texts = [secret, f"{secret}/{sha}", f"{sha}_{secret}", f"{secret}=={sha}", f"https://x.org/{sha}/{secret}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan(df).collect():
+        at = texts[r.doc_id].index(secret)
+        assert any(s.rank == 5 and s.start >= at - 2 and s.end <= at + 42 for s in r.all_spans), texts[r.doc_id]
+        assert set(map(tuple, r.base_spans)) <= set(map(tuple, r.all_spans))
+
+
 # ---------------------------------------------------------------- 5 surrogates
 
 
@@ -458,11 +469,39 @@ def test_recompression_is_local():
         texts = [np.concatenate([rng.choice(alphabet, rng.integers(0, 50)), core, rng.choice(alphabet, rng.integers(0, 50))]) for _ in range(4)]
         h, first = np.concatenate(texts), np.cumsum([0] + [len(t) for t in texts])
         at = np.concatenate([np.arange(a, b - 34) for a, b in zip(first, first[1:])])
-        name = dict(zip(at.tolist(), substring_dedup.representatives(h, first, at, 35).tolist()))
+        names, spots = substring_dedup.representatives(h, first, at, 35)
         by = {}
-        for p in at.tolist():
-            by.setdefault(h[p:p + 35].tobytes(), set()).add(name[p])
-        assert all(len(x) == 1 for x in by.values())
+        for p, name, spot in zip(at.tolist(), names.tolist(), spots.tolist()):
+            by.setdefault(h[p:p + 35].tobytes(), []).append((name, spot))
+        for x in by.values():  # one name, and an occurrence of its own for every start
+            assert len({n for n, _ in x}) == 1 and len({o for _, o in x}) == len(x)
+
+
+def test_symbols_settle_most_unique_windows(spark):
+    """The share of windows that one occurrence of their symbol proves unique, and no other."""
+    text = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    w = [words(t) for t in text]
+    first = np.cumsum([0] + [len(x) for x in w])
+    h = np.array([xxhash.xxh64_intdigest(x, 1) for t in w for x in t], np.uint64)
+    at = np.concatenate([np.arange(a, max(a, b - 34)) for a, b in zip(first, first[1:])])
+    names, spots = substring_dedup.representatives(h, first, at, 35)
+    known, count = substring_dedup.occurrences(names, spots)
+    settled = count[np.searchsorted(known, names)] == 1
+    seen = Counter(h[p:p + 35].tobytes() for p in at.tolist())
+    unique = np.array([seen[h[p:p + 35].tobytes()] == 1 for p in at.tolist()])
+    assert not (settled & ~unique).any() and settled.sum() > 0.75 * unique.sum()
+
+
+def test_tiny_hash_ranges_give_the_same_rows(spark, edge, small, monkeypatch):
+    monkeypatch.setattr(blocks, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 40_000)
+    assert blocks.spans_of(blocks.block_table(small)) > 40
+    got = substring_dedup.without_repeats(small).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert multiset(got.collect()) == Counter(without_repeats(pairs_of(small)))
+    rows, held = pairs_of(small), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    got = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.score, 3)) for r in language_model.score(small, ~held).collect())
+    want = sorted((r[0], *r[2:5], round(r[6], 3)) for r in lm_brute(rows, [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows], 3))
+    assert [x[:4] for x in got] == [x[:4] for x in want] and np.allclose([x[4] for x in got], [x[4] for x in want], atol=2e-3)
 
 
 # ---------------------------------------------------------------- 8 quality
@@ -513,7 +552,11 @@ def test_licences(spark, edge):
 
 # One sentence, as it may be written, for each sentence rule.
 LICENCE_SENTENCES = {
-    "spdx": "SPDX-License-Identifier: x", "agpl3": "the GNU Affero General Public License", "lgpl": "GNU Lesser General Public License",
+    "spdx": "SPDX-License-Identifier: x", "denied": "is not available under the MIT license", "lgpl21": "GNU Lesser General Public License version 2.1", "lgpl3": "LGPLv3 license",
+    "apache1": "Apache License, Version 1.1", "bsd0": "0-clause BSD license", "bsd3": "BSD 3-Clause License", "bsd2": "Simplified BSD licence", "bsd4": "4-clause BSD license",
+    "isc": "ISC License", "boost": "Boost Software License", "zlib": "zlib license", "unlicense": "The Unlicense license", "artistic": "Artistic License 2.0",
+    "psf": "Python Software Foundation License", "eupl": "EUPL license", "cddl": "Common Development and Distribution License", "mpl11": "Mozilla Public License Version 1.1",
+    "mpl10": "Mozilla Public License 1.0", "epl1": "Eclipse Public License v1.0", "epl2": "Eclipse Public License - v 2.0", "agpl3": "the GNU Affero General Public License", "lgpl": "GNU Lesser General Public License",
     "gpl2": "GNU General Public License v2", "gpl3": "GNU General Public License, version 3", "gpl": "GNU General Public License",
     "gpl_later": "either version 2 of the License, or (at your option) any later version", "apache2": "the Apache License",
     "apache_use": "You may not use this file except in compliance with the License", "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy",
@@ -577,6 +620,18 @@ def test_every_licence_sentence_rule_is_reached(spark):
     assert {r.want: r.sentence_ids for r in license_scan.recognise(rows).collect()} == {k: [k] for k in LICENCE_SENTENCES}
 
 
+def test_licence_forms(spark):
+    want = {"SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"], "# SPDX-License-Identifier: MIT": ["MIT"], "// SPDX-License-Identifier: GPL-2.0-only": ["GPL-2.0-only"],
+            "SPDX-License-Identifier: (MIT OR apache-2.0) AND CC-BY-4.0": ["MIT", "Apache-2.0", "CC-BY-4.0"],
+            "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": ["GPL-2.0-only"], "SPDX-License-Identifier: LicenseRef-own": [],
+            "BSD 3-Clause License": ["BSD-3-Clause"], "Licensed under GPLv3": ["GPL-3.0"], "Released under the Apache-2.0 licence": ["Apache-2.0"], "Boost Software License": ["BSL-1.0"],
+            "Mozilla Public License Version 1.1": ["MPL-1.1"], "Mozilla Public License Version 2.0": ["MPL-2.0"], "This is not available under the MIT license.": [],
+            "Available under the MIT license.": ["MIT"], "GNU Lesser General Public License version 2.1": ["LGPL-2.1"], "BSD-2-Clause licence": ["BSD-2-Clause"]}
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(want)], "doc_id long, text string")
+    got = {r.text: r.licences for r in license_scan.recognise(rows).collect()}
+    assert got == want
+
+
 # ---------------------------------------------------------------- 10 mixing
 
 
@@ -625,6 +680,24 @@ def test_mixing_inclusion_follows_expectation(spark):
         assert abs(r.k - r.t) < 0.01 * r.t
 
 
+def test_mixed_rows_keep_their_other_columns(spark):
+    """Rows of equal key, source and text but different extras: all are there, as evenly as copies allow."""
+    rows = [(1, "one two three four", "a", k) for k in (1, 2, 3, 4, 5)] + [(2, "x y", "a", 7)] * 6 + [(k, "w " * 40, "b", 0) for k in range(3, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    copies = {(r.id, r.source): r.whole + r.extra for r in mixing.mix(df).collect()}
+    got = Counter((r.doc_id, r.extra) for r in mixing.mixed_rows(df).collect())
+    same = [got[(1, k)] for k in (1, 2, 3, 4, 5)]
+    assert sum(same) == copies[(1, "a")] and max(same) - min(same) <= 1 and got[(2, 7)] == copies[(2, "a")]
+
+
+def test_copies_are_dealt_in_runs(spark):
+    from marksheet.llm.scratch import each_copy
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 7), ("d", 25)], "k string, n long")
+    for piece in (3, 5, 100):
+        got = sorted((r.k, r.i) for r in each_copy(df, "n", "i", piece).collect())
+        assert got == [("b", 0)] + [("c", i) for i in range(7)] + [("d", i) for i in range(25)]
+
+
 # ---------------------------------------------------------------- empty tables
 
 
