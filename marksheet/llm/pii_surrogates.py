@@ -5,14 +5,17 @@ found by one pattern. An entity's canonical form (case, separators and spacing r
 everywhere, so mentions in different formats get the same surrogate (coreference). A surrogate is
 a function of a secret key, the kind and the canonical form:
 - letters become letters of the same script and case, digits digits, signs stay; an address keeps
-  its top-level label and its domain maps as a unit; IP octets stay octets; a card keeps its first
-  digit; a phone number its country digits; a name gets names of the same gender and script;
+  its top-level label; IP octets stay octets; a card keeps its first digit and a valid check digit, a
+  bank account its country and valid check digits; a phone number its country code; a name gets names
+  of the same gender and script;
+- parts that recur have surrogates of their own: a family name has one whoever bears it (of either
+  gender in Latin script), a first name has one, a domain has one, a local part has one;
 - it is written in the format of the mention (separators, capitals, title).
-Collision checks: among all distinct entities of the corpus no two may share a surrogate, and none
-may equal an entity that occurs. Losers (all but the first by hash) draw again with the next
-attempt number until none is left, so distinct stays distinct. From the third draw names get a
-second part of as many keyed syllables as the draw number, so their space grows 64-fold a draw.
-Other kinds: after ``MAX_DRAWS`` draws a loser gets a tag of its digest appended (a space that small has no free form left).
+Collision checks: among all distinct parts of a kind in the corpus no two may share a surrogate, and
+none may equal a part that occurs; wholes are then distinct too. Losers (all but the first by hash)
+draw again with the next attempt number until none is left. From the third draw names get a second
+part of as many keyed syllables as the draw number, so their space grows 64-fold a draw; letters grow
+by a place a draw from draw ``ROOM`` on, digits later: nothing is left without a surrogate.
 
 Scale: texts are scanned where they are; mentions are narrow rows; entities are aggregated before
 they are compared, so one entity in a third of all texts is one row. Per text, mentions are
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 
 from marksheet.llm.scratch import written
 
-KEY = "surrogate-key-1"
-MAX_DRAWS = 12
+KEY = "surrogate-key-1"  # of the registered query; replace_entities asks for one
+ROOM = 4  # from this draw on letters grow by one a draw; digits from twice as many
+# Calling codes of two digits; 1 and 7 have one, all others three.
+CALLING = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 # Patterns by kind, in the order in which they are tried at one place.
 PATTERNS = {
@@ -41,7 +46,7 @@ PATTERNS = {
     "card": r"(?<![A-Za-z0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{3,4}(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "phone": r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![A-Za-z0-9])"
-             r"|(?<![A-Za-z0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![A-Za-z0-9])",
+             r"|(?<![A-Za-z0-9])\+(?=(?:[0-9][ .-]?){8,15}(?![0-9]))[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){2,7}(?![A-Za-z0-9])",
     "name_m": r"(?<![\p{L}])(?:Mr\.?|Herr|Señor|Sr\.|Monsieur|г-н) [\p{Lu}][\p{L}]+(?: [\p{Lu}][\p{L}]+)?",
     "name_f": r"(?<![\p{L}])(?:Mrs\.?|Ms\.?|Frau|Señora|Sra\.|Madame|Mme|г-жа) [\p{Lu}][\p{L}]+(?: [\p{Lu}][\p{L}]+)?",
 }
@@ -69,7 +74,20 @@ def kind_of(hit: Column) -> Column:
 def canonical(kind: Column, hit: Column) -> Column:
     """What makes two mentions the same entity."""
     return F.when(kind == "email", F.lower(hit)).when(kind == "ip", hit).when(kind == "iban", F.regexp_replace(hit, " ", "")) \
-        .when(kind.startswith("name"), F.regexp_replace(hit, r"^\S+ ", "")).otherwise(F.regexp_replace(hit, "[^0-9]", ""))
+        .when(kind.startswith("name"), F.regexp_replace(hit, r"^\S+ ", "")) \
+        .when((kind == "phone") & hit.startswith("+"), F.concat(F.lit("+"), F.regexp_replace(hit, "[^0-9]", ""))).otherwise(F.regexp_replace(hit, "[^0-9]", ""))
+
+
+def parts(kind: Column, value: Column) -> Column:
+    """(kind, value) of what gets a surrogate of its own: an address's local part and domain, a name's
+    first and family name, else the entity itself."""
+    gender = F.substring(kind, 6, 1)
+    family = F.when(value.rlike(r"\p{IsCyrillic}"), F.concat(F.lit("family_"), gender)).otherwise(F.lit("family"))
+    pair = lambda k, v: F.struct(k.alias("pkind"), v.alias("pvalue"))
+    last = pair(family, F.substring_index(value, " ", -1))
+    return F.when(kind == "email", F.array(pair(F.lit("local"), F.substring_index(value, "@", 1)), pair(F.lit("domain"), F.substring_index(value, "@", -1)))) \
+        .when(kind.startswith("name") & value.contains(" "), F.array(pair(F.concat(F.lit("first_"), gender), F.substring_index(value, " ", 1)), last)) \
+        .when(kind.startswith("name"), F.array(last)).otherwise(F.array(pair(kind, value)))
 
 
 def digest(*parts: Column) -> Column:
@@ -98,36 +116,51 @@ def reshape(value: Column, d: Column, keep: int = 0) -> Column:
     return F.array_join(F.transform(chars, swap), "")
 
 
-def surrogate(kind: Column, value: Column, draw: Column, key: str = KEY) -> Column:
-    """The surrogate's canonical form at attempt ``draw``."""
+def luhn_digit(payload: Column) -> Column:
+    """The check digit that makes a card number of ``payload`` and itself valid."""
+    def value(c: Column, i: Column) -> Column:
+        twice = c.cast("int") * 2
+        return F.when(i % 2 == 0, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(c.cast("int"))
+    total = F.aggregate(F.transform(F.reverse(F.split(payload, "")), value), F.lit(0), lambda a, x: a + x)
+    return F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string")
+
+
+def iban_digits(country: Column, account: Column) -> Column:
+    """The two check digits of a bank account number (remainder by 97)."""
+    def step(r: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
+    rest = F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), step)
+    return F.lpad((F.lit(98) - rest).cast("string"), 2, "0")
+
+
+def surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
+    """The canonical surrogate of a part at attempt ``draw``. A space that is full grows: names by
+    syllables, letters and digits by places."""
     d = digest(F.lit(key), kind, value, draw.cast("string"))
-    domain = F.substring_index(value, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    email = F.concat(reshape(F.substring_index(value, "@", 1), d), F.lit("@"), reshape(host, digest(F.lit(key), F.lit("domain"), domain)), F.lit("."), top)
+    more = lambda of, first: F.substring(reshape(F.lit(of * 8), digest(d, F.lit("room"))), F.lit(1), F.greatest(draw - first, F.lit(0)))
+    letters, digits = more("aaaaaaaa", ROOM), more("00000000", 2 * ROOM)
+    top = F.substring_index(value, ".", -1)
+    domain = F.concat(reshape(F.substring(value, F.lit(1), F.length(value) - F.length(top) - 1), d), letters, F.lit("."), top)
     ip = F.concat_ws(".", *[(_number(d, i) % 254 + 1).cast("string") for i in range(4)])
-    family = digest(F.lit(key), F.lit("family"), F.substring_index(value, " ", -1), draw.cast("string"))  # one family name, one surrogate
-    pick = lambda names, place: F.element_at(F.array(*[F.lit(x) for x in names]), (_number(family if place else d, place) % len(names) + 1).cast("int"))
+    cyr = value.rlike(r"\p{IsCyrillic}")
 
-    def coined(source: Column, cyr: Column) -> Column:
-        """A made-up name of ``draw`` syllables."""
+    def name(latin: list[str], cyrillic: list[str]) -> Column:
+        pick = lambda names, place: F.element_at(F.array(*[F.lit(x) for x in names]), (_number(d, place) % len(names) + 1).cast("int"))
         syllables = F.when(cyr, F.array(*[F.lit(x) for x in SYLLABLES["cyr"]])).otherwise(F.array(*[F.lit(x) for x in SYLLABLES["lat"]]))
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(draw, F.lit(1))), lambda i: F.element_at(syllables, (_number(source, i + 2) % 64 + 1).cast("int"))), ""))
-
-    def name(gender: str) -> Column:
-        cyr = value.rlike(r"\p{IsCyrillic}")
-        last = F.when(cyr, pick(LAST[f"{gender}_cyr"], 1)).otherwise(pick(LAST["lat"], 1))
-        first = F.when(cyr, pick(FIRST[f"{gender}_cyr"], 0)).otherwise(pick(FIRST[gender], 0))
-        # more room with every draw
-        last = F.when(draw > 1, F.concat_ws("-", last, coined(family, cyr))).otherwise(last)
-        first = F.when(draw > 1, F.concat_ws("-", first, coined(d, cyr))).otherwise(first)
-        return F.when(value.contains(" "), F.concat_ws(" ", first, last)).otherwise(last)
-
-    lead = F.length(value) - 10  # country digits of a phone number
-    phone = F.concat(F.substring(value, F.lit(1), F.greatest(lead, F.lit(0))), reshape(F.substring(value, F.greatest(lead, F.lit(0)) + 1, F.length(value)), d))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name_m", name("m")).when(kind == "name_f", name("f")) \
-        .when(kind == "iban", reshape(value, d, 2)).when(kind == "card", reshape(value, d, 1)).when(kind == "phone", phone).otherwise(reshape(value, d))
-    return F.when((draw >= MAX_DRAWS) & ~kind.startswith("name"), F.concat(out, F.substring(d, 1, 16))).otherwise(out)
+        coined = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(draw, F.lit(1))), lambda i: F.element_at(syllables, (_number(d, i + 2) % 64 + 1).cast("int"))), ""))
+        known = F.when(cyr, pick(cyrillic, 0)).otherwise(pick(latin, 0))
+        return F.when(draw > 1, F.concat_ws("-", known, coined)).otherwise(known)  # more room with every draw
+
+    code = F.when(~value.startswith("+"), F.lit(0)).when(F.substring(value, 2, 1).isin("1", "7"), F.lit(2)).when(F.substring(value, 2, 2).isin(*CALLING), F.lit(3)).otherwise(F.lit(4))
+    phone = F.concat(F.substring(value, F.lit(1), code), reshape(F.substring(value, code + 1, F.length(value)), d), digits)
+    payload = F.concat(reshape(F.substring(value, F.lit(1), F.length(value) - 1), d, 1), digits)
+    account = F.concat(reshape(F.substring(value, F.lit(5), F.length(value)), d), digits)
+    country = F.substring(value, 1, 2)
+    return F.when(kind == "local", F.concat(reshape(value, d), letters)).when(kind == "domain", domain).when(kind == "ip", ip) \
+        .when(kind == "family_m", name(LAST["lat"], LAST["m_cyr"])).when(kind.isin("family", "family_f"), name(LAST["lat"], LAST["f_cyr"])) \
+        .when(kind == "first_m", name(FIRST["m"], FIRST["m_cyr"])).when(kind == "first_f", name(FIRST["f"], FIRST["f_cyr"])) \
+        .when(kind == "iban", F.concat(country, iban_digits(country, account), account)).when(kind == "card", F.concat(payload, luhn_digit(payload))) \
+        .when(kind == "phone", phone).otherwise(F.concat(reshape(value, d), digits))
 
 
 def in_format(kind: Column, hit: Column, form: Column) -> Column:
@@ -139,6 +172,8 @@ def in_format(kind: Column, hit: Column, form: Column) -> Column:
         extra = F.substring(form, F.length(F.regexp_replace(hit, keep, "")) + 1, F.length(form))
         return F.concat(body, extra)
 
+    form = F.when(kind == "phone", F.regexp_replace(form, "[^0-9]", "")).otherwise(form)
+
     upper = F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(F.substring(hit, (i + 1).cast("int"), F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
     return F.when(kind == "email", upper).when(kind == "ip", form).when(kind.startswith("name"), F.concat_ws(" ", F.substring_index(hit, " ", 1), form)) \
         .when(kind == "iban", fill(" ")).otherwise(fill("[^0-9]"))
@@ -151,31 +186,40 @@ def mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
     return written(found.withColumn("value", canonical(F.col("kind"), F.col("hit"))), "mentions")
 
 
-def surrogate_table(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, value, form): every distinct entity with its collision-free surrogate."""
+def surrogate_table(found: DataFrame, key: str) -> DataFrame:
+    """(kind, value, form): every distinct entity with its collision-free surrogate. Parts draw until
+    none shares its surrogate or equals a part that occurs; as parts are told apart, so are wholes."""
     entities = written(found.select("kind", "value").distinct(), "entities")
-    todo, done, draw = entities, None, 0
+    named = entities.withColumn("p", parts(F.col("kind"), F.col("value")))
+    every = written(named.select(F.explode("p").alias("p")).select("p.pkind", "p.pvalue").distinct(), "parts")
+    todo, done, draw = every, None, 0
     while True:
-        tried = todo.withColumn("form", surrogate(F.col("kind"), F.col("value"), F.lit(draw), key))
-        rank = F.row_number().over(Window.partitionBy("kind", "form").orderBy(F.xxhash64("value"), "value"))
+        tried = todo.withColumn("form", surrogate(F.col("pkind"), F.col("pvalue"), F.lit(draw), key))
+        rank = F.row_number().over(Window.partitionBy("pkind", "form").orderBy(F.xxhash64("pvalue"), "pvalue"))
         tried = tried.withColumn("rank", rank)
-        taken = entities.select(F.col("kind").alias("k"), F.col("value").alias("v"))
+        taken = every.select(F.col("pkind").alias("k"), F.col("pvalue").alias("v"))
         if done is not None:
-            taken = taken.unionByName(done.select(F.col("kind").alias("k"), F.col("form").alias("v")))
+            taken = taken.unionByName(done.select(F.col("pkind").alias("k"), F.col("form").alias("v")))
         taken = taken.distinct().withColumn("used", F.lit(True))
-        judged = tried.join(taken, (F.col("kind") == F.col("k")) & (F.col("form") == F.col("v")), "left")
-        judged = written(judged.select("kind", "value", "form", ((F.col("rank") == 1) & F.col("used").isNull()).alias("ok")), "surrogates")
-        good = judged.where("ok").select("kind", "value", "form")
+        judged = tried.join(taken, (F.col("pkind") == F.col("k")) & (F.col("form") == F.col("v")), "left")
+        judged = written(judged.select("pkind", "pvalue", "form", ((F.col("rank") == 1) & F.col("used").isNull()).alias("ok")), "surrogates")
+        good = judged.where("ok").select("pkind", "pvalue", "form")
         done = good if done is None else done.unionByName(good)
-        todo = judged.where("not ok").select("kind", "value")
-        if draw > MAX_DRAWS or todo.isEmpty():
-            return done
+        todo = judged.where("not ok").select("pkind", "pvalue")
+        if todo.isEmpty():
+            break
         draw += 1
+        if draw % 8 == 0:
+            done = written(done, "surrogates")
+    forms = named.select("kind", "value", F.posexplode("p").alias("at", "p")).select("kind", "value", "at", "p.pkind", "p.pvalue").join(done, ["pkind", "pvalue"])
+    whole = forms.groupBy("kind", "value").agg(F.sort_array(F.collect_list(F.struct("at", "form"))).alias("f"))
+    joined = lambda by: F.array_join(F.transform("f", lambda x: x["form"]), by)
+    return whole.select("kind", "value", F.when(F.col("kind") == "email", joined("@")).otherwise(joined(" ")).alias("form"))
 
 
-def replace_entities(docs: DataFrame, secret: str = KEY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def replace_entities(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the surrogates in ``text``, and ``entities``: a map from each replaced
-    mention to its kind."""
+    mention to its kind. ``secret`` is the key on which all surrogates depend."""
     found = mentions(docs, key, text)
     table = surrogate_table(found, secret).select(F.col("kind").alias("k"), F.col("value").alias("v"), "form")
     placed = found.join(table, (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")))
@@ -191,7 +235,7 @@ def replace_entities(docs: DataFrame, secret: str = KEY, key: str = "doc_id", te
 
 def op5_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text")
-    out = replace_entities(docs)
+    out = replace_entities(docs, KEY)
     kinds = F.coalesce(F.map_values("entities"), F.array().cast("array<string>"))
     count = lambda *names: F.size(F.filter(kinds, lambda k: k.isin(*names))).cast("long")
     return out.select("doc_id", count("email").alias("n_email"), count("phone").alias("n_phone"), count("ip").alias("n_ip"), count("card").alias("n_card"),

@@ -286,7 +286,7 @@ def test_surrogates(spark, edge):
     rows = [(1, "Mail A.b@Mail.example.com or a.b@mail.example.com, call +1 (386) 555-3733 / +1-386-555-3733."), (2, "Mr. John Smith met Mrs Jane Doe and Herr Smith."),
             (3, None), (4, ""), (5, "clean 12 text 3.14"), (None, "x@y.org"), (6, "10.2.3.4 and 4041894974608795"), (7, "again a.b@mail.example.com")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii_surrogates.replace_entities(df).collect()}
+    got = {r.doc_id: r.text for r in pii_surrogates.replace_entities(df, "k1").collect()}
     assert got[3] is None and got[4] == "" and got[5] == rows[4][1]
     one = re.findall(r"\S+@[\w.]+\w", got[1])
     assert one[0].lower() == one[1] == got[7].split()[1] and one[0] != one[1] and one[1] != "a.b@mail.example.com"
@@ -295,13 +295,13 @@ def test_surrogates(spark, edge):
     m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs (\w+) (\w+) and Herr (\w+)\.", got[2])
     assert m[1] in pii_surrogates.FIRST["m"] and m[3] in pii_surrogates.FIRST["f"] and m[2] == m[5]
     assert re.fullmatch(r"(\d{1,3}\.){3}\d{1,3} and 4\d{15}", got[6]) and "10.2.3.4" not in got[6]
-    assert pii_surrogates.replace_entities(edge).count() == len(EDGE)
+    assert pii_surrogates.replace_entities(edge, "k1").count() == len(EDGE)
 
 
 def test_surrogates_stay_distinct(spark):
     rows = [(k, f"Mr {a}{b}son") for k, (a, b) in enumerate((x, y) for x in "ABCDEFGHIJ" for y in "abcdefghij")]
     found = pii_surrogates.mentions(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
-    table = pii_surrogates.surrogate_table(found).collect()
+    table = pii_surrogates.surrogate_table(found, "k1").collect()
     assert len(table) == len({r.form for r in table}) == 100
     assert not {r.form for r in table} & {r.value for r in table}
 
@@ -311,12 +311,60 @@ def test_surrogate_names_stay_names_in_a_large_corpus(spark):
     cyr = lambda k: "".join(chr(0x430 + k // 26 ** j % 26) for j in range(3))
     rows = [f"Mr Q{tail(k)}" for k in range(700)] + [f"Mr Q{tail(k)} Smith" for k in range(700)] + [f"Mrs Q{tail(k)} W{tail(k * 7)}" for k in range(6000)] + [f"г-н Ж{cyr(k)}" for k in range(200)]
     found = pii_surrogates.mentions(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "doc_id", "text")
-    table = pii_surrogates.surrogate_table(found).collect()
+    table = pii_surrogates.surrogate_table(found, "k1").collect()
     assert len(table) == len(rows) == len({(r.kind, r.form) for r in table})
     part = "[^\\W\\d_]+(-[^\\W\\d_]+)?"
     assert all(re.fullmatch(f"{part} {part}" if " " in r.value else part, r.form) for r in table)
 
 
+def luhn(number):
+    digits = [int(c) for c in reversed(number)]
+    return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
+
+
+def iban_ok(iban):
+    x = iban[4:] + iban[:4]
+    return int("".join(str(int(c, 36)) for c in x)) % 97 == 1
+
+
+def test_surrogates_by_brute_force(spark):
+    """Every mention is replaced; kinds keep their form; equal parts have equal surrogates, different
+    parts different ones; none is a part that occurs."""
+    tail = lambda k: "".join(chr(97 + k // 26 ** j % 26) for j in range(2))
+    names = [(f"Mr X{tail(k)}", f"Mr John X{tail(k)}", f"Mrs Mary X{tail(k)}") for k in range(80)]
+    mails = [f"{c}@tiny.org" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"user{k}@host{k % 40}.example.net" for k in range(120)]
+    phones = ["+33 1 23 45 67 89"] + [f"+49 30 123456{k}" for k in range(5)] + ["+1 (386) 555-3733", "+44 20 7946 0958", "+420 601 234 567", "555-123-4567"]
+    cards, ibans = [f"4{k:03d} 1234 5678 90{k:02d}" for k in range(20)], [f"DE{k:02d} 3704 0044 0532 0130 {k:02d}" for k in range(20)]
+    texts = [", ".join(x) for x in names] + mails + phones + cards + ibans
+    rows = [(k, f"see {t} now") for k, t in enumerate(texts)]
+    out = {r.doc_id: r.text for r in pii_surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "k2").collect()}
+    new = [out[k][4:-4] for k in range(len(texts))]
+    family = {}
+    for old, x in zip(names, new):
+        a, b, c = x.split(", ")
+        assert a.split()[0] == b.split()[0] == "Mr" and c.split()[0] == "Mrs" and a.split()[-1] == b.split()[-1] == c.split()[-1]
+        family[old[0].split()[-1]] = a.split()[-1]
+    assert len(set(family.values())) == 80 and not set(family.values()) & set(family)
+    at = len(names)
+    got = dict(zip(mails, new[at:]))
+    assert len(set(got.values())) == len(mails) and all(re.fullmatch(r"[a-z0-9]+@[a-z0-9.]+\.(org|net)", x) for x in got.values())
+    hosts = {}
+    for old, x in got.items():
+        hosts.setdefault(old.split("@")[1], set()).add(x.split("@")[1])
+    assert all(len(v) == 1 for v in hosts.values()) and len(set.union(*hosts.values())) == len(hosts) and not set.union(*hosts.values()) & set(hosts)
+    assert not {x.split("@")[0] for x in got.values()} & {m.split("@")[0] for m in mails}
+    at += len(mails)
+    for old, x in zip(phones, new[at:]):
+        assert x != old and re.sub(r"\d", "0", x) == re.sub(r"\d", "0", old), (old, x)
+    assert [x.split()[0] for x in new[at: at + 9]] == ["+33"] + ["+49"] * 5 + ["+1", "+44", "+420"] and len(set(new[at: at + len(phones)])) == len(phones)
+    at += len(phones)
+    assert all(luhn(x.replace(" ", "")) and x[0] == "4" and len(x) == 19 for x in new[at: at + 20]) and len(set(new[at: at + 20])) == 20
+    at += 20
+    assert all(iban_ok(x.replace(" ", "")) and x[:2] == "DE" and len(x) == 27 for x in new[at: at + 20]) and len(set(new[at: at + 20])) == 20
+    again = pii_surrogates.replace_entities(spark.createDataFrame(rows[:90], "doc_id long, text string"), "another key").collect()
+    assert sum(r.text == out[r.doc_id] for r in again) < 5
+
+
 # ---------------------------------------------------------------- 6 decontamination
 
 
@@ -706,7 +754,7 @@ def test_empty_tables(spark, edge):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for out in (sharding.shard_rows(none), sharding.assign_shards(none), language_model.score(none, F.lit(True)), near_duplicates.near_duplicate_components(none),
-                near_duplicates.keep_one_per_group(none), secret_scan.scan(none), pii_surrogates.replace_entities(none), decontamination.leaks(none, bench),
+                near_duplicates.keep_one_per_group(none), secret_scan.scan(none), pii_surrogates.replace_entities(none, "k1"), decontamination.leaks(none, bench),
                 decontamination.without_leaks(none, bench), substring_dedup.without_repeats(none), quality_rules.keep_good(none, labels), license_scan.recognise(none),
                 mixing.mix(none), mixing.mixed_rows(none)):
         assert out.count() == 0
