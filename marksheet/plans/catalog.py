@@ -1167,6 +1167,21 @@ def q_gl(spark, sf_dir):
 
 # ------------------------------------------------------------------ caller model hook (U4) end to end
 
+@register("u2_embed_in_preparation", f"""
+SELECT raw_id, [CAST(length(coalesce(input, '')) AS DOUBLE), CAST(length(coalesce(input, '')) - length(replace(coalesce(input, ''), 'e', '')) AS DOUBLE)] AS external_embedding
+FROM ({FX.INSTRUCTIONS_SQL})""")
+def q_u2(spark, sf_dir):
+    """The preparation flow with a stand-in embedder (length and number of e) on each record's input."""
+    from marksheet.plans.prepare import prepare_training
+
+    def make_embedder():
+        return lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts]
+
+    recs = ensure_parallelism(FX.instructions(spark, sf_dir).select("raw_id", "instruction", "input", "output"))
+    rows = prepare_training(recs, T.template_frame(spark), key="raw_id", val_ratio=0.0, make_embedder=make_embedder)["train"]
+    return rows.select("raw_id", "external_embedding")
+
+
 @register("u4_generate_grade_score", f"""
 WITH r AS (SELECT o_orderpriority AS dataset_name, CAST(o_orderkey AS VARCHAR) AS raw_id,
                   CAST(o_custkey AS VARCHAR) AS custkey,

@@ -40,7 +40,7 @@ def default_caps(spark: SparkSession) -> DataFrame:
 def evaluate_records(spark: SparkSession, records: DataFrame, names: list[str], caps: DataFrame | None = None,
                      source_errors: DataFrame | None = None, make_generator=None, template: DataFrame | None = None,
                      key: str = "raw_id", seed: int = 42, exempt: str | None = "math500",
-                     gold_col: str = "answer", output_dir: str | None = None, run_stamp: str | None = None) -> dict[str, DataFrame]:
+                     gold_col: str = "answer", output_dir: str | None = None, run_stamp: str | None = None, make_embedder=None) -> dict[str, DataFrame]:
     """Records tagged with ``dataset_name`` -> predictions, metrics (one row per requested name), summary.
 
     Without ``make_generator`` the records must already carry ``decoded_prediction``. Every record
@@ -48,6 +48,7 @@ def evaluate_records(spark: SparkSession, records: DataFrame, names: list[str],
     that those leave out is then reported as an error, not scored. With ``output_dir`` the
     predictions (one folder per set), metrics and summary are written below it (S6, S7), and the
     scores are computed from the written predictions, so a model's answers are generated once.
+    With ``make_embedder`` the rendered prompt's vector reaches the generator as ``external_embedding``.
     """
     requested = A.requested_frame(spark, names)
     capped, errors = records, None if source_errors is None else source_errors.select("dataset_name", "error")
@@ -60,6 +61,8 @@ def evaluate_records(spark: SparkSession, records: DataFrame, names: list[str],
     if make_generator is not None:
         tpl = template if template is not None else T.template_frame(spark)
         prompted = T.render_prompt(capped, tpl, T.build_prompt("instruction", "input"), "prompt_text")
+        if make_embedder is not None:
+            prompted = prompted.withColumn("external_embedding", H.embed_with("prompt_text", make_embedder))
         capped = H.generate_with(prompted, make_generator, "prompt_text", "decoded_prediction")
     preds = capped.withColumn("extracted_prediction", final_answer("decoded_prediction"))
     preds = preds.withColumn("reference_answer", F.coalesce(F.col(gold_col).cast("string"), F.lit("")))

@@ -34,14 +34,18 @@ def split_and_cap(train: DataFrame, val: DataFrame | None, key: str, seed: int =
 
 
 def token_rows(records: DataFrame, template: DataFrame, vocab: DataFrame | None, key: str = "raw_id",
-               max_len: int | None = None, make_tokenizer=None) -> DataFrame:
+               max_len: int | None = None, make_tokenizer=None, make_embedder=None, embed_col: str = "input") -> DataFrame:
     """Render prompt-only and full texts, tokenize the full text (whole; with ``max_len``
     in consecutive records, see ``tokenize``) and mask the prompt part of the labels; keep only the derived columns (P9).
 
     The prompt contributes only its token count, so it needs no
     vocabulary lookup: one tokenization pass per record. With ``make_tokenizer`` (see
     ``hooks.tokenize_with``) a trained tokenizer takes the place of the vocabulary for both texts.
+    With ``make_embedder`` (see ``hooks.embed_with``) each record gets the vector of its ``embed_col``
+    as ``external_embedding`` (T11, U2).
     """
+    if make_embedder is not None:
+        records = records.withColumn("external_embedding", H.embed_with(embed_col, make_embedder))
     prompt = T.build_prompt("instruction", "input")
     r = T.render_prompt(records, template, prompt, "_prompt_text")
     r = T.render_prompt(r, template, prompt, "_full_text", response=F.col("output"))
@@ -61,7 +65,7 @@ def token_rows(records: DataFrame, template: DataFrame, vocab: DataFrame | None,
 
 def prepare_training(train: DataFrame, template: DataFrame, val: DataFrame | None = None, key: str = "raw_id",
                      seed: int = 42, val_ratio: float = 0.02, max_train=None, max_val=None, max_len: int | None = None,
-                     vocab: DataFrame | None = None, make_tokenizer=None) -> dict[str, DataFrame]:
+                     vocab: DataFrame | None = None, make_tokenizer=None, make_embedder=None, embed_col: str = "input") -> dict[str, DataFrame]:
     """Token rows per split. Ids come from ``make_tokenizer`` (a trained tokenizer, see
     ``hooks.tokenize_with``), from ``vocab``, or from a word vocabulary built over the rendered
     full texts of all records.
@@ -76,7 +80,7 @@ def prepare_training(train: DataFrame, template: DataFrame, val: DataFrame | Non
     for name, df in splits.items():  # one tokenization pass over all splits
         part = df.select(key, "instruction", "input", "output", F.lit(name).alias("_split"))
         tagged = part if tagged is None else tagged.unionByName(part)
-    rows = token_rows(tagged, template, vocab, key, max_len, make_tokenizer)
+    rows = token_rows(tagged, template, vocab, key, max_len, make_tokenizer, make_embedder, embed_col)
     return {name: rows.where(F.col("_split") == name).drop("_split") for name in splits}
 
 

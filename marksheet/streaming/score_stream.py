@@ -38,22 +38,19 @@ def running_scores(spark: SparkSession, src_dir: str, schema: str = PREDICTION_S
 POINTER = "CURRENT"
 
 
-def _pointer(spark: SparkSession, out: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{out}/{POINTER}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
 def publish(spark: SparkSession, out: str, version: int) -> None:
-    """Point readers of ``out`` at a version: one small file, written aside and put in place."""
-    fs, path = _pointer(spark, out)
-    aside = path.suffix(f".{version}")
-    stream = fs.create(aside, True)
+    """Point readers of ``out`` at a version: one small file, written aside and moved over the old one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = hadoop.Path(f"{out}/{POINTER}")
+    aside = hadoop.Path(f"{out}/_{POINTER}-{version}")
+    stream = path.getFileSystem(conf).create(aside, True)
     stream.write(bytearray(str(version).encode()))
     stream.close()
-    if fs.exists(path):
-        fs.delete(path, False)
-    fs.rename(aside, path)
+    option = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(option, 1)
+    over[0] = option.OVERWRITE
+    hadoop.FileContext.getFileContext(path.getFileSystem(conf).getUri(), conf).rename(aside, path, over)
 
 
 def published(spark: SparkSession, out: str, table: str = "metrics") -> DataFrame:

@@ -17,7 +17,7 @@ def test_registered_plans(spark):
     for name, fn in E.queries().items():
         if name.startswith(("m1_", "v8_rebalance_over")):
             continue  # streaming and the sequential driver loop have no single plan
-        hook_query = name.startswith(("u1_", "u4_"))  # the caller hooks (tokenizer, model) are the one place Python runs
+        hook_query = name.startswith(("u1_", "u2_", "u4_"))  # the caller hooks (tokenizer, embedder, model) are the one place Python runs
         plan = _plan(fn(spark, SF_SMALL))
         if name in catalog.QUERIES:  # the training-data operators that are not native choose their own style
             assert hook_query or not any(n in plan for n in PYTHON_NODES), name
