@@ -333,7 +333,8 @@ SPECULATE = 64
 
 def rebalance_over_batches(items: DataFrame, bank: DataFrame, k: int, batch_size: int, key: str = "item_id",
                            vec_col: str = "vec", seed: int = 42, gamma: float = 1e-4, tol: float = 0.05,
-                           max_abs: float | None = None, part_bytes: int = PART_BYTES, speculate: int = SPECULATE) -> DataFrame:
+                           max_abs: float | None = None, part_bytes: int = PART_BYTES, speculate: int = SPECULATE,
+                           checkpoint_every: int | None = None) -> DataFrame:
     """V8 as the router runs it: one bias update per batch, in batch order: ``(step, bank_id, load,
     bias)``, the bias after each step.
 
@@ -347,7 +348,7 @@ def rebalance_over_batches(items: DataFrame, bank: DataFrame, k: int, batch_size
     Scores do not depend on the bias: they are computed once, one row per batch (bounded by
     ``batch_size`` and the bank). The course of an entry's bias is a fold over its own loads, as a
     batch's target is known from its size. Only the number of the first differing batch reaches the
-    driver.
+    driver. Every round is a written table, so ``checkpoint_every`` has no effect any more.
     """
     from marksheet.operators.sampling import assign_batches
 
