@@ -38,6 +38,15 @@ def unpack(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(size, -1).T).view(dtype).ravel() if len(flat) else np.zeros(0, dtype)
 
 
+def places(a: np.ndarray, kind: str | None = None) -> np.ndarray:
+    """Of each entry, its place among the sorted distinct entries."""
+    order = np.argsort(a, kind=kind)
+    ranked = a[order]
+    out = np.empty(len(a), np.int64)
+    out[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1])) if len(a) else 0
+    return out
+
+
 def pack_sorted(a: np.ndarray) -> bytes:
     return pack(np.diff(a, prepend=np.uint64(0)))
 
@@ -116,16 +125,14 @@ def answers(msgs: DataFrame, shared_only: bool = False) -> DataFrame:
     ``total`` and ``distinct`` (hashes with a positive sum) stand on one row of each range."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(x) for x in frame["hashes"]]
-        every = np.unique(np.concatenate(keys))
-        total = np.zeros(len(every), np.int64)
-        at = [np.searchsorted(every, k) for k in keys]
-        for i, c in zip(at, frame["counts"]):
-            total[i] += unpack(c, np.uint32)
-        reply = total > 1 if shared_only else total.astype(np.uint64)
+        place = places(np.concatenate(keys), "stable")  # sorted runs: merged
+        total = np.bincount(place, np.concatenate([unpack(c, np.uint32) for c in frame["counts"]])).astype(np.int64)  # below 2**53
+        reply = (total > 1 if shared_only else total.astype(np.uint64))[place]
+        reply = np.split(reply, np.cumsum([len(k) for k in keys])[:-1])
         n = np.zeros(len(frame), np.int64)
         d = n.copy()
         n[0], d[0] = total.sum(), (total > 0).sum()
-        return pd.DataFrame({"kind": frame["kind"], "span": frame["span"], "block": frame["block"], "reply": [pack(reply[i]) for i in at], "total": n, "distinct": d})
+        return pd.DataFrame({"kind": frame["kind"], "span": frame["span"], "block": frame["block"], "reply": [pack(x) for x in reply], "total": n, "distinct": d})
 
     return msgs.groupBy("kind", "span").applyInPandas(run, "kind int, span int, block long, reply binary, total long, distinct long")
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marksheet.llm.blocks import MESSAGE_SCHEMA, Block, answers, block_of, block_table, messages, reply_array, spans_of
+from marksheet.llm.blocks import MESSAGE_SCHEMA, Block, answers, block_of, block_table, messages, places, reply_array, spans_of
 from marksheet.llm.scratch import written
 from marksheet.llm.textbatch import LOWER, find_words, hash_words, join_hash, row_sums
 
@@ -115,7 +115,7 @@ def score(docs: DataFrame, train, order: int = ORDER, mu: float = MU, key: str =
             for n, (h, ok) in enumerate(grams(tok, first, order), start=1):
                 got = reply_array(right, n, np.uint64)
                 c = np.zeros(len(h))
-                c[ok] = got[np.searchsorted(np.unique(h[ok]), h[ok])]
+                c[ok] = got[places(h[ok])] if len(got) else 0
                 counts.append(c)
             base, model = walk(tok, first, counts, n_all, n_distinct, mu, order)
             out.append(pd.DataFrame({

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marksheet.llm.blocks import MESSAGE_SCHEMA, Block, answers, block_of, block_table, messages, pack_sorted, reply_array, spans_of, unpack_sorted
+from marksheet.llm.blocks import MESSAGE_SCHEMA, Block, answers, block_of, block_table, messages, pack_sorted, places, reply_array, spans_of, unpack_sorted
 from marksheet.llm.scratch import written
 from marksheet.llm.textbatch import find_words, hash_words, inside, join_hash, mix, windows
 
@@ -159,7 +159,7 @@ def without_repeats(docs: DataFrame, width: int = WINDOW, levels: int = LEVELS,
         out = []
         for r in left.itertuples(index=False):
             _, _, _, h, at, name, _ = block_windows(Block(r.ids, r.has_id, r.flags, r.offsets, r.texts), width, levels)
-            at = at[reply_array(right, 1, bool)[np.searchsorted(np.unique(name), name)]] if len(at) else at
+            at = at[reply_array(right, 1, bool)[places(name)]] if len(at) else at
             out.append(messages(2, r.block, *np.unique(windows(h, width)[at], return_counts=True), spans).to_pandas())
             # the positions asked about go along, so that the last step need not parse again
             out.append(pd.DataFrame({"kind": [3], "span": [0], "block": [r.block], "hashes": [pack_sorted(at.astype(np.uint64))], "counts": [b""]}))
@@ -168,7 +168,7 @@ def without_repeats(docs: DataFrame, width: int = WINDOW, levels: int = LEVELS,
     shared = shared.select("block", "kind", "span", "reply")
     asked = written(table.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(ask_windows, MESSAGE_SCHEMA), "window-questions")
     twice = answers(asked.where("kind = 2"), shared_only=True).select("block", "kind", "span", "reply")
-    places = asked.where("kind = 3").select("block", "kind", "span", F.col("hashes").alias("reply"))
+    asked_at = asked.where("kind = 3").select("block", "kind", "span", F.col("hashes").alias("reply"))
 
     def remove(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -177,8 +177,7 @@ def without_repeats(docs: DataFrame, width: int = WINDOW, levels: int = LEVELS,
             start, end, first = find_words(block.data, block.off)
             at = unpack_sorted(right.loc[right["kind"] == 3, "reply"].iloc[0]).astype(np.int64)
             w = windows(hash_words(block.data, start, end), width)[at]
-            known = np.unique(w)
-            hit = at[reply_array(right, 2, bool)[np.searchsorted(known, w)]] if len(at) else at
+            hit = at[reply_array(right, 2, bool)[places(w)]] if len(at) else at
             edge = np.zeros(len(start) + 1, np.int64)
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + width, -1)
@@ -195,7 +194,7 @@ def without_repeats(docs: DataFrame, width: int = WINDOW, levels: int = LEVELS,
             out[-1].loc[~block.has_id, "doc_id"] = pd.NA
         return pd.concat(out)
 
-    both = places.unionByName(twice)
+    both = asked_at.unionByName(twice)
     return table.select(columns).groupBy("block").cogroup(both.groupBy("block")).applyInPandas(
         remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
