@@ -68,7 +68,8 @@ def _leaves(keys: DataFrame, group: list[str], bound: int) -> DataFrame:
     tops = k.groupBy(*group, "_top").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)
     more = F.greatest(F.ceil(F.log(F.col("_n") * 4.0 / bound) / F.log(F.lit(16.0))), F.lit(0)).cast("int")
-    tops = tops.select(*group, "_top", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), (more + BUCKET_DIGITS).alias("_digits"))
+    tops = tops.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    tops = tops.select(*group, "_top", "_before", (more + BUCKET_DIGITS).alias("_digits"))
     b = _joined(k, tops if group else F.broadcast(tops), [*group, "_top"])  # without groups: a row a top node
     return b.withColumn("_bucket", F.coalesce(F.expr("substring(_h, 1, _digits)"), F.lit(""))).drop("_digits")
 
