@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marksheet.session import checked_broadcast, materialized
+from marksheet.session import BROADCAST_MAX_ROWS, materialized
 
 BUCKET_DIGITS = 3
 BUCKET_ROWS = 1 << 20
@@ -186,16 +186,17 @@ def cap_per_dataset(
     caps = caps.groupBy(F.col(group).alias("_capped")).agg(F.min(F.col("cap").cast("long")).alias("_cap")).where(F.col("_cap").isNotNull())
     if exempt is not None:
         caps = caps.where(F.col("_capped") != F.lit(exempt))
-    caps = checked_broadcast(caps)
+    small = F.broadcast if caps.count() <= BROADCAST_MAX_ROWS else (lambda df: df)  # cuts have a row a cap at most
+    caps = small(caps)
     b = _bucketed(materialized(df.select(group, key), "cap-keys"), key, seed)
     starts = _starts(b.select(group, "_bucket"), [group]).join(caps, F.col(group) == F.col("_capped")).drop("_capped")
     at = starts.where((F.col("_off") < F.col("_cap")) & (F.col("_cap") <= F.col("_off") + F.col("_n"))).select(group, "_bucket", "_off", "_cap")
     inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_h", key))
-    rows = _joined(b.select(group, "_h", key, "_bucket"), checked_broadcast(materialized(at, "cap-buckets")), [group, "_bucket"]).withColumn("_rn", inside)
+    rows = _joined(b.select(group, "_h", key, "_bucket"), small(at), [group, "_bucket"]).withColumn("_rn", inside)
     cuts = rows.where(F.col("_off") + F.col("_rn") == F.col("_cap")).select(F.col(group).alias("_g"), _spot(key).alias("_cut"), F.lit(False).alias("_none"))
     # a cap of zero keeps nothing; a cap beyond the dataset's rows has no cut and keeps all
     empty = caps.where("_cap <= 0").select(F.col("_capped").alias("_g"), F.lit(None).alias("_cut"), F.lit(True).alias("_none"))
-    cuts = checked_broadcast(materialized(cuts.unionByName(empty), "cuts"))  # one row for a capped dataset
+    cuts = small(cuts.unionByName(empty))
     rows = b.select(*df.columns, "_h") if set(df.columns) == {group, key} else df.withColumn("_h", shuffle_key(key, seed))
     out = rows.join(cuts, F.col(group) == F.col("_g"), "left")
     return out.where(F.col("_g").isNull() | ~F.col("_none") & (_spot(key) <= F.col("_cut"))).select(*df.columns)
