@@ -328,84 +328,117 @@ def project(items: DataFrame, down: DataFrame, up: DataFrame, scale: float, key:
     return out.select(key, F.transform("_y", lambda v: v * F.lit(scale)).alias("projected"))
 
 
-SPECULATE = 64
+BLOCK_BYTES = 16 << 20
+_OPEN = "block long, batch_id long, n long, ids array<long>, bias array<double>, sure array<int>, free array<int>, entry array<int>, logit array<double>"
+
+
+def _settled(k: int, reach: float, max_abs: float | None):
+    """Per batch: how often each entry (by its place in the bank) is chosen whatever the course of the
+    bias, and per open item its ``free`` places and, ended by -1, the entries that may take them.
+    A missing logit counts as NaN, which Spark orders first. Made here, so that it is shipped by value."""
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for df in frames:
+            out = []
+            for r in df.itertuples(index=False):
+                bias = np.array([e["bias"] for e in r.state], dtype=np.float64)
+                logit = np.array([np.array(x, dtype=np.float64) for x in r.rows]).reshape(len(r.rows), len(bias))
+                score = logit + bias
+                score[np.isnan(score)] = np.inf
+                top = min(k, len(bias))
+                last = -np.partition(-score, top - 1, axis=1)[:, top - 1:top]
+                over = 0.0 if max_abs is None else max(0.0, float(np.abs(bias).max()) - max_abs)
+                slack = 2 * (reach + over) + np.minimum(np.abs(last), 1e300) * 1e-9
+                sure = score > last + slack
+                near = ~sure & (score >= last - slack)
+                free = top - sure.sum(axis=1)
+                fixed = near.sum(axis=1) <= free  # no more entries than places: settled as well
+                sure |= near & fixed[:, None]
+                item, entry = np.nonzero(near & ~fixed[:, None])
+                ends = np.flatnonzero(np.append(item[1:] != item[:-1], True)) + 1 if len(item) else np.array([], dtype=int)
+                out.append((r.block, r.batch_id, len(r.rows) * top, [e["id"] for e in r.state], bias, sure.sum(axis=0).astype("int32"),
+                            free[~fixed].astype("int32"), np.insert(entry, ends, -1).astype("int32"), np.insert(logit[item, entry], ends, 0.0)))
+            yield pd.DataFrame(out, columns=["block", "batch_id", "n", "ids", "bias", "sure", "free", "entry", "logit"])
+    return run
+
+
+def _replayed(gamma: float, tol: float, max_abs: float | None):
+    """The steps of one block, from what ``_settled`` left open: (step, bank_id, load, bias)."""
+    def run(block):
+        import numpy as np
+        import pandas as pd
+
+        ids, bias = list(block.iloc[0]["ids"]), np.array(block.iloc[0]["bias"], dtype=np.float64)
+        known = pd.array([None if pd.isna(i) else int(i) for i in ids], dtype="Int64")
+        steps, loads, course = [], [], []
+        for r in block.sort_values("batch_id").itertuples(index=False):
+            load, free = np.array(r.sure, dtype=np.int64), np.asarray(r.free, dtype=np.int64)
+            if len(free):
+                entry = np.asarray(r.entry, dtype=np.int64)
+                item, real = np.cumsum(entry < 0), entry >= 0
+                item, entry = item[real], entry[real]
+                score = np.asarray(r.logit, dtype=np.float64)[real] + bias[entry]
+                score[np.isnan(score)] = np.inf
+                order = np.lexsort((entry, -score, item))  # ties to the lowest id
+                place = np.arange(len(order)) - np.searchsorted(item, item)
+                load += np.bincount(entry[order][place < free[item]], minlength=len(ids))
+            target = r.n / len(ids)
+            bias = bias + np.where(load > target * (1 + tol), -gamma, np.where(load < target * (1 - tol), gamma, 0.0))
+            if max_abs is not None:
+                bias = np.minimum(np.maximum(bias, -max_abs), max_abs)
+            steps.append(r.batch_id)
+            loads.append(load)
+            course.append(bias)
+        return pd.DataFrame({"step": np.repeat(np.array(steps, dtype=np.int32), len(ids)), "bank_id": known.take(np.tile(np.arange(len(ids)), len(steps))),
+                             "load": np.concatenate(loads), "bias": np.concatenate(course)})
+    return run
 
 
 def rebalance_over_batches(items: DataFrame, bank: DataFrame, k: int, batch_size: int, key: str = "item_id",
                            vec_col: str = "vec", seed: int = 42, gamma: float = 1e-4, tol: float = 0.05,
-                           max_abs: float | None = None, part_bytes: int = PART_BYTES, speculate: int = SPECULATE,
+                           max_abs: float | None = None, part_bytes: int = PART_BYTES, speculate: int | None = None,
                            checkpoint_every: int | None = None) -> DataFrame:
     """V8 as the router runs it: one bias update per batch, in batch order: ``(step, bank_id, load,
     bias)``, the bias after each step.
 
-    The recurrence is sequential, but a batch's loads rarely depend on the last small steps of the
-    bias. So ``speculate`` batches are routed at once under a supposed course of the bias (at first:
-    unchanged). Their loads give the course that would follow; the batches are routed again
-    under it, until a round's loads equal those that its course came from. Up to the first batch
-    that differs (and with it) the loads are those of the sequential run, and are committed. When the
-    bias settles this takes two rounds for all batches of a block; at worst one round a batch.
-
-    Scores do not depend on the bias: they are computed once, one row per batch (bounded by
-    ``batch_size`` and the bank). The course of an entry's bias is a fold over its own loads, as a
-    batch's target is known from its size. Only the number of the first differing batch reaches the
-    driver. Every round is a written table, so ``checkpoint_every`` has no effect any more.
+    The recurrence is sequential, but in a block of batches a bias moves by at most ``gamma`` a batch.
+    So the tasks settle, for a whole block at once, which entries an item chooses whatever the
+    course of the bias, and which may take its last places (their scores lie within reach of the
+    k-th best). What is open is then replayed batch by batch, as one bounded group, and the block's
+    last bias is the next one's first: one job a block.
+
+    A block has as many batches as ``BLOCK_BYTES`` of scores hold (``speculate``: at most so many).
+    Scores do not depend on the bias: they are computed once and written by block, one row per
+    batch (bounded by ``batch_size`` and the bank), so a block reads its own rows only. Nothing
+    but counts reaches the driver. ``checkpoint_every`` has no effect any more.
     """
     from marksheet.operators.sampling import assign_batches
 
     spark = items.sparkSession
     scored = bank_scores(items.select(key, vec_col), bank, vec_col, part_bytes).select(
-        key, F.transform("scores", lambda s: F.struct(s["bank_id"].alias("bank_id"), s["logit"].alias("logit"))).alias("s"))
+        key, F.transform("scores", lambda s: s["logit"]).alias("s"))
     batched = assign_batches(materialized(scored, "scores"), batch_size, key, seed)
-    per_batch = materialized(batched.groupBy("batch_id").agg(F.collect_list("s").alias("rows")), "batches")
-    steps = per_batch.count()
     start = materialized(bank_entries(bank).select("bank_id", "bias"), "bias")
+    m = start.count()
+    size = max(1, BLOCK_BYTES // (16 * batch_size * max(1, m)))
+    size = size if speculate is None else max(1, min(size, speculate))
+    rows = batched.groupBy("batch_id").agg(F.collect_list("s").alias("rows")).withColumn("block", F.floor(F.col("batch_id") / size))
+    stored = scratch_path(spark, "batches")
+    rows.write.partitionBy("block").parquet(stored)
+    per_batch = spark.read.schema(rows.schema).parquet(stored)
+    steps = batched.select("batch_id").agg(F.max("batch_id")).first()[0]
     path = scratch_path(spark, "bias-history")
     schema = "step int, bank_id long, load long, bias double"
     spark.createDataFrame([], schema).write.parquet(path)
-    at = 0
-
-    def entries(df):  # array of (bank_id, bias) by id
-        return F.sort_array(F.collect_list(F.struct("bank_id", "bias")))
-
-    def loads(batches):
-        """(batch_id, target, bank_id, load) of batches that carry their ``state``."""
-        def chosen_ids(row):  # rows and state hold the same ids in the same order
-            biased = F.zip_with(row, "state", lambda s, e: F.struct(s["bank_id"].alias("bank_id"), s["logit"].alias("logit"), e["bias"].alias("bias")))
-            return F.transform(topk_per_row(biased, k), lambda c: c["bank_id"])
-        picked = batches.select("batch_id", "state", F.flatten(F.transform("rows", chosen_ids)).alias("_p"))
-        every = picked.select("batch_id", F.size("_p").alias("n"), F.size("state").alias("m"), F.explode(F.concat("_p", F.transform("state", lambda e: e["bank_id"]))).alias("bank_id"))
-        return every.groupBy("batch_id", "n", "m", "bank_id").agg((F.count(F.lit(1)) - 1).alias("load")).select(
-            "batch_id", (F.col("n").cast("double") / F.col("m")).alias("target"), "bank_id", "load")
-
-    def course(found, start):
-        """(batch_id, bank_id, load, bias): the bias after each batch, entry by entry."""
-        def step(bias, x):
-            nb = bias + F.when(x["load"] > x["target"] * (1 + tol), -gamma).when(x["load"] < x["target"] * (1 - tol), gamma).otherwise(0.0)
-            return nb if max_abs is None else F.least(F.greatest(nb, F.lit(-max_abs)), F.lit(max_abs))
-        own = found.groupBy("bank_id").agg(F.sort_array(F.collect_list(F.struct("batch_id", "load", "target"))).alias("x")).join(start, "bank_id")
-        start_row = F.struct(F.lit(None).cast("long").alias("batch_id"), F.lit(None).cast("long").alias("load"), F.col("bias").alias("bias"))
-        folded = F.aggregate("x", F.array(start_row), lambda acc, x: F.concat(acc, F.array(F.struct(
-            x["batch_id"].alias("batch_id"), x["load"].alias("load"), step(F.element_at(acc, -1)["bias"], x).alias("bias")))))
-        return own.select("bank_id", F.inline(folded)).where("batch_id is not null")
-
-    while at < steps:
-        end = min(steps, at + speculate)
-        block = per_batch.where((F.col("batch_id") >= at) & (F.col("batch_id") < end))
-        found = materialized(loads(block.withColumn("state", start.agg(entries(start)).scalar())), "loads")
-        while True:
-            bias = materialized(course(found, start), "course")
-            before = bias.select((F.col("batch_id") + 1).alias("batch_id"), "bank_id", "bias").unionByName(start.withColumn("batch_id", F.lit(at).cast("long")))
-            states = before.groupBy("batch_id").agg(entries(before).alias("state"))
-            again = materialized(loads(block.join(states, "batch_id")), "loads") if end - at > 1 else found
-            differs = again.join(found.select("batch_id", "bank_id", F.col("load").alias("was")), ["batch_id", "bank_id"]).where("load <> was")
-            first = differs.agg(F.min("batch_id")).first()[0] if end - at > 1 else None
-            last = end if first is None else first + 1
-            if first is None or last - at >= (end - at + 1) // 2:  # enough to commit; else the course is mended first
-                break
-            found = again
-        bias = bias if first is None else materialized(course(again.where(F.col("batch_id") < last), start), "course")
-        done = bias.where(F.col("batch_id") < last).select(F.col("batch_id").cast("int").alias("step"), "bank_id", F.col("load").cast("long").alias("load"), "bias")
-        done.write.mode("append").parquet(path)
-        start = materialized(bias.where(F.col("batch_id") == last - 1).select("bank_id", "bias"), "bias")
-        at = last
+    if steps is None or not m:
+        return spark.read.schema(schema).parquet(path)
+    for no in range(steps // size + 1):
+        state = start.agg(F.sort_array(F.collect_list(F.struct(F.col("bank_id").alias("id"), "bias"))).alias("state"))
+        block = per_batch.where(F.col("block") == no).select("block", "batch_id", "rows").withColumn("state", state.scalar())
+        left = block.mapInPandas(_settled(k, gamma * size * 1.001, max_abs), _OPEN)
+        left.groupBy("block").applyInPandas(_replayed(gamma, tol, max_abs), schema).write.mode("append").parquet(path)
+        end = min(steps, (no + 1) * size - 1)
+        start = spark.read.schema(schema).parquet(path).where(F.col("step") == end).select("bank_id", "bias")
     return spark.read.schema(schema).parquet(path)

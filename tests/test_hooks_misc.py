@@ -91,6 +91,21 @@ def test_rebalance_blocks_agree_with_single_steps(spark):
         assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 0
 
 
+def test_rebalance_runs_one_job_a_block(spark):
+    rng = np.random.default_rng(5)
+    vecs = [(i, [float(x) for x in rng.integers(-3, 4, 6)]) for i in range(238)] + [(238, None), (239, [float("nan")] * 6)]
+    items = spark.createDataFrame(vecs, "item_id long, vec array<double>").repartition(3)
+    bank = spark.createDataFrame([(b, [float(x) for x in rng.integers(-3, 4, 6)]) for b in range(5)], "bank_id long, vec array<double>")
+    sc, runs = spark.sparkContext, []
+    for w in (None, 7):
+        sc.setJobGroup(f"rebalance-{w}", "rebalance")
+        got = V.rebalance_over_batches(items, bank, 2, 4, gamma=0.5, max_abs=20.0, speculate=w)
+        sc.setJobGroup("other", "other")
+        runs.append(sorted((r.step, r.bank_id, r.load, round(r.bias, 9)) for r in got.collect()))
+    assert runs[0] == runs[1] and len(runs[0]) == 60 * 5 and sum(r[2] for r in runs[0]) == 480
+    assert len(sc.statusTracker().getJobIdsForGroup("rebalance-None")) < 45  # 60 batches
+
+
 def test_pair_with_sources_flags_unmatched(spark):
     p = spark.createDataFrame([("d", "1"), ("d", "2")], "dataset_name string, raw_id string")
     s = spark.createDataFrame([("d", "2"), ("d", "3")], "dataset_name string, raw_id string")
