@@ -148,57 +148,95 @@ HEAD_TOKENS = 65_536
 HEAD_TOKEN_CHARS = 64
 
 
-def _dictionary_rows(df: DataFrame, key: str, text_col: str, keep_text: bool) -> DataFrame:
-    """Each record as its dictionary: rows (key, no, tok) for its distinct tokens in token order,
-    ``no`` from 1, and one row ``no`` = 0 whose ``own`` holds the record's columns, the ``places`` of
-    all its tokens in dictionary order and how often each entry occurs (``counts``). One pass; the
-    text is split once."""
+def _token_rows(df: DataFrame, key: str, text_col: str, keep_text: bool) -> DataFrame:
+    """Each record as a run of rows (no, tok, own): its tokens in text order, ``no`` from 0, or one row
+    without a token. ``own`` holds the record's columns and its name ``k`` (the key as a string that
+    is never null). The text is split once."""
     own = df.columns if keep_text else [c for c in df.columns if c != text_col]
-    tokens = F.coalesce(word_tokens(text_col), F.array().cast("array<string>"))
-    located = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    s = df.select(F.col(key), F.struct(*own).alias("_rec"), located.alias("_s"))
-    first = F.filter(F.transform("_s", lambda x, i: F.when((i == 0) | (x["t"] != F.get("_s", i - 1)["t"]), i)), lambda i: i.isNotNull())
-    s = s.select(key, "_rec", "_s", first.alias("_b"))
-    after = F.concat(F.slice("_b", 2, F.greatest(F.size("_b"), F.lit(1))), F.array(F.size("_s")))
-    counts = F.zip_with(F.slice(after, 1, F.size("_b")), "_b", lambda e, b: e - b)
-    record = F.struct(F.col("_rec").alias("rec"), F.transform("_s", lambda x: x["i"]).alias("places"), counts.alias("counts"))
-    nothing = F.when(F.lit(False), record)
-    head = F.array(F.struct(F.lit(0).alias("no"), F.lit(None).cast("string").alias("tok"), record.alias("own")))
-    entries = F.transform("_b", lambda b, j: F.struct((j + 1).alias("no"), F.get("_s", b)["t"].alias("tok"), nothing.alias("own")))
-    return s.select(key, F.inline(F.concat(head, entries)))
+    record = F.struct(F.struct(*own).alias("rec"), F.coalesce(F.concat(F.lit(":"), F.col(key).cast("string")), F.lit("")).alias("k"))
+    rows = df.select(record.alias("own"), F.posexplode_outer(word_tokens(text_col)).alias("no", "tok"))
+    return rows.select(F.coalesce("no", F.lit(0)).alias("no"), "tok", "own")
+
+
+def _gathered():
+    """Runs of (no, id, tok, own), which follow each other as they were made, as one row a record: own
+    (from ``no`` = 0), ``ids`` in text order and ``rare``, the distinct tokens without an id; -1, -2, ...
+    in ``ids`` stand for them. A row with neither is a record without tokens. The function is made
+    here, so that it is shipped by value."""
+    def records(t):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        no = t.column("no").to_numpy()
+        first = np.flatnonzero(no == 0)
+        record = np.cumsum(no == 0) - 1
+        if no[0] != 0 or not np.array_equal(no, np.arange(len(no)) - first[record]):
+            raise RuntimeError("the rows of a record came apart")
+        ids = pc.fill_null(t.column("id"), 0).to_numpy().astype(np.int32)
+        open_ = pc.is_valid(t.column("tok")).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(open_)
+        some = open_ | pc.is_valid(t.column("id")).to_numpy(zero_copy_only=False)
+        words = t.column("tok").take(pa.array(at)).dictionary_encode()
+        n = max(1, len(words.dictionary))
+        pairs, slot = np.unique(record[at] * n + words.indices.to_numpy(), return_inverse=True)
+        starts = np.searchsorted(pairs // n, np.arange(len(first) + 1))
+        ids[at] = starts[record[at]] - slot - 1
+        ends = np.append(0, np.cumsum(some))[np.append(first, len(no))]
+        return pa.RecordBatch.from_arrays([
+            t.column("own").take(pa.array(first)),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[some])),
+            pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), words.dictionary.take(pa.array(pairs % n)))], ["own", "ids", "rare"])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = []  # the batches of a record that is not over yet
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("no").to_numpy() == 0)
+            if len(starts):
+                held.append(batch.slice(0, starts[-1]))
+                yield from (records(b) for b in pa.Table.from_batches(held).combine_chunks().to_batches() if b.num_rows)
+                held = []
+            held.append(batch.slice(starts[-1]) if len(starts) else batch)
+        if held:
+            yield from (records(b) for b in pa.Table.from_batches(held).combine_chunks().to_batches() if b.num_rows)
+
+    return run
 
 
 def tokenize(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len: int | None = None,
              out_col: str = "input_ids", unk_id: int = 0, keep_text: bool = False) -> DataFrame:
     """T4: token ids of ``text_col`` via the vocabulary; all tokens of whole texts.
 
-    A record becomes a dictionary of its distinct tokens and an array of their places, so a token
-    that a text repeats is one row, and no row exists per token. Entries with the lowest ids
-    (the most frequent ones of ``build_vocab``) meet a broadcast that distinct ids bound to
-    ``HEAD_TOKENS`` rows. One exchange by ``key`` (unique per record) brings a record's entries
-    together; only entries outside the head are shuffled by token, where a hot one is split by
-    Spark's skew join. The ids are then laid out at the places. The text itself is not shuffled
-    unless ``keep_text``. With ``max_len`` see ``in_windows``.
+    A record becomes a run of rows, one a token. Tokens with the lowest ids (the most frequent ones of
+    ``build_vocab``) meet a broadcast that distinct ids bound to ``HEAD_TOKENS`` rows. Neither step
+    moves a row, so a run is gathered again in its task, as one row with an array of ids in which
+    negative numbers stand for the distinct tokens outside the head: no row per token is sorted
+    or shuffled. Only these rows and the tokens outside the head are; a hot one of the latter is split
+    by Spark's skew join. The text itself is not shuffled unless ``keep_text``. With ``max_len`` see
+    ``in_windows``.
     """
     v = vocab.select(F.col("token").alias("_tok"), F.col("token_id").cast("int").alias("_id"))
     frequent = (F.col("_id") >= 0) & (F.col("_id") < HEAD_TOKENS) & (F.length("_tok") <= HEAD_TOKEN_CHARS)
-    rows = _dictionary_rows(df, key, text_col, keep_text).join(F.broadcast(v.where(frequent)), F.col("tok") == F.col("_tok"), "left")
-    open_tok = F.when(F.col("_id").isNull(), F.col("tok"))
-    # one list, so that both readers below share one exchange
-    docs = rows.groupBy(key).agg(F.collect_list(F.struct("no", F.col("_id").alias("id"), open_tok.alias("tok"), "own")).alias("_l"))
-    rare = docs.select(key, F.inline(F.transform(F.filter("_l", lambda x: x["tok"].isNotNull()), lambda x: F.struct(x["no"].alias("no"), x["tok"].alias("tok")))))
+    rows = _token_rows(df, key, text_col, keep_text).join(F.broadcast(v.where(frequent)), F.col("tok") == F.col("_tok"), "left")
+    rows = rows.select("no", F.col("_id").alias("id"), F.when(F.col("_id").isNull(), F.col("tok")).alias("tok"), F.when(F.col("no") == 0, F.col("own")).alias("own"))
+    own = rows.schema["own"].dataType.simpleString()
+    docs = rows.mapInArrow(_gathered(), f"own {own}, ids array<int>, rare array<string>")
+    # records of one key are told apart by their rare tokens; one array, so that both readers below share one exchange
+    name = F.concat_ws("/", F.col("own")["k"], F.xxhash64("rare").cast("string"))
+    docs = docs.select(name.alias("_k"), F.array(F.struct("own", "ids", "rare")).alias("_l")).repartition("_k")
+    # a key of its own is an exchange of its own: where that is empty, the join is planned away
+    rare = docs.select(F.concat("_k", F.lit("")).alias("_key"), F.posexplode(F.flatten(F.transform("_l", lambda x: x["rare"]))).alias("no", "tok"))
     rare = rare.join(v.where(~frequent), F.col("tok") == F.col("_tok"), "left")
-    rare = rare.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("no", F.coalesce("_id", F.lit(unk_id)).alias("id"))).alias("_r"))
-    out = docs.join(rare, F.col(key).eqNullSafe(F.col("_key")), "left")
-    known = F.transform(F.filter("_l", lambda x: x["id"].isNotNull()), lambda x: F.struct(x["no"].alias("no"), x["id"].alias("id")))
-    none = F.array().cast("array<struct<no:int,id:int>>")
-    own = F.element_at(F.filter("_l", lambda x: x["no"] == 0), 1)["own"]
-    out = out.select(own.alias("_own"), F.sort_array(F.concat(known, F.coalesce("_r", none))).alias("_e"))
-    spread = F.flatten(F.zip_with("_e", F.col("_own")["counts"], lambda e, n: F.array_repeat(e["id"], n)))
-    # (place, id) as one long, sorted by place
-    placed = F.sort_array(F.zip_with(F.col("_own")["places"], spread, lambda p, i: F.shiftleft(p.cast("long"), 32) + i.cast("long") + F.lit(2**31)))
-    ids = F.transform(placed, lambda x: (x.bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int"))
-    return in_windows(out.select("_own.rec.*", ids.alias(out_col)), out_col, max_len)
+    # (no, id) as one long, sorted by no
+    found = F.shiftleft(F.col("no").cast("long"), 32) + F.coalesce("_id", F.lit(unk_id)).cast("long") + F.lit(2**31)
+    rare = rare.groupBy("_key").agg(F.sort_array(F.collect_set(found)).alias("_r"))
+    rare = rare.withColumn("_r", F.transform("_r", lambda x: (x.bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int")))
+    out = docs.join(rare.hint("shuffle_hash"), F.col("_k") == F.col("_key"), "left").select(F.inline("_l"), "_r")
+    ids = F.transform("ids", lambda x: F.when(x < 0, F.get("_r", -x - 1)).otherwise(x))
+    return in_windows(out.select("own.rec.*", ids.alias(out_col)), out_col, max_len)
 
 
 def in_windows(df: DataFrame, ids_col: str = "input_ids", max_len: int | None = None) -> DataFrame:

@@ -414,7 +414,7 @@ SELECT doc_id, batch_id, input_ids, labels, list_transform(input_ids, lambda x:
 def q_t6(spark, sf_dir):
     tok = tokenized(spark, sf_dir)
     pos = P.assign_batches(read_table(spark, sf_dir, "documents").select("doc_id"), 8, "doc_id", 42).select("doc_id", "batch_id")
-    b = T.pad_batch(tok.join(pos, "doc_id"), "batch_id", "input_ids", "labels", pad_id=0, side="left", multiple_of=8)
+    b = T.pad_batch(tok.join(pos.hint("shuffle_hash"), "doc_id"), "batch_id", "input_ids", "labels", pad_id=0, side="left", multiple_of=8)
     return b.select("doc_id", "batch_id", "input_ids", "labels", T.attention_mask("input_ids", 0).alias("attention_mask"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marksheet.operators import hooks as H
 from marksheet.operators import sampling as P
 from marksheet.operators import sequences as T
+from marksheet.session import materialized
 
 
 def split_and_cap(train: DataFrame, val: DataFrame | None, key: str, seed: int = 42, val_ratio: float = 0.02,
@@ -88,7 +89,8 @@ def training_batches(rows: DataFrame, size: int, key: str = "raw_id", seed: int
                      multiple_of: int | None = None) -> DataFrame:
     """Token rows as padded batches (P8, T6-T8): ``batch_id`` in shuffled order, ids and labels
     padded to the longest of the batch, ``attention_mask``. Windows of one record (``chunk_no``)
-    are rows of their own."""
+    are rows of their own. The rows are a written table, as their keys are read several times."""
+    rows = materialized(rows, "token-rows")
     parts = [F.col(key).cast("string")] + ([F.col("chunk_no").cast("string")] if "chunk_no" in rows.columns else [])
     placed = P.assign_batches(rows.withColumn("_row", F.concat_ws(":", *parts)), size, "_row", seed).drop("pos", "_row")
     padded = T.pad_batch(placed, "batch_id", "input_ids", "labels", pad_id, side, multiple_of)

@@ -122,6 +122,17 @@ def test_tokenize_edges(spark):
     assert kept.text == "b a b , a"
 
 
+def test_tokens_are_gathered_where_they_are(spark):
+    rows = [(1, "a b zz"), (1, "b yy a yy"), (1, "b yy a yy"), (None, "zz"), (None, "a yy"), (2, None)]
+    df = spark.createDataFrame(rows, "k long, text string").coalesce(1)
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("yy", 70_000), ("zz", 70_001)], "token string, token_id int")
+    out = T.tokenize(df, "k", "text", vocab)
+    got = sorted(((r.k or 0, r.input_ids) for r in out.collect()))
+    assert got == [(0, [1, 70_000]), (0, [70_001]), (1, [1, 2, 70_001]), (1, [2, 70_000, 1, 70_000]), (1, [2, 70_000, 1, 70_000]), (2, [])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # of the rare ids alone: no row per token is aggregated by record
+
+
 def test_repeated_cap_names(spark):
     df = spark.range(100).select("id", F.lit("A").alias("dataset_name"), F.col("id").cast("string").alias("wide"))
     for cols in (["id", "dataset_name"], ["id", "dataset_name", "wide"]):
