@@ -148,22 +148,30 @@ HEAD_TOKENS = 65_536
 HEAD_TOKEN_CHARS = 64
 
 
-def _token_rows(df: DataFrame, key: str, text_col: str, keep_text: bool) -> DataFrame:
-    """Each record as a run of rows (no, tok, own): its tokens in text order, ``no`` from 0, or one row
-    without a token. ``own`` holds the record's columns and its name ``k`` (the key as a string that
-    is never null). The text is split once."""
-    own = df.columns if keep_text else [c for c in df.columns if c != text_col]
-    record = F.struct(F.struct(*own).alias("rec"), F.coalesce(F.concat(F.lit(":"), F.col(key).cast("string")), F.lit("")).alias("k"))
-    rows = df.select(record.alias("own"), F.posexplode_outer(word_tokens(text_col)).alias("no", "tok"))
-    return rows.select(F.coalesce("no", F.lit(0)).alias("no"), "tok", "own")
+# Words of one row on the way to the lookup; a longer record is a run of rows.
+PIECE_WORDS = 1024
 
 
-def _gathered():
-    """Runs of (no, id, tok, own), which follow each other as they were made, as one row a record: own
-    (from ``no`` = 0), ``ids`` in text order and ``rare``, the distinct tokens without an id; -1, -2, ...
-    in ``ids`` stand for them. A row with neither is a record without tokens. The function is made
-    here, so that it is shipped by value."""
-    def records(t):
+def _word_pieces(df: DataFrame, key: str, text_col: str, keep_text: bool) -> DataFrame:
+    """Each record as a run of rows (no, words, own): its words in text order, ``PIECE_WORDS`` a row, ``no``
+    from 0. ``own`` (where ``no`` is 0) holds the record's columns and its name ``k`` (the key as a string that
+    is never null). Before the first record of a task comes a row with ``no`` -1 and ``all`` 0, which the
+    head of the vocabulary meets. The text is split once."""
+    own = df.columns if keep_text else [c for c in df.columns if c != text_col]
+    record = F.struct(F.struct(*own).alias("rec"), F.coalesce(F.concat(F.lit(":"), F.col(key).cast("string")), F.lit("")).alias("k"))
+    rows = df.select(record.alias("own"), F.coalesce(word_tokens(text_col), F.array().cast("array<string>")).alias("w"),
+                     (F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)) == 0).alias("first"))
+    last = F.greatest(F.ceil(F.size("w") / F.lit(PIECE_WORDS)).cast("int"), F.lit(1)) - 1
+    rows = rows.select("own", "w", F.explode(F.sequence(F.when(F.col("first"), -1).otherwise(0), last)).alias("no"))
+    words = F.when(F.col("no") >= 0, F.slice("w", F.col("no") * PIECE_WORDS + 1, F.lit(PIECE_WORDS)))
+    return rows.select("no", words.alias("words"), F.when(F.col("no") == 0, F.col("own")).alias("own"), F.when(F.col("no") < 0, F.lit(0)).alias("all"))
+
+
+def _looked_up():
+    """Rows of ``_word_pieces``, of which the first of a task came with the head (tok, id), as one row a
+    record: own, ``ids`` in text order and ``rare``, the distinct tokens outside the head; -1, -2, ...
+    in ``ids`` stand for them. The function is made here, so that it is shipped by value."""
+    def records(t, tokens, numbers):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -173,35 +181,53 @@ def _gathered():
         record = np.cumsum(no == 0) - 1
         if no[0] != 0 or not np.array_equal(no, np.arange(len(no)) - first[record]):
             raise RuntimeError("the rows of a record came apart")
-        ids = pc.fill_null(t.column("id"), 0).to_numpy().astype(np.int32)
-        open_ = pc.is_valid(t.column("tok")).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(open_)
-        some = open_ | pc.is_valid(t.column("id")).to_numpy(zero_copy_only=False)
-        words = t.column("tok").take(pa.array(at)).dictionary_encode()
-        n = max(1, len(words.dictionary))
-        pairs, slot = np.unique(record[at] * n + words.indices.to_numpy(), return_inverse=True)
+        words = t.column("words")
+        record = np.repeat(record, pc.list_value_length(words).to_numpy())  # of each word
+        words = words.flatten().dictionary_encode()
+        code = words.indices.to_numpy()
+        at = pc.index_in(words.dictionary, value_set=tokens)
+        known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        id_of = np.zeros(len(known), np.int32)
+        id_of[known] = numbers[at.drop_null().to_numpy()]
+        ids = id_of[code]
+        open_ = np.flatnonzero(~known[code])
+        n = max(1, len(known))
+        pairs, slot = np.unique(record[open_] * n + code[open_], return_inverse=True)
         starts = np.searchsorted(pairs // n, np.arange(len(first) + 1))
-        ids[at] = starts[record[at]] - slot - 1
-        ends = np.append(0, np.cumsum(some))[np.append(first, len(no))]
+        ids[open_] = starts[record[open_]] - slot - 1
+        ends = np.searchsorted(record, np.arange(len(first) + 1))
         return pa.RecordBatch.from_arrays([
             t.column("own").take(pa.array(first)),
-            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[some])),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
             pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), words.dictionary.take(pa.array(pairs % n)))], ["own", "ids", "rare"])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        head, lookup = [], None
         held = []  # the batches of a record that is not over yet
         for batch in batches:
-            starts = np.flatnonzero(batch.column("no").to_numpy() == 0)
+            no = batch.column("no").to_numpy()
+            lead = int((no < 0).sum())
+            if (no[:lead] >= 0).any() or (lead and lookup) or not (lead or head):
+                raise RuntimeError("the vocabulary did not come first")
+            if lead:
+                head.append(batch.select(["tok", "id"]).slice(0, lead))
+                batch, no = batch.slice(lead), no[lead:]
+            if not len(no):
+                continue
+            if lookup is None:
+                known = pa.Table.from_batches(head).combine_chunks().drop_null()
+                lookup = pa.array(known.column("tok").to_pylist(), pa.string()), known.column("id").to_numpy()
+            starts = np.flatnonzero(no == 0)
             if len(starts):
                 held.append(batch.slice(0, starts[-1]))
-                yield from (records(b) for b in pa.Table.from_batches(held).combine_chunks().to_batches() if b.num_rows)
+                yield from (records(b, *lookup) for b in pa.Table.from_batches(held).combine_chunks().to_batches() if b.num_rows)
                 held = []
             held.append(batch.slice(starts[-1]) if len(starts) else batch)
         if held:
-            yield from (records(b) for b in pa.Table.from_batches(held).combine_chunks().to_batches() if b.num_rows)
+            yield from (records(b, *lookup) for b in pa.Table.from_batches(held).combine_chunks().to_batches() if b.num_rows)
 
     return run
 
@@ -210,20 +236,20 @@ def tokenize(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len:
              out_col: str = "input_ids", unk_id: int = 0, keep_text: bool = False) -> DataFrame:
     """T4: token ids of ``text_col`` via the vocabulary; all tokens of whole texts.
 
-    A record becomes a run of rows, one a token. Tokens with the lowest ids (the most frequent ones of
-    ``build_vocab``) meet a broadcast that distinct ids bound to ``HEAD_TOKENS`` rows. Neither step
-    moves a row, so a run is gathered again in its task, as one row with an array of ids in which
-    negative numbers stand for the distinct tokens outside the head: no row per token is sorted
-    or shuffled. ``key`` is unique per record; records that share one become one, without ids. Only these rows and the tokens outside the head are; a hot one of the latter is split
-    by Spark's skew join. The text itself is not shuffled unless ``keep_text``. With ``max_len`` see
-    ``in_windows``.
+    No row per token is made, sorted or shuffled. A record keeps its words as an array; the tokens with the
+    lowest ids (the most frequent ones of ``build_vocab``, which distinct ids bound to ``HEAD_TOKENS`` rows)
+    are broadcast and meet one row at the beginning of each task, which looks its records' words up in them,
+    a batch at a time. It gives one row a record, with an array of ids in which negative numbers stand for
+    the distinct tokens outside the head. Only these rows and those tokens are shuffled; a hot one of the
+    latter is split by Spark's skew join. ``key`` is unique per record; records that share one become one,
+    without ids. The text itself is not shuffled unless ``keep_text``. With ``max_len`` see ``in_windows``.
     """
     v = vocab.select(F.col("token").alias("_tok"), F.col("token_id").cast("int").alias("_id"))
     frequent = (F.col("_id") >= 0) & (F.col("_id") < HEAD_TOKENS) & (F.length("_tok") <= HEAD_TOKEN_CHARS)
-    rows = _token_rows(df, key, text_col, keep_text).join(F.broadcast(v.where(frequent)), F.col("tok") == F.col("_tok"), "left")
-    rows = rows.select("no", F.col("_id").alias("id"), F.when(F.col("_id").isNull(), F.col("tok")).alias("tok"), F.when(F.col("no") == 0, F.col("own")).alias("own"))
+    head = v.where(frequent).select(F.col("_tok").alias("tok"), F.col("_id").alias("id"), F.least("_id", F.lit(0)).alias("_all"))  # _all is 0
+    rows = _word_pieces(df, key, text_col, keep_text).join(F.broadcast(head), F.col("all") == F.col("_all"), "left").select("no", "words", "own", "tok", "id")
     own = rows.schema["own"].dataType.simpleString()
-    docs = rows.mapInArrow(_gathered(), f"own {own}, ids array<int>, rare array<string>")
+    docs = rows.mapInArrow(_looked_up(), f"own {own}, ids array<int>, rare array<string>")
     # one array, and a name whose type is never null, so that both readers below share one exchange
     docs = docs.select(F.concat_ws("", F.col("own")["k"]).alias("_k"), F.array(F.struct("own", "ids", "rare")).alias("_l")).repartition("_k")
     # a key of its own is an exchange of its own: where that is empty, the join is planned away

@@ -132,6 +132,20 @@ def test_tokens_are_gathered_where_they_are(spark):
     assert plan.count("MapInArrow") == 2 and plan.count("Aggregate") == 2  # of records and of rare ids: no row per token is aggregated
 
 
+def test_words_reach_the_lookup_by_record(spark):
+    n = T.PIECE_WORDS
+    texts = ["a b zz a", None, "a " * (2 * n) + "b", "zz " * n, "", "b yy"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(4)
+    rows = T._word_pieces(df, "k", "text", False).collect()  # a row a record or piece, and one a task: none a token
+    assert len(rows) == 18 + 3 * 2 + sum(r.no < 0 for r in rows) and 1 <= sum(r.no < 0 for r in rows) <= 4
+    assert max(len(r.words or []) for r in rows) <= n
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("yy", 70_000)], "token string, token_id int")
+    ids = {"a": 1, "b": 2, "yy": 70_000}
+    for v, known in ((vocab, ids), (vocab.where("token_id > 5"), {"yy": 70_000}), (vocab.limit(0), {})):
+        got = {r.k: r.input_ids for r in T.tokenize(df, "k", "text", v).collect()}
+        assert got == {k: [known.get(w, 0) for w in (t or "").split()] for k, t in enumerate(texts)}
+
+
 def test_repeated_cap_names(spark):
     df = spark.range(100).select("id", F.lit("A").alias("dataset_name"), F.col("id").cast("string").alias("wide"))
     for cols in (["id", "dataset_name"], ["id", "dataset_name", "wide"]):
