@@ -305,15 +305,20 @@ def mask_prompt(ids: str | Column, prompt_len: str | Column, ignore_id: int = IG
 
 
 def pad_batch(df: DataFrame, batch_col: str = "batch_id", ids_col: str = "input_ids", labels_col: str | None = "labels",
-              pad_id: int = 0, side: str = "right", multiple_of: int | None = None, ignore_id: int = IGNORE_INDEX) -> DataFrame:
+              pad_id: int = 0, side: str = "right", multiple_of: int | None = None, ignore_id: int = IGNORE_INDEX,
+              labels: Column | None = None) -> DataFrame:
     """Pad ids with ``pad_id`` and labels with -100 to the batch maximum (rounded up to
-    ``multiple_of``). The window is per batch (a bounded group of batch-size rows)."""
+    ``multiple_of``). The window is per batch (a bounded group of batch-size rows). ``labels`` says what
+    ``labels_col`` holds before the padding, for rows that don't have it: labels which follow from the ids
+    are then neither shuffled nor sorted."""
     w = Window.partitionBy(batch_col)
     target = F.max(F.size(ids_col)).over(w)
     if multiple_of:
         target = (F.ceil(target / F.lit(multiple_of)) * F.lit(multiple_of)).cast("int")
     out = df.withColumn("_target", target)
     out = out.withColumn("_k", F.greatest(F.col("_target") - F.size(ids_col), F.lit(0)))
+    if labels is not None:
+        out = out.withColumn(labels_col, labels)
 
     def pad(col, value):
         fill = F.array_repeat(F.lit(value), F.col("_k"))

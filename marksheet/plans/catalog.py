@@ -412,9 +412,10 @@ pd AS (SELECT doc_id, batch_id, list_concat(list_transform(range(target - len(in
               list_concat(list_transform(range(target - len(labels)), lambda x: -100), labels) AS labels FROM b)
 SELECT doc_id, batch_id, input_ids, labels, list_transform(input_ids, lambda x: x <> 0) AS attention_mask FROM pd""")
 def q_t6(spark, sf_dir):
-    tok = tokenized(spark, sf_dir)
+    tok = tokenized(spark, sf_dir).drop("labels")  # they follow from the ids, which alone are moved
     pos = P.assign_batches(read_table(spark, sf_dir, "documents").select("doc_id"), 8, "doc_id", 42).select("doc_id", "batch_id")
-    b = T.pad_batch(tok.join(pos.hint("shuffle_hash"), "doc_id"), "batch_id", "input_ids", "labels", pad_id=0, side="left", multiple_of=8)
+    b = T.pad_batch(tok.join(pos.hint("shuffle_hash"), "doc_id"), "batch_id", "input_ids", "labels", pad_id=0, side="left", multiple_of=8,
+                    labels=T.mask_prompt("input_ids", "prompt_len"))
     return b.select("doc_id", "batch_id", "input_ids", "labels", T.attention_mask("input_ids", 0).alias("attention_mask"))
 
 

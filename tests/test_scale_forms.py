@@ -146,6 +146,17 @@ def test_words_reach_the_lookup_by_record(spark):
         assert got == {k: [known.get(w, 0) for w in (t or "").split()] for k, t in enumerate(texts)}
 
 
+def test_labels_of_batches_are_made_after_the_window(spark):
+    df = spark.createDataFrame([(i, i // 3, list(range(1, i + 2)), i % 4) for i in range(10)], "k int, batch_id long, input_ids array<int>, n int")
+    labels = T.mask_prompt("input_ids", "n")
+    for side in ("left", "right"):
+        made = T.pad_batch(df, side=side, multiple_of=4, labels=labels)
+        want = T.pad_batch(df.withColumn("labels", labels), side=side, multiple_of=4)
+        assert made.columns == want.columns and sorted(made.collect()) == sorted(want.collect())
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "-100" not in plan[plan.index("Window"):]  # only ids are below
+
+
 def test_repeated_cap_names(spark):
     df = spark.range(100).select("id", F.lit("A").alias("dataset_name"), F.col("id").cast("string").alias("wide"))
     for cols in (["id", "dataset_name"], ["id", "dataset_name", "wide"]):
