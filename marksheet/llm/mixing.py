@@ -158,6 +158,8 @@ def mixed_rows(docs: DataFrame, seed: int = 42, key: str = "doc_id", text: str =
     rows = docs.withColumn("_c", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))).withColumn("_s", word_count(text))
     same = F.col(key).cast("long").eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_c") == F.col("_crc")) & (F.col("_s") == F.col("_size"))
     once = rows.join(drawn.where("_n = 1"), same).select(*docs.columns, F.col("_total").alias("_copies"))
+    if drawn.where("_n > 1").isEmpty():  # every unit is one row
+        return each_copy(once, "_copies", "_k").select(*docs.columns)
     # a unit of several rows: its copies are spread evenly over the rows, equal rows being one with a count.
     # Rows stand in the order of a hash of all their columns, numbered in buckets of it.
     whole = F.xxhash64(*[F.to_json(c) if isinstance(docs.schema[c].dataType, MapType) else F.col(c) for c in docs.columns])

@@ -67,3 +67,14 @@ def test_every_operator_has_a_query(spark):
 def test_word_count_matches(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", mixing.word_count("text").alias("n"))
     assert all(r.n == len(words(r.text)) for r in docs.collect())
+
+
+def test_mix_without_repeated_rows_numbers_none(spark):
+    rows = [(i, "word " * (i % 7 + 1) + str(i), "abc"[i % 3], -i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    mixed = mixing.mixed_rows(docs)
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    want = Counter({r.id: r.whole + r.extra for r in mixing.mix(docs).collect()})
+    got = mixed.collect()
+    assert Counter(r.doc_id for r in got) == +want and all(r.extra == -r.doc_id for r in got)
