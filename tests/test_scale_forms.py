@@ -184,3 +184,23 @@ def test_keyed_stream_counts_ids_once(spark):
     assert arrive([row("3", 1, 9)]) == [(4, 4, 0)]  # closes 1 and 2
     assert spark.read.parquet(f"{out}/keys-3").count() == 1 and M.published(spark, out).count() == 1
     assert arrive([row("3", 2, 10)]) == [(4, 3, 0)]
+
+
+def test_rows_that_keep_every_core_busy_are_not_moved(spark, tmp_path):
+    from marksheet.session import ensure_parallelism
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, 100 * cores, 1, cores).selectExpr("id", "repeat('a b ', 5) AS text").write.parquet(f"{tmp_path}/even")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a file is a partition
+    try:
+        even = spark.read.parquet(f"{tmp_path}/even")
+        kept = ensure_parallelism(even)
+        assert even.rdd.getNumPartitions() == cores == kept.rdd.getNumPartitions()
+        assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+        # as many partitions, but all rows in one of them: moved, none lost
+        one = ensure_parallelism(even.where("id < 100"))
+        assert one.rdd.getNumPartitions() == 2 * cores and one.count() == 100
+        assert ensure_parallelism(even, 3 * cores).rdd.getNumPartitions() == 3 * cores
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ensure_parallelism(spark.range(0, 9, 1, 1)).rdd.getNumPartitions() == 2 * cores
+    assert ensure_parallelism(spark.range(0, 0, 1, cores)).count() == 0
