@@ -11,8 +11,8 @@ chain); the longer chains are checked in the bucket, the full distance last. No
 Scale: equal fingerprints are one node, so groups of copies cost one row. Keys have 32 bits and
 spread evenly. A bucket yields a forest of links (at most one link a member), never all pairs: a
 large bucket is searched breadth first against its unvisited rest only, in bounded memory.
-Components come from alternating large-star/small-star rounds on written tables. Nothing but
-counts reaches the driver.
+Components come from alternating large-star/small-star rounds on written tables, whose edges the
+tasks contract first, a bounded block at a time. Nothing but a row of the emptiness test reaches the driver.
 
 Defined results: null or empty text has fingerprint zero and links like any other; texts of
 fewer words than a shingle are one shingle; repeated rows and rows with a null id are kept, one
@@ -174,24 +174,63 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+EDGE_BLOCK = 1 << 18  # edges that a task contracts at once
+
+
+def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): each node over these edges that is not the smallest of its component, with the smallest."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[:len(u)], at[len(u):]
+    up = np.arange(len(nodes))
+    while True:
+        a, b = up[u], up[v]
+        if np.array_equal(a, b):
+            break
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+    low = np.flatnonzero(up != np.arange(len(nodes)))
+    return nodes[low], nodes[up[low]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, v), u > v: edges with the same components, of which those of a block in a task are stars."""
+    def run(batches):
+        def stars():
+            u, v = local_roots(*[np.concatenate([h[k] for h in held]) for k in (0, 1)])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in (0, 1)])
+            rows += batch.num_rows
+            if rows >= EDGE_BLOCK:
+                yield stars()
+                held, rows = [], 0
+        if rows:
+            yield stars()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b), by alternating large-star
-    and small-star rounds. Each round is one written table; a round's hash tells when it is done.
+    and small-star rounds. Before a round the tasks contract the edges they hold, so that few rounds are
+    left; none is when every node has either larger neighbours only or one smaller one, its root.
     Nodes are compared as signed longs."""
-    cur = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), tag)
-    before = None
+    pairs = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v")
+    nxt = written(_contracted(pairs), tag)
     while True:
+        cur = written(_contracted(nxt), tag)
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lower = both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < u")
+        lower = written(lower.select(F.col("u").alias("node"), "low", "high"), tag)
+        if lower.where("low <> high").isEmpty():
+            return lower.select("node", F.col("low").alias("root"))
+        large = cur.join(lower.select("node", "low"), F.col("v") == F.col("node"), "left").select("u", F.coalesce("low", "v").alias("v"))
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = small.unionByName(small_low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        cur = written(nxt, tag)
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        nxt = written(small.unionByName(small_low.select("u", F.col("m").alias("v"))).distinct(), tag)
 
 
 def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE_WORDS, bits: int = MAX_BITS,

@@ -219,6 +219,38 @@ def test_links_of_dense_and_random_fingerprints(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, have.values()))
 
 
+def test_components_take_few_stages(spark, monkeypatch):
+    """Chains, stars, cycles and repeated edges against a union-find; blocks far smaller than a component
+    leave the work to the rounds, whole ones need no round. Few written tables, so few stages and tasks,
+    whose records the driver holds."""
+    rng = np.random.default_rng(11)
+    chain = [(i, i + 1) for i in range(300)]
+    star = [(1000, x) for x in range(900, 1100)] + [(2000, 2000)]
+    edges = chain + star + chain[:20] + [(3000, 3001), (3001, 3002), (3002, 3000), (-5, 1100)] + [(int(a), int(b)) for a, b in rng.integers(4000, 4400, (260, 2))]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in root if find(x) != x}
+    df = spark.createDataFrame([edges[i] for i in rng.permutation(len(edges))], "a long, b long").repartition(16).localCheckpoint()
+    tables = []
+    real = near_duplicates.written
+    monkeypatch.setattr(near_duplicates, "written", lambda d, tag: tables.append(tag) or real(d, tag))
+    got = near_duplicates.components(df).collect()
+    assert multiset(got) == Counter(want.items())
+    assert len(tables) <= 6  # 11 with a hash of each round
+    monkeypatch.setattr(near_duplicates, "_contracted", lambda e: e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    got = near_duplicates.components(df).collect()
+    assert multiset(got) == Counter(want.items())
+    assert near_duplicates.components(df.limit(0)).collect() == []
+
+
 # ---------------------------------------------------------------- 4 secrets
 
 
